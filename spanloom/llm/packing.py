@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.scratch import materialize, partitions
 
 SIZE, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Entries of a task's word cache, and the longest word kept in it.
-CACHE, CACHED_CHARS = 300_000, 64
+#: Entries of a worker's word cache, and the longest word kept in it.
+CACHE, CACHED_CHARS = 500_000, 64
 
 
 class SegmentTree:
@@ -107,32 +107,74 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class WordEncoder:
+    """Ids of single words, remembered; the same ids as the tokenizer's own for a whole text.
+
+    White space never shares a token with anything, so a text's ids are those of its words. A word of plain Latin
+    letters (no combining marks, no letters whose lower case depends on their place) is cut by the tokenizer's own
+    pattern and its parts go straight to its model; any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        steps = json.loads(self.whole.to_str())
+        parts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = [x["type"] for x in parts] == ["Split", "ByteLevel"] and [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.cut = regex.compile(parts[0]["pattern"]["Regex"]).findall if known else None
+        self.plain = regex.compile(r"[\x21-\x7E\xC0-\u024F]+").fullmatch
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.model = self.whole.model
+        self.words: dict[str, np.ndarray] = {"": np.empty(0, "<u4")}
+        self.parts: dict[str, list[int]] = {}
+
+    def part(self, x: str) -> list[int]:
+        if (ids := self.parts.get(x)) is None:
+            ids = [t.id for t in self.model.tokenize(x if x.isascii() else self.bytes(x)[0][0])]
+            if len(x) <= CACHED_CHARS:
+                if len(self.parts) >= CACHE:
+                    self.parts.clear()
+                self.parts[x] = ids
+        return ids
+
+    def word(self, w: str) -> np.ndarray:
+        if self.cut and self.plain(w):
+            ids = np.array([i for x in self.cut(w.lower()) for i in self.part(x)], "<u4")
+        else:
+            ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4")
+        if len(w) <= CACHED_CHARS:
+            if len(self.words) >= CACHE:
+                empty = self.words[""]
+                self.words.clear()
+                self.words[""] = empty
+            self.words[w] = ids
+        return ids
+
+    def text(self, text: str, end: int) -> np.ndarray:
+        if "<|" in text:  # may hold the string of a special token, which can span anything
+            return np.array([*self.whole.encode(text, add_special_tokens=False).ids, end], "<u4")
+        get, word = self.words.get, self.word
+        return np.concatenate([*[ids if (ids := get(w)) is not None else word(w) for w in text.replace("\n", " ").split(" ")], np.array([end], "<u4")])
+
+
 def piece_batches(path: str | None, size: int, end: int, name: str = TOKENIZER):
     """A mapInArrow function: text to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path or tokenizer_path(name))
-        cache: dict[str, np.ndarray] = {"": np.empty(0, "<u4")}
-        empty = cache[""]
-
-        def encode(word: str) -> np.ndarray:
-            ids = np.array(model.encode(word, add_special_tokens=False).ids, "<u4")
-            if len(word) <= CACHED_CHARS:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                    cache[""] = empty
-                cache[word] = ids
-            return ids
+        import tokenizers
 
+        # one encoder for all the tasks that a worker process runs
+        kept = tokenizers.__dict__.setdefault("_spanloom_encoders", {})
+        where = path or tokenizer_path(name)
+        encoder = kept.get(where) or kept.setdefault(where, WordEncoder(where))
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                # Spaces and line ends never share a token with anything, so words can be encoded by themselves.
-                text = text.as_py() or ""
-                parts = [ids if (ids := cache.get(w)) is not None else encode(w) for w in text.replace("\n", " ").split(" ")] if "<|" not in text else [np.array(model.encode(text, add_special_tokens=False).ids, "<u4")]
-                ids = np.concatenate([*parts, np.array([end], "<u4")])
+                ids = encoder.text(text.as_py() or "", end)
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     out.append((doc, start, len(piece), binascii.crc32(piece.tobytes()), len(ids)))
