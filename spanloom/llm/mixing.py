@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.native import WORD
+from spanloom.llm.native import WORD, let, words
 from spanloom.llm.scratch import materialize
 
 WEIGHTS, EPOCHS, MAX_REPEAT, BLOCK, SHARD_ROWS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 10_000, "mix-1"
@@ -86,10 +86,10 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...] = WEIGHTS,
     )
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, max_repeat: float = MAX_REPEAT, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size long, target double, taken long (tokens of the document that the mix holds)."""
+def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, max_repeat: float = MAX_REPEAT, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:
+    """mix()'s columns and, for each row, ``rounds`` (whole copies) and up to two parts of words, ``first`` and ``second`` (lo, hi)."""
     sized = materialize(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_ord")),
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("_hash"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_ord")),
         "mix-sizes",
     )
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights=weights, epochs=epochs, max_repeat=max_repeat)
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float
     sources = materialize(sources.select("source", "source_size", "target", F.col("quota").alias("_quota"), F.ceil(F.col("_docs") / shard_rows).cast("long").alias("_n")), "mix-sources")
 
     dealt = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
-        "d.doc_id", "d.source", "d.size", "d._ord", "s.source_size", "s.target", "s._quota", F.pmod(F.xxhash64("d._ord"), F.col("s._n")).alias("_shard")
+        "d.doc_id", "d._hash", "d.source", "d.size", "d._ord", "s.source_size", "s.target", "s._quota", F.pmod(F.xxhash64("d._ord"), F.col("s._n")).alias("_shard")
     )
     shards = dealt.groupBy("source", "_shard", "_quota").agg(F.sum("size").alias("_line"))
     shards = sainte_lague(shards, ["source"], "_line", "_quota", [F.col("_shard")]).select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_line", "quota")
@@ -109,18 +109,45 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float
     rounds, rest = F.floor(F.col("_total") / F.greatest("_line", F.lit(1))).cast("long"), F.col("_total") % F.greatest("_line", F.lit(1))
     blocks = F.greatest(F.floor(F.col("_line") / block).cast("long"), F.lit(1))
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), blocks) * block
-    part = lambda lo, hi: F.greatest(F.lit(0).cast("long"), F.least(F.col("_at") + F.col("size"), hi) - F.greatest(F.col("_at"), lo))
+    part = lambda lo, hi: F.struct(F.greatest(F.lit(0).cast("long"), lo - F.col("_at")).alias("lo"), F.least(F.col("size"), hi - F.col("_at")).alias("hi"))
+    length = lambda p: F.greatest(F.lit(0).cast("long"), F.col(f"{p}.hi") - F.col(f"{p}.lo"))
     return (
         dealt.withColumn("_at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
         .join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")))
         .withColumn("_total", total)
-        .withColumn("_rounds", rounds)
+        .withColumn("rounds", rounds)
         .withColumn("_lo", start)
         .withColumn("_hi", start + rest)
-        .withColumn("taken", F.col("_rounds") * F.col("size") + part(F.col("_lo"), F.col("_hi")) + part(F.col("_lo") - F.col("_line"), F.col("_hi") - F.col("_line")))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .withColumn("first", part(F.col("_lo"), F.col("_hi")))
+        .withColumn("second", part(F.col("_lo") - F.col("_line"), F.col("_hi") - F.col("_line")))
+        .withColumn("taken", F.col("rounds") * F.col("size") + length("first") + length("second"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "_hash", "rounds", "first", "second")
     )
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size long, target double, taken long (tokens of the document that the mix holds)."""
+    return assign(docs, **options).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: whole copies as they are, parts of a text as its words joined by
+    one space (n_chars, if there, is counted anew). A document that the mix leaves out has no row."""
+    nth = Window.partitionBy("doc_id", "_hash").orderBy("_one")
+    number = lambda df: df.withColumn("_one", F.lit(0)).withColumn("_nth", F.row_number().over(nth)).drop("_one")
+    taken = assign(docs, **options).filter("taken > 0").select("doc_id", "_hash", "rounds", "first", "second")
+    taken = number(taken).select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_h"), F.col("_nth").alias("_n"), "rounds", "first", "second")
+    rows = number(docs.withColumn("_hash", F.xxhash64("text")))
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n")))
+    cut = lambda w, p: F.array_join(F.slice(w, (F.col(f"{p}.lo") + 1).cast("int"), (F.col(f"{p}.hi") - F.col(f"{p}.lo")).cast("int")), " ")
+    parts = let(words(F.col("text")), lambda w: F.array(*[F.when(F.col(f"{p}.hi") > F.col(f"{p}.lo"), cut(w, p)) for p in ("first", "second")]))
+    some = F.greatest(F.col("first.hi") - F.col("first.lo"), F.col("second.hi") - F.col("second.lo")) > 0
+    parts = F.filter(F.when(some, parts).otherwise(F.array().cast("array<string>")), lambda p: p.isNotNull())
+    out = joined.withColumn("text", F.explode(F.concat(F.array_repeat(F.col("text"), F.col("rounds").cast("int")), parts)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op2_mix(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")
