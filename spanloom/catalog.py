@@ -1,0 +1,4 @@
+"""Queries over the analytic tables and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
