@@ -166,8 +166,8 @@ class SuffixAutomaton:
         return out
 
 
-def match(length: int):
-    """A shard's blocks to rows doc_id, text_hash and the places (start, bits of windows) found in a smaller doc_id."""
+def match(length: int, shards: int):
+    """A shard's blocks to the places (document, start, bits of windows) found in a smaller doc_id, a block for each bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
@@ -236,31 +236,52 @@ def match(length: int):
         out: list[tuple] = []
         if found_at:
             at, bits = np.array(found_at), np.array(found_bits, "<u8")
-            by_doc = np.lexsort((start[at], text_hash[at], doc[at]))
-            at, bits = at[by_doc], bits[by_doc]
-            cuts = np.flatnonzero((doc[at][1:] != doc[at][:-1]) | (text_hash[at][1:] != text_hash[at][:-1])) + 1
+            bucket = (mixed(doc[at].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at, bits, bucket = at[order], bits[order], bucket[order]
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            packer = zstandard.ZstdCompressor(1)
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                places = np.stack([start[at[a:b]].astype("<u4"), bits[a:b].astype("<u4")])
-                out.append((int(doc[at[a]]), int(text_hash[at[a]]), places.tobytes()))
-        return pa.Table.from_batches([record_batch(["doc_id", "text_hash", "places"], [pa.int64(), pa.int64(), pa.binary()], out)])
+                i = at[a:b]
+                data = b"".join(x.tobytes() for x in (doc[i].astype("<i8"), text_hash[i].astype("<i8"), start[i].astype("<u4"), bits[a:b].astype("<u4")))
+                out.append((int(bucket[a]), packer.compress(data)))
+        return pa.Table.from_batches([record_batch(["bucket", "data"], [pa.int32(), pa.binary()], out)])
 
     return run
 
 
-def covered_words(n: int, places: list[bytes], length: int) -> np.ndarray:
+def merge(table: pa.Table) -> pa.Table:
+    """The places of a bucket of documents, from all shards: a row for each document."""
+    import zstandard
+
+    doc, text_hash, start, bits = [], [], [], []
+    for block in table.column("data"):
+        data = zstandard.ZstdDecompressor().decompress(block.as_py())
+        n = len(data) // 24
+        doc.append(np.frombuffer(data, "<i8", n))
+        text_hash.append(np.frombuffer(data, "<i8", n, 8 * n))
+        start.append(np.frombuffer(data, "<u4", n, 16 * n))
+        bits.append(np.frombuffer(data, "<u4", n, 20 * n))
+    doc, text_hash, start, bits = map(np.concatenate, (doc, text_hash, start, bits))
+    order = np.lexsort((start, text_hash, doc))
+    doc, text_hash = doc[order], text_hash[order]
+    places = np.stack([start[order], bits[order]], axis=1)
+    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])) + 1
+    edges = [0, *cuts.tolist(), len(doc)]
+    out = [(int(doc[a]), int(text_hash[a]), places[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.Table.from_batches([record_batch(["doc_id", "text_hash", "places"], [pa.int64(), pa.int64(), pa.binary()], out)])
+
+
+def covered_words(n: int, places: bytes, length: int) -> np.ndarray:
     """Which of ``n`` words lie in a window found."""
-    steps = np.zeros(n + 1, np.int64)
-    for data in places:
-        start, bits = np.frombuffer(data, "<u4").reshape(2, -1)
-        for j in range(RUN):
-            hit = start[(bits >> np.uint32(j)) & np.uint32(1) == 1].astype(np.int64) + j
-            np.add.at(steps, hit, 1)
-            np.add.at(steps, hit + length, -1)
-    return np.cumsum(steps[:-1]) > 0
+    pairs = np.frombuffer(places, "<u4").reshape(-1, 2)
+    at, j = np.nonzero(np.unpackbits(np.ascontiguousarray(pairs[:, 1]).view(np.uint8), bitorder="little").reshape(-1, RUN))
+    hit = pairs[at, 0].astype(np.int64) + j
+    return np.cumsum(np.bincount(hit, minlength=n + 1)[:n] - np.bincount(hit + length, minlength=n + 1)[:n]) > 0
 
 
 def cut(length: int, texts: bool):
-    """(doc_id, text, lists of places) to what is left of each text."""
+    """(doc_id, text, places) to what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,8 +308,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     shards = partitions(docs.sparkSession)
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     blocks = rows_.mapInArrow(send(shards, length, min(anchor, length)), "shard int, data binary")
-    found = blocks.groupBy("shard").applyInArrow(match(length), "doc_id long, text_hash long, places binary")
-    by_doc = found.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list("places").alias("places"))
+    found = blocks.groupBy("shard").applyInArrow(match(length, shards), "bucket int, data binary")
+    by_doc = found.groupBy("bucket").applyInArrow(merge, "doc_id long, text_hash long, places binary").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "places")
     joined = rows_.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     out = joined.select("doc_id", "text", "places").mapInArrow(cut(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>, kept string")
     return out if texts else out.drop("kept")
