@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.pywords import mixed, record_batch, rows, window_hashes, word_hashes, words
 from spanloom.llm.scratch import partitions
 
-LENGTH, ANCHOR, RUN, BATCH_CHARS = 13, 4, 32, 8_000_000
+LENGTH, ANCHOR, RUN, BATCH_CHARS = 13, 4, 32, 12_000_000
 
 
 def segments(h: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,16 +74,17 @@ def send(shards: int, length: int, anchor: int):
                 key, start, count = (np.concatenate([k[i] for k in kept]) for i in range(3))
                 doc = np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept])
                 shard = (mixed(key) % np.uint64(shards)).astype(np.int64)
+                # In a block an anchor is 32 bits long: two that fall together only put more texts into one automaton.
                 order = np.lexsort((doc, key, shard))
                 ends = np.searchsorted(shard[order], np.arange(shards + 1))
                 ids = np.array(docs, np.int64)
-                packer = zstandard.ZstdCompressor(3)
+                packer = zstandard.ZstdCompressor(6)
                 for s in range(shards):
                     at = order[ends[s] : ends[s + 1]]
                     if len(at):
                         own, which = np.unique(doc[at], return_inverse=True)
                         head = np.array([len(at), len(own)], "<u4").tobytes()
-                        body = [key[at].astype("<u8"), ids[own].astype("<i8"), which.astype("<u4"), start[at].astype("<u4"), count[at].astype("u1")]
+                        body = [(key[at] >> np.uint64(32)).astype("<u4"), ids[own].astype("<i8"), which.astype("<u4"), start[at].astype("<u4"), count[at].astype("u1")]
                         text = b"\n".join([pieces[i] for i in at.tolist()])
                         data = packer.compress(head + b"".join(x.tobytes() for x in body) + text)
                         yield record_batch(["shard", "data"], [pa.int32(), pa.binary()], [(s, data)])
@@ -177,9 +178,9 @@ def match(length: int, shards: int):
             data = zstandard.ZstdDecompressor().decompress(block.as_py())
             n, m = np.frombuffer(data, "<u4", 2).tolist()
             at = 8
-            keys.append(np.frombuffer(data, "<u8", n, at))
-            ids = np.frombuffer(data, "<i8", 2 * m, at + 8 * n).reshape(m, 2)
-            at += 8 * n + 16 * m
+            keys.append(np.frombuffer(data, "<u4", n, at))
+            ids = np.frombuffer(data, "<i8", 2 * m, at + 4 * n).reshape(m, 2)
+            at += 4 * n + 16 * m
             which = np.frombuffer(data, "<u4", n, at)
             docs.append(ids[which, 0])
             hashes.append(ids[which, 1])
