@@ -29,7 +29,7 @@ from spanloom.llm.scratch import materialize, partitions
 
 SIZE, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Entries of a worker's word cache, and the longest word kept in it.
-CACHE, CACHED_CHARS = 500_000, 64
+CACHE, CACHED_CHARS = 800_000, 64
 
 
 class SegmentTree:
@@ -107,12 +107,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered(dict):
+    """A dictionary of two generations: when it is full, the older half goes and the newer one becomes the older."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def put(self, key: str, value):
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids of single words, remembered; the same ids as the tokenizer's own for a whole text.
 
     White space never shares a token with anything, so a text's ids are those of its words. A word of plain Latin
     letters (no combining marks, no letters whose lower case depends on their place) is cut by the tokenizer's own
-    pattern and its parts go straight to its model; any other word goes through the whole tokenizer.
+    pattern and its parts go straight to its model; any other word goes through the whole tokenizer. Ids are kept as
+    little-endian unsigned 32-bit numbers, so a text is a join of bytes.
     """
 
     def __init__(self, path: str):
@@ -128,37 +145,37 @@ class WordEncoder:
         self.cut = regex.compile(parts[0]["pattern"]["Regex"]).findall if known else None
         self.plain = regex.compile(r"[\x21-\x7E\xC0-\u024F]+").fullmatch
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.model = self.whole.model
-        self.words: dict[str, np.ndarray] = {"": np.empty(0, "<u4")}
-        self.parts: dict[str, list[int]] = {}
-
-    def part(self, x: str) -> list[int]:
-        if (ids := self.parts.get(x)) is None:
-            ids = [t.id for t in self.model.tokenize(x if x.isascii() else self.bytes(x)[0][0])]
-            if len(x) <= CACHED_CHARS:
-                if len(self.parts) >= CACHE:
-                    self.parts.clear()
-                self.parts[x] = ids
-        return ids
-
-    def word(self, w: str) -> np.ndarray:
-        if self.cut and self.plain(w):
-            ids = np.array([i for x in self.cut(w.lower()) for i in self.part(x)], "<u4")
-        else:
-            ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4")
-        if len(w) <= CACHED_CHARS:
-            if len(self.words) >= CACHE:
-                empty = self.words[""]
-                self.words.clear()
-                self.words[""] = empty
-            self.words[w] = ids
-        return ids
+        self.tokenize = self.whole.model.tokenize
+        self.words, self.parts = Remembered(CACHE), Remembered(CACHE)
+
+    def part(self, x: str) -> bytes:
+        ids = self.parts.old.get(x)
+        if ids is None:
+            ids = np.array([t.id for t in self.tokenize(x if x.isascii() else self.bytes(x)[0][0])], "<u4").tobytes()
+        return self.parts.put(x, ids)
+
+    def word(self, w: str) -> bytes:
+        if not w:
+            return b""
+        ids = self.words.old.get(w)
+        if ids is None:
+            low = w.lower()
+            if self.cut and w.isascii() and w.isalpha():
+                ids = self.parts.get(low) or self.part(low)
+            elif self.cut and self.plain(w):
+                ids = b"".join([self.parts.get(x) or self.part(x) for x in self.cut(low)])
+            else:
+                ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.words.put(w, ids)
 
     def text(self, text: str, end: int) -> np.ndarray:
+        last = np.array([end], "<u4").tobytes()
         if "<|" in text:  # may hold the string of a special token, which can span anything
-            return np.array([*self.whole.encode(text, add_special_tokens=False).ids, end], "<u4")
-        get, word = self.words.get, self.word
-        return np.concatenate([*[ids if (ids := get(w)) is not None else word(w) for w in text.replace("\n", " ").split(" ")], np.array([end], "<u4")])
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            get, word = self.words.get, self.word
+            ids = b"".join([get(w) or word(w) for w in text.replace("\n", " ").split(" ")])
+        return np.frombuffer(ids + last, "<u4")
 
 
 def piece_batches(path: str | None, size: int, end: int, name: str = TOKENIZER):
