@@ -94,7 +94,7 @@ def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: flo
     )
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights=weights, epochs=epochs, max_repeat=max_repeat)
     one = Window.partitionBy(F.lit(0))
-    sources = sources.withColumn("_seats", F.round(F.sum("target").over(one) / block).cast("long")).withColumn("_all", F.lit(0))
+    sources = sources.withColumn("_seats", F.round(F.sum("target").over(one) / block).cast("long")).withColumn("_all", F.pmod(F.xxhash64("source"), F.lit(1)))
     sources = sainte_lague(sources, ["_all"], "target", "_seats", [F.col("source").asc_nulls_last()])
     sources = materialize(sources.select("source", "source_size", "target", F.col("quota").alias("_quota"), F.ceil(F.col("_docs") / shard_rows).cast("long").alias("_n")), "mix-sources")
 
