@@ -1,4 +1,275 @@
-"""Queries over the analytic tables and their SQL."""
+"""Queries over the analytic tables, each with the SQL that DuckDB runs on the same files."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanloom.functions import stats
+from spanloom.functions.scalars import messages_text, ngrams
+from spanloom.operators import detectors as d
+from spanloom.operators import vectors
+from spanloom.operators.rates import evidence, rate_rows
+from spanloom.plans import testbed as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The testbed's projections in SQL.
+CALLS = """calls AS (SELECT CAST(event_id AS VARCHAR) AS span_id, CAST(user_id AS VARCHAR) AS run_id, 'events' AS workflow, k % 8 AS step_n, CAST(k % 8 AS VARCHAR) AS step, CAST(k % 3 AS VARCHAR) AS model, ts AS start_time,
+ CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS latency_ms, CAST((day(ts) - 1) // 10 + 1 AS VARCHAR) AS template_version, k % 5 AS retries, CASE WHEN k % 7 = 0 THEN 'failed' WHEN k % 7 = 1 THEN 'native' END AS structured_path,
+ CASE WHEN k % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, k + 100 * day(ts) AS input_tokens, sha256(CAST(k AS VARCHAR)) AS input_sha, event_id % 4 AS seed, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS gpu_unloaded, value * 2 AS lease_wait_ms, CAST(k AS DOUBLE) AS vram,
+ CASE WHEN event_type = 'error' THEN CASE WHEN k % 2 = 0 THEN 'HTTP 400: vision is not supported' ELSE 'out of memory' END END AS error
+ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+STEPS = """steps AS (SELECT l_orderkey || '-' || l_linenumber AS span_id, CAST(l_orderkey AS VARCHAR) AS run_id, o_orderpriority AS workflow, 'L' || l_linenumber AS step, l_shipdate AS start_time, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'done' END AS status,
+ CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS executed, CAST(year(l_shipdate) AS VARCHAR) AS step_version, l_extendedprice AS duration_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+SCORES = """scores AS (SELECT doc_id, 'quality' AS scorer, CAST(quality AS DOUBLE) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS DOUBLE) FROM labels)"""
+
+
+def query(sql: str | None = None):
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def _rates(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, "metric", "hits", "total", r6(F.col("value"), "value"), "severity")
+
+
+def _rate_sql(keys: str, metrics: list[tuple[str, str, float, float, float]], source: str, least: int = 3) -> str:
+    parts = [f"SELECT {keys}, '{n}' AS metric, count(*) FILTER (WHERE {hit}) AS hits, count(*) AS total, {low} AS low, {high} AS high, {medium} AS medium FROM {source} GROUP BY {keys}" for n, hit, low, high, medium in metrics]
+    return f"SELECT {keys}, metric, hits, total, round(hits / CAST(total AS DOUBLE), 6) AS value, CASE WHEN hits / CAST(total AS DOUBLE) >= high THEN 'high' WHEN hits / CAST(total AS DOUBLE) >= medium THEN 'medium' ELSE 'low' END AS severity FROM ({' UNION ALL '.join(parts)}) WHERE hits >= {least} AND hits / CAST(total AS DOUBLE) >= low"
+
+
+@query(f"WITH {CALLS} " + _rate_sql("workflow, step, model, template_version", [("error_rate", "status = 'error'", 0.01, 0.2, 0.05), ("retry_rate", "retries > 0", 0.01, 0.2, 0.05), ("repair_rate", "structured_path IN ('retried', 'repaired', 'failed')", 0.01, 0.2, 0.05)], "calls"))
+def error_rate(spark, sf_dir):
+    return _rates(d.failure_rate(t.calls(spark, sf_dir)), "workflow", "step", "model", "template_version")
+
+
+@query(f"WITH {STEPS} " + _rate_sql("workflow, step", [("step_error_rate", "status = 'failed'", 0.01, 0.2, 0.05)], "(SELECT * FROM steps WHERE executed = 1)"))
+def step_error_rate(spark, sf_dir):
+    return _rates(d.step_failures(t.steps(spark, sf_dir)), "workflow", "step")
+
+
+@query(f"WITH {CALLS} " + _rate_sql("workflow, step, model", [("truncation_rate", "finish_reason = 'length'", 0.01, 0.05, 0.01)], "calls"))
+def truncation_rate(spark, sf_dir):
+    return _rates(d.truncation(t.calls(spark, sf_dir)), "workflow", "step", "model")
+
+
+@query(f"WITH {CALLS} " + _rate_sql("workflow, model", [("capability_error_rate", "status = 'error' AND regexp_matches(error, '(?i)\\b400\\b|not support|unsupported|capabilit')", 0.0, 0.0, 0.0)], "calls"))
+def capability_error_rate(spark, sf_dir):
+    return _rates(d.capability_errors(t.calls(spark, sf_dir)), "workflow", "model")
+
+
+@query(f"""WITH {STEPS}, s AS (SELECT workflow, step, sum(duration_ms) AS amount FROM steps GROUP BY ALL), r AS (SELECT *, sum(amount) OVER w AS total, count(*) OVER w AS n, row_number() OVER (PARTITION BY workflow ORDER BY amount DESC) AS k FROM s WINDOW w AS (PARTITION BY workflow))
+SELECT workflow, step, n AS steps, round(amount / total, 6) AS value FROM r WHERE k = 1""")
+def time_share(spark, sf_dir):
+    by = t.steps(spark, sf_dir).groupBy("workflow", "step").agg(F.sum("duration_ms").alias("amount"))
+    w = Window.partitionBy("workflow")
+    rows = by.withColumns({"total": F.sum("amount").over(w), "steps": F.count(F.lit(1)).over(w), "k": F.row_number().over(w.orderBy(F.col("amount").desc()))})
+    return rows.filter("k = 1").select("workflow", "step", "steps", r6(F.col("amount") / F.col("total"), "value"))
+
+
+@query(f"""WITH {CALLS}, m AS (SELECT step, template_version, quantile_cont(input_tokens, 0.5) AS median, min(start_time) AS seen FROM calls GROUP BY ALL), l AS (SELECT *, lag(template_version) OVER w AS before, lag(median) OVER w AS baseline FROM m WINDOW w AS (PARTITION BY step ORDER BY seen))
+SELECT step, before, template_version, CAST(baseline AS DOUBLE) AS baseline, CAST(median AS DOUBLE) AS median, round(median / baseline - 1, 6) AS value FROM l WHERE baseline > 0 AND median / baseline - 1 >= 0.5""")
+def median_growth_by_version(spark, sf_dir):
+    return d.token_growth(t.calls(spark, sf_dir)).select("step", "before", "template_version", "baseline", "median", r6(F.col("value"), "value"))
+
+
+@query(f"""WITH {CALLS} SELECT workflow, count(*) FILTER (WHERE gpu_unloaded <> 0) AS swaps, count(DISTINCT run_id) AS runs, count(*) FILTER (WHERE error LIKE '%out of memory%') AS oom, round(quantile_cont(lease_wait_ms, 0.5), 6) AS lease_wait_ms, max(vram) AS vram_mb FROM calls GROUP BY workflow""")
+def swaps_per_run(spark, sf_dir):
+    return d.gpu_thrash(t.calls(spark, sf_dir)).select("workflow", "swaps", "runs", "oom", r6(F.col("lease_wait_ms"), "lease_wait_ms"), "vram_mb")
+
+
+@query(f"""WITH {CALLS} SELECT step, round(quantile_cont(latency_ms, 0.25), 6) AS q25, round(quantile_cont(latency_ms, 0.5), 6) AS q50, round(quantile_cont(latency_ms, 0.95), 6) AS q95 FROM calls GROUP BY step""")
+def latency_percentiles(spark, sf_dir):
+    q = F.percentile("latency_ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.95)))
+    return t.calls(spark, sf_dir).groupBy("step").agg(q.alias("q")).select("step", *[r6(F.get("q", F.lit(i)), n) for i, n in enumerate(("q25", "q50", "q95"))])
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) AS sessions FROM g GROUP BY user_id)
+SELECT CAST(sessions AS BIGINT) AS sessions, count(*) AS users FROM s GROUP BY 1""")
+def resumed_sessions(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts")
+    new = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL '1' DAY"), 0).otherwise(1)
+    by = t.table(spark, sf_dir, "events").withColumn("new", new).groupBy("user_id").agg(F.sum("new").alias("sessions"))
+    return by.groupBy("sessions").agg(F.count(F.lit(1)).alias("users"))
+
+
+@query(f"""WITH {SCORES}, b AS (SELECT scorer, count(*) AS n, count(DISTINCT value) FILTER (WHERE value > 0) AS levels, min(value) FILTER (WHERE value > 0) AS least FROM scores GROUP BY scorer)
+SELECT s.scorer, count(*) AS total, count(*) FILTER (WHERE s.value = 0) AS zeros, count(*) FILTER (WHERE CASE WHEN levels BETWEEN 1 AND 10 AND n >= 2 * (levels + 1) THEN s.value = least ELSE s.value > 0 AND s.value < 0.2 END) AS next_level,
+ count(*) FILTER (WHERE s.value = 0) > 0 AND count(*) FILTER (WHERE CASE WHEN levels BETWEEN 1 AND 10 AND n >= 2 * (levels + 1) THEN s.value = least ELSE s.value > 0 AND s.value < 0.2 END) < count(*) FILTER (WHERE s.value = 0) / 2.0 AS spike
+FROM scores s JOIN b ON s.scorer = b.scorer GROUP BY s.scorer""")
+def zero_spike(spark, sf_dir):
+    return d.next_level(t.selections(spark, sf_dir)).select("scorer", "total", "zeros", "next_level", "spike")
+
+
+@query(f"""WITH {SCORES}, c AS (SELECT doc_id, count(DISTINCT scorer) AS n, max(value) - min(value) AS spread FROM scores GROUP BY doc_id) SELECT 'labels' AS workflow, count(*) FILTER (WHERE spread > 0.5) AS hits, count(*) AS total, round(count(*) FILTER (WHERE spread > 0.5) / CAST(count(*) AS DOUBLE), 6) AS value FROM c WHERE n > 1""")
+def disagreement(spark, sf_dir):
+    return d.judge_disagreement(t.selections(spark, sf_dir), least=0.0).select("workflow", "hits", "total", r6(F.col("value"), "value"))
+
+
+@query(f"""WITH {CALLS}, g AS (SELECT step, model, input_sha, count(DISTINCT seed) AS seeds, count(*) AS n FROM calls GROUP BY ALL) SELECT step, model, CAST(sum(CASE WHEN seeds > 1 THEN n ELSE 0 END) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS total FROM g GROUP BY ALL HAVING sum(CASE WHEN seeds > 1 THEN n ELSE 0 END) >= 3""")
+def repeated_prompt_seed(spark, sf_dir):
+    return d.unseeded_repeats(t.calls(spark, sf_dir)).select("step", "model", "hits", "total")
+
+
+BOUNDARIES = """v AS (SELECT step, template_version, min(start_time) AS seen FROM calls GROUP BY ALL), e AS (SELECT step, lag(template_version) OVER (PARTITION BY step ORDER BY seen) AS before, template_version AS after FROM v),
+x AS (SELECT c.*, e.before, e.after, CASE WHEN c.template_version = e.before THEN 'a' ELSE 'b' END AS side FROM calls c JOIN e ON c.step = e.step AND e.before IS NOT NULL AND c.template_version IN (e.before, e.after))"""
+
+
+@query(f"WITH {CALLS}, {BOUNDARIES} SELECT step, before, after FROM e WHERE before IS NOT NULL")
+def version_boundaries(spark, sf_dir):
+    return d.boundaries(t.calls(spark, sf_dir), ["step"], "template_version")
+
+
+@query(f"""WITH {CALLS}, {BOUNDARIES}, r AS (SELECT *, rank() OVER (PARTITION BY step, before, after ORDER BY latency_ms) + (count(*) OVER (PARTITION BY step, before, after, latency_ms) - 1) / 2.0 AS rk FROM x),
+g AS (SELECT step, before, after, count(*) FILTER (WHERE side = 'a') AS n_a, count(*) FILTER (WHERE side = 'b') AS n_b, CAST(sum(rk) FILTER (WHERE side = 'a') AS DOUBLE) AS ra, quantile_cont(latency_ms, 0.5) FILTER (WHERE side = 'a') AS baseline, quantile_cont(latency_ms, 0.5) FILTER (WHERE side = 'b') AS med FROM r GROUP BY ALL),
+z AS (SELECT *, ra - n_a * (n_a + 1) / 2.0 AS u, (ra - n_a * (n_a + 1) / 2.0 - n_a * n_b / 2.0) / sqrt(CAST(n_a AS DOUBLE) * n_b * (n_a + n_b + 1) / 12) AS z FROM g)
+SELECT step, before, after, n_a, n_b, round(CAST(u AS DOUBLE), 6) AS u, round(z, 6) AS z, round(baseline, 6) AS baseline, round(med, 6) AS value, n_a >= 20 AND n_b >= 20 AND med >= 1.2 * baseline AND abs(z) > 2.5758293035489 AS regressed FROM z""")
+def latency_regression(spark, sf_dir):
+    out = d.regression(t.calls(spark, sf_dir), keys=["step"], version="template_version")
+    return out.select("step", "before", "after", "n_a", "n_b", r6(F.col("u"), "u"), r6(F.col("z"), "z"), r6(F.col("baseline"), "baseline"), r6(F.col("value"), "value"), "regressed")
+
+
+@query(f"""WITH {CALLS}, {BOUNDARIES}, g AS (SELECT step, before, after, CAST(count(*) FILTER (WHERE side = 'a') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE side = 'b') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE side = 'a' AND status = 'error') AS DOUBLE) AS ha, CAST(count(*) FILTER (WHERE side = 'b' AND status = 'error') AS DOUBLE) AS hb FROM x GROUP BY ALL),
+s AS (SELECT *, sqrt((ha + hb) / (a + b) * (1 - (ha + hb) / (a + b)) * (1 / a + 1 / b)) AS se FROM g)
+SELECT step, before, after, CAST(ha AS BIGINT) AS hits_a, CAST(hb AS BIGINT) AS hits_b, round(CASE WHEN se > 0 THEN (hb / b - ha / a) / se ELSE 0 END, 6) AS z, a >= 20 AND b >= 20 AND hb / b - ha / a >= 0.02 AND abs((hb / b - ha / a) / se) > 2.5758293035489 AS regressed FROM s""")
+def error_regression_z(spark, sf_dir):
+    return d.error_regression(t.calls(spark, sf_dir), keys=["step"], version="template_version").select("step", "before", "after", "hits_a", "hits_b", r6(F.col("z"), "z"), "regressed")
+
+
+WILSON = """((p + 1.96 * 1.96 / (2 * n)) {sign} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)"""
+
+
+@query(f"""WITH {CALLS}, g AS (SELECT step, count(*) FILTER (WHERE status = 'error') AS hits, CAST(count(*) AS DOUBLE) AS n FROM calls GROUP BY step), s AS (SELECT *, hits / n AS p FROM g) SELECT step, hits, round(greatest(0, {WILSON.format(sign='-')}), 6) AS low, round(least(1, {WILSON.format(sign='+')}), 6) AS high FROM s""")
+def wilson_ci(spark, sf_dir):
+    by = t.calls(spark, sf_dir).groupBy("step").agg(F.count_if(F.col("status") == "error").alias("hits"), F.count(F.lit(1)).alias("n"))
+    low, high = stats.wilson(F.col("hits"), F.col("n"))
+    return by.select("step", "hits", r6(low, "low"), r6(high, "high"))
+
+
+@query(f"""WITH {CALLS}, runs AS (SELECT run_id, max(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS bad FROM calls GROUP BY run_id), f AS (SELECT DISTINCT run_id, input_sha[1:8] AS feature FROM calls), tot AS (SELECT count(*) AS n, sum(bad) AS h FROM runs),
+g AS (SELECT feature, count(*) AS n1, sum(bad) AS h1 FROM f JOIN runs USING (run_id) GROUP BY feature), c AS (SELECT feature, CAST(n1 AS DOUBLE) AS n1, CAST(h1 AS DOUBLE) AS h1, CAST(n - n1 AS DOUBLE) AS n0, CAST(h - h1 AS DOUBLE) AS h0 FROM g, tot WHERE n1 >= 5 AND n - n1 >= 5),
+w AS (SELECT *, h1 / n1 AS a, h0 / n0 AS b, (h1/n1 + 3.8416/(2*n1) - 1.96*sqrt(h1/n1*(1-h1/n1)/n1 + 3.8416/(4*n1*n1)))/(1+3.8416/n1) AS la, (h1/n1 + 3.8416/(2*n1) + 1.96*sqrt(h1/n1*(1-h1/n1)/n1 + 3.8416/(4*n1*n1)))/(1+3.8416/n1) AS ha,
+ (h0/n0 + 3.8416/(2*n0) - 1.96*sqrt(h0/n0*(1-h0/n0)/n0 + 3.8416/(4*n0*n0)))/(1+3.8416/n0) AS lb, (h0/n0 + 3.8416/(2*n0) + 1.96*sqrt(h0/n0*(1-h0/n0)/n0 + 3.8416/(4*n0*n0)))/(1+3.8416/n0) AS hb FROM c)
+SELECT feature, CAST(n1 AS BIGINT) AS n_with, CAST(n0 AS BIGINT) AS n_without, round(a - b, 6) AS effect, round(a - b - sqrt((a - greatest(0, la))*(a - greatest(0, la)) + (least(1, hb) - b)*(least(1, hb) - b)), 6) AS low, round(a - b + sqrt((least(1, ha) - a)*(least(1, ha) - a) + (b - greatest(0, lb))*(b - greatest(0, lb))), 6) AS high FROM w""")
+def effect_ranking(spark, sf_dir):
+    from spanloom.operators.causes import rank_causes
+
+    calls = t.calls(spark, sf_dir)
+    affected = calls.filter("status = 'error'").select("run_id").distinct()
+    features = calls.select("run_id", F.substring("input_sha", 1, 8).alias("feature"))
+    return rank_causes(features, calls.select("run_id").distinct(), affected, ["feature"]).select("feature", "n_with", "n_without", r6(F.col("effect"), "effect"), r6(F.col("low"), "low"), r6(F.col("high"), "high"))
+
+
+@query("SELECT lang AS workflow, source AS step, count(*) AS outputs, round(count(DISTINCT sha256(text)) / CAST(count(*) AS DOUBLE), 6) AS distinct_rate FROM documents GROUP BY ALL HAVING count(*) >= 20")
+def distinct_rate(spark, sf_dir):
+    by = t.outputs(spark, sf_dir).groupBy("workflow", "step").agg(F.count(F.lit(1)).alias("outputs"), F.countDistinct("text_sha").alias("n"))
+    return by.filter("outputs >= 20").select("workflow", "step", "outputs", r6(F.col("n") / F.col("outputs"), "distinct_rate"))
+
+
+@query("SELECT min(doc_id) AS first_doc, count(*) AS copies, sha256(text) AS text_sha FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+def duplicate_outputs(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+@query(r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), g AS (SELECT DISTINCT lang, doc_id, array_to_string(t[i:i+3], ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - 2)) AS i FROM w)),
+c AS (SELECT lang, g, count(*) AS n FROM g GROUP BY ALL) SELECT lang, round(CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS DOUBLE) / sum(n), 6) AS repeated FROM c GROUP BY lang""")
+def repeated_ngram_rate(spark, sf_dir):
+    grams = t.table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(ngrams(F.col("text"), 4))).alias("g"))
+    by = grams.groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("lang").agg(r6(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), "repeated"))
+
+
+@query("""WITH n AS (SELECT label, CAST(count(*) AS DOUBLE) AS m FROM embeddings GROUP BY label), v AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)), s AS (SELECT label, i, sum(x) AS s, sum(x * x) AS q FROM v GROUP BY ALL)
+SELECT label, round((sum(s * s) - sum(q)) / (any_value(m) * (any_value(m) - 1)), 6) AS mean_pairwise FROM s JOIN n USING (label) GROUP BY label HAVING any_value(m) > 1""")
+def mean_pairwise(spark, sf_dir):
+    return vectors.mean_pairwise(t.table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", r6(F.col("mean_pairwise"), "mean_pairwise"))
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id, c.vec_id AS other, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS x FROM q JOIN embeddings c ON q.vec_id <> c.vec_id) SELECT vec_id, round(max(x), 5) AS nearest FROM s GROUP BY vec_id""")
+def nearest_neighbour(spark, sf_dir):
+    e = t.table(spark, sf_dir, "embeddings")
+    return vectors.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding").select("vec_id", F.round("nearest", 5).alias("nearest"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS messages FROM conversations GROUP BY conv_id")
+def message_text(spark, sf_dir):
+    by = t.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"), F.count(F.lit(1)).alias("messages"))
+    as_json = F.to_json(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))))
+    return by.select("conv_id", messages_text(as_json).alias("text"), "messages")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1")
+def json_props_since(spark, sf_dir):
+    return t.table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("kinds"))
+
+
+@query(f"""WITH {CALLS}, r AS (SELECT step, span_id, row_number() OVER (PARTITION BY step ORDER BY start_time, span_id) - 1 AS k, count(*) OVER (PARTITION BY step) AS n FROM calls), i AS (SELECT *, (k * 20 + n - 1) // n AS i FROM r) SELECT step, span_id FROM i WHERE n <= 20 OR (i < 20 AND (i * n) // 20 = k)""")
+def top_k_evidence(spark, sf_dir):
+    return evidence(t.calls(spark, sf_dir), ["step"]).select("step", "span_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer) SELECT 'union' AS op, count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
+def set_operations(spark, sf_dir):
+    a, b = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct(), t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    count = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
+    return count("union", a.union(b).distinct()).union(count("intersect", a.intersect(b))).union(count("except", b.exceptAll(a).distinct()))
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT c_custkey, 'has urgent' FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def semi_anti_join(spark, sf_dir):
+    c, o = t.table(spark, sf_dir, "customer"), t.table(spark, sf_dir, "orders")
+    on = F.col("o_custkey") == F.col("c_custkey")
+    return c.join(o, on, "left_anti").select("c_custkey", "c_mktsegment").union(c.join(o.filter("o_orderpriority = '1-URGENT'"), on, "left_semi").select("c_custkey", F.lit("has urgent")))
+
+
+@query("""SELECT c_custkey, o.o_orderkey AS latest FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderdate = m) AS o_orderkey FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS m FROM orders) GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+def lateral_latest(spark, sf_dir):
+    latest = t.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("latest"))
+    return t.table(spark, sf_dir, "customer").join(latest, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "latest")
+
+
+@query("""WITH e AS (SELECT NULLIF(event_type, 'view') AS k, value FROM events), a AS (SELECT k, count(*) AS n FROM e GROUP BY k), b AS (SELECT k, max(value) AS top FROM e GROUP BY k) SELECT a.k, n, round(top, 6) AS top FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
+def nullsafe_join(spark, sf_dir):
+    e = t.table(spark, sf_dir, "events").select(F.nullif("event_type", F.lit("view")).alias("k"), "value")
+    a, b = e.groupBy("k").agg(F.count(F.lit(1)).alias("n")), e.groupBy(F.col("k").alias("k2")).agg(F.max("value").alias("top"))
+    return a.join(b, F.col("k").eqNullSafe(F.col("k2"))).select("k", "n", r6(F.col("top"), "top"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_counts(spark, sf_dir):
+    return t.table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id - 1 END AS parent FROM events), r AS (SELECT id, 0 AS depth FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s) UNION ALL SELECT s.id, r.depth + 1 FROM s JOIN r ON s.parent = r.id) SELECT depth, count(*) AS spans FROM r GROUP BY depth""")
+def trace_depth(spark, sf_dir):
+    from spanloom.plans.derive import depths
+
+    parent = F.when(F.col("event_id") % 7 != 0, F.col("event_id") - 1).cast("string")
+    spans = t.table(spark, sf_dir, "events").select(F.lit("t").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), parent.alias("parent_span_id"))
+    return depths(spans).groupBy("depth").agg(F.count(F.lit(1)).alias("spans"))
+
+
+@query("""WITH s AS (SELECT doc_id, source AS stratum, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) AS k FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY k, stratum) AS place FROM s) SELECT place, doc_id, stratum FROM r WHERE place <= 60""")
+def stratified_sample(spark, sf_dir):
+    from spanloom.operators.sampling import round_robin
+
+    return round_robin(t.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("stratum")), "stratum", "doc_id", 60).select("place", "doc_id", "stratum")
+
+
+@query(None)
+def leader_clusters(spark, sf_dir):
+    e = t.table(spark, sf_dir, "embeddings").select(F.lit("all").alias("step"), F.col("vec_id").cast("string").alias("span_id"), "embedding")
+    return vectors.leader_clusters(e, ["step"], "span_id", "embedding", similarity=0.25)
