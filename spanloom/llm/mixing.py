@@ -133,17 +133,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: whole copies as they are, parts of a text as its words joined by
     one space (n_chars, if there, is counted anew). A document that the mix leaves out has no row."""
-    nth = Window.partitionBy("doc_id", "_hash").orderBy("_one")
-    number = lambda df: df.withColumn("_one", F.lit(0)).withColumn("_nth", F.row_number().over(nth)).drop("_one")
-    taken = assign(docs, **options).filter("taken > 0").select("doc_id", "_hash", "rounds", "first", "second")
-    taken = number(taken).select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_h"), F.col("_nth").alias("_n"), "rounds", "first", "second")
-    rows = number(docs.withColumn("_hash", F.xxhash64("text")))
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n")))
-    cut = lambda w, p: F.array_join(F.slice(w, (F.col(f"{p}.lo") + 1).cast("int"), (F.col(f"{p}.hi") - F.col(f"{p}.lo")).cast("int")), " ")
-    parts = let(words(F.col("text")), lambda w: F.array(*[F.when(F.col(f"{p}.hi") > F.col(f"{p}.lo"), cut(w, p)) for p in ("first", "second")]))
-    some = F.greatest(F.col("first.hi") - F.col("first.lo"), F.col("second.hi") - F.col("second.lo")) > 0
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[-1]))
+    taken = assign(docs, **options).select("doc_id", "_hash", "rounds", "first", "second", "taken").withColumn("_n", nth("doc_id", "_hash")).filter("taken > 0")
+    taken = taken.select(F.struct("doc_id", "_hash", "_n", "rounds", "first", "second").alias("_loom"))
+    rows = docs.withColumn("_loom_hash", F.xxhash64("text")).withColumn("_loom_n", nth("doc_id", "_loom_hash"))
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_loom.doc_id")) & (F.col("_loom_hash") == F.col("_loom._hash")) & (F.col("_loom_n") == F.col("_loom._n")))
+    lo, hi = (lambda p, e=e: F.col(f"_loom.{p}.{e}") for e in ("lo", "hi"))
+    cut = lambda w, p: F.array_join(F.slice(w, (lo(p) + 1).cast("int"), (hi(p) - lo(p)).cast("int")), " ")
+    parts = let(words(F.col("text")), lambda w: F.array(*[F.when(hi(p) > lo(p), cut(w, p)) for p in ("first", "second")]))
+    some = F.greatest(hi("first") - lo("first"), hi("second") - lo("second")) > 0
     parts = F.filter(F.when(some, parts).otherwise(F.array().cast("array<string>")), lambda p: p.isNotNull())
-    out = joined.withColumn("text", F.explode(F.concat(F.array_repeat(F.col("text"), F.col("rounds").cast("int")), parts)))
+    out = joined.withColumn("text", F.explode(F.concat(F.array_repeat(F.col("text"), F.col("_loom.rounds").cast("int")), parts)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

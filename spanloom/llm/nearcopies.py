@@ -284,8 +284,8 @@ def join_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: fl
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class: the one with the least doc_id (of its repeated rows, one)."""
-    classes = join_classes(docs, **options).filter("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    classes = join_classes(docs, **options).filter("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_loom_first")).distinct()
+    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_loom_first")), "left_semi")
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(kept.filter("doc_id IS NULL"))
 
 

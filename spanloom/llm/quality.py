@@ -104,10 +104,13 @@ def judge(docs: DataFrame, *, k: int = SKETCH_K, fences: dict = FENCES) -> DataF
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected rows, all columns as they were. Rows of one doc_id stand or fall by their own text."""
-    counted = docs.withColumn("_row", F.xxhash64("text"))
-    bad = judge(docs.withColumn("doc_id", F.struct("doc_id", "lang", "source", F.xxhash64("text").alias("h"))), **options).filter("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_bad.doc_id")) & F.col("lang").eqNullSafe(F.col("_bad.lang")) & F.col("source").eqNullSafe(F.col("_bad.source")) & (F.col("_row") == F.col("_bad.h"))
-    return counted.join(bad, same, "left_anti").drop("_row")
+    parts = {"doc_id": F.col("doc_id"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "h": F.xxhash64("text")}
+    key = F.struct(*[c.alias(n) for n, c in parts.items()])
+    bad = judge(docs.select(key.alias("doc_id"), "text", "lang", "source"), **options).filter("NOT kept").select(F.col("doc_id").alias("_loom_bad")).distinct()
+    same = F.lit(True)
+    for n, c in parts.items():
+        same = same & c.eqNullSafe(F.col(f"_loom_bad.{n}"))
+    return docs.join(bad, same, "left_anti")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

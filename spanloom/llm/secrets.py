@@ -108,13 +108,15 @@ def redact(docs: DataFrame, *, mark: str = "[secret]", **options) -> DataFrame:
 
         return F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
-    rows = docs.withColumn("_key", F.struct("doc_id", "source", "lang", F.xxhash64("text").alias("h")))
-    live = scan(rows.select("_key", "text", "source", "lang"), key="_key", **options).filter(F.size("live") > 0).select(F.struct("_key.*").alias("_k"), "live")
-    live = live.groupBy("_k").agg(F.min("live").alias("live"))
+    parts = {"doc_id": F.col("doc_id"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "h": F.xxhash64("text")}
+    key = F.struct(*[c.alias(n) for n, c in parts.items()])
+    live = scan(docs.select(key.alias("key"), "text", "source", "lang"), key="key", **options).filter(F.size("live") > 0)
+    live = live.groupBy(F.col("key").alias("_loom_key")).agg(F.min("live").alias("_loom_live"))
     same = F.lit(True)
-    for c in ("doc_id", "source", "lang", "h"):
-        same = same & F.col(f"_key.{c}").eqNullSafe(F.col(f"_k.{c}"))
-    return rows.join(live, same, "left").withColumn("text", F.when(F.col("live").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("live")))).select(*docs.columns)
+    for n, c in parts.items():
+        same = same & c.eqNullSafe(F.col(f"_loom_key.{n}"))
+    text = F.when(F.col("_loom_live").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_loom_live")))
+    return docs.join(live, same, "left").withColumn("text", text).select(*docs.columns)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

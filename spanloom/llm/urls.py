@@ -69,7 +69,7 @@ def train(labelled: DataFrame, *, bits: int = BITS, steps: int = STEPS, rate: fl
     held = F.transform("e", lambda r, i: F.transform(r["x"], lambda b: F.struct(b.alias("b"), i.alias("i"))))
     lists = examples.select("e", F.explode(F.flatten(held)).alias("h")).groupBy("h.b").agg(F.array_sort(F.collect_list("h.i")).alias("i"))
     by_bucket = F.map_from_entries(F.collect_list(F.struct("b", "i")))
-    one = materialize(lists.agg(by_bucket.alias("m")).join(examples, F.lit(True)).select(
+    one = materialize(examples.withColumn("m", lists.agg(by_bucket).scalar()).select(
         "e", F.transform(F.sequence(F.lit(0), F.lit(size)), lambda b: F.when(b == 0, F.sequence(F.lit(0), F.size("e") - 1)).otherwise(F.coalesce(F.try_element_at("m", b), F.array().cast("array<int>")))).alias("lists")
     ), "url-examples")  # written, so that no step computes the lists again
 
