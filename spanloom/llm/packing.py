@@ -223,7 +223,7 @@ def pack(docs: DataFrame, *, size: int = SIZE, end: int = END, path: str | None
     ranked = (
         pieces.repartition(buckets, "bucket")
         .withColumn("rank", F.row_number().over(inside) - 1)
-        .join(bases, ["bucket", "length"])
+        .join(bases.hint("merge"), ["bucket", "length"])  # grows with the buckets: never broadcast
         .withColumn("rank", F.col("rank") + F.col("base"))
     )
     step = F.col("rank") - F.col("from_rank")
