@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from spanloom.errors import SourceError
 from spanloom.schemas import SPAN
 from spanloom.sources import files
+from spanloom.sources.sqlite import span_store
 
 
 def _named(read: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, path: read(spark, path, workflow=PurePosixPath(path).stem)
 
 
-KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"otlp": files.otlp, "jsonl": files.jsonl, "hone": files.jsonl, "phoenix": _named(files.phoenix), "langfuse": _named(files.langfuse)}
+KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"otlp": files.otlp, "jsonl": files.jsonl, "store": span_store, "phoenix": _named(files.phoenix), "langfuse": _named(files.langfuse)}
 
 
 def open_source(spark: SparkSession, source, *, since=None) -> DataFrame:

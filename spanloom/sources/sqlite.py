@@ -1,10 +1,14 @@
-"""Span stores in SQLite files, read by a Python data source: a partition for each file, the time filter pushed down."""
+"""Span stores in SQLite files, read by a Python data source: a partition for each file, ``since`` applied in the file."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from spanloom.schemas import SPAN
 
 
 
@@ -19,19 +23,12 @@ class SpanStore(DataSource):
         return "span_id string, start_time string, span string"
 
     def reader(self, schema) -> DataSourceReader:
-        return StoreReader(self.options["path"])
+        return StoreReader(self.options["path"], self.options.get("since"))
 
 
 class StoreReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.since = path, None
-
-    def pushFilters(self, filters) -> Iterator:
-        for f in filters:
-            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("start_time",):
-                self.since = f.value
-            else:
-                yield f
+    def __init__(self, path: str, since: str | None):
+        self.path, self.since = path, since
 
     def partitions(self) -> list[InputPartition]:
         from pathlib import Path
@@ -51,3 +48,14 @@ class StoreReader(DataSourceReader):
             where, args = ("WHERE start_time >= ?", (self.since,)) if self.since else ("", ())
             for row in db.execute(f"SELECT * FROM spans {where}", args):
                 yield row["span_id"], row["start_time"], json.dumps(dict(row))
+
+
+def span_store(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:
+    """Raw spans of one ``spans.db``, or of every one below a folder that all executors can see."""
+    spark.dataSource.register(SpanStore)
+    reader = spark.read.format("spanstore")
+    raw = (reader.option("since", since) if since else reader).load(path)
+    text = raw.select(F.from_json("span", "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time timestamp, end_time timestamp, status_code string, status_message string, attributes string, events string, resource string, links string").alias("s")).select("s.*")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], SPAN).schema}
+    parsed = {c: F.from_json(c, kinds[c]) for c in ("attributes", "events", "resource", "links")}
+    return text.withColumns(parsed).withColumn("status", F.struct(F.col("status_code").alias("code"), F.col("status_message").alias("message"))).select(*kinds)

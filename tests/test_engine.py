@@ -134,3 +134,25 @@ def test_carry_over():
 
 def test_span_schema_is_read(spark):
     assert spark.createDataFrame([], SPAN).count() == 0
+
+
+def test_span_store(spark, tmp_path):
+    import sqlite3
+
+    from spanloom.sources.sqlite import span_store
+
+    (tmp_path / "a").mkdir()
+    db = sqlite3.connect(tmp_path / "a" / "spans.db")
+    db.execute("CREATE TABLE meta (key TEXT, value TEXT)")
+    db.execute("CREATE TABLE spans (span_id TEXT PRIMARY KEY, trace_id TEXT, parent_span_id TEXT, name TEXT, kind TEXT, start_time TEXT, end_time TEXT, status_code TEXT, status_message TEXT, attributes TEXT, events TEXT, resource TEXT, links TEXT)")
+    db.execute("INSERT INTO meta VALUES ('schema_version', '1')")
+    for i in range(3):
+        db.execute("INSERT INTO spans VALUES (?, 't', NULL, 'chat', 'client', ?, NULL, 'OK', NULL, ?, '[]', '{}', '[]')", (f"s{i}", f"2026-01-0{i + 1}T00:00:00.000Z", json.dumps({"gen_ai.request.model": f"m{i}"})))
+    db.commit()
+    rows = {r.span_id: r for r in normalize(open_source(spark, f"store:{tmp_path}")).collect()}
+    assert set(rows) == {"s0", "s1", "s2"} and rows["s1"].attributes == {"gen_ai.request.model": "m1"} and rows["s1"].status.code == "ok"
+    assert span_store(spark, str(tmp_path), since="2026-01-02T00:00:00.000Z").count() == 2
+    db.execute("UPDATE meta SET value = '2'")
+    db.commit()
+    with pytest.raises(Exception, match="schema version"):
+        span_store(spark, str(tmp_path)).collect()
