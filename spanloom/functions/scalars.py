@@ -55,8 +55,8 @@ def ngrams(text: Column, n: int) -> Column:
     return F.transform(F.array(words), grams)[0]
 
 
-def is_model_call(name: Column, operation: Column, model: Column) -> Column:
-    return F.coalesce(F.lower(name).endswith("chat"), F.lit(False)) | F.coalesce(operation.isin(*CHAT_OPERATIONS), F.lit(False)) | (operation.isNull() & model.isNotNull())
+def is_model_call(chat_span: Column, operation: Column, model: Column) -> Column:
+    return F.coalesce(chat_span, F.lit(False)) | F.coalesce(operation.isin(*CHAT_OPERATIONS), F.lit(False)) | (operation.isNull() & model.isNotNull())
 
 
 def finish_reason(raw: Column) -> Column:

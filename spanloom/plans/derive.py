@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from spanloom.functions.scalars import duration_ms, finish_reason, is_model_call, messages_text
 from spanloom.schemas import SECTIONS
 
-#: Attribute names.
-WORKFLOW, RUN, STEP, ITEM, MODEL, FORK = "hone.workflow", "hone.run_id", "hone.step", "hone.item", "gen_ai.request.model", "hone.flow.fork_of"
-FINISHED = ("succeeded", "done", "failed", "error")
+#: Names of spans and attributes (those quoted below too) and final statuses, as the traces have them.
+CHAT_SPAN, STEP_SPAN, GATE_SPAN, RUN_SPAN = "hone.models.chat", "hone.flow.step", "hone.flow.gate", "hone.flow.run"
+WORKFLOW, RUN, STEP, ITEM, MODEL, FORK = "hone.flow.workflow", "hone.run_id", "hone.step", "hone.item", "gen_ai.request.model", "hone.flow.fork_of"
+FINISHED = ("done", "failed", "ok", "error")
 DOUBLINGS = 8
 
 
@@ -45,9 +46,9 @@ def enrich(spans: DataFrame) -> DataFrame:
         "step": F.coalesce(attribute(STEP), F.when(attribute(RUN).isNull(), F.col("parent_name"))),
         "item": attribute(ITEM),
         "fork_of": first(attribute(FORK)),
-        "is_call": is_model_call(F.col("name"), attribute("gen_ai.operation.name"), attribute(MODEL)),
-        "is_step": (F.col("name") == "hone.flow.step") | ((F.col("name") == "hone.flow.gate") & ~F.map_contains_key("attributes", "gate.decision")),
-        "is_run": F.col("name") == "hone.flow.run",
+        "is_call": is_model_call(F.col("name") == CHAT_SPAN, attribute("gen_ai.operation.name"), attribute(MODEL)),
+        "is_step": (F.col("name") == STEP_SPAN) | ((F.col("name") == GATE_SPAN) & ~F.map_contains_key("attributes", F.lit("hone.flow.gate.decision"))),
+        "is_run": F.col("name") == RUN_SPAN,
     })
 
 
@@ -62,27 +63,30 @@ def derive(spans: DataFrame) -> dict[str, DataFrame]:
     retries = F.size(F.filter(F.coalesce("events", F.array().cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>")), lambda e: e["name"] == "retry"))
     code = F.col("status.code")
     calls = rows.filter("is_call").select(
-        *CONTEXT, F.coalesce(attribute("hone.model_id"), attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"), attribute("gen_ai.provider.name", "gen_ai.system").alias("provider"), attribute("hone.scorer").alias("scorer"),
-        attribute("hone.template.id").alias("template_id"), attribute("hone.template.version").alias("template_version"), F.from_json(attribute("hone.prompt.sections"), SECTIONS).alias("sections"), attribute("hone.structured.path").alias("structured_path"), retries.alias("retries"),
-        finish_reason(attribute("gen_ai.response.finish_reasons")).alias("finish_reason"), number("gen_ai.usage.input_tokens", "long").alias("input_tokens"), number("gen_ai.usage.output_tokens", "long").alias("output_tokens"), number("hone.context_limit", "long").alias("context_limit"),
-        number("gen_ai.request.temperature").alias("temperature"), number("gen_ai.request.seed", "long").alias("seed"), F.when(prompt != "", F.sha2(prompt, 256)).alias("input_sha"), duration_ms(F.col("start_time"), F.col("end_time")).alias("latency_ms"), number("hone.cost_usd").alias("cost_usd"),
-        number("hone.gpu.lease_wait_ms").alias("lease_wait_ms"), number("hone.gpu.vram_after_mb").alias("vram_after_mb"), unloaded(attribute("hone.gpu.unloaded")).alias("gpu_unloaded"), code.alias("status"), F.col("status.message").alias("error"), attribute("hone.replay_of").alias("replay_of"),
+        *CONTEXT, F.coalesce(attribute("hone.models.model_id"), attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"), attribute("gen_ai.provider.name").alias("provider"), attribute("hone.scorer").alias("scorer"),
+        attribute("hone.models.prompt.template_id").alias("template_id"), attribute("hone.models.prompt.template_version").alias("template_version"), F.from_json(attribute("hone.models.prompt.sections"), SECTIONS).alias("sections"), attribute("hone.models.structured.path").alias("structured_path"), retries.alias("retries"),
+        finish_reason(attribute("gen_ai.response.finish_reasons")).alias("finish_reason"), number("gen_ai.usage.input_tokens", "long").alias("input_tokens"), number("gen_ai.usage.output_tokens", "long").alias("output_tokens"), number("hone.models.context.limit", "long").alias("context_limit"),
+        number("gen_ai.request.temperature").alias("temperature"), number("gen_ai.request.seed", "long").alias("seed"), F.when(prompt != "", F.sha2(prompt, 256)).alias("input_sha"), duration_ms(F.col("start_time"), F.col("end_time")).alias("latency_ms"), number("hone.models.cost_usd").alias("cost_usd"),
+        number("hone.models.gpu.lease_wait_ms").alias("lease_wait_ms"), number("hone.models.gpu.vram_after_mb").alias("vram_after_mb"), unloaded(attribute("hone.models.gpu.unloaded")).alias("gpu_unloaded"), code.alias("status"), F.col("status.message").alias("error"), attribute("hone.models.replay_of").alias("replay_of"),
     )
     status = F.coalesce(attribute("hone.flow.status"), code)
     steps = rows.filter("NOT is_call AND is_step").select(
         *CONTEXT, attribute("hone.flow.step_version").alias("step_version"), attribute("hone.flow.source_hash").alias("source_hash"), status.alias("status"), (status.isin(*FINISHED) & attribute("hone.flow.reused_from").isNull()).cast("int").alias("executed"), number("hone.flow.attempt", "int").alias("attempt"),
-        attribute("hone.flow.reused_from").alias("reused_from"), "fork_of", F.from_json(attribute("hone.flow.params"), "map<string,string>").alias("params"), number("hone.flow.seed", "long").alias("seed"), duration_ms(F.col("start_time"), F.col("end_time")).alias("duration_ms"), F.col("status.message").alias("error"),
+        attribute("hone.flow.reused_from").alias("reused_from"), "fork_of", F.from_json(attribute("hone.flow.params"), "map<string,string>").alias("params"), number("hone.flow.seed", "long").alias("seed"), number("hone.flow.deterministic", "boolean").cast("int").alias("deterministic"), duration_ms(F.col("start_time"), F.col("end_time")).alias("duration_ms"), number("system.cpu.utilization.mean").alias("cpu_utilization"), number("system.memory.usage.peak_mb").alias("memory_peak_mb"), number("hone.flow.gpu.memory.peak_mb").alias("gpu_peak_mb"), number("hone.flow.gpu.utilization.mean").alias("gpu_utilization"), F.col("status.message").alias("error"),
     )
-    chosen = F.col("name").startswith("select.") | (F.col("name") == "hone.flow.gate")
+    gate = F.col("name") == GATE_SPAN
+    chosen = F.col("name").startswith("hone.select.") | gate
+    candidate = F.get_json_object(attribute("hone.select.candidate"), "$.id")
     selections = rows.filter(~F.col("is_call") & ~F.col("is_step") & chosen).select(
-        *CONTEXT, F.when(F.col("name") == "hone.flow.gate", "human_gate").otherwise(F.regexp_replace("name", "^select\\.", "")).alias("kind"), attribute("select.candidate_id").alias("candidate_id"), attribute("hone.scorer").alias("scorer"), number("select.value").alias("value"), number("select.confidence").alias("confidence"),
-        shown_reason(attribute("select.reason")).alias("reason"), F.col("status.message").alias("error"), attribute("gate.name", "select.gate").alias("gate"), number("select.passed", "boolean").cast("int").alias("passed"), attribute("gate.decision", "select.decision").alias("decision"), attribute("gate.actor").alias("actor"),
-        attribute("hone.flow.gate.actor_kind").alias("actor_kind"), attribute("select.winner_id").alias("winner_id"), number("select.fallback_used", "boolean").cast("int").alias("fallback_used"), F.from_json(attribute("select.ranked"), "array<struct<id:string,total:double>>").alias("ranked"), code.alias("status"),
+        *CONTEXT, F.when(gate, "human_gate").otherwise(F.regexp_replace("name", "^hone\\.select\\.", "")).alias("kind"), F.coalesce(attribute("hone.candidate_id"), candidate).alias("candidate_id"), attribute("hone.select.scorer", "hone.scorer").alias("scorer"), number("hone.select.score.value").alias("value"), number("hone.select.score.confidence").alias("confidence"),
+        shown_reason(attribute("hone.select.score.reason")).alias("reason"), F.coalesce(attribute("hone.select.score.error"), F.col("status.message")).alias("error"), F.coalesce(attribute("hone.select.gate", "hone.flow.gate"), F.when(gate, attribute(STEP))).alias("gate"), number("hone.select.gate.passed", "boolean").cast("int").alias("passed"), number("hone.select.gate.probability").alias("probability"),
+        attribute("hone.flow.gate.decision").alias("decision"), attribute("hone.flow.gate.actor").alias("actor"), attribute("hone.flow.gate.actor_kind").alias("actor_kind"), attribute("hone.select.winner_id").alias("winner_id"), number("hone.select.fallback_used", "boolean").cast("int").alias("fallback_used"), number("hone.select.escalated", "boolean").cast("int").alias("escalated"),
+        F.from_json(attribute("hone.select.ranked"), "array<struct<id:string,total:double>>").alias("ranked"), code.alias("status"),
     )
     warnings = F.transform(F.filter("events", lambda e: e["name"] == "warning"), lambda e: F.struct(F.try_element_at(e["attributes"], F.lit("kind")).alias("kind"), F.try_element_at(e["attributes"], F.lit("step")).alias("step")))
-    run_calls = rows.filter(~F.col("is_call") & ~F.col("is_step") & ~chosen & F.col("is_run")).select(*CONTEXT, code.alias("status"), "fork_of", number("hone.flow.seed", "long").alias("seed"), warnings.alias("warnings"))
-    text = rows.filter("is_call").filter(attribute("hone.scorer").isNull() & attribute("hone.replay_of").isNull() & (answer != ""))
-    outputs = text.select(*CONTEXT, F.coalesce(attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"), attribute("hone.template.version").alias("template_version"), answer.alias("text"), F.sha2(answer, 256).alias("text_sha"))
+    run_calls = rows.filter(~F.col("is_call") & ~F.col("is_step") & ~chosen & F.col("is_run")).select(*CONTEXT, status.alias("status"), attribute(FORK).alias("fork_of"), number("hone.flow.seed", "long").alias("seed"), warnings.alias("warnings"))
+    text = rows.filter("is_call").filter(attribute("hone.scorer").isNull() & attribute("hone.models.replay_of").isNull() & (answer != ""))
+    outputs = text.select(*CONTEXT, F.coalesce(attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"), attribute("hone.models.prompt.template_version").alias("template_version"), answer.alias("text"), F.sha2(answer, 256).alias("text_sha"))
     return {"calls": calls, "steps": steps, "selections": selections, "outputs": outputs, "run_calls": run_calls}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.scalars import status_code
 
 #: Old attribute names and their new ones.
-RENAMED = {"gen_ai.completion.id": "gen_ai.response.id", "gen_ai.usage.prompt_tokens": "gen_ai.usage.input_tokens", "gen_ai.usage.completion_tokens": "gen_ai.usage.output_tokens"}
+RENAMED = {"gen_ai.system": "gen_ai.provider.name", "gen_ai.usage.prompt_tokens": "gen_ai.usage.input_tokens", "gen_ai.usage.completion_tokens": "gen_ai.usage.output_tokens"}
 
 
 def renamed(attributes: Column) -> Column:

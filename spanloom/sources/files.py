@@ -62,7 +62,7 @@ def phoenix(spark: SparkSession, path: str, *, workflow: str) -> DataFrame:
     raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
     col = lambda n: F.col(f"`{n}`").cast("string") if n in raw.columns else F.lit(None).cast("string")
     names = {"gen_ai.request.model": "attributes.llm.model_name", "gen_ai.usage.input_tokens": "attributes.llm.token_count.prompt", "gen_ai.usage.output_tokens": "attributes.llm.token_count.completion", "gen_ai.input.messages": "attributes.input.value", "gen_ai.output.messages": "attributes.output.value"}
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), col(c).alias("value")) for k, c in names.items()], F.struct(F.lit("hone.workflow").alias("key"), F.lit(workflow).alias("value")), F.struct(F.lit("gen_ai.operation.name").alias("key"), F.when(F.upper(col("span_kind")) == "LLM", "chat").alias("value")))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), col(c).alias("value")) for k, c in names.items()], F.struct(F.lit("hone.flow.workflow").alias("key"), F.lit(workflow).alias("value")), F.struct(F.lit("gen_ai.operation.name").alias("key"), F.when(F.upper(col("span_kind")) == "LLM", "chat").alias("value")))
     status = F.struct(col("status_code").alias("code"), col("status_message").alias("message"))
     return raw.select(
         hex_id(col("context.trace_id"), 32).alias("trace_id"), hex_id(col("context.span_id"), 16).alias("span_id"), F.when(col("parent_id").isNotNull(), hex_id(col("parent_id"), 16)).alias("parent_span_id"), col("name").alias("name"), F.lit("internal").alias("kind"), col("start_time").try_cast("timestamp").alias("start_time"), col("end_time").try_cast("timestamp").alias("end_time"),
@@ -80,7 +80,7 @@ def langfuse(spark: SparkSession, path: str, *, workflow: str) -> DataFrame:
     data = F.from_json("value", f"struct<data:array<{LANGFUSE}>>")["data"]
     o = parsed.select(F.explode(F.coalesce(listed, data, F.array(F.from_json("value", LANGFUSE)))).alias("o")).select("o.*")
     generation = F.upper("type") == "GENERATION"
-    values = {"gen_ai.operation.name": F.when(generation, "chat"), "gen_ai.request.model": F.col("model"), "gen_ai.input.messages": F.col("input"), "gen_ai.output.messages": F.col("output"), "gen_ai.usage.input_tokens": F.try_element_at("usageDetails", F.lit("input")), "gen_ai.usage.output_tokens": F.try_element_at("usageDetails", F.lit("output")), "hone.template.id": F.col("promptName"), "hone.template.version": F.col("promptVersion"), "hone.cost_usd": F.col("calculatedTotalCost"), "hone.workflow": F.lit(workflow)}
+    values = {"gen_ai.operation.name": F.when(generation, "chat"), "gen_ai.request.model": F.col("model"), "gen_ai.input.messages": F.col("input"), "gen_ai.output.messages": F.col("output"), "gen_ai.usage.input_tokens": F.try_element_at("usageDetails", F.lit("input")), "gen_ai.usage.output_tokens": F.try_element_at("usageDetails", F.lit("output")), "hone.models.prompt.template_id": F.col("promptName"), "hone.models.prompt.template_version": F.col("promptVersion"), "hone.models.cost_usd": F.col("calculatedTotalCost"), "hone.flow.workflow": F.lit(workflow)}
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
     status = F.struct(F.when(F.upper("level") == "ERROR", "error").otherwise("ok").alias("code"), F.col("statusMessage").alias("message"))
     return o.select(

@@ -20,7 +20,7 @@ from spanloom.workspace import Workspace
 
 
 def span(i, name="hone.models.chat", run=0, status="ok", parent=None, message=None, trace=None, **attributes):
-    base = {"hone.workflow": "w", "hone.run_id": f"r{run}", "hone.step": "ideas"} | {k.replace("__", "."): v for k, v in attributes.items()}
+    base = {"hone.flow.workflow": "w", "hone.run_id": f"r{run}", "hone.step": "ideas"} | {k.replace("__", "."): v for k, v in attributes.items()}
     return {"trace_id": trace or f"t{run}", "span_id": f"s{i}", "parent_span_id": parent, "name": name, "start_time": f"2026-01-01T00:{i // 60 % 60:02}:{i % 60:02}.000Z", "end_time": f"2026-01-01T00:{i // 60 % 60:02}:{i % 60:02}.500Z", "status": {"code": status, "message": message}, "attributes": base, "events": [{"name": "retry"}] if i % 4 == 0 else []}
 
 
@@ -156,3 +156,19 @@ def test_span_store(spark, tmp_path):
     db.commit()
     with pytest.raises(Exception, match="schema version"):
         span_store(spark, str(tmp_path)).collect()
+
+
+def test_selections_are_derived(spark):
+    rows = [
+        span(1, name="hone.select.score", hone__select__scorer="s", hone__select__score__value="0.0", hone__select__score__reason='{"a": 1}', hone__select__candidate='{"id": "c1"}'),
+        span(2, name="hone.flow.gate", hone__flow__gate__decision="rejected", hone__flow__gate__actor_kind="automated"),
+        span(3, name="hone.flow.gate"),
+        span(4, name="hone.select.decision", hone__select__ranked='[{"id": "a", "total": 0.5}, {"id": "b", "total": 0.49}]', hone__select__fallback_used="true"),
+        span(5, name="other", gen_ai__system="p"),
+    ]
+    tables = derive(normalize(open_source(spark, spark.read.schema(SPAN).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows])))))
+    got = {r.kind: r for r in tables["selections"].collect()}
+    assert set(got) == {"score", "human_gate", "decision"} and tables["steps"].count() == 1 and tables["calls"].count() == 0
+    assert (got["score"].candidate_id, got["score"].value, got["score"].reason) == ("c1", 0.0, "(not captured, 8 chars)")
+    assert (got["human_gate"].gate, got["human_gate"].decision, got["human_gate"].actor_kind) == ("ideas", "rejected", "automated")
+    assert got["decision"].fallback_used == 1 and [x.total for x in got["decision"].ranked] == [0.5, 0.49]
