@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalars import status_code
+from spanloom.functions.scalars import messages_text, status_code
 
 #: Old attribute names and their new ones.
 RENAMED = {"gen_ai.system": "gen_ai.provider.name", "gen_ai.usage.prompt_tokens": "gen_ai.usage.input_tokens", "gen_ai.usage.completion_tokens": "gen_ai.usage.output_tokens"}
@@ -27,13 +27,30 @@ def legacy_messages(attributes: Column, prefix: str) -> Column:
     return F.when(F.size(numbers) > 0, F.to_json(F.transform(numbers, lambda n: F.struct(value(n, "role").alias("role"), value(n, "content").alias("content")))))
 
 
-def with_messages(attributes: Column) -> Column:
-    """Existing messages are never replaced."""
-    out = attributes
-    for key, prefix in (("gen_ai.input.messages", "gen_ai.prompt"), ("gen_ai.output.messages", "gen_ai.completion")):
-        found = legacy_messages(attributes, prefix)
-        out = F.when(F.map_contains_key(attributes, F.lit(key)) | found.isNull(), out).otherwise(F.map_concat(out, F.create_map(F.lit(key), found)))
-    return out
+def event_messages(events: Column, answers: bool) -> Column:
+    """Messages that older traces put into events (prompts, or with ``answers`` the model's choices) as a JSON list; null if there are none."""
+    text = lambda e, *names: F.coalesce(*[F.try_element_at(e["attributes"], F.lit(n)) for n in names], F.lit(""))
+    if answers:
+        role = lambda e: F.lit("assistant")
+        mine = lambda e: e["name"].isin("gen_ai.choice", "gen_ai.content.completion")
+        said = lambda e: F.coalesce(F.get_json_object(text(e, "message"), "$.content"), text(e, "content"))
+        content = lambda e: F.when(e["name"] == "gen_ai.choice", said(e)).otherwise(messages_text(text(e, "gen_ai.completion")))
+    else:
+        role = lambda e: F.when(e["name"] == "gen_ai.content.prompt", "user").otherwise(F.get(F.split(e["name"], r"\."), F.lit(1)))
+        mine = lambda e: e["name"].isin("gen_ai.system.message", "gen_ai.user.message", "gen_ai.assistant.message", "gen_ai.content.prompt")
+        content = lambda e: F.when(e["name"] == "gen_ai.content.prompt", messages_text(text(e, "gen_ai.prompt"))).otherwise(text(e, "content"))
+    found = F.transform(F.filter(events, mine), lambda e: F.struct(role(e).alias("role"), content(e).alias("content")))
+    return F.when(F.size(found) > 0, F.to_json(found))
+
+
+def with_messages(attributes: Column, events: Column) -> Column:
+    """Existing messages are never replaced; indexed attributes go before events."""
+    shapes = (("gen_ai.input.messages", "gen_ai.prompt", False), ("gen_ai.output.messages", "gen_ai.completion", True))
+    pairs = [
+        F.struct(F.lit(key).alias("key"), F.when(~F.map_contains_key(attributes, F.lit(key)), F.coalesce(legacy_messages(attributes, prefix), event_messages(events, answers))).alias("value"))
+        for key, prefix, answers in shapes
+    ]
+    return F.map_concat(attributes, F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())))
 
 
 def normalize(raw: DataFrame) -> DataFrame:
@@ -41,7 +58,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     missing = F.col("span_id").isNull() | F.col("trace_id").isNull() | F.col("name").isNull() | F.col("start_time").isNull()
     checked = F.when(missing, F.raise_error(F.concat(F.lit("malformed span: "), F.coalesce("span_id", F.lit("without an id"))))).otherwise(F.col("span_id"))
     attributes = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
-    return raw.select(
+    return raw.withColumn("attributes", renamed(attributes)).select(
         "trace_id", checked.cast("string").alias("span_id"), "parent_span_id", "name", F.coalesce("kind", F.lit("internal")).alias("kind"), "start_time", "end_time", F.struct(status_code(F.col("status.code")).alias("code"), F.col("status.message").alias("message")).alias("status"),
-        with_messages(renamed(attributes)).alias("attributes"), "events", "resource", "links",
+        with_messages(F.col("attributes"), F.col("events")).alias("attributes"), "events", "resource", "links",
     )

@@ -11,7 +11,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from spanloom.schemas import SPAN
 
 
-
 class SpanStore(DataSource):
     """``spark.read.format("spanstore").load(path)``: JSON text of each span, and its blobs by sha."""
 
@@ -47,7 +46,22 @@ class StoreReader(DataSourceReader):
             db.row_factory = sqlite3.Row
             where, args = ("WHERE start_time >= ?", (self.since,)) if self.since else ("", ())
             for row in db.execute(f"SELECT * FROM spans {where}", args):
-                yield row["span_id"], row["start_time"], json.dumps(dict(row))
+                span = dict(row)
+                if '"$blob"' in (span["attributes"] or ""):
+                    span["attributes"] = json.dumps({k: self.resolved(db, v) for k, v in json.loads(span["attributes"]).items()})
+                yield row["span_id"], row["start_time"], json.dumps(span)
+
+    @staticmethod
+    def resolved(db, value):
+        """The blob that ``value`` names, looked up by its key so that no table of blobs is held; else ``value`` itself."""
+        import json
+
+        sha = value.get("$blob") if isinstance(value, dict) else None
+        found = db.execute("SELECT mime, data FROM blobs WHERE sha256 = ?", (str(sha),)).fetchone() if sha is not None else None
+        if found is None:
+            return value
+        text = found["data"] if isinstance(found["data"], str) else bytes(found["data"]).decode("utf-8", "replace")
+        return json.loads(text) if found["mime"] == "application/json" else text
 
 
 def span_store(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:

@@ -148,9 +148,15 @@ def test_span_store(spark, tmp_path):
     db.execute("INSERT INTO meta VALUES ('schema_version', '1')")
     for i in range(3):
         db.execute("INSERT INTO spans VALUES (?, 't', NULL, 'chat', 'client', ?, NULL, 'OK', NULL, ?, '[]', '{}', '[]')", (f"s{i}", f"2026-01-0{i + 1}T00:00:00.000Z", json.dumps({"gen_ai.request.model": f"m{i}"})))
+    db.execute("CREATE TABLE blobs (sha256 TEXT PRIMARY KEY, mime TEXT, size INTEGER, data BLOB NOT NULL)")
+    db.execute("INSERT INTO blobs VALUES ('aa', 'application/json', 0, ?), ('bb', 'text/plain', 0, ?)", (b'[{"role": "user", "content": "hi"}]', "h\u00e9".encode()))
+    db.execute("UPDATE spans SET attributes = ? WHERE span_id = 's2'", (json.dumps({"gen_ai.input.messages": {"$blob": "aa"}, "note": {"$blob": "bb"}, "lost": {"$blob": "cc"}}),))
     db.commit()
     rows = {r.span_id: r for r in normalize(open_source(spark, f"store:{tmp_path}")).collect()}
     assert set(rows) == {"s0", "s1", "s2"} and rows["s1"].attributes == {"gen_ai.request.model": "m1"} and rows["s1"].status.code == "ok"
+    blobs = rows["s2"].attributes
+    assert json.loads(blobs["gen_ai.input.messages"]) == [{"role": "user", "content": "hi"}]
+    assert blobs["note"] == "h\u00e9" and json.loads(blobs["lost"]) == {"$blob": "cc"}
     assert span_store(spark, str(tmp_path), since="2026-01-02T00:00:00.000Z").count() == 2
     db.execute("UPDATE meta SET value = '2'")
     db.commit()
@@ -172,3 +178,23 @@ def test_selections_are_derived(spark):
     assert (got["score"].candidate_id, got["score"].value, got["score"].reason) == ("c1", 0.0, "(not captured, 8 chars)")
     assert (got["human_gate"].gate, got["human_gate"].decision, got["human_gate"].actor_kind) == ("ideas", "rejected", "automated")
     assert got["decision"].fallback_used == 1 and [x.total for x in got["decision"].ranked] == [0.5, 0.49]
+
+
+def test_messages_of_older_traces(spark):
+    def events(*named):
+        return [{"name": n, "time": None, "attributes": a} for n, a in named]
+
+    rows = [
+        span(1) | {"events": events(("gen_ai.system.message", {"content": "be brief"}), ("gen_ai.user.message", {"content": "hi"}), ("retry", {}), ("gen_ai.choice", {"message": '{"content": "yes"}'}))},
+        span(2) | {"events": events(("gen_ai.content.prompt", {"gen_ai.prompt": '[{"role": "user", "content": "p"}]'}), ("gen_ai.content.completion", {"gen_ai.completion": "c"}), ("gen_ai.choice", {"content": "d"}))},
+        span(3, gen_ai__prompt__0__role="user", gen_ai__prompt__0__content="indexed") | {"events": events(("gen_ai.user.message", {"content": "event"}))},
+        span(4, gen_ai__input__messages="kept") | {"events": events(("gen_ai.user.message", {"content": "event"}))},
+        span(5),
+    ]
+    raw = spark.read.schema(SPAN).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    got = {r.span_id: r.attributes for r in normalize(raw).collect()}
+    read = lambda i, key: [tuple(m.values()) for m in json.loads(got[f"s{i}"][f"gen_ai.{key}.messages"])]
+    assert read(1, "input") == [("system", "be brief"), ("user", "hi")] and read(1, "output") == [("assistant", "yes")]
+    assert read(2, "input") == [("user", "p")] and read(2, "output") == [("assistant", "c"), ("assistant", "d")]
+    assert read(3, "input") == [("user", "indexed")] and got["s4"]["gen_ai.input.messages"] == "kept"
+    assert "gen_ai.input.messages" not in got["s5"]
