@@ -202,18 +202,22 @@ def capability_errors(calls: DataFrame, **_) -> DataFrame:
 
 @detector("setup", "unseeded_repeats")
 def unseeded_repeats(calls: DataFrame, steps: DataFrame | None = None, run_calls: DataFrame | None = None, **_) -> DataFrame:
-    """Calls whose prompt came back under another seed, where neither the run nor the step is seeded."""
-    rows = own_calls(calls).filter("input_sha IS NOT NULL")
-    keys = ["workflow", "step", "model", "input_sha"]
-    seeds = rows.groupBy(*keys).agg(F.countDistinct("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
-    if run_calls is not None:
-        rows = rows.join(run_calls.filter("seed IS NOT NULL").select("run_id").distinct(), "run_id", "left_anti")
-        seeds = rows.groupBy(*keys).agg(F.countDistinct("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
-    out = seeds.groupBy("workflow", "step", "model").agg(F.sum(F.when(F.col("seeds") > 1, F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("total"))
-    if steps is not None:
-        seeded = steps.filter("seed IS NOT NULL").select(F.col("workflow").alias("_w"), F.col("step").alias("_s")).distinct()
-        out = out.join(seeded, F.col("workflow").eqNullSafe(F.col("_w")) & F.col("step").eqNullSafe(F.col("_s")), "left_anti")
-    return out.filter("hits >= 3").select("workflow", "step", "model", F.lit("unseeded_repeat_rate").alias("metric"), "hits", "total", (F.col("hits") / F.col("total")).alias("value"), F.lit("low").alias("severity"))
+    """Calls whose prompt came back under another seed, where neither the run has a seed nor the step a seed parameter.
+
+    Calls without a seed or a prompt are no repeats, but count in the total, as those of seeded runs do.
+    """
+    keys = ["workflow", "step", "model"]
+    rows = own_calls(calls).withColumn("_can", F.col("input_sha").isNotNull() & F.col("seed").isNotNull())
+    runs = [df.filter("seed IS NOT NULL").select("run_id") for df in (run_calls, steps) if df is not None]
+    for df in runs[:1]:
+        seeded = df.union(runs[1]) if len(runs) > 1 else df
+        rows = rows.join(seeded.distinct().withColumn("_seeded", F.lit(True)), "run_id", "left").withColumn("_can", F.col("_can") & F.col("_seeded").isNull())
+    by_sha = rows.groupBy(*keys, F.when(F.col("_can"), F.col("input_sha")).alias("_sha")).agg(F.countDistinct(F.when(F.col("_can"), F.col("seed"))).alias("seeds"), F.count(F.lit(1)).alias("n"))
+    out = by_sha.groupBy(*keys).agg(F.sum(F.when(F.col("seeds") > 1, F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("total"))
+    if steps is not None and "params" in steps.columns:
+        set_here = steps.filter(F.map_contains_key("params", F.lit("seed"))).select(F.col("workflow").alias("_w"), F.col("step").alias("_s")).distinct()
+        out = out.join(set_here, F.col("workflow").eqNullSafe(F.col("_w")) & F.col("step").eqNullSafe(F.col("_s")), "left_anti")
+    return out.filter("hits >= 3").select(*keys, F.lit("unseeded_repeat_rate").alias("metric"), "hits", "total", (F.col("hits") / F.col("total")).alias("value"), F.lit("low").alias("severity"))
 
 
 def boundaries(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -255,3 +259,44 @@ def error_regression(rows: DataFrame, *, keys: list[str], version: str, least: i
     z = stats.two_proportion_z(F.col("hits_b"), F.col("n_b"), F.col("hits_a"), F.col("n_a"))
     change = F.col("hits_b") / F.col("n_b") - F.col("hits_a") / F.col("n_a")
     return out.withColumns({"z": z, "change": change}).withColumn("regressed", (F.col("n_a") >= least) & (F.col("n_b") >= least) & (F.col("change") >= rise) & (F.abs("z") > stats.Z_01))
+
+
+def score_regression(rows: DataFrame, *, keys: list[str], version: str, least: int = 20, drop: float = 0.05) -> DataFrame:
+    """Mean scores that fall by ``drop`` between versions, with a Mann-Whitney |z| beyond the 1 % level."""
+    group = [*keys, "before", "after"]
+    dealt = sides(rows.filter("value IS NOT NULL"), keys, version)
+    means = dealt.groupBy(*group).agg(F.avg(F.when(F.col("side") == "a", F.col("value"))).alias("baseline"), F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("mean"))
+    same = F.lit(True)
+    for k in group:
+        same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"m.{k}"))
+    out = stats.mann_whitney(dealt, group, "side", "value").alias("t").join(means.alias("m"), same).select(*[f"t.{k}" for k in group], "n_a", "n_b", "z", "baseline", F.col("mean").alias("value"))
+    fall = F.col("baseline") - F.col("value")
+    regressed = (F.col("n_a") >= least) & (F.col("n_b") >= least) & (fall >= drop) & (F.abs("z") > stats.Z_01)
+    return out.withColumns({"regressed": regressed, "severity": F.when(fall >= 0.15, "high").otherwise("medium")})
+
+
+def prompt_of_run(calls: DataFrame) -> DataFrame:
+    """run_id, prompt_version: that of the run's last call which has one and is no judge's."""
+    return own_calls(calls).filter("template_version IS NOT NULL AND scorer IS NULL").groupBy("run_id").agg(F.max_by("template_version", F.struct("start_time", "span_id")).alias("prompt_version"))
+
+
+def regressions(calls: DataFrame, steps: DataFrame, selections: DataFrame) -> DataFrame:
+    """All version changes that made latency, errors or scores worse: series, scope, before, after, metric, baseline, value, severity."""
+    mine = own_calls(calls)
+    executed = steps.filter("executed = 1").withColumns({"latency_ms": F.col("duration_ms"), "status": F.when(F.col("status").isin(*FAILED_STEPS), "error").otherwise(F.col("status"))})
+    series = {"prompt_version": (mine, ["workflow", "step", "scorer", "model"], "template_version"), "model": (mine, ["workflow", "step", "scorer"], "model"), "code_version": (executed, ["workflow", "step"], "step_version")}
+    parts = []
+
+    def add(found: DataFrame, name: str, metric: str, keys: list[str], *more) -> None:
+        parts.append(found.filter("regressed").select(F.lit(name).alias("series"), *keys, "before", "after", F.lit(metric).alias("metric"), "n_a", "n_b", *more))
+
+    for name, (rows, keys, version) in series.items():
+        add(regression(rows, keys=keys, version=version), name, "latency_ms_median", keys, "baseline", "value", "severity")
+        errors = error_regression(rows, keys=keys, version=version)
+        add(errors, name, "error_rate", keys, (F.col("hits_a") / F.col("n_a")).alias("baseline"), (F.col("hits_b") / F.col("n_b")).alias("value"), F.when(F.col("change") >= 0.1, "high").otherwise("medium").alias("severity"))
+    scored = scores(selections).join(prompt_of_run(calls), "run_id", "left")
+    add(score_regression(scored, keys=["workflow", "scorer"], version="prompt_version"), "prompt_version", "mean_score", ["workflow", "scorer"], "baseline", "value", "severity")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

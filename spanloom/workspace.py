@@ -100,13 +100,11 @@ class Workspace:
         scoped = {n: self.table(n, workflow, start).cache() for n in TABLES}
         found, self.notes = [], []
         try:
-            for name, (category, fn) in detectors.REGISTRY.items():
-                if name in READS:
-                    try:
-                        rows = fn(scoped[READS[name]], **({"steps": scoped["steps"], "run_calls": scoped["run_calls"]} if name == "unseeded_repeats" else {})).collect()
-                        found += fs.from_rows(name, category, [r.asDict() for r in rows])
-                    except Exception as error:  # noqa: BLE001
-                        self.notes.append(f"{name}: {str(error).splitlines()[0][:200]}")
+            for name, (category, plan) in self._plans(scoped).items():
+                try:
+                    found += fs.from_rows(name, category, [r.asDict() for r in plan().collect()])
+                except Exception as error:  # noqa: BLE001
+                    self.notes.append(f"{name}: {str(error).splitlines()[0][:200]}")
         finally:
             for df in scoped.values():
                 df.unpersist()
@@ -114,6 +112,13 @@ class Workspace:
         self._write("findings", {"findings": [dataclasses.asdict(f) for f in kept]})
         return fs.shown(kept, workflow)
 
+    @staticmethod
+    def _plans(scoped: dict[str, DataFrame]) -> dict[str, tuple]:
+        """Detector to its category and what makes its plan."""
+        more = {"unseeded_repeats": {"steps": scoped["steps"], "run_calls": scoped["run_calls"]}}
+        out = {n: (category, lambda fn=fn, n=n: fn(scoped[READS[n]], **more.get(n, {}))) for n, (category, fn) in detectors.REGISTRY.items() if n in READS}
+        return out | {"regression": ("regression", lambda: detectors.regressions(scoped["calls"], scoped["steps"], scoped["selections"]))}
+
     def findings(self) -> list[fs.Finding]:
         return [fs.Finding(**f) for f in self._read("findings").get("findings", [])]
 
