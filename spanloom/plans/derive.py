@@ -57,7 +57,11 @@ CONTEXT = ["span_id", "trace_id", "run_id", "workflow", "step", "item", "start_t
 
 def derive(spans: DataFrame) -> dict[str, DataFrame]:
     """The five derived tables. Spans of unknown kind are in none of them."""
-    rows = enrich(spans)
+    return tables_of(enrich(spans))
+
+
+def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The derived tables of enriched rows: filters and projections only, no shuffle."""
     number = lambda name, kind="double": attribute(name).try_cast(kind)
     prompt, answer = messages_text(attribute("gen_ai.input.messages")), messages_text(attribute("gen_ai.output.messages"))
     retries = F.size(F.filter(F.coalesce("events", F.array().cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>")), lambda e: e["name"] == "retry"))

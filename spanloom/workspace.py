@@ -5,7 +5,10 @@ from __future__ import annotations
 import dataclasses
 import json
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +16,23 @@ from spanloom import findings as fs
 from spanloom.errors import SpanloomError
 from spanloom.functions.scalars import since_time
 from spanloom.operators import detectors
-from spanloom.plans.derive import derive
+from spanloom.plans.derive import derive, enrich, tables_of
 from spanloom.plans.normalize import normalize
 from spanloom.schemas import SPAN
 from spanloom.sources.registry import open_source
 
+AT_ONCE = 6  # jobs
 TABLES = ("calls", "steps", "selections", "outputs", "run_calls")
 #: Which table each detector of the default analysis reads first.
 READS = {"failure_rate": "calls", "step_failures": "steps", "truncation": "calls", "cost_latency": "calls", "token_growth": "calls", "gpu_thrash": "calls", "reuse_health": "run_calls", "selection_health": "selections", "decisions": "selections", "judge_disagreement": "selections", "human_override": "selections", "automated_rework": "selections", "same_family_judge": "calls", "capability_errors": "calls", "unseeded_repeats": "calls"}
 
 
+def at_once(fn: Callable, items: Iterable[tuple]) -> list:
+    """``fn(*item)`` of each item, in order. Each starts a job of its own, and small jobs leave most of a cluster idle."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(fn, *item) for item in items]]
+
+
 class Workspace:
     """Single writer. Each ingest writes new files and then swaps a small manifest, so readers see all of it or nothing."""
 
@@ -70,14 +80,19 @@ class Workspace:
     def _rebuilt(self, manifest: dict, touched: DataFrame) -> dict:
         """Derived rows of the touched traces made anew, those of other traces as they are."""
         spans = self.spark.read.schema(SPAN).parquet(*manifest["spans"]).join(touched, "trace_id", "left_semi")
-        out = {}
-        for name, fresh in derive(spans).items():
+        rows = enrich(spans).persist(StorageLevel.DISK_ONLY)  # one shuffle of the spans for all tables
+
+        def write(name: str, fresh: DataFrame) -> tuple[str, str]:
             path = f"{self.path}/{name}/{uuid.uuid4().hex}"
             if old := manifest.get("tables", {}).get(name):
                 fresh = self.spark.read.parquet(old).join(touched, "trace_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
             fresh.write.parquet(path)
-            out[name] = path
-        return out
+            return name, path
+
+        try:
+            return dict(at_once(write, tables_of(rows).items()))
+        finally:
+            rows.unpersist()
 
     def table(self, name: str, workflow: str | None = None, since=None) -> DataFrame:
         tables = self._read("manifest").get("tables", {})
@@ -100,11 +115,16 @@ class Workspace:
         scoped = {n: self.table(n, workflow, start).cache() for n in TABLES}
         found, self.notes = [], []
         try:
-            for name, (category, plan) in self._plans(scoped).items():
+            def run(name: str, plan: tuple) -> tuple[list[fs.Finding], str | None]:
+                category, make = plan
                 try:
-                    found += fs.from_rows(name, category, [r.asDict() for r in plan().collect()])
+                    return fs.from_rows(name, category, [r.asDict() for r in make().collect()]), None
                 except Exception as error:  # noqa: BLE001
-                    self.notes.append(f"{name}: {str(error).splitlines()[0][:200]}")
+                    return [], f"{name}: {str(error).splitlines()[0][:200]}"
+
+            for rows, note in at_once(run, self._plans(scoped).items()):
+                found += rows
+                self.notes += [note] if note else []
         finally:
             for df in scoped.values():
                 df.unpersist()
