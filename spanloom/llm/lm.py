@@ -1,30 +1,30 @@
 """Language-model scores from a weighted backoff automaton over words.
 
 Model: the root state has the smoothed probability of every word, (c + 0.1) / (N + 0.1 (V + 1)), over all training
-documents. A state for each frequent word v has arcs to the words w that often follow it, with the absolutely discounted
-probability (c(v w) - D) / c(v) + bow(v) * root(w), and a failure arc of weight bow(v) = 1 - (the discounted mass of its
-arcs) to the root. Every state's probabilities sum to 1. A text is scored in one traversal from left to right: with two
-orders the state after a word is that word, so the traversal is a gather over the text's word numbers.
-
-Which words are states and which pairs are arcs is a matter of relative frequency (``word_share``, ``pair_share`` of all
-training tokens), so at most 1 / word_share words and 1 / pair_share arcs exist whatever the corpus: only these are
-broadcast. The root's counts, which grow with the corpus, never are:
-
-1. Batches of documents are turned into word hashes; for each shard of the hash space a batch sends one block: its
-   distinct words there, their training counts, and which documents hold them how often.
-2. A shard adds up the counts of all blocks, looks its words up for each block, and answers each block with sums by
-   document. A word that every document holds is one entry for each batch, so no shard is hot.
-3. Answers are added up by batch.
-
-Words are told apart by 64-bit hashes. Null text: empty, its end is its only token. Null doc_id counts as an empty text in
-the hold-out rule. Long texts are read whole (a batch holds at least one). Repeated rows are scored, and counted, each.
-Empty table: empty result. Other columns are ignored.
+documents. A state for each word v seen at least twice has arcs to the words w that follow it at least twice, with the
+absolutely discounted probability (c(v w) - D) / c(v) + bow(v) * root(w), and a failure arc of weight
+bow(v) = 1 - (the discounted mass of its arcs) to the root. Every state's probabilities sum to 1. With two orders the state
+after a word is that word, so a text's score is a sum over its words and pairs of neighbours: log10 root(w) for each word,
+log10 bow(v) for each word as the one before, and log10((c(v w) - D) / c(v) / bow(v) / root(w) + 1) more for each arc.
+
+``LEAST`` is a fixed count, so the model grows with the corpus. ``word_share`` and ``pair_share`` (0) prune words and pairs
+by their share of all training tokens as well. No part of the model is broadcast or sent to the driver:
+
+1. Batches of training documents send their distinct words and pairs with counts, one block for each shard of the hash
+   space. A shard adds up the counts of its words, and of its pairs; a pair that all documents hold is one entry a batch.
+2. Arcs are joined to the counts of their words and to the failure weights of their states.
+3. Batches of all documents send their words and pairs with the documents that hold them, and a shard that has these
+   words' counts and these pairs' arcs answers each block with sums by document. Answers are added up by batch.
+
+Words and pairs are told apart by 64-bit hashes. Null text: empty, its end is its only token. Null doc_id counts as an
+empty text in the hold-out rule. Long texts are read whole (a batch holds at least one). Repeated rows are scored, and
+counted, each. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.pywords import record_batch, rows, word_hashes
+from spanloom.llm.pywords import BASE, mixed, record_batch, rows, word_hashes
 from spanloom.llm.scratch import materialize, partitions
 
-ADD, DISCOUNT, WORD_SHARE, PAIR_SHARE, BATCH_CHARS = 0.1, 0.75, 2e-5, 2e-6, 12_000_000
+ADD, DISCOUNT, LEAST, WORD_SHARE, PAIR_SHARE, BATCH_CHARS = 0.1, 0.75, 2, 0.0, 0.0, 12_000_000
 END = b"\n"  # not a word
 BLOCK_SCHEMA = "shard int, batch string, kind int, data binary, ids array<long>"
+BLOCK_NAMES, BLOCK_TYPES = ["shard", "batch", "kind", "data", "ids"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+#: Kinds of blocks: a batch's documents; words and pairs (counted, or with their holders); totals; failure weights; arcs.
+HEAD, WORDS, PAIRS, TOTALS, FAIL, ARCS, COUNTED = range(7)
+HEAD_KINDS, COUNT_KINDS, PAIR_KINDS, HELD_KINDS, WEIGHT_KINDS, ANSWER_KINDS = ["<u4", "u1"], ["<u8", "<u8"], ["<u8", "<u8", "<u8"], ["<u8", "<u4", "<u4", "<u4"], ["<u8", "<f8"], ["<u4", "<f8", "<u4", "<f8"]
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -45,6 +49,19 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes([*(text or "").encode("utf-8", "surrogatepass").lower().split(), END])
 
 
+def pair_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * BASE + second)
+
+
+def before(every: np.ndarray) -> np.ndarray:
+    """The token before each of some texts' tokens. An end comes before a text, and one is last in each."""
+    return np.concatenate([word_hashes([END]), every[:-1]])
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
@@ -64,201 +81,227 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-BLOCK_KINDS, ANSWER_KINDS, HEAD_KINDS = ["<u8", "<u4", "<u4", "<u4", "<u4"], ["<f8", "<u4"], ["<u4", "u1"]
-
-
-def blocks(shards: int):
-    """(doc_id, text, held_out, text_hash) to blocks; ``ids`` has the doc_ids, then the text hashes."""
+def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has some of ``keys``, and their places."""
+    of = shard_of(keys, shards)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(shards + 1))
+    for s in range(shards):
+        if ends[s] < ends[s + 1]:
+            yield s, order[ends[s] : ends[s + 1]]
 
-    def block_rows(batch: str, ids: list, texts: list[np.ndarray], held: list[bool]) -> Iterator[tuple]:
-        sizes = np.array([len(t) for t in texts], "<u4")
-        yield (hash_shard(batch), batch, 0, _pack(sizes, np.array(held, "u1")), ids)
-        every = np.concatenate(texts)
-        known, at = np.unique(every, return_inverse=True)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-        pairs, tf = np.unique(at.astype(np.int64) * len(texts) + doc, return_counts=True)
-        word, doc = pairs // len(texts), (pairs % len(texts)).astype("<u4")
-        trained = np.bincount(word, np.where(np.array(held)[doc], 0, tf), len(known)).astype("<u4")
-        holders = np.bincount(word, minlength=len(known)).astype("<u4")
-        shard = ((known >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-        order, of_pair = np.argsort(shard, kind="stable"), np.argsort(shard[word], kind="stable")
-        ends, pair_ends = np.searchsorted(shard[order], np.arange(shards + 1)), np.searchsorted(shard[word[of_pair]], np.arange(shards + 1))
-        for s in range(shards):
-            w, p = order[ends[s] : ends[s + 1]], of_pair[pair_ends[s] : pair_ends[s + 1]]
-            if len(w):
-                yield (s, batch, 1, _pack(known[w], trained[w], holders[w], doc[p], tf[p].astype("<u4")), None)
 
-    def hash_shard(batch: str) -> int:
-        return sum(batch.encode()) % shards
+def in_batches(body: Callable) -> Callable:
+    """Rows of documents, text second, to the blocks that ``body(batch, rows, tokens of each)`` gives for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        kept: list[tuple] = []
-        chars = 0
+        task, number, kept, read, chars = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal kept, chars, number
-            if kept:
-                for r in block_rows(f"{task}-{number}", [k[0] for k in kept] + [k[3] for k in kept], [k[1] for k in kept], [k[2] for k in kept]):
-                    yield record_batch(["shard", "batch", "kind", "data", "ids"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())], [r])
-            kept, chars, number = [], 0, number + 1
-
-        for doc_id, text, held, text_hash in rows(batches):
-            kept.append((doc_id, tokens(text), held, text_hash))
-            chars += len(text or "")
+            for r in body(f"{task}-{number}", kept, read):
+                yield record_batch(BLOCK_NAMES, BLOCK_TYPES, [r])
+
+        for row in rows(batches):
+            kept.append((row[0], *row[2:]))
+            read.append(tokens(row[1]))
+            chars += len(row[1] or "")
             if chars >= BATCH_CHARS:
                 yield from flush()
-        yield from flush()
+                number, kept, read, chars = number + 1, [], [], 0
+        if kept:
+            yield from flush()
 
     return run
 
 
-def answer(word_share: float, add: float):
-    """A shard's blocks to sums by document for each block, and its frequent words (kind 2) and totals (kind 3)."""
+def counted_blocks(shards: int):
+    """Training documents (doc_id, text) to blocks of words and of pairs with their counts."""
 
-    def run(table: pa.Table) -> pa.Table:
-        import zstandard  # noqa: F401
+    def block_rows(batch: str, kept: list, read: list[np.ndarray]) -> Iterator[tuple]:
+        every = np.concatenate(read)
+        known, n = np.unique(every, return_counts=True)
+        for s, at in _dealt(known, shards):
+            yield (s, batch, WORDS, _pack(known[at], n[at].astype("<u8")), None)
+        first = before(every)
+        codes, place, n = np.unique(pair_codes(first, every), return_index=True, return_counts=True)
+        for s, at in _dealt(codes, shards):
+            yield (s, batch, PAIRS, _pack(first[place[at]], every[place[at]], n[at].astype("<u8")), None)
 
+    return in_batches(block_rows)
+
+
+def add_up(least: int):
+    """A shard's blocks to its words with their counts, its pairs of ``least`` and more, and totals."""
+
+    def run(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        read: list[tuple[str, list[np.ndarray]]] = []
-        for shard, batch, kind, data, ids in rows(iter(table.to_batches())):
-            if kind == 0:
-                out.append((batch, 0, data, ids))
+        words, pairs, shard = [], [], 0
+        for shard, _, kind, data, _ in rows(iter(table.to_batches())):
+            if kind == WORDS:
+                words.append(_unpack(data, COUNT_KINDS))
             else:
-                read.append((batch, _unpack(data, BLOCK_KINDS)))
-        if read:
-            known, at = np.unique(np.concatenate([r[1][0] for r in read]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([r[1][1] for r in read]), len(known))
-            logs, total, begin = np.log10(counts + add), counts.sum(), 0
-            for batch, (words, _, holders, doc, tf) in read:
-                word = np.repeat(at[begin : begin + len(words)], holders)
-                begin += len(words)
-                n = int(doc.max()) + 1
-                out.append((batch, 1, _pack(np.bincount(doc, logs[word] * tf, n), np.bincount(doc, (counts[word] > 0) * tf, n).astype("<u4")), None))
-            often = np.flatnonzero((counts >= word_share * total) & (counts > 0))
-            out.append(("", 2, _pack(known[often], counts[often].astype("<u8")), None))
-            out.append(("", 3, None, [int(total), int((counts > 0).sum())]))
-        return pa.Table.from_batches([record_batch(["batch", "kind", "data", "ids"], [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())], out)])
+                pairs.append(_unpack(data, PAIR_KINDS))
+        if words:
+            known, at = np.unique(np.concatenate([w[0] for w in words]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([w[1] for w in words]), len(known)).astype("<u8")
+            out.append((shard, "", COUNTED, _pack(known, counts), None))
+            out.append((shard, "", TOTALS, None, [int(counts.sum()), len(known)]))
+        if pairs:
+            first, second, n = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+            _, place, at = np.unique(pair_codes(first, second), return_index=True, return_inverse=True)
+            n = np.bincount(at, n, len(place)).astype("<u8")
+            often = n >= least
+            out.append((shard, "", PAIRS, _pack(first[place[often]], second[place[often]], n[often]), None))
+        return pa.Table.from_batches([record_batch(BLOCK_NAMES, BLOCK_TYPES, out)])
 
     return run
 
 
-def by_batch(table: pa.Table) -> pa.Table:
-    """A batch's answers added up: doc_id, text_hash, held_out, n_tokens, n_known, logs."""
-    all_rows = list(rows(iter(table.to_batches())))
-    ids, (sizes, held) = next((r[3], _unpack(r[2], HEAD_KINDS)) for r in all_rows if r[1] == 0)
-    n = len(ids) // 2
-    logs, known = np.zeros(n), np.zeros(n, np.int64)
-    for part, some in sorted((_unpack(r[2], ANSWER_KINDS) for r in all_rows if r[1] == 1), key=lambda x: x[0].tobytes()):
-        logs[: len(part)] += part
-        known[: len(some)] += some
-    columns = [pa.array(ids[:n], pa.int64()), pa.array(ids[n:], pa.int64()), pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(logs)]
-    return pa.table(columns, names=["doc_id", "text_hash", "held_out", "n_tokens", "n_known", "logs"])
+def unpacked(kinds: list[str], names: list[str]):
+    """Blocks to rows; hashes become signed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (data,) in rows(batches):
+            arrays = _unpack(data, kinds)
+            for a in range(0, len(arrays[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000].view("<i8")) for x in arrays], names=names)
 
-def pair_counts(state: np.ndarray):
-    """Training documents to counts of pairs of state words: code = first * len(state) + second. The end comes before a text."""
+    return run
+
+
+def packed(kind: int, shards: int):
+    """Rows (weight, word) or (weight, first, second) to blocks of weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, found, size = word_hashes([END]), [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal found, size
-            codes, n = np.unique(np.concatenate(found), return_counts=True)
-            found, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
-
-        for (text,) in rows(batches):
-            at = numbers(np.concatenate([end, tokens(text)]), state)
-            both = (at[:-1] >= 0) & (at[1:] >= 0)
-            found.append(at[:-1][both] * len(state) + at[1:][both])
-            size += len(at)
-            if size > 8_000_000:
-                yield flush()
-        if found:
-            yield flush()
+        def flush() -> Iterator[pa.RecordBatch]:
+            weight, first, *second = (np.concatenate([c[k] for c in kept]) for k in range(len(kept[0])))
+            first = first.view(np.uint64)
+            keys = pair_codes(first, second[0].view(np.uint64)) if second else first
+            for s, at in _dealt(keys, shards):
+                yield record_batch(BLOCK_NAMES, BLOCK_TYPES, [(s, "", kind, _pack(keys[at], weight[at]), None)])
 
-    return run
+        kept, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+            if size >= 1_000_000:
+                yield from flush()
+                kept, size = [], 0
+        if kept:
+            yield from flush()
 
+    return run
 
-def numbers(h: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """The places of hashes in the sorted array ``state``, or -1."""
-    at = np.searchsorted(state, h)
-    at[at == len(state)] = 0
-    return np.where(state[at] == h, at, -1) if len(state) else np.full(len(h), -1)
 
+def held_blocks(shards: int):
+    """(doc_id, text, held_out) to a block of documents, and blocks of words and pairs with the documents that hold them."""
 
-class Automaton:
-    """States and arcs as sorted arrays. ``arc`` holds log10(P(w | v) / root(w)), ``fail`` log10(bow(v))."""
+    def block_rows(batch: str, kept: list, read: list[np.ndarray]) -> Iterator[tuple]:
+        sizes = np.array([len(t) for t in read], "<u4")
+        yield (sum(batch.encode()) % shards, batch, HEAD, _pack(sizes, np.array([k[1] for k in kept], "u1")), [k[0] for k in kept])
+        every = np.concatenate(read)
+        of_token = np.repeat(np.arange(len(read), dtype=np.int64), sizes)
+        for kind, keys in ((WORDS, every), (PAIRS, pair_codes(before(every), every))):
+            known, at = np.unique(keys, return_inverse=True)
+            held, tf = np.unique(at.astype(np.int64) * len(read) + of_token, return_counts=True)
+            key, doc, tf = held // len(read), (held % len(read)).astype("<u4"), tf.astype("<u4")
+            holders = np.bincount(key, minlength=len(known)).astype("<u4")
+            of_held = np.argsort(shard_of(known, shards)[key], kind="stable")
+            begin = 0
+            for s, w in _dealt(known, shards):
+                p = of_held[begin : begin + int(holders[w].sum())]
+                begin += len(p)
+                yield (s, batch, kind, _pack(known[w], holders[w], doc[p], tf[p]), None)
 
-    def __init__(self, state: np.ndarray, codes: np.ndarray, fail: np.ndarray, arc: np.ndarray):
-        self.state, self.codes, self.fail, self.arc = state, codes, fail, arc
+    return in_batches(block_rows)
 
-    @classmethod
-    def smoothed(cls, state: np.ndarray, counts: np.ndarray, codes: np.ndarray, n: np.ndarray, total: int, distinct: int, add: float, discount: float) -> Automaton:
-        first, second = codes // max(1, len(state)), codes % max(1, len(state))
-        mass = np.maximum(n - discount, 0) / counts[first] if len(codes) else np.empty(0)
-        bow = np.maximum(1 - np.bincount(first, mass, len(state)), 1e-12)
-        root = (counts[second] + add) / (total + add * (distinct + 1))
-        return cls(state, codes, np.log10(bow), np.log10(mass / root + bow[first]) if len(codes) else np.empty(0))
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return self.state, self.codes, self.fail, self.arc
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of ``keys``, by the sorted array ``known``; 0 for others."""
+    if not len(known):
+        return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], 0)
 
-    def gain(self, h: np.ndarray) -> float:
-        """log10 of the text's probability over that of the root alone; ``h``: its tokens, with the end before them."""
-        if not len(self.state):
-            return 0.0
-        at = numbers(h, self.state)
-        before, now = at[:-1], at[1:]
-        from_state = before >= 0
-        code = np.where(from_state & (now >= 0), before * len(self.state) + now, -1)
-        arc = numbers(code, self.codes) if len(self.codes) else np.full(len(code), -1)
-        return float(np.where(arc >= 0, self.arc[arc] if len(self.codes) else 0.0, np.where(from_state, self.fail[before], 0.0)).sum())
 
+def answer(add: float):
+    """A shard's blocks to sums by document for each batch: log10 (c + add) of its tokens, known tokens, gain over the root."""
 
-def gains(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = Automaton(*shared.value), word_hashes([END])
-        for batch in batches:
-            out = [(doc_id, crc, model.gain(np.concatenate([end, tokens(text)]))) for doc_id, text, crc in rows(iter([batch]))]
-            yield record_batch(["doc_id", "text_hash", "gain"], [pa.int64(), pa.int64(), pa.float64()], out)
+    def run(table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        held: dict[str, list[tuple[int, list[np.ndarray]]]] = {}
+        model: dict[int, list[list[np.ndarray]]] = {COUNTED: [], FAIL: [], ARCS: []}
+        for _, batch, kind, data, ids in rows(iter(table.to_batches())):
+            if kind == HEAD:
+                out.append((batch, kind, data, ids))
+            elif kind in model:
+                model[kind].append(_unpack(data, COUNT_KINDS if kind == COUNTED else WEIGHT_KINDS))
+            else:
+                held.setdefault(batch, []).append((kind, _unpack(data, HELD_KINDS)))
+        part = {}
+        for kind, found in model.items():
+            keys, values = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.uint64) for k in range(2))
+            order = np.argsort(keys)
+            part[kind] = keys[order], values[order]
+        for batch, found in held.items():
+            n = 1 + max(int(f[2].max()) for _, f in found)
+            logs, known, gain, some = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+            for kind, (keys, holders, doc, tf) in sorted(found, key=lambda f: f[0]):
+                spread = lambda x, holders=holders: np.repeat(x, holders)
+                some[doc] = True
+                gain += np.bincount(doc, spread(looked_up(keys, *part[FAIL if kind == WORDS else ARCS])) * tf, n)
+                if kind == WORDS:
+                    counts = looked_up(keys, *part[COUNTED])
+                    logs += np.bincount(doc, spread(np.log10(counts + add)) * tf, n)
+                    known += np.bincount(doc, spread(counts > 0) * tf, n)
+            at = np.flatnonzero(some)
+            out.append((batch, WORDS, _pack(at.astype("<u4"), logs[at], known[at].astype("<u4"), gain[at]), None))
+        return pa.Table.from_batches([record_batch(["batch", "kind", "data", "ids"], [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())], out)])
 
     return run
 
 
+def by_batch(table: pa.Table) -> pa.Table:
+    """A batch's answers added up: doc_id, held_out, n_tokens, n_known, logs, gain."""
+    all_rows = list(rows(iter(table.to_batches())))
+    ids, (sizes, held) = next((r[3], _unpack(r[2], HEAD_KINDS)) for r in all_rows if r[1] == HEAD)
+    logs, known, gain = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids))
+    for at, some_logs, some_known, some_gain in sorted((_unpack(r[2], ANSWER_KINDS) for r in all_rows if r[1] == WORDS), key=lambda x: (x[0].tobytes(), x[1].tobytes(), x[3].tobytes())):
+        logs[at] += some_logs
+        known[at] += some_known
+        gain[at] += some_gain
+    columns = [pa.array(ids, pa.int64()), pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(gain)]
+    return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "gain"])
+
+
 def score(docs: DataFrame, *, add: float = ADD, discount: float = DISCOUNT, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary."""
-    spark = docs.sparkSession
-    shards = partitions(spark)
+    shards = partitions(docs.sparkSession)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"), F.xxhash64("text").alias("text_hash"))
-    sent = texts.mapInArrow(blocks(shards), BLOCK_SCHEMA)
-    answered = materialize(sent.groupBy("shard").applyInArrow(answer(word_share, add), "batch string, kind int, data binary, ids array<long>"), "lm-answers")
-    base = answered.filter("kind < 2").groupBy("batch").applyInArrow(by_batch, "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, logs double")
-
-    totals = answered.filter("kind = 3").agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
+    sent = texts.filter("NOT held_out").select("doc_id", "text").mapInArrow(counted_blocks(shards), BLOCK_SCHEMA)
+    counted = materialize(sent.groupBy("shard").applyInArrow(add_up(LEAST), BLOCK_SCHEMA), "lm-counts")
+    totals = counted.filter(F.col("kind") == TOTALS).agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
     total, distinct = int(totals.n or 0), int(totals.v or 0)
-    state, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for r in answered.filter("kind = 2").select("data").toLocalIterator():
-        # A shard sends the words that are frequent in it; those that are so in the corpus are at most 1 / word_share.
-        h, c = _unpack(r.data, ["<u8", "<u8"])
-        often = c >= max(2, word_share * total)
-        state.append(h[often])
-        counts.append(c[often])
-    state, counts = np.concatenate(state), np.concatenate(counts).astype(np.float64)
-    order = np.argsort(state)
-    state, counts = state[order], counts[order]
-    pairs = texts.filter("NOT held_out").select("text").mapInArrow(pair_counts(state), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    arcs = pairs.filter(F.col("n") >= max(2.0, pair_share * total)).orderBy("code").collect() if len(state) else []  # at most 1 / pair_share
-    model = Automaton.smoothed(state, counts, np.array([a.code for a in arcs], np.int64), np.array([a.n for a in arcs], np.float64), total, distinct, add, discount)
-    gained = texts.select("doc_id", "text", "text_hash").mapInArrow(gains(spark.sparkContext.broadcast(model.arrays())), "_doc long, _hash long, gain double")
-    gained = gained.groupBy("_doc", "_hash").agg(F.first("gain").alias("gain"))  # equal rows have equal gains
-    size = math.log10(total + add * (distinct + 1))
-    base_score = F.col("logs") - F.col("n_tokens") * F.lit(size)
-    return base.join(gained, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain")).alias("score"), F.lit(distinct).cast("long").alias("vocabulary")
-    )
+    size = total + add * (distinct + 1)
+
+    blocks = lambda kind: counted.filter(F.col("kind") == kind).select("data")
+    states = blocks(COUNTED).mapInArrow(unpacked(COUNT_KINDS, ["word", "c"]), "word long, c long").filter(F.col("c") >= max(float(LEAST), word_share * total))
+    pairs = blocks(PAIRS).mapInArrow(unpacked(PAIR_KINDS, ["v", "w", "n"]), "v long, w long, n long").filter(F.col("n") >= max(float(LEAST), pair_share * total))
+    arcs = materialize(pairs.join(states.select(F.col("word").alias("w"), F.col("c").alias("c_w")), "w"), "lm-arcs")
+    mass = arcs.groupBy("v").agg(F.sum(F.greatest(F.col("n") - discount, F.lit(0.0))).alias("mass"))
+    bow = F.greatest(1 - F.col("mass") / F.col("c"), F.lit(1e-12))
+    fails = materialize(mass.join(states.withColumnRenamed("word", "v"), "v").select("v", "c", bow.alias("bow")), "lm-fails")
+    root = (F.col("c_w") + add) / F.lit(size)
+    weight = F.log10(F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("c") / F.col("bow") / root + 1)
+    model = fails.select(F.log10("bow").alias("weight"), "v").mapInArrow(packed(FAIL, shards), BLOCK_SCHEMA)
+    model = model.unionAll(arcs.join(fails, "v").select(weight.alias("weight"), "v", "w").mapInArrow(packed(ARCS, shards), BLOCK_SCHEMA))
+    model = model.unionAll(counted.filter(F.col("kind") == COUNTED))
+    answered = model.unionAll(texts.mapInArrow(held_blocks(shards), BLOCK_SCHEMA)).groupBy("shard").applyInArrow(answer(add), "batch string, kind int, data binary, ids array<long>")
+    summed = answered.groupBy("batch").applyInArrow(by_batch, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, gain double")
+    base_score = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(size))
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain")).alias("score"), F.lit(distinct).cast("long").alias("vocabulary"))
 
 
 def op9_lm(spark, sf_dir: str) -> DataFrame:

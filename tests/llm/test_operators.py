@@ -371,6 +371,33 @@ def test_lm(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_keeps_every_repeated_pair(spark):
+    r = random.Random(9)
+    data = [(i, " ".join(r.choice("abcdefghij") * 2 + str(r.randint(0, 30)) for _ in range(5000))) for i in range(60)]
+    data += [(100 + i, f"{r.choice('abc')}x rare pair only twice") for i in range(2)] + [(200, "rare pair"), (201, "pair rare")]
+    held = lambda i: binascii.crc32(str(i).encode()) % 10 == 0
+    assert not any(held(i) for i in (100, 101, 200, 201))
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    train = [["", *t.split(), ""] for i, t in data if not held(i)]
+    c, k = collections.Counter(w for t in train for w in t[1:]), collections.Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    out = collections.defaultdict(float)
+    for (a, _), m in k.items():
+        out[a] += m - 0.75 if m >= 2 else 0
+    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def log(a, w):
+        arc = (k[a, w] - 0.75) / c[a] if k[a, w] >= 2 else 0
+        return math.log10(arc + (1 - out[a] / c[a] if c[a] >= 2 else 1) * root(w))
+
+    for i, t in data:
+        s = ["", *t.split(), ""]
+        assert got[i].score == pytest.approx(sum(log(a, w) for a, w in zip(s, s[1:], strict=False)), abs=1e-6)
+    # 'rare' and 'pair' stand four times among more than 200,000 tokens
+    assert n > 200_000 and c['rare'] == 4
+    assert got[200].score > got[201].score
+
+
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
