@@ -8,8 +8,9 @@ from the left, give each match's start in code points. Texts without a candidate
 Base kinds (they always stay): ``assign``, ``access``, ``hex``. The method looks at values of a fourth, wide pattern,
 ``mixed`` (unbroken runs of 16 and more of ``[A-Za-z0-9+/_-]`` that hold a digit, an upper- and a lower-case letter and
 lie in no base span). Every candidate value, base or mixed, is hashed; over the whole corpus the hash's distinct
-repositories (``source``, ``lang``), owners (``source``) and documents with different texts are counted. A value with
-more than ``max_owners`` owners or ``max_repositories`` repositories is a widely copied example; any other looks live. The
+repositories (``source``, ``lang``) and owners (``source``) are counted. With ``by_text`` (the query has it) copies of one
+text count once, as their least repository: a text mirrored by many sources has one owner. A value with more than
+``max_owners`` owners or ``max_repositories`` repositories is a widely copied example; any other looks live. The
 method adds the spans of live-looking mixed values; base spans carry the same judgement in ``n_live``.
 
 Candidate values are aggregated partially in each task before the shuffle (distinct value, source, lang first), so a
@@ -62,19 +63,22 @@ def find(docs: DataFrame) -> DataFrame:
     return out.withColumn("mixed", F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
 
-def owners(found: DataFrame, *, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def owners(found: DataFrame, *, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, by_text: bool = False) -> DataFrame:
     """``value_hash`` of the widely copied values: those of many distinct owners or repositories."""
-    values = found.select(F.explode(F.concat("base", "mixed")).alias("s"), "source", "lang").select(F.xxhash64("s.value").alias("value_hash"), F.struct("source").alias("owner"), F.struct("source", "lang").alias("repository")).distinct()
+    values = found.select(F.explode(F.concat("base", "mixed")).alias("s"), "source", "lang", "text_hash").select(F.xxhash64("s.value").alias("value_hash"), "text_hash", F.struct("source", "lang").alias("repository"))
+    if by_text:
+        values = values.groupBy("value_hash", "text_hash").agg(F.min("repository").alias("repository"))
+    values = values.select("value_hash", F.struct("repository.source").alias("owner"), "repository").distinct()
     counted = values.groupBy("value_hash").agg(F.countDistinct("owner").alias("n_owners"), F.count("repository").alias("n_repositories"))
     return counted.filter((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)).select("value_hash")
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, by_text: bool = False) -> DataFrame:
     """A row for each row of ``docs``: key, base, mixed (live-looking only) and live (all live-looking) spans."""
-    found = materialize(find(docs.select(key, "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))).drop("text"), "secret-spans")
+    found = materialize(find(docs.select(key, "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))).drop("text"), "secret-spans")
     some = found.filter((F.size("base") > 0) | (F.size("mixed") > 0)).withColumn("_row", F.monotonically_increasing_id())
     some = materialize(some, "secret-rows")
-    copied = owners(some, max_owners=max_owners, max_repositories=max_repositories).withColumn("_copied", F.lit(True))
+    copied = owners(some, max_owners=max_owners, max_repositories=max_repositories, by_text=by_text).withColumn("_copied", F.lit(True))
     judged = (
         some.select("_row", F.explode(F.concat("base", "mixed")).alias("s"))
         .withColumn("value_hash", F.xxhash64("s.value"))
@@ -120,6 +124,6 @@ def redact(docs: DataFrame, *, mark: str = "[secret]", **options) -> DataFrame:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_text=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "mixed")).alias("spans"), F.size("live").cast("long").alias("n_live"))

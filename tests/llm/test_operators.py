@@ -427,6 +427,15 @@ def test_ownership_tells_examples_from_secrets(spark):
     assert left[9] == "mine is [secret] now" and left[0] == data[0][1]
 
 
+def test_copies_of_one_text_have_one_owner(spark, tmp_path):
+    mirrored, copied = "Zq81LmPo0aQw9ErTy77u", "EXAMPLEkey0123456789abX"
+    data = [(i, f"mine is {mirrored} now", f"s{i}", "en") for i in range(6)] + [(10 + i, f"use {copied} in place {i}", f"s{i}", "en") for i in range(6)]
+    spark.createDataFrame(data, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.op10_secrets(spark, str(tmp_path)).collect()}
+    assert [got[i].n_live for i in range(6)] == [1] * 6 and all(got[i].spans == "mixed:8:28" for i in range(6))
+    assert [got[10 + i].n_live for i in range(6)] == [0] * 6
+
+
 def test_redact_keeps_columns(docs, none):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
