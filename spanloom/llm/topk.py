@@ -2,8 +2,8 @@
 
 Vectors become floor(scale * x). Every partition of the vectors is a shard with its own ball tree. The nodes of a tree
 are taken in the order of their upper bound <q, center> + |q| * radius; a node whose bound is below the query's current
-kth score is dropped with all that follows it. The current kth score is shared: it starts, in every shard, from the kth
-score among one bounded sample of the rows (a true lower bound), and rises as leaves are read.
+kth score is dropped with all that follows it. Only the starting bound is shared: every shard starts from the kth score
+among one bounded sample of the rows (a true lower bound), and raises its own as leaves are read.
 
 The queries go over all rows in blocks of at most about ``block`` queries, so what a job carries along is bounded. A
 shard returns k rows for each query, and the k best of all shards win. Scores are whole numbers: float64 products
