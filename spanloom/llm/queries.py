@@ -10,6 +10,7 @@ from spanloom.llm.licenses import op8_licenses
 from spanloom.llm.lm import op9_lm
 from spanloom.llm.mixing import op2_mix
 from spanloom.llm.nearcopies import op6_near
+from spanloom.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from spanloom.llm.packing import op3_packing
 from spanloom.llm.quality import op5_quality
 from spanloom.llm.secrets import op10_secrets
@@ -29,27 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_secrets": op10_secrets,
 }
-
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_substrings": f"""
-WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM p WHERE i + 12 <= len(w)),
-f AS (SELECT g, min(doc_id) AS first_doc FROM win GROUP BY g),
-hit AS (SELECT win.doc_id, win.i FROM win JOIN f USING (g) WHERE f.first_doc < win.doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hit),
-kept AS (SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS t, count(*) AS n
-         FROM p ANTI JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i GROUP BY p.doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(k.t, '')) AS kept_sha256
-FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
-    "op4_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
-SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""",
-}
