@@ -18,8 +18,10 @@ a task never holds more than about two blocks. The number of exact links of a ve
 with its square, since none may be lost; they are counted inside tasks and never become rows.
 
 Null or wordless texts are in a class of their own and link to nothing, also not to each other. Rows with a null doc_id
-are left out of all links and have a null class. Repeated rows count as copies. Empty table: empty result. Very long
-texts are shingled whole. Nodes are named by 64-bit hashes of their words.
+are left out of all links and have a null class. Repeated rows count as copies. One doc_id may have several texts, each
+in its own class (class_text tells them apart). Ties: a pair at exactly the threshold is linked. Other columns, whatever
+their names, are ignored, and kept by ``keep_one``. Empty table: empty result. Very long texts are shingled whole. Nodes
+are named by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.pywords import record_batch, rows, window_hashes, word_hashes, words
@@ -65,10 +67,10 @@ def node_of(items: list[bytes]) -> int:
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, text in rows(iter([batch])):
+        for doc_id, text_hash, text in rows(iter([batch])):
             w = words(text)
-            out.append((doc_id, node_of(w) if w else None, signature(shingles(w)).tobytes() if w else None))
-        yield record_batch(["doc_id", "node", "signature"], [pa.int64(), pa.int64(), pa.binary()], out)
+            out.append((doc_id, text_hash, node_of(w) if w else None, signature(shingles(w)).tobytes() if w else None))
+        yield record_batch(["doc_id", "text_hash", "node", "signature"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], out)
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -246,16 +248,17 @@ def dealt(members: DataFrame, size: str, block: int) -> DataFrame:
     return out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumns({"low": F.least(side, F.col("_o")), "high": F.greatest(side, F.col("_o"))}).drop("_n", "_o")
 
 
-def join_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links: a row for each row of ``docs``.
+def classify(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node) of the rows, and (node, comp, first, n_links) of the nodes.
 
-    n_links is the number of other documents at ``threshold`` or more, copies included.
+    ``first`` is the least (doc_id, text_hash) of the class, so two texts that share a doc_id have classes of their own.
     """
     n = partitions(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(sign, "doc_id long, node long, signature binary"), "near-signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    signed = materialize(texts.mapInArrow(sign, "doc_id long, text_hash long, node long, signature binary"), "near-signed")
     usable = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")), "near-nodes")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first_row")
+    nodes = materialize(usable.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")), "near-nodes")
 
     hashed = [F.xxhash64(F.lit(b), F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS)) for b in range(BANDS)]
     bands = nodes.select("node", F.explode(F.array(*hashed)).alias("band"))
@@ -265,29 +268,50 @@ def join_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: fl
     rough = components(keyed.mapInArrow(candidates(threshold, tolerance), "a long, b long"))
 
     sizes = rough.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    chosen = rough.join(nodes.select("node", "first_doc", "copies"), "node")
-    sets = texts.join(chosen, F.col("doc_id") == F.col("first_doc")).select("text", "node", "comp", "copies").mapInArrow(read_sets, "node long, comp long, copies long, shingles binary")
+    chosen = rough.join(nodes.select("node", "first_row", "copies"), "node").select("node", "comp", "copies", F.col("first_row.doc_id").alias("doc_id"), F.col("first_row.text_hash").alias("text_hash"))
+    sets = texts.join(chosen, ["doc_id", "text_hash"]).select("text", "node", "comp", "copies").mapInArrow(read_sets, "node long, comp long, copies long, shingles binary")
     sets = materialize(sets, "near-sets").dropDuplicates(["node"])
     keyed = dealt(sets.join(sizes, "comp"), "size", block).select("comp", "low", "high", "side", "node", "copies", "shingles").repartition(n, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     links = materialize(keyed.mapInArrow(verify(threshold), "node long, links long, least long"), "near-links")
 
     classes = components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "first_doc", "copies").join(counted, "node", "left").join(classes, "node", "left")
+    known = nodes.select("node", "first_row", "copies").join(counted, "node", "left").join(classes, "node", "left")
     known = known.withColumn("comp", F.coalesce("comp", "node"))
-    named = known.groupBy("comp").agg(F.min("first_doc").alias("class_id"))
-    known = known.join(named, "comp").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "node").join(known, "node", "left")
+    named = known.groupBy("comp").agg(F.min("first_row").alias("first"))
+    known = known.join(named, "comp").select("node", "comp", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "text_hash", "node"), known
+
+
+def join_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, class_text, n_links: a row for each row of ``docs``.
+
+    class_id is the least doc_id of the class and class_text the hash of that document's text, which tells classes apart
+    where a doc_id has several texts. n_links is the number of other documents at ``threshold`` or more, copies included.
+    """
+    signed, known = classify(docs, **options)
+    out = signed.join(known, "node", "left")
     linked = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(linked, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select(
+        "doc_id",
+        F.when(linked, F.coalesce("first.doc_id", "doc_id")).alias("class_id"),
+        F.when(linked, F.coalesce("first.text_hash", "text_hash")).alias("class_text"),
+        F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least doc_id (of its repeated rows, one)."""
-    classes = join_classes(docs, **options).filter("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_loom_first")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_loom_first")), "left_semi")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(kept.filter("doc_id IS NULL"))
+    """``docs`` with one row of each class: the least (doc_id, hash of text), and of its repeated rows the least by the
+    other columns. Rows without a word or a doc_id are in no class of several, so all of them stay."""
+    _, known = classify(docs, **options)
+    firsts = known.select("first").distinct().select(F.col("first.doc_id").alias("_loom_id"), F.col("first.text_hash").alias("_loom_hash"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    here = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    kept = docs.filter(~alone).join(firsts, (here[0] == F.col("_loom_id")) & (here[1] == F.col("_loom_hash")))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_loom_0")))
+    nth = F.row_number().over(Window.partitionBy("_loom_id", "_loom_hash").orderBy(rest))
+    return kept.withColumn("_loom_n", nth).filter("_loom_n = 1").select(*docs.columns).unionAll(docs.filter(alone))
 
 
 def op6_near(spark, sf_dir: str) -> DataFrame:
-    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_text")

@@ -184,7 +184,7 @@ def test_topk(spark):
     data = [(int(i), [float(x) for x in r.normal(size=6).round(1)], 1) for i in range(300)]
     data += [(50, data[50][1], 2), (100, None, 1), (150, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (200, [float("nan")] * 6, 1), (250, [float("inf")] * 6, 1), (350, [1.0, 2.0], 1), (401, data[0][1], 1), (None, data[1][1], 1), (450, [], 1)]
     vectors = topk.whole_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, rank int"))
-    got = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), block=3, sample=20).collect()
+    got = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), block=3, shard_rows=40, waves=3).collect()
     usable = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for a, (i, v) in enumerate(usable):
@@ -196,6 +196,18 @@ def test_topk(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_topk_is_exact_or_fails(spark):
+    find = lambda data: topk.op4_of(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    # products beyond 2 ** 63 in between, scores within
+    big = 2.0**36
+    data = [(50, [big, big, 1.0]), (1, [big, -big, 2.0]), (2, [-big, big, 3.0]), (3, [0.0, 0.0, 5.0])]
+    assert [(r.vec_id, r.score) for r in sorted(find(data), key=lambda r: r.rank)] == [(3, 5 * 65536), (2, 3 * 65536), (1, 2 * 65536)]
+    with pytest.raises(Exception, match="64-bit"):
+        find([(50, [1e17, 1e17]), (1, [-1e17, -1e17]), (2, [1.0, 1.0])])
+    with pytest.raises(Exception, match="64-bit"):
+        find([(50, [1e18, 1e17]), (1, [1.0, 1.0])])
+
+
 def test_quality(docs, none):
     got = quality.judge(docs).collect()
     expected = []
@@ -222,6 +234,30 @@ def test_adaptive_thresholds(spark):
     assert kept == {x[0] for x in data} - {200}
 
 
+def test_thresholds_rerun_equal(spark):
+    """One group of many more rows than a sketch has entries, dealt and ordered anew: the same thresholds."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(
+        F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(100).cast("long").alias("n_words"), (300 + F.pmod(F.xxhash64("id"), F.lit(900))).alias("word_chars"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)).alias("n_symbols"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)).alias("n_dup_lines"), F.lit(40).cast("long").alias("n_lines"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(30)).alias("n_repeat_words"), F.lit(0).cast("long").alias("n_stutters"),
+    )
+    got = [quality.thresholds(quality.sketch(r)).collect() for r in (rows, rows.repartition(9), rows.orderBy("word_chars").repartition(3))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1
+    lengths = sorted(r.word_chars / 100 for r in rows.collect())
+    q1, q3 = lengths[len(lengths) // 4], lengths[3 * len(lengths) // 4]
+    assert got[0][0]["_max_word_length"] == pytest.approx(q3 + 6 * (q3 - q1), rel=0.06)
+
+
+def test_quality_sees_words_said_again(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    data = [(i, " ".join(word() for _ in range(60)), "en", "s") for i in range(40)]
+    data += [(100, " ".join(w for _ in range(12) for w in [word()] * 5), "en", "s")]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    assert {x.doc_id for x in quality.judge(table).filter("NOT kept").collect()} == {100}
+
+
 def brute_links(data):
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else None for _, t in data]
     links, root = [0] * len(data), list(range(len(data)))
@@ -250,12 +286,38 @@ def test_near_copies(docs, none, spark):
         same_rows([(r.doc_id, r.class_id, r.n_links) for r in got], brute_links(data))
     kept = nearcopies.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_links(data)})
+    classes = {(r.class_id, r.class_text) for r in got}
+    assert sorted(r.doc_id for r in kept.collect() if words(r.text)) == sorted(c for c, t in classes if any(r.class_text == t and words(next(x for i, x in data if i == r.doc_id)) for r in got if (r.class_id, r.class_text) == (c, t)))
     assert nearcopies.join_classes(none).count() == 0 == nearcopies.keep_one(none).count()
     one = spark.createDataFrame([(None, "a b c"), (4, "a b c")], "doc_id long, text string")
     assert {(r.doc_id, r.class_id, r.n_links) for r in nearcopies.join_classes(one).collect()} == {(None, None, 0), (4, 4, 0)}
 
 
+def test_one_id_with_two_texts_keeps_both(spark):
+    r = random.Random(11)
+    a, b, c = (" ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(40)) for _ in range(3))
+    data = [(5, a, "x"), (5, b, "x"), (7, c, "x"), (9, a, "x"), (5, a, "w"), (None, a, "x"), (11, None, "x"), (11, " ", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, node string")
+    classes = {(x.doc_id, x.class_id, x.class_text) for x in nearcopies.join_classes(docs).collect() if x.doc_id in (5, 9)}
+    assert len({t for _, _, t in classes}) == 2 and {c for _, c, _ in classes} == {5}
+    kept = nearcopies.keep_one(docs.repartition(3)).collect()
+    assert sorted(map(repr, kept)) == sorted(map(repr, docs.filter("doc_id IS NULL OR doc_id = 11 OR doc_id = 7 OR (doc_id = 5 AND NOT (node = 'x' AND text = '" + a + "'))").collect()))
+
+
+def test_pairs_at_the_threshold_are_found():
+    """Sets of shingles at exactly 0.8, as hashes: band hit and pruning together."""
+    r = np.random.default_rng(5)
+    least, lost, n = nearcopies.least_matches(nearcopies.THRESHOLD, nearcopies.TOLERANCE), 0, 1500
+    for _ in range(n):
+        both = int(r.integers(1, 60)) * 8
+        extra = both // 8
+        h = r.integers(0, 2**63, both + 2 * extra).astype(np.uint64)
+        a, b = nearcopies.signature(h[: both + extra]), nearcopies.signature(np.concatenate([h[:both], h[both + extra :]]))
+        band = (a.reshape(nearcopies.BANDS, -1) == b.reshape(nearcopies.BANDS, -1)).all(axis=1).any()
+        lost += not (band and len(nearcopies.survivors(np.stack([a, b]), np.array([0]), np.array([1]), least)))
+    assert lost / n <= 2e-3
+
+
 def test_bayesian_pruning_keeps_close_pairs():
     least = nearcopies.least_matches(0.8, 1e-5)
     r = np.random.default_rng(0)
