@@ -1,30 +1,37 @@
 """Language-model scores from a weighted backoff automaton over words.
 
 Model: the root state has the smoothed probability of every word, (c + 0.1) / (N + 0.1 (V + 1)), over all training
-documents. A state for each word v seen at least twice has arcs to the words w that follow it at least twice, with the
-absolutely discounted probability (c(v w) - D) / c(v) + bow(v) * root(w), and a failure arc of weight
-bow(v) = 1 - (the discounted mass of its arcs) to the root. Every state's probabilities sum to 1. With two orders the state
-after a word is that word, so a text's score is a sum over its words and pairs of neighbours: log10 root(w) for each word,
-log10 bow(v) for each word as the one before, and log10((c(v w) - D) / c(v) / bow(v) / root(w) + 1) more for each arc.
-
-``LEAST`` is a fixed count, so the model grows with the corpus. ``word_share`` and ``pair_share`` (0) prune words and pairs
-by their share of all training tokens as well. No part of the model is broadcast or sent to the driver:
-
-1. Batches of training documents send their distinct words and pairs with counts, one block for each shard of the hash
-   space. A shard adds up the counts of its words, and of its pairs; a pair that all documents hold is one entry a batch.
-2. Arcs are joined to the counts of their words and to the failure weights of their states.
-3. Batches of all documents send their words and pairs with the documents that hold them, and a shard that has these
-   words' counts and these pairs' arcs answers each block with sums by document. Answers are added up by batch.
-
-Words and pairs are told apart by 64-bit hashes. Null text: empty, its end is its only token. Null doc_id counts as an
-empty text in the hold-out rule. Long texts are read whole (a batch holds at least one). Repeated rows are scored, and
-counted, each. Empty table: empty result. Other columns are ignored.
+documents. Every n-gram of 1 to ``order - 1`` tokens seen in training is a state. A state h has an arc to each word w that
+follows it in training, with the weight
+
+    (c(h w) + s P(w | h')) / (c(h) + s),    s = strengths[len(h) - 1],
+
+where h' is h without its first word, and a failure arc to h' with the weight s / (c(h) + s) for all other words
+(Dirichlet smoothing: the pseudo-counts s are shared out as the shorter context predicts). Probabilities of a state sum
+to 1. Every n-gram of the training documents counts, those seen once too; nothing is capped or pruned, so the model grows
+with the corpus. The end of the text before is the first context of a text.
+
+Traversal goes from left to right: the state is the longest suffix of the last ``order - 1`` tokens that is one. For each
+token it follows failure arcs until a state has an arc for it, adds the logs of their weights and the arc's, and goes on.
+All tokens of a batch take their k-th step at once, as array operations.
+
+No part of the model is broadcast or sent to the driver:
+
+1. A batch of documents has a block of tokens, and for each shard of the hash space a block of its distinct n-grams with
+   their counts in training documents (0 where only held-out documents have them).
+2. A shard adds up the counts of its blocks and answers each with the whole corpus's counts, in the block's order. A
+   common n-gram is one entry a batch. Totals (N, V) are two numbers a shard.
+3. Answers meet the batch's block of tokens, whose n-grams now have their counts, and its documents are traversed.
+
+Shards hold a bounded part of the hash space each (``shard_bytes`` of the table) and are read one at a time. n-grams are
+told apart by 64-bit hashes. Null text: empty, its end is its only token. Null doc_id counts as an empty text in the
+hold-out rule. Long texts are read whole (a batch holds at least one). Ties: none, a score depends on counts alone.
+Repeated rows are scored, and counted, each. Empty table: empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,80 +39,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.pywords import BASE, mixed, record_batch, rows, word_hashes
-from spanloom.llm.scratch import materialize, partitions
+from spanloom.llm.pywords import record_batch, rows, window_hashes, word_hashes
+from spanloom.llm.scratch import materialize, shards_for
 
-ADD, DISCOUNT, LEAST, WORD_SHARE, PAIR_SHARE, BATCH_CHARS = 0.1, 0.75, 2, 0.0, 0.0, 12_000_000
+ORDER, ADD, STRENGTHS, BATCH_CHARS = 3, 0.1, (300.0, 20.0), 12_000_000
 END = b"\n"  # not a word
-BLOCK_SCHEMA = "shard int, batch string, kind int, data binary, ids array<long>"
-BLOCK_NAMES, BLOCK_TYPES = ["shard", "batch", "kind", "data", "ids"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-#: Kinds of blocks: a batch's documents; words and pairs (counted, or with their holders); totals; failure weights; arcs.
-HEAD, WORDS, PAIRS, TOTALS, FAIL, ARCS, COUNTED = range(7)
-HEAD_KINDS, COUNT_KINDS, PAIR_KINDS, HELD_KINDS, WEIGHT_KINDS, ANSWER_KINDS = ["<u4", "u1"], ["<u8", "<u8"], ["<u8", "<u8", "<u8"], ["<u8", "<u4", "<u4", "<u4"], ["<u8", "<f8"], ["<u4", "<f8", "<u4", "<f8"]
-
+SCHEMA = "shard int, batch string, kind int, data binary, ids array<long>"
+NAMES, TYPES = ["shard", "batch", "kind", "data", "ids"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+#: Kinds of blocks: a batch's tokens; its n-grams for a shard, and the answer; a shard's totals.
+TOKENS, GRAMS, ANSWER, TOTALS = range(4)
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased words and of the end."""
-    return word_hashes([*(text or "").encode("utf-8", "surrogatepass").lower().split(), END])
 
-
-def pair_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * BASE + second)
-
-
-def before(every: np.ndarray) -> np.ndarray:
-    """The token before each of some texts' tokens. An end comes before a text, and one is last in each."""
-    return np.concatenate([word_hashes([END]), every[:-1]])
-
-
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+def _planes(a: np.ndarray) -> bytes:
+    """The array's bytes, all first ones, then all second ones ...: equal high bytes shrink to nothing."""
+    return np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
-    head = np.array([len(arrays), *[len(a) for a in arrays]], "<u4").tobytes()
-    return zstandard.ZstdCompressor(1).compress(head + b"".join(a.tobytes() for a in arrays))
+    head = np.array([len(a) for a in arrays], "<u4").tobytes()
+    return zstandard.ZstdCompressor(1).compress(head + b"".join(_planes(a) for a in arrays))
 
 
 def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(data)
-    sizes = np.frombuffer(data, "<u4", 1 + len(kinds))[1:]
-    out, at = [], 4 * (1 + len(kinds))
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    out, at = [], 4 * len(kinds)
+    for n, kind in zip(np.frombuffer(data, "<u4", len(kinds)).tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, "u1", n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * width
     return out
 
 
-def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard that has some of ``keys``, and their places."""
-    of = shard_of(keys, shards)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(shards + 1))
-    for s in range(shards):
-        if ends[s] < ends[s + 1]:
-            yield s, order[ends[s] : ends[s + 1]]
+class Grams:
+    """The distinct n-grams of a batch by order, sorted by hash, and each place's n-gram.
+
+    ``hashes``: the tokens of all texts, an end before each text; ``sizes``: tokens of each, that end not counted.
+    ``at[k]`` are the places (last tokens) of the n-grams of k + 1 tokens, ``which[k]`` their numbers in ``keys[k]``.
+    """
 
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, order: int):
+        self.text = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64) + 1)
+        self.keys, self.at, self.which = [], [], []
+        for k in range(1, order + 1):
+            h = window_hashes(hashes, k)
+            first = np.arange(len(h))
+            inside = self.text[first] == self.text[first + k - 1] if len(h) else np.empty(0, bool)
+            if k == 1:  # the end before a text isn't one of its tokens
+                inside = inside & np.concatenate([[False], self.text[1:] == self.text[:-1]])
+            keys, which = np.unique(h[inside], return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(first[inside] + k - 1)
+            self.which.append(which)
 
-def in_batches(body: Callable) -> Callable:
-    """Rows of documents, text second, to the blocks that ``body(batch, rows, tokens of each)`` gives for each batch."""
+    def counts(self, k: int, held: np.ndarray) -> np.ndarray:
+        """How often each n-gram stands in texts that aren't held out."""
+        return np.bincount(self.which[k], (~held[self.text[self.at[k]]]).astype(float), len(self.keys[k])).astype("<u4")
+
+    def parts(self, k: int, shards: int) -> np.ndarray:
+        """Ends of the shards' parts of ``keys[k]``: a shard is a range of hashes."""
+        of = ((self.keys[k] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        return np.searchsorted(of, np.arange(shards + 1).astype(np.uint64))
+
+
+def send(order: int, shards: int, batch_chars: int):
+    """(doc_id, held_out, text) to a batch's block of tokens and its blocks of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, kept, read, chars = TaskContext.get().partitionId(), 0, [], [], 0
+        end = word_hashes([END])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for r in body(f"{task}-{number}", kept, read):
-                yield record_batch(BLOCK_NAMES, BLOCK_TYPES, [r])
-
-        for row in rows(batches):
-            kept.append((row[0], *row[2:]))
-            read.append(tokens(row[1]))
-            chars += len(row[1] or "")
-            if chars >= BATCH_CHARS:
+            batch, sizes = f"{task}-{number}", np.array([len(t) - 1 for t in read], "<u4")
+            held = np.array([h for _, h in kept], bool)
+            every = np.concatenate(read)
+            vocabulary, ids = np.unique(every, return_inverse=True)
+            yield record_batch(NAMES, TYPES, [(number % shards, batch, TOKENS, _pack(vocabulary, ids.astype("<u4"), sizes, held.astype("u1")), [d for d, _ in kept])])
+            grams = Grams(every, sizes, order)
+            counts, ends = [grams.counts(k, held) for k in range(order)], [grams.parts(k, shards) for k in range(order)]
+            for s in range(shards):
+                out: list[np.ndarray] = []
+                for k in range(order):
+                    a, b = ends[k][s : s + 2]
+                    out += [np.diff(grams.keys[k][a:b], prepend=np.uint64(0)), counts[k][a:b]]
+                if sum(map(len, out)):
+                    yield record_batch(NAMES, TYPES, [(s, batch, GRAMS, _pack(*out), None)])
+
+        for doc_id, held, text in rows(batches):
+            kept.append((doc_id, held))
+            read.append(np.concatenate([end, word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split()), end]))
+            chars += len(text or "")
+            if chars >= batch_chars:
                 yield from flush()
                 number, kept, read, chars = number + 1, [], [], 0
         if kept:
@@ -114,194 +142,87 @@ def in_batches(body: Callable) -> Callable:
     return run
 
 
-def counted_blocks(shards: int):
-    """Training documents (doc_id, text) to blocks of words and of pairs with their counts."""
-
-    def block_rows(batch: str, kept: list, read: list[np.ndarray]) -> Iterator[tuple]:
-        every = np.concatenate(read)
-        known, n = np.unique(every, return_counts=True)
-        for s, at in _dealt(known, shards):
-            yield (s, batch, WORDS, _pack(known[at], n[at].astype("<u8")), None)
-        first = before(every)
-        codes, place, n = np.unique(pair_codes(first, every), return_index=True, return_counts=True)
-        for s, at in _dealt(codes, shards):
-            yield (s, batch, PAIRS, _pack(first[place[at]], every[place[at]], n[at].astype("<u8")), None)
-
-    return in_batches(block_rows)
-
-
-def add_up(least: int):
-    """A shard's blocks to its words with their counts, its pairs of ``least`` and more, and totals."""
+def add_up(order: int):
+    """A shard's blocks of n-grams to the counts in the whole corpus, block by block, and its totals. Tokens pass."""
 
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        words, pairs, shard = [], [], 0
-        for shard, _, kind, data, _ in rows(iter(table.to_batches())):
-            if kind == WORDS:
-                words.append(_unpack(data, COUNT_KINDS))
+        blocks: list[tuple[str, list[np.ndarray]]] = []
+        shard = 0
+        for shard, batch, kind, data, ids in rows(iter(table.to_batches())):
+            if kind == TOKENS:
+                out.append((shard, batch, kind, data, ids))
             else:
-                pairs.append(_unpack(data, PAIR_KINDS))
-        if words:
-            known, at = np.unique(np.concatenate([w[0] for w in words]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([w[1] for w in words]), len(known)).astype("<u8")
-            out.append((shard, "", COUNTED, _pack(known, counts), None))
-            out.append((shard, "", TOTALS, None, [int(counts.sum()), len(known)]))
-        if pairs:
-            first, second, n = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-            _, place, at = np.unique(pair_codes(first, second), return_index=True, return_inverse=True)
-            n = np.bincount(at, n, len(place)).astype("<u8")
-            often = n >= least
-            out.append((shard, "", PAIRS, _pack(first[place[often]], second[place[often]], n[often]), None))
-        return pa.Table.from_batches([record_batch(BLOCK_NAMES, BLOCK_TYPES, out)])
+                blocks.append((batch, _unpack(data, ["<u8", "<u4"] * order)))
+        answers: list[list[np.ndarray]] = [[] for _ in blocks]
+        for k in range(order):
+            keys = [np.cumsum(b[2 * k], dtype=np.uint64) for _, b in blocks]
+            if not keys:
+                continue
+            known, at = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = np.bincount(at, np.concatenate([b[2 * k + 1] for _, b in blocks]), len(known)).astype("<u8")
+            if k == 0:
+                out.append((shard, "", TOTALS, None, [int(totals.sum()), int((totals > 0).sum())]))
+            ends = np.cumsum([len(x) for x in keys])
+            for i, part in enumerate(np.split(totals[at], ends[:-1])):
+                answers[i].append(part)
+        out += [(shard, batch, ANSWER, _pack(*a), None) for (batch, _), a in zip(blocks, answers, strict=True)]
+        return pa.Table.from_batches([record_batch(NAMES, TYPES, out)])
 
     return run
 
 
-def unpacked(kinds: list[str], names: list[str]):
-    """Blocks to rows; hashes become signed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (data,) in rows(batches):
-            arrays = _unpack(data, kinds)
-            for a in range(0, len(arrays[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000].view("<i8")) for x in arrays], names=names)
-
-    return run
-
-
-def packed(kind: int, shards: int):
-    """Rows (weight, word) or (weight, first, second) to blocks of weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            weight, first, *second = (np.concatenate([c[k] for c in kept]) for k in range(len(kept[0])))
-            first = first.view(np.uint64)
-            keys = pair_codes(first, second[0].view(np.uint64)) if second else first
-            for s, at in _dealt(keys, shards):
-                yield record_batch(BLOCK_NAMES, BLOCK_TYPES, [(s, "", kind, _pack(keys[at], weight[at]), None)])
-
-        kept, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                size += batch.num_rows
-            if size >= 1_000_000:
-                yield from flush()
-                kept, size = [], 0
-        if kept:
-            yield from flush()
-
-    return run
-
-
-def held_blocks(shards: int):
-    """(doc_id, text, held_out) to a block of documents, and blocks of words and pairs with the documents that hold them."""
-
-    def block_rows(batch: str, kept: list, read: list[np.ndarray]) -> Iterator[tuple]:
-        sizes = np.array([len(t) for t in read], "<u4")
-        yield (sum(batch.encode()) % shards, batch, HEAD, _pack(sizes, np.array([k[1] for k in kept], "u1")), [k[0] for k in kept])
-        every = np.concatenate(read)
-        of_token = np.repeat(np.arange(len(read), dtype=np.int64), sizes)
-        for kind, keys in ((WORDS, every), (PAIRS, pair_codes(before(every), every))):
-            known, at = np.unique(keys, return_inverse=True)
-            held, tf = np.unique(at.astype(np.int64) * len(read) + of_token, return_counts=True)
-            key, doc, tf = held // len(read), (held % len(read)).astype("<u4"), tf.astype("<u4")
-            holders = np.bincount(key, minlength=len(known)).astype("<u4")
-            of_held = np.argsort(shard_of(known, shards)[key], kind="stable")
-            begin = 0
-            for s, w in _dealt(known, shards):
-                p = of_held[begin : begin + int(holders[w].sum())]
-                begin += len(p)
-                yield (s, batch, kind, _pack(known[w], holders[w], doc[p], tf[p]), None)
-
-    return in_batches(block_rows)
-
-
-def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The values of ``keys``, by the sorted array ``known``; 0 for others."""
-    if not len(known):
-        return np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], 0)
-
-
-def answer(add: float):
-    """A shard's blocks to sums by document for each batch: log10 (c + add) of its tokens, known tokens, gain over the root."""
+def traverse(order: int, add: float, strengths: tuple[float, ...], total: int, distinct: int):
+    """A batch's tokens and answers to its documents' scores."""
+    size = total + add * (distinct + 1)
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        held: dict[str, list[tuple[int, list[np.ndarray]]]] = {}
-        model: dict[int, list[list[np.ndarray]]] = {COUNTED: [], FAIL: [], ARCS: []}
-        for _, batch, kind, data, ids in rows(iter(table.to_batches())):
-            if kind == HEAD:
-                out.append((batch, kind, data, ids))
-            elif kind in model:
-                model[kind].append(_unpack(data, COUNT_KINDS if kind == COUNTED else WEIGHT_KINDS))
-            else:
-                held.setdefault(batch, []).append((kind, _unpack(data, HELD_KINDS)))
-        part = {}
-        for kind, found in model.items():
-            keys, values = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.uint64) for k in range(2))
-            order = np.argsort(keys)
-            part[kind] = keys[order], values[order]
-        for batch, found in held.items():
-            n = 1 + max(int(f[2].max()) for _, f in found)
-            logs, known, gain, some = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
-            for kind, (keys, holders, doc, tf) in sorted(found, key=lambda f: f[0]):
-                spread = lambda x, holders=holders: np.repeat(x, holders)
-                some[doc] = True
-                gain += np.bincount(doc, spread(looked_up(keys, *part[FAIL if kind == WORDS else ARCS])) * tf, n)
-                if kind == WORDS:
-                    counts = looked_up(keys, *part[COUNTED])
-                    logs += np.bincount(doc, spread(np.log10(counts + add)) * tf, n)
-                    known += np.bincount(doc, spread(counts > 0) * tf, n)
-            at = np.flatnonzero(some)
-            out.append((batch, WORDS, _pack(at.astype("<u4"), logs[at], known[at].astype("<u4"), gain[at]), None))
-        return pa.Table.from_batches([record_batch(["batch", "kind", "data", "ids"], [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())], out)])
+        all_rows = list(rows(iter(table.to_batches())))
+        doc_ids, (vocabulary, ids, sizes, held) = next((r[4], _unpack(r[3], ["<u8", "<u4", "<u4", "u1"])) for r in all_rows if r[2] == TOKENS)
+        grams = Grams(vocabulary[ids], sizes, order)
+        answers = [_unpack(r[3], ["<u8"] * order) for r in sorted((r for r in all_rows if r[2] == ANSWER), key=lambda r: r[0])]
+        places = len(grams.text)
+        seen = []  # by order: the count of the n-gram that ends at a place, 0 where a text has none
+        for k in range(order):
+            counts = np.zeros(places)
+            counts[grams.at[k]] = np.concatenate([a[k] for a in answers])[grams.which[k]]
+            seen.append(counts)
+        # the end before a text is a context as often as texts have ends
+        start = np.concatenate([[True], grams.text[1:] != grams.text[:-1]])
+        ends = np.concatenate([start[1:], [True]])
+        as_context = [np.where(start, seen[0][ends][0], seen[0]), *seen[1:]]
+        root = (seen[0] + add) / size
+        low, failures = root, np.zeros(places)
+        for k in range(1, order):
+            context = np.zeros(places)
+            context[1:] = as_context[k - 1][:-1]
+            context[start] = 0
+            fail = strengths[k - 1] / (context + strengths[k - 1])  # 1 where there is no such state
+            low = seen[k] / (context + strengths[k - 1]) + fail * low
+            failures += (context > 0) & (seen[k] == 0)
+        mine, text = ~start, grams.text[~start]
+        first = np.searchsorted(text, np.arange(len(sizes)))
+        per_text = lambda x: np.add.reduceat(x[mine], first)
+        columns = [
+            pa.array(doc_ids, pa.int64()), pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(per_text((seen[0] > 0).astype(np.int64))),
+            pa.array(per_text(np.log10(root))), pa.array(per_text(np.log10(low))), pa.array(per_text(failures).astype(np.int64)),
+        ]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "failures"])
 
     return run
 
 
-def by_batch(table: pa.Table) -> pa.Table:
-    """A batch's answers added up: doc_id, held_out, n_tokens, n_known, logs, gain."""
-    all_rows = list(rows(iter(table.to_batches())))
-    ids, (sizes, held) = next((r[3], _unpack(r[2], HEAD_KINDS)) for r in all_rows if r[1] == HEAD)
-    logs, known, gain = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids))
-    for at, some_logs, some_known, some_gain in sorted((_unpack(r[2], ANSWER_KINDS) for r in all_rows if r[1] == WORDS), key=lambda x: (x[0].tobytes(), x[1].tobytes(), x[3].tobytes())):
-        logs[at] += some_logs
-        known[at] += some_known
-        gain[at] += some_gain
-    columns = [pa.array(ids, pa.int64()), pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(logs), pa.array(gain)]
-    return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "gain"])
-
-
-def score(docs: DataFrame, *, add: float = ADD, discount: float = DISCOUNT, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary."""
-    shards = partitions(docs.sparkSession)
+def score(docs: DataFrame, *, order: int = ORDER, add: float = ADD, strengths: tuple[float, ...] = STRENGTHS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, failures (failure arcs followed), vocabulary."""
+    shards = shards_for(docs)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    sent = texts.filter("NOT held_out").select("doc_id", "text").mapInArrow(counted_blocks(shards), BLOCK_SCHEMA)
-    counted = materialize(sent.groupBy("shard").applyInArrow(add_up(LEAST), BLOCK_SCHEMA), "lm-counts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
+    sent = texts.mapInArrow(send(order, shards, batch_chars), SCHEMA)
+    counted = materialize(sent.groupBy("shard").applyInArrow(add_up(order), SCHEMA), "lm-counts")
     totals = counted.filter(F.col("kind") == TOTALS).agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
     total, distinct = int(totals.n or 0), int(totals.v or 0)
-    size = total + add * (distinct + 1)
-
-    blocks = lambda kind: counted.filter(F.col("kind") == kind).select("data")
-    states = blocks(COUNTED).mapInArrow(unpacked(COUNT_KINDS, ["word", "c"]), "word long, c long").filter(F.col("c") >= max(float(LEAST), word_share * total))
-    pairs = blocks(PAIRS).mapInArrow(unpacked(PAIR_KINDS, ["v", "w", "n"]), "v long, w long, n long").filter(F.col("n") >= max(float(LEAST), pair_share * total))
-    arcs = materialize(pairs.join(states.select(F.col("word").alias("w"), F.col("c").alias("c_w")), "w"), "lm-arcs")
-    mass = arcs.groupBy("v").agg(F.sum(F.greatest(F.col("n") - discount, F.lit(0.0))).alias("mass"))
-    bow = F.greatest(1 - F.col("mass") / F.col("c"), F.lit(1e-12))
-    fails = materialize(mass.join(states.withColumnRenamed("word", "v"), "v").select("v", "c", bow.alias("bow")), "lm-fails")
-    root = (F.col("c_w") + add) / F.lit(size)
-    weight = F.log10(F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("c") / F.col("bow") / root + 1)
-    model = fails.select(F.log10("bow").alias("weight"), "v").mapInArrow(packed(FAIL, shards), BLOCK_SCHEMA)
-    model = model.unionAll(arcs.join(fails, "v").select(weight.alias("weight"), "v", "w").mapInArrow(packed(ARCS, shards), BLOCK_SCHEMA))
-    model = model.unionAll(counted.filter(F.col("kind") == COUNTED))
-    answered = model.unionAll(texts.mapInArrow(held_blocks(shards), BLOCK_SCHEMA)).groupBy("shard").applyInArrow(answer(add), "batch string, kind int, data binary, ids array<long>")
-    summed = answered.groupBy("batch").applyInArrow(by_batch, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, gain double")
-    base_score = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(size))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain")).alias("score"), F.lit(distinct).cast("long").alias("vocabulary"))
+    scored = counted.filter(F.col("kind") != TOTALS).groupBy("batch").applyInArrow(traverse(order, add, strengths, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, failures long")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "failures", F.lit(distinct).cast("long").alias("vocabulary"))
 
 
 def op9_lm(spark, sf_dir: str) -> DataFrame:

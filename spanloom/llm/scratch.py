@@ -29,3 +29,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shards_for(df: DataFrame, shard_bytes: int = 16 << 20) -> int:
+    """A number of hash shards for ``df``: the shuffle's partitions, or one for each ``shard_bytes`` of the table if these
+    are more, so that what one task holds of a shard doesn't grow with the table. From the plan's statistics; no job."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    fewest = partitions(df.sparkSession)
+    return max(fewest, -(-size // shard_bytes)) if size < 1 << 50 else fewest

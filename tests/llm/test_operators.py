@@ -408,56 +408,69 @@ def test_license_bands_guarantee():
     assert (1 - 1 / 6) ** bands <= 1e-4 < (1 - 1 / 6) ** (bands - 1)
 
 
-def test_lm(docs, none):
-    got = lm.score(docs, word_share=1e-3, pair_share=1e-4).collect()
-    data = [(r.doc_id, [w.encode().lower() for w in words(r.text)] + [b"\n"]) for r in docs.collect()]
-    held = lambda i: binascii.crc32(str(i).encode()) % 10 == 0
-    c = collections.Counter(w for i, t in data if not held(i) for w in t)
+def held_out(i):
+    return binascii.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+
+
+def backoff_by_hand(data, order=lm.ORDER, strengths=lm.STRENGTHS, add=0.1):
+    """(log10 of a token's probability after a context, counts of tokens) from plain dictionaries; a text begins after an end."""
+    train = [["", *t, ""] for i, t in data if not held_out(i)]
+    c = collections.Counter(w for t in train for w in t[1:])
+    grams = collections.Counter(tuple(t[i : i + k]) for t in train for k in range(2, order + 1) for i in range(len(t) - k + 1))
     n, v = sum(c.values()), len(c)
-    base = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-    same_rows([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], [(i, held(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(map(base, t)), 6)) for i, t in data])
-    # the automaton by hand
-    states = {w for w in c if c[w] >= max(2, 1e-3 * n)}
-    pairs = collections.Counter(p for i, t in data if not held(i) for p in zip([b"\n", *t], t, strict=False) if p[0] in states and p[1] in states)
-    arcs = {p: k for p, k in pairs.items() if k >= max(2.0, 1e-4 * n)}
-    bow = {s: 1 - sum((k - 0.75) / c[s] for (a, _), k in arcs.items() if a == s) for s in states}
-
-    def prob(before, w):
-        root = 10 ** base(w)
-        return root if before not in states else max(arcs.get((before, w), 0) - 0.75, 0) / c[before] + bow[before] * root
-
-    total = lambda t: sum(math.log10(prob(a, w)) for a, w in zip([b"\n", *t], t, strict=False))
-    same_rows([(r.doc_id, round(r.score, 5)) for r in got], [(i, round(total(t), 5)) for i, t in data])
-    for s in list(states)[:5]:
-        assert sum(prob(s, w) for w in c) + bow[s] * 0.1 / (n + 0.1 * (v + 1)) == pytest.approx(1)
+
+    def of_context(h):
+        return c[h[0]] if len(h) == 1 else grams[h]
+
+    def prob(context, w):
+        if not context:
+            return (c[w] + add) / (n + add * (v + 1))
+        lower, s = prob(context[1:], w), strengths[len(context) - 1]
+        return lower if not of_context(context) else (grams[(*context, w)] + s * lower) / (of_context(context) + s)
+
+    return prob, c
+
+
+def by_hand(prob, t, order=lm.ORDER):
+    s = ["", *t, ""]
+    return sum(math.log10(prob(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
+
+
+def test_lm(docs, none):
+    data = [(r.doc_id, ["".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in w) for w in words(r.text)]) for r in docs.collect()]
+    prob, c = backoff_by_hand(data)
+    n = sum(c.values())
+    expected = [(i, held_out(i), len(t) + 1, sum(c[w] > 0 for w in [*t, ""]), n, round(sum(math.log10(prob((), w)) for w in [*t, ""]), 6), round(by_hand(prob, t), 6)) for i, t in data]
+    for batch_chars in (lm.BATCH_CHARS, 4000):  # in small batches n-grams meet only in the shards
+        got = lm.score(docs, batch_chars=batch_chars).collect()
+        same_rows([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got], expected)
     assert lm.score(none).count() == 0
 
 
-def test_lm_keeps_every_repeated_pair(spark):
+def test_lm_is_a_distribution():
     r = random.Random(9)
-    data = [(i, " ".join(r.choice("abcdefghij") * 2 + str(r.randint(0, 30)) for _ in range(5000))) for i in range(60)]
-    data += [(100 + i, f"{r.choice('abc')}x rare pair only twice") for i in range(2)] + [(200, "rare pair"), (201, "pair rare")]
-    held = lambda i: binascii.crc32(str(i).encode()) % 10 == 0
-    assert not any(held(i) for i in (100, 101, 200, 201))
-    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
-    train = [["", *t.split(), ""] for i, t in data if not held(i)]
-    c, k = collections.Counter(w for t in train for w in t[1:]), collections.Counter(p for t in train for p in zip(t, t[1:], strict=False))
-    n, v = sum(c.values()), len(c)
-    out = collections.defaultdict(float)
-    for (a, _), m in k.items():
-        out[a] += m - 0.75 if m >= 2 else 0
-    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def log(a, w):
-        arc = (k[a, w] - 0.75) / c[a] if k[a, w] >= 2 else 0
-        return math.log10(arc + (1 - out[a] / c[a] if c[a] >= 2 else 1) * root(w))
-
-    for i, t in data:
-        s = ["", *t.split(), ""]
-        assert got[i].score == pytest.approx(sum(log(a, w) for a, w in zip(s, s[1:], strict=False)), abs=1e-6)
-    # 'rare' and 'pair' stand four times among more than 200,000 tokens
-    assert n > 200_000 and c['rare'] == 4
-    assert got[200].score > got[201].score
+    data = [(i, [r.choice("abcdef") for _ in range(r.randint(0, 30))]) for i in range(50)]
+    prob, c = backoff_by_hand(data)
+    for context in [("",), ("a",), ("", "a"), ("a", "b"), ("x", "a"), ("x",)]:
+        assert sum(prob(context, w) for w in c) + prob(context, "unseen") == pytest.approx(1)
+
+
+def test_lm_predicts_held_out_texts(spark):
+    """Texts of a second-order source: unseen texts are far likelier than under the words' frequencies; rare pairs count."""
+    r = random.Random(2)
+    follow = {(a, b): r.sample(range(40), 3) for a in range(40) for b in range(40)}
+
+    def text():
+        t = [0, 1]
+        while len(t) < 200:
+            t.append(r.choice(follow[t[-2], t[-1]]))
+        return " ".join(f"w{x}" for x in t)
+
+    data = [(i, text()) for i in range(400)] + [(1000 + i, "rare pair" if i % 2 else "once here") for i in range(2)]
+    got = lm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    mean = lambda c: sum(x[c] for x in got if x.held_out) / sum(x.n_tokens for x in got if x.held_out)
+    assert mean("score") > mean("base_score") + 0.4
+    assert all(x.score > x.base_score for x in got if x.doc_id >= 1000 and not x.held_out)
 
 
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
