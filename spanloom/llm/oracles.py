@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import quality
+from spanloom.llm import licenses, quality, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -60,7 +60,57 @@ cnt AS (SELECT n.node, any_value(n.copies) - 1 + coalesce(sum(m.copies), 0) AS c
 SELECT t.doc_id, CASE WHEN t.doc_id IS NOT NULL THEN coalesce(class_id, t.doc_id) END AS class_id, CAST(CASE WHEN t.doc_id IS NOT NULL THEN coalesce(cnt.c, 0) ELSE 0 END AS BIGINT) AS n_links
 FROM t LEFT JOIN n ON n.k = array_to_string(t.w, ' ') AND t.doc_id IS NOT NULL LEFT JOIN class ON class.node = n.node LEFT JOIN cnt ON cnt.node = n.node"""
 
+def licenses_sql() -> str:
+    """Every window of every text against every template, by the shingles they share."""
+    import math
+    import re
+
+    rows = []
+    for number, (name, text) in enumerate(licenses.TEMPLATES):
+        t = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        k = licenses.SHINGLE if len(t) >= licenses.LONG else licenses.SHORT_SHINGLE
+        grams = {" ".join(t[i : i + k]) for i in range(len(t) - k + 1)}
+        rows += [f"('{name}', {number}, {len(t)}, {k}, {math.ceil(licenses.CONTAIN * len(grams))}, '{g}')" for g in sorted(grams)]
+    return rf"""
+WITH tpl(name, id, n, k, need, g) AS (VALUES {", ".join(rows)}),
+t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+p AS (SELECT r, t, unnest(range(0, len(t) - 2)) AS p FROM t),
+g AS (SELECT r, p, 3 AS k, array_to_string(t[p+1:p+3], ' ') AS g FROM p UNION ALL SELECT r, p, 5, array_to_string(t[p+1:p+5], ' ') FROM p WHERE p + 5 <= len(t)),
+hit AS (SELECT r, p, tpl.* FROM g JOIN tpl ON g.g = tpl.g AND g.k = tpl.k),
+win AS (SELECT *, unnest([p // n, p // n - 1]) AS j FROM hit),
+found AS (SELECT DISTINCT r, name FROM (SELECT r, id, name, j, need, count(DISTINCT g) AS c FROM win WHERE j >= 0 AND p >= j * n AND p + k <= j * n + 2 * n GROUP BY ALL) WHERE c >= need)
+SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, count(name) AS n_licenses FROM t LEFT JOIN found USING (r) GROUP BY r, doc_id"""
+
+
+def secrets_sql() -> str:
+    """Matches with their places, owners of values by different texts, and the spans that stay."""
+    kinds = [(name, pattern, group, f"length(v) >= {least}") for name, pattern, group, least in secrets.KINDS]
+    run = "(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') OR length(v) >= 24 AND regexp_full_match(v, '[A-Z0-9]+') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]'))"
+    digits = "list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(reverse(v)[i] AS INTEGER) > 4 THEN CAST(reverse(v)[i] AS INTEGER) * 2 - 9 ELSE CAST(reverse(v)[i] AS INTEGER) * 2 END ELSE CAST(reverse(v)[i] AS INTEGER) END)"
+    kinds += [("mixed", "[A-Za-z0-9+/_-]{16,}", 0, run)]
+    kinds += [("card", "[A-Za-z0-9]{13,}", 0, f"CASE WHEN regexp_full_match(v, '[0-9]{{13,19}}') THEN len(list_distinct(string_split(v, ''))) >= 3 AND list_sum({digits}) % 10 = 0 ELSE false END")]
+    parts = []
+    for number, (name, pattern, group, keep) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"SELECT r, {number} AS kn, '{name}' AS kind, a, a + length(m) AS b, v FROM (SELECT r, v[i] AS v, m[i] AS m, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (SELECT r, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, string_split_regex(text, '{quoted}') AS g, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS v FROM t WHERE regexp_matches(text, '{quoted}')))) WHERE {keep}")
+    n = len(secrets.KINDS)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source, lang FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+base AS (SELECT * FROM s WHERE kn < {n}),
+c AS (SELECT * FROM base UNION ALL SELECT * FROM s x WHERE kn >= {n} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.a < x.b AND x.a < b.b)),
+own AS (SELECT v, t.text, min(source || chr(1) || lang) AS repository FROM c JOIN t USING (r) GROUP BY ALL),
+copied AS (SELECT v FROM own GROUP BY v HAVING count(DISTINCT split_part(repository, chr(1), 1)) > {secrets.MAX_OWNERS} OR count(DISTINCT repository) > {secrets.MAX_REPOSITORIES} OR count(*) > {secrets.MAX_TEXTS}),
+j AS (SELECT c.*, copied.v IS NULL AS live FROM c LEFT JOIN copied ON copied.v = c.v)
+SELECT doc_id, count(*) FILTER (WHERE kn = 0) AS n_assign, count(*) FILTER (WHERE kn = 1) AS n_access, count(*) FILTER (WHERE kn = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, kn) FILTER (WHERE kn < {n}), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, kn) FILTER (WHERE kn < {n} OR live), '') AS spans, count(*) FILTER (WHERE live) AS n_live
+FROM t LEFT JOIN j USING (r) GROUP BY r, doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": licenses_sql(),
+    "op10_secrets": secrets_sql(),
     "op6_near": NEAR,
     "op5_quality": quality_sql(),
     "op1_substrings": f"""

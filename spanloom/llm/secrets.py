@@ -5,17 +5,22 @@ Native: DataFrame and SQL functions only.
 Places: a text is split at a pattern's matches and the matches are extracted; the lengths of the gaps and matches, summed
 from the left, give each match's start in code points. Texts without a candidate skip this.
 
-Base kinds (they always stay): ``assign``, ``access``, ``hex``. The method looks at values of a fourth, wide pattern,
-``mixed`` (unbroken runs of 16 and more of ``[A-Za-z0-9+/_-]`` that hold a digit, an upper- and a lower-case letter and
-lie in no base span). Every candidate value, base or mixed, is hashed; over the whole corpus the hash's distinct
+Base kinds (they always stay): ``assign``, ``access``, ``hex``. The method looks at values of two more kinds that lie in
+no base span: ``mixed`` (whole runs of ``[A-Za-z0-9+/_-]``: 16 and more with a digit, an upper- and a lower-case letter, or
+24 and more of upper-case letters and digits, both) and ``card`` (whole numbers of 13 to 19 digits, three different ones at
+least, with a right check digit). Every candidate value, base or not, is hashed; over the whole corpus its distinct texts,
 repositories (``source``, ``lang``) and owners (``source``) are counted. With ``by_text`` (the query has it) copies of one
 text count once, as their least repository: a text mirrored by many sources has one owner. A value with more than
-``max_owners`` owners or ``max_repositories`` repositories is a widely copied example; any other looks live. The
-method adds the spans of live-looking mixed values; base spans carry the same judgement in ``n_live``.
+``max_owners`` owners, ``max_repositories`` repositories or ``max_texts`` different texts is a widely copied example; any
+other looks live. The method adds the spans of live-looking values; base spans carry the same judgement in ``n_live``.
 
-Candidate values are aggregated partially in each task before the shuffle (distinct value, source, lang first), so a
-value that a third of all rows copy is one row a task. Null text: empty. Null source or lang counts as one owner of its
-own. Repeated rows are scanned each by itself. An empty table gives an empty result.
+Candidate values are aggregated partially in each task before the shuffle (distinct value, text and repository first, then
+texts a repository), so a value that a third of all rows copy is spread over its texts and then one row a repository. The
+list of copied values is joined to the candidates alone; a hot value there is split by the engine's skew join.
+
+Null text: empty. Null source or lang counts as one owner of its own. Repeated rows are scanned each by itself. Ties: spans
+with one start go by kind. Very long texts are scanned whole. Other columns, whatever their names, are ignored by ``scan``
+and kept by ``redact``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +37,26 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-MIXED = ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,}", 0, 16)
-MAX_OWNERS, MAX_REPOSITORIES = 2, 3
+#: What the method adds; which card numbers count is in luhn().
+ADDED = (
+    ("mixed", r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,}|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{24,}+(?![a-z+/_-]))", 0, 16),
+    ("card", r"(?<![A-Za-z0-9])[0-9]{13,19}(?![A-Za-z0-9])", 0, 13),
+)
+MAX_OWNERS, MAX_REPOSITORIES, MAX_TEXTS = 2, 3, 25
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
+def luhn(number: Column) -> Column:
+    """Whether a number's check digit is right and it has three different digits at least."""
+
+    def right(digits: Column) -> Column:
+        twice = lambda d: F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
+        parts = F.transform(digits, lambda d, i: F.when(i % 2 == 1, twice(d.cast("int"))).otherwise(d.cast("int")))
+        return (F.size(F.array_distinct(digits)) >= 3) & (F.aggregate(parts, F.lit(0), lambda a, x: a + x) % 10 == 0)
+
+    return let(F.filter(F.split(F.reverse(number), ""), lambda d: d != ""), right)
+
+
 def spans_of(text: Column, number: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches, as start, end (code points), kind's number and value; short values dropped."""
 
@@ -56,45 +76,46 @@ def spans_of(text: Column, number: int, pattern: str, group: int, least: int) ->
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``mixed``: arrays of spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[spans_of(text, i, p, g, n) for i, (_, p, g, n) in enumerate(KINDS)])
-    out = docs.withColumn("base", F.array_sort(base)).withColumn("mixed", spans_of(text, len(KINDS), *MIXED[1:]))
-    return out.withColumn("mixed", F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    """``docs`` with ``base`` and ``more``: arrays of spans."""
+    text, n = F.coalesce(F.col("text"), F.lit("")), len(KINDS)
+    base = F.concat(*[spans_of(text, i, p, g, least) for i, (_, p, g, least) in enumerate(KINDS)])
+    mixed, card = (spans_of(text, n + i, p, g, least) for i, (_, p, g, least) in enumerate(ADDED))
+    out = docs.withColumn("base", F.array_sort(base)).withColumn("more", F.concat(mixed, F.filter(card, lambda s: luhn(s["value"]))))
+    return out.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
 
-def owners(found: DataFrame, *, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, by_text: bool = False) -> DataFrame:
-    """``value_hash`` of the widely copied values: those of many distinct owners or repositories."""
-    values = found.select(F.explode(F.concat("base", "mixed")).alias("s"), "source", "lang", "text_hash").select(F.xxhash64("s.value").alias("value_hash"), "text_hash", F.struct("source", "lang").alias("repository"))
+def owners(found: DataFrame, *, by_text: bool = False) -> DataFrame:
+    """value_hash, n_texts, n_repositories, n_owners of every candidate value."""
+    values = found.select(F.explode(F.concat("base", "more")).alias("s"), "source", "lang", "text_hash").select(F.xxhash64("s.value").alias("value_hash"), "text_hash", F.struct("source", "lang").alias("repository"))
     if by_text:
         values = values.groupBy("value_hash", "text_hash").agg(F.min("repository").alias("repository"))
-    values = values.select("value_hash", F.struct("repository.source").alias("owner"), "repository").distinct()
-    counted = values.groupBy("value_hash").agg(F.countDistinct("owner").alias("n_owners"), F.count("repository").alias("n_repositories"))
-    return counted.filter((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories)).select("value_hash")
+    by = values.distinct().groupBy("value_hash", "repository").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("value_hash").agg(F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_repositories"), F.countDistinct(F.struct("repository.source")).alias("n_owners"))
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, by_text: bool = False) -> DataFrame:
-    """A row for each row of ``docs``: key, base, mixed (live-looking only) and live (all live-looking) spans."""
+def scan(docs: DataFrame, *, key: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, max_texts: int = MAX_TEXTS, by_text: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: key, base, more (live-looking only) and live (all live-looking) spans."""
     found = materialize(find(docs.select(key, "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))).drop("text"), "secret-spans")
-    some = found.filter((F.size("base") > 0) | (F.size("mixed") > 0)).withColumn("_row", F.monotonically_increasing_id())
+    some = found.filter((F.size("base") > 0) | (F.size("more") > 0)).withColumn("_row", F.monotonically_increasing_id())
     some = materialize(some, "secret-rows")
-    copied = owners(some, max_owners=max_owners, max_repositories=max_repositories, by_text=by_text).withColumn("_copied", F.lit(True))
+    counted = owners(some, by_text=by_text).filter((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories) | (F.col("n_texts") > max_texts))
+    copied = counted.select("value_hash", F.lit(True).alias("_copied"))
     judged = (
-        some.select("_row", F.explode(F.concat("base", "mixed")).alias("s"))
+        some.select("_row", F.explode(F.concat("base", "more")).alias("s"))
         .withColumn("value_hash", F.xxhash64("s.value"))
         .join(copied, "value_hash", "left")
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.when(F.col("_copied").isNull(), F.col("s")))).alias("live"))
     )
     n = len(KINDS)
-    with_live = some.join(judged, "_row").select(key, "base", F.filter("live", lambda s: s["kind"] == n).alias("mixed"), "live")
-    none = found.filter((F.size("base") == 0) & (F.size("mixed") == 0)).select(key, "base", "mixed", F.col("mixed").alias("live"))
+    with_live = some.join(judged, "_row").select(key, "base", F.filter("live", lambda s: s["kind"] >= n).alias("more"), "live")
+    none = found.filter((F.size("base") == 0) & (F.size("more") == 0)).select(key, "base", "more", F.col("more").alias("live"))
     return with_live.unionAll(none)
 
 
 def joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
-    names = F.array(*[F.lit(k[0]) for k in (*KINDS, MIXED)])
+    names = F.array(*[F.lit(k[0]) for k in (*KINDS, *ADDED)])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["kind"].alias("b"), s["end"].alias("c"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["b"]), s["a"].cast("string"), s["c"].cast("string"))), ",")
 
@@ -126,4 +147,4 @@ def redact(docs: DataFrame, *, mark: str = "[secret]", **options) -> DataFrame:
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_text=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "mixed")).alias("spans"), F.size("live").cast("long").alias("n_live"))
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), F.size("live").cast("long").alias("n_live"))
