@@ -31,9 +31,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def table_bytes(df: DataFrame) -> int:
+    """About how large ``df`` is, from its plan's statistics, so without a job. 0 for a plan without usable ones."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 55 else 0
+
+
 def shards_for(df: DataFrame, shard_bytes: int = 16 << 20) -> int:
     """A number of hash shards for ``df``: the shuffle's partitions, or one for each ``shard_bytes`` of the table if these
-    are more, so that what one task holds of a shard doesn't grow with the table. From the plan's statistics; no job."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    fewest = partitions(df.sparkSession)
-    return max(fewest, -(-size // shard_bytes)) if size < 1 << 50 else fewest
+    are more, so that what a task holds of a shard doesn't grow with the table."""
+    return max(partitions(df.sparkSession), -(-table_bytes(df) // shard_bytes))
+
+
+def hash_bits(df: DataFrame) -> int:
+    """Bits of a hash that tells the table's n-grams apart: one of them falls together with another with a chance of about
+    2 ** -13 at every size, as 2 ** 13 hashes stand against each byte; 40 at least."""
+    size = table_bytes(df)
+    return min(64, max(40, size.bit_length() + 13)) if size else 64
