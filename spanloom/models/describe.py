@@ -1,20 +1,17 @@
-"""Descriptions of clusters and labels of outputs."""
+"""Descriptions of clusters."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.errors import BudgetExceeded, SpanloomError
-from spanloom.models.ask import ask
+from spanloom.models.asking import Question, ask_each
 from spanloom.models.budget import Budget
 from spanloom.models.ports import TextClient
 
-TEXTS, CHARS, LEAST_AGREEMENT = 20, 600, 0.7
-DESCRIBE = "The user gives outputs of one cluster. Say in one sentence what they are (description) and what exactly they share (in_common)."
-LABEL = "The user gives an output and the allowed labels. Answer with the label that fits it."
+TEXTS, CHARS = 20, 600
+TEXT = {"type": "string"}
+DESCRIBE = Question("cluster_description", "These texts were put together because they resemble each other. Name the kind of text (description) and the feature that all of them have (in_common), each in a sentence.", {"description": TEXT, "in_common": TEXT})
 
 
 def spread(df: DataFrame, keys: list[str], *order: str, n: int = TEXTS) -> DataFrame:
@@ -25,60 +22,19 @@ def spread(df: DataFrame, keys: list[str], *order: str, n: int = TEXTS) -> DataF
     return numbered.filter((F.col("_n") <= n) | ((place < n) & (F.floor(place * F.col("_n") / n) == F.col("_k")))).drop("_k", "_n")
 
 
-def describe_clusters(clustered: DataFrame, keys: list[str], client: TextClient, budget: Budget, *, known: Sequence = ()) -> tuple[list[dict], list[str]]:
-    """Descriptions of the clusters that aren't ``known`` (tuples of keys and cluster), largest first, and notes.
-
-    ``clustered``: keys, cluster, span_id, start_time, text. Texts are shortened only for the question. A spent budget
-    ends the stage; what was described until then is returned.
-    """
-    group = [*keys, "cluster"]
-    mine = clustered.filter("cluster >= 0")
-    sizes = mine.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    texts = spread(mine, group, "start_time", "span_id").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("start_time", "span_id", F.substring("text", 1, CHARS).alias("text")))).alias("rows"))
-    todo = [r for r in sizes.join(texts, group).orderBy(F.col("size").desc(), *group).collect() if tuple(r[g] for g in group) not in set(known)]
-    done, notes = [], []
-    for at, r in enumerate(todo):
-        try:
-            answer, error = ask(client, "cluster_description", DESCRIBE, {"items": [x.text for x in r.rows]}, {"description": {"type": "string"}, "in_common": {"type": "string"}}, budget)
-        except BudgetExceeded as spent:
-            notes.append(f"stopped with {len(todo) - at} clusters left: {spent}")
-            break
-        if error:
-            notes.append(f"cluster {r.cluster}: {error}")
-        else:
-            done.append({g: r[g] for g in group} | {"size": r.size, "description": str(answer["description"]), "in_common": str(answer["in_common"])})
-    return done, notes
+def cluster_samples(rows: DataFrame) -> DataFrame:
+    """cluster_id, size, data (JSON of up to 20 texts, shortened) of each cluster of ``rows`` (cluster_id, span_id, start_time, text)."""
+    mine = rows.filter("cluster_id IS NOT NULL")
+    sizes = mine.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    some = spread(mine, ["cluster_id"], "start_time", "span_id").groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("start_time", "span_id", F.substring("text", 1, CHARS).alias("text")))).alias("s"))
+    return some.join(sizes, "cluster_id").select("cluster_id", "size", F.to_json(F.struct(F.transform("s", lambda x: x["text"]).alias("items"))).alias("data"))
 
 
-def label_outputs(outputs: DataFrame, labels: Sequence[str], client: TextClient, budget: Budget, *, human: Mapping[str, str], force: bool = False) -> tuple[dict[str, str], float | None, list[str]]:
-    """Labels by span_id, the share of ``human`` labels (by span_id) that the model gives too, and notes.
+def describe_clusters(rows: DataFrame, known: DataFrame, client: TextClient, budget: Budget, notes: list[str], trace=None) -> list[tuple[str, str, str]]:
+    """(cluster_id, description, in_common) of the clusters that ``known`` (cluster_id) lacks, the largest first.
 
-    The model first labels the outputs that people have labelled; below 70% agreement the rest is refused without
-    ``force``. Outputs are read from Spark one at a time.
+    Clusters are some fifty a step, so their samples come to the driver one by one, not as a whole.
     """
-    found: dict[str, str] = {}
-    notes: list[str] = []
-
-    def add(rows) -> bool:
-        for r in rows:
-            try:
-                answer, error = ask(client, "label", LABEL, {"output": r.text, "labels": [*labels]}, {"label": {"type": "string", "enum": [*labels]}}, budget)
-            except BudgetExceeded as spent:
-                notes.append(f"stopped after {len(found)} labels: {spent}")
-                return False
-            if error or answer["label"] not in labels:
-                notes.append(f"{r.span_id}: {error or answer['label']}")
-            else:
-                found[r.span_id] = answer["label"]
-        return True
-
-    judged = F.col("span_id").isin(*human) if human else F.lit(False)
-    rows = outputs.select("span_id", "text")
-    going = add(rows.filter(judged).orderBy("span_id").toLocalIterator())
-    both = [k for k in human if k in found]
-    agreement = sum(found[k] == human[k] for k in both) / len(both) if both else None
-    if not force and (agreement is None or agreement < LEAST_AGREEMENT):
-        raise SpanloomError(f"the model agrees with people on {'no output' if agreement is None else f'{agreement:.0%}'}; {LEAST_AGREEMENT:.0%} are needed")
-    if going:
-        add(rows.filter(~judged).orderBy("span_id").toLocalIterator())
-    return found, agreement, notes
+    todo = cluster_samples(rows).join(known.select("cluster_id"), "cluster_id", "left_anti").orderBy(F.col("size").desc(), "cluster_id")
+    asked = ask_each(todo.toLocalIterator(), lambda r: r.data, DESCRIBE, client, budget, notes, trace)
+    return [(r.cluster_id, str(v["description"]), str(v["in_common"])) for r, v in asked]

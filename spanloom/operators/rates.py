@@ -1,35 +1,82 @@
-"""One conditional aggregation for all rates of a table, then one row for each group and metric."""
+"""What detectors answer with, and one conditional aggregation for all rates of a table."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVIDENCE = 20
 
 
+@dataclass(frozen=True)
+class Found:
+    """``rows``: keys, metric, hits, total, value, baseline, severity, category, first_seen, last_seen and details, a row
+    for each finding. ``hits``: keys, metric, span_id, run_id, start_time, the rows behind them (lazy, never collected)."""
+
+    rows: DataFrame
+    hits: DataFrame
+    keys: tuple[str, ...]
+
+    def affected(self) -> DataFrame:
+        """``hits`` of the findings alone."""
+        return self.hits.join(F.broadcast(self.rows.select(*self.keys, "metric").alias("_f")), same(self.hits, [*self.keys, "metric"]), "left_semi")
+
+
+def same(df: DataFrame, keys: list[str], other: str = "_f") -> Column:
+    """Null-safe equality of ``df``'s keys with those of a frame aliased ``other``."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(F.col(f"{other}.{k}"))
+    return on
+
+
+@dataclass(frozen=True)
+class Rate:
+    """A share of rows. It is a finding from ``least`` on, with ``min_affected`` hits or more."""
+
+    name: str
+    hit: Column
+    least: float = 0.01
+    high: float = 0.2
+    medium: float = 0.05
+    category: str = "reliability"
+    min_affected: int = 3
+
+
 def severity(rate: Column, high: float = 0.2, medium: float = 0.05) -> Column:
     return F.when(rate >= high, "high").when(rate >= medium, "medium").otherwise("low")
 
 
-def rate_rows(df: DataFrame, keys: list[str], metrics: dict[str, tuple[Column, float, float, float]], *, min_affected: int = 3) -> DataFrame:
-    """keys, metric, hits, total, value, severity, first_seen, last_seen.
+def rates(df: DataFrame, keys: list[str], metrics: list[Rate], **details: Column) -> Found:
+    """All metrics of a table in one pass with partial aggregation; only groups remain after the shuffle.
 
-    ``metrics``: name to (condition, least rate, high, medium). All metrics of a table are counted in one pass with
-    partial aggregation; only groups remain after the shuffle. A null condition is no hit.
+    A null condition is no hit. ``details``: further aggregates of a group.
     """
-    aggregates = [F.count(F.lit(1)).alias("total")]
-    for name, (hit, *_) in metrics.items():
-        mine = F.when(hit, F.col("start_time"))
-        aggregates += [F.count_if(F.coalesce(hit, F.lit(False))).alias(f"_h_{name}"), F.min(mine).alias(f"_f_{name}"), F.max(mine).alias(f"_l_{name}")]
-    rows = [
-        F.struct(F.lit(name).alias("metric"), F.col(f"_h_{name}").alias("hits"), F.col(f"_f_{name}").alias("first_seen"), F.col(f"_l_{name}").alias("last_seen"), F.lit(least).alias("least"), F.lit(high).alias("high"), F.lit(medium).alias("medium"))
-        for name, (_, least, high, medium) in metrics.items()
-    ]
-    out = df.groupBy(*keys).agg(*aggregates).withColumn("_m", F.explode(F.array(*rows))).select(*keys, "total", "_m.*")
-    value = F.col("hits") / F.col("total")
-    level = F.when(value >= F.col("high"), "high").when(value >= F.col("medium"), "medium").otherwise("low")
-    return out.withColumn("value", value).filter((F.col("hits") >= min_affected) & (F.col("value") >= F.col("least"))).select(*keys, "metric", "hits", "total", "value", level.alias("severity"), "first_seen", "last_seen")
+    aggregates = [F.count(F.lit(1)).alias("total"), *[c.alias(n) for n, c in details.items()]]
+    for r in metrics:
+        mine = F.when(r.hit, F.col("start_time"))
+        aggregates += [F.count_if(F.coalesce(r.hit, F.lit(False))).alias(f"_h_{r.name}"), F.min(mine).alias(f"_f_{r.name}"), F.max(mine).alias(f"_l_{r.name}")]
+    fired = []
+    for r in metrics:
+        value = F.col(f"_h_{r.name}") / F.col("total")
+        row = F.struct(
+            F.lit(r.name).alias("metric"),
+            F.col(f"_h_{r.name}").alias("hits"),
+            value.alias("value"),
+            severity(value, r.high, r.medium).alias("severity"),
+            F.lit(r.category).alias("category"),
+            F.col(f"_f_{r.name}").alias("first_seen"),
+            F.col(f"_l_{r.name}").alias("last_seen"),
+        )
+        fired.append(F.when((F.col(f"_h_{r.name}") >= r.min_affected) & (value >= r.least), row))
+    rows = df.groupBy(*keys).agg(*aggregates).withColumn("_m", F.explode(F.array_compact(F.array(*fired))))
+    hit = F.array_compact(F.array(*[F.when(r.hit, F.lit(r.name)) for r in metrics]))
+    hits = df.select(*keys, F.explode(hit).alias("metric"), "span_id", "run_id", "start_time")
+    return Found(rows.select(*keys, "total", *details, "_m.*", F.lit(0.0).alias("baseline")), hits, tuple(keys))
+
+
 
 
 def evidence(df: DataFrame, keys: list[str], limit: int = EVIDENCE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +33,19 @@ class StoreReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pathlib import Path
 
-        top = Path(self.path)
-        return [InputPartition(str(p)) for p in ([top] if top.is_file() else sorted(top.rglob("spans.db")))]
+        top = Path(self.path.removeprefix("file:"))
+        found = [top] if top.is_file() else sorted(top.rglob("spans.db"))
+        if not found:
+            raise ValueError(f"no spans.db at {top}: the driver and all executors must see the folder")
+        return [InputPartition(str(p)) for p in found]
 
     def read(self, partition) -> Iterator[tuple]:
         import json
         import sqlite3
+        from pathlib import Path
 
+        if not Path(partition.value).is_file():
+            raise ValueError(f"{partition.value} is not there on this executor: span stores must lie in a folder that all share")
         with sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True) as db:
             version = db.execute("SELECT value FROM meta WHERE key LIKE '%schema_version'").fetchone()
             if not version or str(version[0]) != "1":
@@ -64,9 +71,11 @@ class StoreReader(DataSourceReader):
         return json.loads(text) if found["mime"] == "application/json" else text
 
 
-def span_store(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:
+def span_store(spark: SparkSession, path: str, *, since: str | dt.datetime | None = None) -> DataFrame:
     """Raw spans of one ``spans.db``, or of every one below a folder that all executors can see."""
     spark.dataSource.register(SpanStore)
+    if isinstance(since, dt.datetime):
+        since = since.astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{since.microsecond // 1000:03}Z"
     reader = spark.read.format("spanstore")
     raw = (reader.option("since", since) if since else reader).load(path)
     text = raw.select(F.from_json("span", "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time timestamp, end_time timestamp, status_code string, status_message string, attributes string, events string, resource string, links string").alias("s")).select("s.*")

@@ -14,11 +14,21 @@ def ingest_stream(workspace: Workspace, folder: str, checkpoint: str) -> Streami
     """Read the span lines that are new in ``folder`` since the checkpoint, then stop.
 
     Late spans of a known trace have its derived rows made anew; a span id that is stored is never stored again, which no
-    watermark could promise.
+    watermark could promise. A stream can't go back to a file, so lines that are no span (no JSON, or without an id, a
+    name or a start) are written to ``rejected`` in the workspace instead of stopping it.
     """
     lines = workspace.spark.readStream.text(folder)
-    spans = lines.select(F.from_json("value", SPAN).alias("s")).select("s.*")
-    return spans.writeStream.foreachBatch(lambda df, _: workspace.ingest(df) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spans = lines.select("value", F.from_json("value", SPAN).alias("s"))
+    missing = [F.col(f"s.{c}").isNull() for c in ("trace_id", "span_id", "name", "start_time")]
+    bad = missing[0] | missing[1] | missing[2] | missing[3]
+
+    def take(df: DataFrame, number: int) -> None:
+        rejected = df.filter(bad & (F.trim("value") != "")).select("value")
+        if not rejected.isEmpty():
+            rejected.write.mode("overwrite").text(f"{workspace.path}/rejected/{number}")
+        workspace.ingest(df.filter(~bad).select("s.*"))
+
+    return spans.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rates_by_window(calls: DataFrame, *, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,21 +1,26 @@
 """Sources, derivation, detectors, findings and the workspace on planted spans; statistics against plain Python."""
 
+import datetime as dt
 import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import findings as fs
-from spanloom.errors import SourceError
+from spanloom.errors import SourceError, SpanloomError
 from spanloom.functions import stats
-from spanloom.operators import vectors
-from spanloom.plans.derive import depths, derive
+from spanloom.operators import detectors, vectors
+from spanloom.plans.derive import depths, derive, step_ancestors
 from spanloom.plans.normalize import normalize
 from spanloom.schemas import SPAN
+from spanloom.sources import registry
 from spanloom.sources.registry import open_source
-from spanloom.streaming.ingest import ingest_stream
+from spanloom.streaming.ingest import ingest_stream, rates_by_window
+from spanloom.testing.contracts import check_embedder, check_replayer, check_rerunner, check_source, check_text_client
+from spanloom.testing.fakes import FakeEmbedder, FakeHistory, FakeReplayer, FakeSource, FakeStepRerunner, FakeTextClient
 from spanloom.workspace import Workspace
 
 
@@ -45,15 +50,19 @@ def test_workspace(spark, folder):
     assert ws.ingest(f"jsonl:{folder}/in") == 90
     assert ws.ingest(f"jsonl:{folder}/in") == 0
     assert {n: ws.table(n).count() for n in ("calls", "steps", "outputs", "run_calls")} == {"calls": 85, "steps": 4, "outputs": 80, "run_calls": 1}
-    by = {f.metric: f for f in ws.analyze("w")}
+    by = {f.metric: f for f in ws.analyze("w", stages=("stats",))}
     assert not ws.notes
     assert by["error_rate"].affected == 8 and by["error_rate"].total == 80 and by["error_rate"].severity == "medium"
     assert by["retry_rate"].affected >= 20 and by["truncation_rate"].affected == 10
     assert by["capability_error_rate"].severity == "high" and by["same_family_judge_share"].scope["scorer"] == "judge"
-    same = {f.key: f.id for f in ws.analyze("w")}
-    assert same == {f.key: f.id for f in by.values()} | same and len(same) == len(ws.findings())
+    report = ws.analyze("w")
+    same = {f.key: f.id for f in report}
+    assert same == {f.key: f.id for f in by.values()} | same and len(same) == len(ws.findings()) and report.notes == ["no embedder: outputs were not analyzed"]
     one = by["truncation_rate"]
-    ws.set_status(one.id, "dismissed")
+    assert len(one.evidence) == one.affected == ws.affected(one.id).count() and {r["span_id"] for r in ws.traces(one.evidence)} >= set(one.evidence)
+    assert one.evidence[0] in ws.report("html") and one.title in ws.report("text")
+    ws.set_status(one.id, "dismissed", "known")
+    assert ws.finding(one.id).note == "known" and [f.id for f in ws.findings("dismissed")] == [one.id]
     assert one.id not in {f.id for f in fs.shown(ws.findings())} and one.title not in ws.report("html")
     assert ws.query("SELECT count(*) AS n FROM calls WHERE status = :s", s="error").first().n == 8
     assert json.loads(ws.report("json"))
@@ -66,7 +75,18 @@ def test_stream(spark, folder):
         ingest_stream(ws, str(folder / "in"), str(folder / "cp")).awaitTermination()
         assert ws.spans().count() == expected
         late = [span(400 + i, run=1, gen_ai__request__model="m") for i in range(3)] + planted()[:2]
-        (folder / "in" / "late.jsonl").write_text("".join(json.dumps(s) + "\n" for s in late))
+        (folder / "in" / "late.jsonl").write_text("".join(json.dumps(s) + "\n" for s in late) + "no json\n")
+    assert [r.value for r in spark.read.text(str(folder / "ws2" / "rejected" / "*")).collect()] == ["no json"]
+
+
+def test_windowed_rates_of_a_stream(spark, tmp_path):
+    rows = [{"start_time": f"2026-01-01T0{h}:30:00Z", "step": "a", "status": "error" if h else "ok"} for h in range(3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    calls = spark.readStream.schema("start_time timestamp, step string, status string").json(str(tmp_path / "in"))
+    done = rates_by_window(calls).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    done.awaitTermination()
+    assert sorted((r.total, r.hits) for r in spark.table("rates").collect()) == [(1, 0), (1, 1), (1, 1)]
 
 
 def test_sources(spark, tmp_path):
@@ -88,9 +108,137 @@ def test_sources(spark, tmp_path):
 
 
 def test_depth_of_chains_and_cycles(spark):
-    rows = [("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(150)] + [("c", "a", "b"), ("c", "b", "a"), ("o", "x", "gone")]
+    rows = [("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(600)] + [("c", "a", "b"), ("c", "b", "a"), ("c", "d", "a"), ("c", "self", "self"), ("o", "x", "gone")]
     got = {(r.trace_id, r.span_id): r.depth for r in depths(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string")).collect()}
-    assert all(got["t", f"s{i}"] == i for i in range(150)) and got["o", "x"] == 0 and ("c", "a") in got
+    assert all(got["t", f"s{i}"] == i for i in range(600)) and got["o", "x"] == 0
+    assert (got["c", "a"], got["c", "b"], got["c", "d"], got["c", "self"]) == (1, 1, 2, 0)
+
+
+def test_step_above_an_output(spark):
+    rows = [("t", "step", None, True)] + [("t", f"s{i}", f"s{i - 1}" if i else "step", False) for i in range(300)] + [("t", "inner", "s9", True), ("t", "x", "inner", False), ("t", "y", "gone", False), ("c", "a", "b", False), ("c", "b", "a", False)]
+    got = {r.span_id: r.step_span_id for r in step_ancestors(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, is_step boolean")).collect()}
+    assert all(got[f"s{i}"] == "step" for i in range(300)) and got["x"] == "inner" and got["inner"] == "step" and not got.keys() & {"y", "a", "b", "step"}
+
+
+def test_bad_lines(spark, tmp_path):
+    """A torn last line waits for the rest; any other bad line is an error, wherever it stands."""
+    good = [json.dumps(s) for s in planted()[:3]]
+    (tmp_path / "torn.jsonl").write_text("\n".join([*good, '{"trace_id": "t']))
+    (tmp_path / "whole.jsonl").write_text("\n".join(json.dumps(s) for s in planted()[3:5]))
+    assert normalize(open_source(spark, f"jsonl:{tmp_path}")).count() == 5
+    for bad in ("\n".join([good[0], "no json", good[1]]) + "\n", "\n".join([*good, "no json"]) + "\n"):
+        (tmp_path / "torn.jsonl").write_text(bad)
+        with pytest.raises(Exception, match="no JSON in a line"):
+            normalize(open_source(spark, f"jsonl:{tmp_path}")).collect()
+    (tmp_path / "torn.jsonl").write_text(json.dumps(planted()[0] | {"schema_version": "2"}) + "\n")
+    with pytest.raises(Exception, match="schema version"):
+        normalize(open_source(spark, f"jsonl:{tmp_path}")).collect()
+    with pytest.raises(SourceError, match="nothing at"):
+        open_source(spark, f"jsonl:{tmp_path}/not-there")
+
+
+def test_only_changed_files_are_read(spark, folder):
+    ws = Workspace(spark, str(folder / "ws3"))
+    lines = [json.dumps(s) + "\n" for s in planted()]
+    (folder / "in" / "spans.jsonl").write_text("".join(lines[:40]))
+    assert ws.ingest(f"jsonl:{folder}/in") == 40 and ws.ingest(f"jsonl:{folder}/in") == 0
+    (folder / "in" / "spans.jsonl").write_text("".join(lines[:40]) + lines[40][:30])
+    assert ws.ingest(f"jsonl:{folder}/in") == 0
+    (folder / "in" / "spans.jsonl").write_text("".join(lines))
+    assert ws.ingest(f"jsonl:{folder}/in") == 50 and ws.ingested[-1].added == 50
+    assert ws.table("calls").count() == 85
+    before = sorted(map(repr, ws.table("calls").collect()))
+    ws.compact()
+    assert sorted(map(repr, ws.table("calls").collect())) == before and len(ws._manifest()["generations"]) == 1
+
+
+def test_a_failed_write_leaves_the_workspace_as_it_was(spark, folder):
+    ws = Workspace(spark, str(folder / "ws4"))
+    ws.ingest(f"jsonl:{folder}/in")
+    torn = [planted()[0] | {"span_id": "new", "name": None}]
+    with pytest.raises(Exception, match="malformed"):
+        ws.ingest(spark.createDataFrame([json.dumps(torn[0])], "string").select(F.from_json("value", SPAN).alias("s")).select("s.*"))
+    assert ws.spans().count() == 90
+    number, path = ws.docs.storage.numbered(ws.path, "manifest")[-1]
+    with pytest.raises(SourceError, match="another writer"):
+        ws.docs.storage.put(path, {})
+    assert ws.table("calls").count() == 85
+
+
+def test_custom_detectors_run(spark, folder):
+    ws = Workspace(spark, str(folder / "ws5"))
+    ws.ingest(f"jsonl:{folder}/in")
+
+    @detectors.detector("quality")
+    def texts_too_short(scope):
+        n = scope.sql("SELECT span_id FROM outputs WHERE length(text) < 400 ORDER BY start_time").collect()
+        return [fs.Finding("", "", {"workflow": "w"}, "short", len(n) / 80, affected=len(n), total=80, evidence=[n[0].span_id], words=f"{len(n)} texts are too short")]
+
+    @detectors.detector("cost", name="rows")
+    def of_rows(scope):
+        return scope["calls"].groupBy("workflow").agg(F.count(F.lit(1)).alias("total"), F.lit("n_calls").alias("metric"), F.lit(85.0).alias("value"))
+
+    @detectors.detector()
+    def broken(scope):
+        raise ValueError("no")
+
+    try:
+        with pytest.raises(SpanloomError, match="registered already"):
+            detectors.detector()(texts_too_short)
+        report = ws.analyze("w", stages=("stats",))
+        found = {f.detector: f for f in report}
+        assert found["texts_too_short"].title == "80 texts are too short" and found["texts_too_short"].category == "quality" and found["rows"].category == "cost"
+        assert any("broken: ValueError: no" in n for n in report.notes)
+    finally:
+        for name in ("texts_too_short", "rows", "broken"):
+            detectors.REGISTRY.pop(name, None)
+
+
+def scored(values, *, scorer="s", **more):
+    at = dt.datetime(2026, 1, 1)
+    base = {"reason": None, "confidence": None, "error": None} | more
+    return [(f"x{i}", f"r{i}", "w", "score", f"c{i}", scorer, v, base["reason"], base["confidence"], base["error"], at + dt.timedelta(seconds=i)) for i, v in enumerate(values)]
+
+
+def test_floor_scores(spark):
+    schema = "span_id string, run_id string, workflow string, kind string, candidate_id string, scorer string, value double, reason string, confidence double, error string, start_time timestamp"
+    calls = spark.createDataFrame([("w", "s", "failed")] * 4, "workflow string, scorer string, structured_path string")
+
+    def found(rows):
+        t = {"selections": spark.createDataFrame(rows, schema), "calls": calls}
+        return {r.metric: r for r in detectors.zero_scores(t).rows.collect()}
+
+    five = [0.0] * 12 + [0.25] * 2 + [0.5] * 8 + [0.75] * 12 + [1.0] * 6
+    said = found(scored(five, reason="too plain", confidence=0.9, error=""))
+    assert set(said) == {"floor_score_rate"} and said["floor_score_rate"].value == 0.3 and said["floor_score_rate"].severity == "high" and said["floor_score_rate"].sample_reasons == ["too plain"] * 3
+    lost = found(scored(five + [None] * 40, reason="Error: bad answer", confidence=0.9))
+    assert set(lost) == {"zero_score_rate"} and lost["zero_score_rate"].value == 12 / 80 and lost["zero_score_rate"].failed_judge_calls == 4
+    # zeros beside as many scores at the next level are no spike
+    assert not found(scored([0.0] * 10 + [0.25] * 90, reason="plain", confidence=1.0))
+
+
+def test_flow_source(spark, tmp_path):
+    history = FakeHistory()
+    step = lambda n, statuses, **more: {"step": n, "item": "0", "kind": "step", "status": "done", "attempt": len(statuses), "attempts": [{"status": s} for s in statuses], "reviews": [], "started_at": "2026-01-01T00:00:00+00:00", "duration_ms": 5} | more
+    for i in range(10):
+        statuses = ["rejected", "done"] if i < 6 else ["done"]
+        gate = {"step": "gate", "item": "0", "kind": "gate", "status": "done", "attempt": 1, "attempts": [], "reviews": [{"decision": "rejected", "actor_kind": "automated" if i == 0 else None}]}
+        history.add(f"r{i}", [step("ideas", statuses), gate], [span(1000 + i, name="hone.flow.step", run=i, hone__item="0")], seed=i)
+    registry.FLOW_HISTORY.append(lambda storage: history)
+    try:
+        ws = Workspace(spark, str(tmp_path / "flow"))
+        assert ws.ingest("flow:memory/w") == 10
+        found = {f.metric: f for f in ws.analyze("w", stages=("stats",))}["revision_rate"]
+        assert (found.affected, found.total, found.severity) == (5, 10, "high") and found.evidence == [f"s100{i}" for i in range(1, 6)]
+        history.fork("r9", "r10", ["ideas"], "2026-02-01T00:00:00+00:00")
+        history.add("r1", [step("ideas", ["done"])], updated_at="2026-02-01T00:00:00+00:00")
+        ws.ingest("flow:memory/w")
+        records = ws.table("flow_steps")
+        assert records.count() == 21 and records.filter("run_id = 'r1'").count() == 1 and records.filter("fork_of = 'r9'").count() == 2
+    finally:
+        registry.FLOW_HISTORY.clear()
+    with pytest.raises(SourceError, match="no flow runner"):
+        ws.ingest("flow:memory/w")
 
 
 def test_statistics(spark):
@@ -125,11 +273,45 @@ def test_leader_clusters(spark):
 
 
 def test_carry_over():
-    make = lambda metric, seen="2": fs.Finding("d", "quality", {"workflow": "w"}, metric, 0.5, "high", 5, 10, seen)
+    make = lambda metric, seen="2": fs.Finding("d", "quality", {"workflow": "w"}, metric, 0.5, "high", 5, 10, last_seen=seen)
     first = fs.carry_over([make("a"), make("b")], [])
-    first[0].status, first[0].fixed_at = "fixed", "2"
-    again = {f.metric: f for f in fs.carry_over([make(first[0].metric, "3"), make("c")], first)}
-    assert again[first[0].metric].status == "regressed" and again[first[0].metric].id == first[0].id and again["c"].id == "F-3" and len(again) == 3
+    first[0].status, first[0].fixed_at, first[1].cause = "fixed", "2", {"kind": "model"}
+    again = {f.metric: f for f in fs.carry_over([make(first[0].metric, "3"), make(first[1].metric), make("c")], first)}
+    assert again[first[0].metric].status == "regressed" and again[first[0].metric].id == first[0].id and again["c"].id == "F-0003" and len(again) == 3
+    assert again[first[1].metric].cause == {"kind": "model"}
+    assert [fs.pct(x) for x in (0.4, 0.004, 0, 1)] == ["40%", "0.4%", "0%", "100%"]
+    assert make("a").impact == 0.5 * 3 and fs.Finding("d", "cost", {}, "m", 1.0, "low", 1, 2).impact == 0.5 * 0.8 and fs.Finding("d", "cost", {}, "m", 1.0).impact == 0
+
+
+def test_contracts():
+    check_source(FakeSource(planted()))
+    for e in (FakeEmbedder(), FakeEmbedder.semantic()):
+        check_embedder(e)
+    check_text_client(FakeTextClient())
+    check_replayer(FakeReplayer(), planted()[0])
+    check_rerunner(FakeStepRerunner())
+    with pytest.raises(AssertionError):
+        check_embedder(type("Short", (), {"model_id": "m", "dimensions": 3, "embed": lambda self, texts, *, trace=None: [[1.0]] * len(texts)})())
+    with pytest.raises(AssertionError, match="distinct"):
+        check_source(FakeSource([planted()[0], planted()[0]]))
+
+
+def test_leaders_against_the_plain_rule():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(r.integers(1, 60))
+        v = r.normal(size=(n, 3))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        links = v @ v.T >= 0.8
+        free, expected = set(range(n)), []
+        while len(expected) < 50:
+            counts = {i: sum(links[i, j] for j in free) for i in sorted(free)}
+            if not counts or max(counts.values()) < 5:
+                break
+            best = max(counts, key=lambda i: (counts[i], -i))
+            expected.append(best)
+            free -= set(np.flatnonzero(links[best]).tolist())
+        assert vectors.leader_places(links, 5).tolist() == expected
 
 
 def test_span_schema_is_read(spark):

@@ -1,93 +1,90 @@
-"""Budgets, questions, descriptions, labels and replay tests with scripted models."""
+"""Budgets, questions, descriptions, replay tests and adapters with scripted models."""
 
 import datetime as dt
+import types
 
 import pytest
 
 from spanloom.errors import BudgetExceeded, SpanloomError
-from spanloom.models.ask import ask
-from spanloom.models.budget import Budget
-from spanloom.models.describe import describe_clusters, label_outputs, spread
+from spanloom.models.asking import Question, ask_each
+from spanloom.models.budget import NO_LIMIT, Amount, Budget, budget_of
+from spanloom.models.describe import cluster_samples, describe_clusters, spread
+from spanloom.models.openai import ChatClient, Embeddings
 from spanloom.models.ports import TextClient
 from spanloom.models.replay import calls_with, replay_test, section_text
-
-
-class Scripted:
-    """Answers by the schema's title; an exception is raised."""
-
-    def __init__(self, **answers):
-        self.answers, self.asked = answers, []
-
-    def complete(self, messages, *, schema=None, trace=None, **params):
-        self.asked.append((schema["title"], messages[-1]["content"]))
-        answer = self.answers[schema["title"]]
-        answer = answer(messages[-1]["content"]) if callable(answer) else answer
-        if isinstance(answer, Exception):
-            raise answer
-        return {"parsed": answer, "usage": {"input_tokens": 10, "output_tokens": 5}}
+from spanloom.models.review import Taxonomy
+from spanloom.testing.contracts import check_embedder, check_text_client
+from spanloom.testing.fakes import FakeTextClient
 
 
 def test_budget():
-    assert Budget.of("$2").limits["usd"] == 2 and Budget.of("5000 tokens").limits["tokens"] == 5000 and Budget.of("40 calls").limits["calls"] == 40 and Budget.of(1.5).limits["usd"] == 1.5
+    assert budget_of("$2").limit.usd == 2 and budget_of("5000 tokens").limit.tokens == 5000 and budget_of("40 calls").limit.calls == 40 and budget_of(1.5).limit.usd == 1.5 and budget_of(None).limit == NO_LIMIT
     for bad in ("many", "3 apples", "", "1.2.3"):
         with pytest.raises(SpanloomError):
-            Budget.of(bad)
-    b = Budget(tokens=100, usd_per_1k_tokens=1.0)
-    b.allow(100)
-    b.charge({"input_tokens": 40, "output_tokens": 20})
-    assert b.spent == {"calls": 1, "tokens": 60, "usd": pytest.approx(0.06)}
-    with pytest.raises(BudgetExceeded):
-        b.allow(41)
-    b.charge({"cost_usd": 2})
-    assert b.spent["usd"] == pytest.approx(2.06) and Budget.of(b) is b
-
-
-def test_ask():
-    want = {"a": {"type": "string"}}
-    assert isinstance(Scripted(), TextClient)
-    assert ask(Scripted(t={"a": "x", "b": 1}), "t", "i", {}, want, Budget()) == ({"a": "x", "b": 1}, None)
-    assert ask(Scripted(t={"b": 1}), "t", "i", {}, want, Budget()) == ({}, "without a")
-    assert ask(Scripted(t="text"), "t", "i", {}, want, Budget()) == ({}, "no JSON object")
-    b = Budget(calls=1)
-    assert ask(Scripted(t=ValueError("down")), "t", "i", {}, want, b) == ({}, "ValueError: down")
+            budget_of(bad)
+    b = Budget(Amount(float("inf"), 100, float("inf")), usd_per_1k_tokens=1.0)
+    with b.call(100) as usage:
+        usage.append({"input_tokens": 40, "output_tokens": 20})
+    assert (b.spent.calls, b.spent.tokens, b.spent.usd) == (1, 60, pytest.approx(0.06))
+    with pytest.raises(BudgetExceeded), b.call(41):
+        raise AssertionError("not reached")
+    with b.call() as usage:
+        usage.append({"cost_usd": 2})
+    with pytest.raises(ValueError), b.call():
+        raise ValueError
+    assert b.spent.usd == pytest.approx(2.06) and b.spent.calls == 3 and budget_of(b) is b
+
+
+def test_questions():
+    q = Question("t", "i", {"a": {"type": "string"}})
+    ask = lambda answer, budget=None: (lambda x: (dict(x.values), x.error))(q.put(FakeTextClient(t=answer), {}, budget or Budget()))
+    assert isinstance(FakeTextClient(), TextClient)
+    assert ask({"a": "x", "b": 1}) == ({"a": "x", "b": 1}, None)
+    assert ask({"b": 1}) == ({}, "without a") and ask("text") == ({}, "no JSON object")
+    b = Budget(Amount(1, float("inf"), float("inf")))
+    assert ask(ValueError("down"), b) == ({}, "ValueError: down")
     with pytest.raises(BudgetExceeded):
-        ask(Scripted(t={"a": 1}), "t", "i", {}, want, b)
+        ask({"a": 1}, b)
+    notes = []
+    rows = list(ask_each(range(5), lambda r: {"n": r}, q, FakeTextClient(t=lambda said: {"a": 1} if "3" not in said else {}), budget_of("4 calls"), notes))
+    assert [r for r, _ in rows] == [0, 1, 2] and notes[0] == "t: without a" and "stopped after 4" in notes[1]
 
 
 def outputs(spark, n=61):
     at = dt.datetime(2026, 1, 1)
-    rows = [("w", i % 3 - 1, f"s{i:03}", at + dt.timedelta(seconds=i), f"text {i} " + "x" * 700) for i in range(n)] + [("w", 1, "t", at, "more")]
-    return spark.createDataFrame(rows, "workflow string, cluster int, span_id string, start_time timestamp, text string")
+    rows = [(None if i % 3 == 0 else f"C-{i % 3 - 1}", f"s{i:03}", at + dt.timedelta(seconds=i), f"text {i} " + "x" * 700) for i in range(n)] + [("C-1", "t", at, "more")]
+    return spark.createDataFrame(rows, "cluster_id string, span_id string, start_time timestamp, text string")
 
 
 def test_descriptions(spark):
     df = outputs(spark)
     for n in (1, 3, 7, 20, 100):
-        rows = df.orderBy("start_time", "span_id").collect()
+        rows = df.filter("cluster_id = 'C-1'").orderBy("start_time", "span_id").collect()
         want = {r.span_id for r in rows} if len(rows) <= n else {rows[i * len(rows) // n].span_id for i in range(n)}
-        assert {r.span_id for r in spread(df, ["workflow"], "start_time", "span_id", n=n).collect()} == want
-    model = Scripted(cluster_description={"description": "d", "in_common": "c"})
-    done, notes = describe_clusters(df, ["workflow"], model, Budget())
-    assert [(d["cluster"], d["size"]) for d in done] == [(1, 21), (0, 20)] and not notes
-    assert len(model.asked[0][1]) < 20 * 620 + 50
-    done, notes = describe_clusters(df, ["workflow"], model, Budget(calls=1))
-    assert len(done) == 1 and "1 clusters left" in notes[0]
-    assert describe_clusters(df, ["workflow"], model, Budget(), known=[("w", 0), ("w", 1)]) == ([], [])
-
-
-def test_labels(spark):
-    df = outputs(spark, 8)
-    model = Scripted(label=lambda said: {"label": "odd" if "text 1" in said else "even"})
-    found, agreement, notes = label_outputs(df, ["odd", "even"], model, Budget(), human={"s000": "even", "s001": "odd"})
-    assert agreement == 1 and len(found) == 9 and found["s001"] == "odd" and not notes
-    with pytest.raises(SpanloomError, match="50%"):
-        label_outputs(df, ["odd", "even"], model, Budget(), human={"s000": "odd", "s001": "odd"})
-    found, _, notes = label_outputs(df, ["odd", "even"], model, Budget(calls=3), human={}, force=True)
-    assert len(found) == 3 and "after 3" in notes[0]
+        assert {r.span_id for r in spread(df, ["cluster_id"], "start_time", "span_id", n=n).filter("cluster_id = 'C-1'").collect()} == want
+    assert {r.cluster_id: r.size for r in cluster_samples(df).collect()} == {"C-0": 20, "C-1": 21}
+    model, notes, none = FakeTextClient(cluster_description={"description": "d", "in_common": "c"}), [], spark.createDataFrame([], "cluster_id string")
+    assert describe_clusters(df, none, model, Budget(), notes) == [("C-1", "d", "c"), ("C-0", "d", "c")] and not notes
+    assert len(model.calls[0]["messages"][1]["content"]) < 20 * 620 + 50
+    assert len(describe_clusters(df, none, model, budget_of("1 calls"), notes)) == 1 and "stopped after 1" in notes[0]
+    assert describe_clusters(df, spark.createDataFrame([("C-0",), ("C-1",)], "cluster_id string"), model, Budget(), notes) == []
+
+
+def test_taxonomy():
+    t = Taxonomy("w", {"a": "x", "b": "y", "c": "z"}, {"1": "a", "2": "b", "3": "c"})
+    t.change("a", "rename", "d")
+    t.change("b", "merge", "c")
+    t.change("c", "keep")
+    assert t.labels == {"c": "z", "d": "x"} and t.human == {"1": "d", "2": "c", "3": "c"}
+    t.change("c", "drop")
+    assert t.labels == {"d": "x"} and t.human == {"1": "d"}
+    for bad in (("d", "eat", ""), ("x", "drop", ""), ("d", "merge", "x"), ("d", "rename", "")):
+        with pytest.raises(SpanloomError):
+            t.change(*bad)
 
 
 class Shorter:
-    """Replays end by length only while the section is kept as it was, and as often as ``left`` says."""
+    """Replays end by length as often as ``left`` says."""
 
     def __init__(self, left=0.0):
         self.left, self.made = left, 0
@@ -111,11 +108,11 @@ def test_replay():
     assert run(spans(40, 0.5), quality=lambda s: 0.8 if "span_id" in s else 0.7).status == "suspected"
     assert run(spans(40, 0.0)).status == "refuted"
     assert run(spans(40, 0.05)).status == "suspected"
-    cut = run(spans(40, 0.5), budget=Budget(calls=10))
-    assert cut.variants[0]["replayed"] == 10 and len(cut.variants) == 1
+    cut = run(spans(40, 0.5), budget=budget_of("10 calls"))
+    assert cut.variants[0]["replayed"] == 10 and len(cut.variants) == 1 and "stopped after 10 of 80" in cut.notes[0]
     failed = run([*spans(3, 1), {"span_id": "broken", "attributes": {}}])
     assert failed.variants[0]["replayed"] == 3 and "gone" in failed.notes[0]
-    more = run(spans(20, 0.5), variants=4, client=Scripted(section_variants={"variants": ["a", "b", "c"]}))
+    more = run(spans(20, 0.5), variants=4, client=FakeTextClient())
     assert [v["variant"] for v in more.variants] == ["remove", "rewrite 1", "rewrite 2", "counter-instruction"]
     assert replay_test(spans(3, 1), "ex", "", "median", Shorter()).notes == ["median can't be replayed"]
 
@@ -127,3 +124,21 @@ def test_calls_of_a_section(spark):
     some = [r.span_id for r in calls_with(df, "ex", 4).collect()]
     assert len(some) == 4 and some == [r.span_id for r in calls_with(df.repartition(3), "ex", 4).collect()] and all(int(s[1:]) % 2 for s in some)
     assert calls_with(df, "none", 4).count() == 0 and section_text(df, "ex") == "éd\U0001f600" and section_text(df, "none") == ""
+
+
+def test_model_server():
+    ns = types.SimpleNamespace
+    asked = []
+
+    def create(**options):
+        asked.append(options)
+        text = '{"label": "a"}' if options["model"] == "m" else "no json"
+        return ns(choices=[ns(message=ns(content=text))], usage=ns(prompt_tokens=3, completion_tokens=2))
+
+    server = ns(chat=ns(completions=ns(create=create)), embeddings=ns(create=lambda model, input: ns(data=[ns(index=i, embedding=[float(len(t)), 1.0]) for i, t in reversed(list(enumerate(input)))])))
+    check_text_client(ChatClient("m", client=server))
+    assert asked[0]["response_format"]["json_schema"]["name"] == "label"
+    assert "no JSON" in ChatClient("x", client=server).complete([{"role": "user", "content": "?"}], schema={"title": "t"}, trace={"traceparent": "00-1"})["error"] and asked[-1]["extra_headers"] == {"traceparent": "00-1"}
+    check_embedder(Embeddings("e", 2, client=server))
+    with pytest.raises(SpanloomError, match="openai"):
+        ChatClient("m")
