@@ -48,11 +48,11 @@ def messages_text(messages: Column) -> Column:
     return F.when(F.startswith(F.ltrim(messages), F.lit("[")), listed).otherwise(messages)
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Runs of ``n`` lower-case words (letters, digits, underscore)."""
+def ngram_hashes(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` lower-case words as 64-bit hashes."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    grams = lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.transform(F.array(words), grams)[0]
+    hashes = lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return F.array_distinct(F.transform(F.array(words), hashes)[0])
 
 
 def is_model_call(chat_span: Column, operation: Column, model: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.errors import SpanloomError
 from spanloom.functions import stats
-from spanloom.functions.scalars import messages_text, ngrams
+from spanloom.functions.scalars import messages_text, ngram_hashes
 from spanloom.operators import vectors
 from spanloom.operators.detectors import _on
 from spanloom.operators.rates import Found
@@ -81,9 +81,9 @@ def distinct_rate(rows: DataFrame, keys: list[str]) -> DataFrame:
 def repeated_ngrams(rows: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
     """keys, repeated_ngram_rate: of the n-grams (each once for an output that has it), those of more than one output.
 
-    n-grams go on as 128 bits of hashes, counted partially in each task.
+    n-grams go on as 64-bit hashes, counted partially in each task.
     """
-    grams = F.array_distinct(F.transform(ngrams(F.col("text"), n), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(g, F.lit(1)).alias("b"))))
+    grams = ngram_hashes(F.col("text"), n)
     by = rows.select(*keys, F.explode(grams).alias("_g")).groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_c"))
     return by.groupBy(*keys).agg((F.sum(F.when(F.col("_c") > 1, F.col("_c")).otherwise(0)) / F.sum("_c")).alias("repeated_ngram_rate"))
 
