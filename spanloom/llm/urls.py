@@ -8,8 +8,10 @@ L2, written as array functions over one row that holds the examples. The trained
 ``2 ** bits + 1`` doubles in the plan of the scoring pass.
 
 Null url or one without ``://``: empty host and path, no rule; the model judges it by its bias and the border n-gram.
-Very long urls are hashed whole. With fewer than two verdicts among the labelled urls, every weight is 0 and what no
-rule decides is allowed. Repeated rows get the same verdict; an empty table gives an empty result.
+Very long urls are hashed whole, in time that grows with their length. With fewer than two verdicts among the labelled
+urls, every weight is 0 and what no rule decides is allowed. Ties: the longest rule that fits wins, of rules of one length
+the later one of the list; a score of exactly 0 allows. Repeated rows get the same verdict. Other columns, whatever their
+names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,12 +47,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def features(text: Column, *, ngrams=NGRAMS, bits: int = BITS) -> Column:
     """Buckets (1-based) of the character n-grams of ``^text$``; an empty text has those of its borders alone."""
-    bound = F.concat(F.lit("^"), text, F.lit("$"))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(bound) - (n - 1), F.lit(1))), lambda i, n=n: (F.pmod(F.xxhash64(F.substring(bound, i, n)), F.lit(1 << bits)) + 1).cast("int"))
-        for n in ngrams
-    ]
-    return F.concat(*grams)
+    characters = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+
+    def grams(c: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: (F.pmod(F.xxhash64(F.slice(c, i, n)), F.lit(1 << bits)) + 1).cast("int"))
+
+    return let(characters, lambda c: F.concat(*[grams(c, n) for n in ngrams]))
 
 
 def _logit(weights: Column, buckets: Column) -> Column:
