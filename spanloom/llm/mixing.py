@@ -12,8 +12,10 @@ Native: DataFrame and SQL functions only.
    A document's part is plain interval arithmetic.
 
 Shards hold about ``shard_rows`` documents, so a source with a third of all rows is many shards and no window sorts
-more than a shard. Null text or no words: size 0, taken 0. Null doc_id is a value like others; repeated rows lie one
-after the other. An empty table gives an empty result. Other columns are ignored.
+more than a shard. Null text or no words: size 0, taken 0. Null doc_id is a value like others. Very long texts are cut like
+others: a part is a range of words. Ties in the seeded order (one doc_id with several texts) go by size, then hash of the
+text; rows that are equal in these are interchangeable and lie one after the other. An empty table gives an empty result.
+Other columns, whatever their names, are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: flo
     shards = dealt.groupBy("source", "_shard", "_quota").agg(F.sum("size").alias("_line"))
     shards = sainte_lague(shards, ["source"], "_line", "_quota", [F.col("_shard")]).select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_line", "quota")
 
-    before = Window.partitionBy("source", "_shard").orderBy("_ord", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "_shard").orderBy("_ord", "size", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     total = F.least(F.col("quota") * block, F.floor(F.lit(max_repeat) * F.col("_line")).cast("long"))
     rounds, rest = F.floor(F.col("_total") / F.greatest("_line", F.lit(1))).cast("long"), F.col("_total") % F.greatest("_line", F.lit(1))
     blocks = F.greatest(F.floor(F.col("_line") / block).cast("long"), F.lit(1))
