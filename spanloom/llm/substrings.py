@@ -11,7 +11,8 @@ are dealt out so that all that can match meets in one shard:
 2. In a shard, the distinct segments of an anchor that more than one document has are its reference. A suffix automaton
    over them (inserted by rising doc_id, so that each state knows the first document with its substrings) is read by the
    segments: the matching statistic at a word is the length of the longest suffix found, and where it reaches ``length``
-   the state's first document is looked up. A segment text that many documents share is streamed once.
+   the state's first document is looked up. A segment text that many documents share is streamed once. Shards are as many
+   as the shuffle's partitions, or one for each 16 MB of the table's files if these are more; each is read by itself.
 3. The windows found go back to their documents, which drop the maximal spans that they cover.
 
 A hot passage is one distinct segment in its shard; only its places, a few bytes each, grow with the copies. Work and
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.pywords import mixed, record_batch, rows, window_hashes, word_hashes, words
-from spanloom.llm.scratch import partitions
+from spanloom.llm.scratch import shards_for
 
 LENGTH, ANCHOR, RUN, BATCH_CHARS = 13, 4, 32, 12_000_000
 
@@ -306,7 +307,7 @@ def cut(length: int, texts: bool):
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (start, end, start, end ... of the removed words), kept (with ``texts``)."""
-    shards = partitions(docs.sparkSession)
+    shards = shards_for(docs)
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     blocks = rows_.mapInArrow(send(shards, length, min(anchor, length)), "shard int, data binary")
     found = blocks.groupBy("shard").applyInArrow(match(length, shards), "bucket int, data binary")
