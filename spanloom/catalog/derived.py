@@ -83,13 +83,13 @@ def normalized_calls(spark, sf_dir):
     return spans.select("span_id", scalars.messages_text(attribute("gen_ai.input.messages")).alias("prompt"), attribute("gen_ai.provider.name").alias("provider"), attribute("gen_ai.usage.input_tokens").alias("input_tokens"), F.col("status.code").alias("status"), old.alias("old_names"), us("start_time", "at_us"), scalars.iso(F.col("start_time")).alias("iso"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'ok' ELSE 'unset' END AS code, CASE WHEN event_id % 2 = 0 THEN lpad(lower(hex(event_id)), 16, '0') ELSE sha256('e' || event_id)[1:16] END AS id, CASE WHEN event_id % 3 = 0 THEN 'stop' END AS reason, sha256(event_type) AS sha FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'ok' ELSE 'unset' END AS code, CASE WHEN event_id % 2 = 0 THEN lpad(lower(hex(event_id)), 16, '0') ELSE sha256('e' || event_id)[1:16] END AS id, CASE WHEN event_id % 3 = 0 THEN 'stop' END AS reason, sha256(event_type) AS sha, json_extract_string(props, '$.k') AS k, CAST(CASE WHEN event_id % 3 = 1 THEN 0 WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS listed, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
 def scalar_functions(spark, sf_dir):
     """Statuses, ids, finish reasons and hashes of texts."""
     status = F.when(F.col("event_type") == "error", "STATUS_CODE_ERROR").when(F.col("event_type") == "click", "1").otherwise(F.col("event_type"))
     raw_id = F.when(F.col("event_id") % 2 == 0, F.lpad(F.hex("event_id"), 16, "0")).otherwise(F.concat(F.lit("e"), F.col("event_id").cast("string")))
     reasons = F.when(F.col("event_id") % 3 == 0, '["stop", "x"]').when(F.col("event_id") % 3 == 1, "stop").otherwise("[]")
-    return t.table(spark, sf_dir, "events").select("event_id", scalars.status_code(status).alias("code"), scalars.hex_id(raw_id, 16).alias("id"), scalars.finish_reason(reasons).alias("reason"), scalars.text_sha(F.col("event_type")).alias("sha"))
+    return t.table(spark, sf_dir, "events").select("event_id", scalars.status_code(status).alias("code"), scalars.hex_id(raw_id, 16).alias("id"), scalars.finish_reason(reasons).alias("reason"), scalars.text_sha(F.col("event_type")).alias("sha"), F.try_element_at(scalars.json_map(F.col("props")), F.lit("k")).alias("k"), F.size(scalars.json_list(reasons)).alias("listed"), scalars.canonical_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("at"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS messages FROM conversations GROUP BY conv_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom import findings as fs
 from spanloom.catalog.base import CALLS, EVENT_K, SELECTIONS, STEPS, query, r6, rate_sql, shown, us
 from spanloom.operators import detectors as d
 from spanloom.operators.rates import evidence
@@ -218,3 +219,18 @@ def affected_evidence(spark, sf_dir):
 @query(f"WITH {CALLS} SELECT run_id, arg_max(prompt_version, (start_time, span_id)) AS prompt_version FROM calls WHERE scorer IS NULL GROUP BY run_id")
 def prompt_of_run(spark, sf_dir):
     return d.prompt_of_run(t.tables(spark, sf_dir))
+
+
+FINDINGS = f"""WITH {CALLS}, r AS ({rate_sql("calls", CALL_KEYS, [("error_rate", "status = 'error'", 0.01, 0.2, 0.05), ("retry_rate", "retries > 0", 0.01, 0.2, 0.05)])}),
+k AS (SELECT *, substr(sha256('["failure_rate", "reliability", {{"model": "' || model || '", "prompt_version": "' || prompt_version || '", ' || CASE WHEN scorer IS NOT NULL THEN '"scorer": "' || scorer || '", ' ELSE '' END || '"step": "' || step || '", "workflow": "' || workflow || '"}}, "' || metric || '"]'), 1, 24) AS key,
+ round(hits / total * CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, 6) AS impact FROM r)
+SELECT key, metric, hits AS affected, total, severity, impact FROM k"""
+
+
+@query(FINDINGS)
+def finding_keys(spark, sf_dir):
+    """Rows of a detector as findings: content keys and impacts."""
+    rows = d.call_failures(t.tables(spark, sf_dir)).rows.filter("metric <> 'repair_rate'")
+    found = fs.ranked(fs.from_rows("failure_rate", "reliability", [r.asDict() for r in rows.collect()]))
+    made = [(f.key, f.metric, f.affected, f.total, f.severity, round(f.impact, 6)) for f in found]
+    return spark.createDataFrame(made, "key string, metric string, affected long, total long, severity string, impact double")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.catalog.base import query, r6, us
+from spanloom.catalog.derived import C
 from spanloom.operators import outputs as o
 from spanloom.operators import vectors
 from spanloom.plans import testbed as t
+from spanloom.plans.derive import derive
+from spanloom.plans.normalize import normalize
 
 
 @query("SELECT lang AS workflow, source AS step, count(*) AS outputs, round(count(DISTINCT sha256(text)) / count(*), 6) AS distinct_rate FROM documents GROUP BY ALL")
@@ -107,6 +110,15 @@ def section_closeness(spark, sf_dir):
     return out.select("label", "section", *[r6(F.col(c), c) for c in ("cluster", "others", "difference")])
 
 
+@query(f"""WITH {C}, o AS (SELECT workflow, step, turn % 2 AS ver, at_us, n, substr(text, 3, 7) AS cut FROM c WHERE role = 'user' AND turn % 3 > 0 AND turn % 5 <> 4), f AS (SELECT workflow, step, CAST(ver AS VARCHAR) AS version, arg_min(cut, (at_us, n)) AS text FROM o GROUP BY ALL)
+SELECT workflow, step, 'head' AS section, version, text FROM f WHERE trim(text) <> ''""")
+def section_texts(spark, sf_dir):
+    """Each prompt section as the first call that has it shows it."""
+    spans = normalize(t.raw_spans(spark, sf_dir))
+    tables = derive(spans)
+    return o.section_texts(spans, tables["outputs"], tables["calls"]).drop("text_sha")
+
+
 @query("SELECT lang AS workflow, count(*) AS outputs FROM documents d WHERE (SELECT count(*) FROM documents x WHERE x.lang = d.lang AND x.source = d.source) >= 20 GROUP BY lang")
 def large_groups(spark, sf_dir):
     return o.large_groups(t.outputs(spark, sf_dir)).groupBy("workflow").agg(F.count(F.lit(1)).alias("outputs"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import sqlite3
 import uuid
 from pathlib import Path
 
@@ -18,6 +16,7 @@ from spanloom.plans.normalize import normalize
 from spanloom.scratch import own_dir
 from spanloom.sources.registry import open_source, step_records
 from spanloom.testing.fakes import FakeHistory, FakeSource
+from spanloom.testing.writers import write_store
 from spanloom.workspace import Workspace
 
 
@@ -140,18 +139,10 @@ def phoenix_rows(spark, sf_dir):
 def sqlite_store(spark, sf_dir):
     """A span store with blobs, ``since`` applied in the file."""
     path = Path(own_dir(spark).removeprefix("file://")) / f"store-{uuid.uuid4().hex}" / "spans.db"
-    path.parent.mkdir(parents=True)
-    db = sqlite3.connect(path)
-    columns = "span_id TEXT PRIMARY KEY, trace_id TEXT, parent_span_id TEXT, name TEXT, kind TEXT, start_time TEXT, end_time TEXT, status_code TEXT, status_message TEXT, attributes TEXT, events TEXT, resource TEXT, links TEXT"
-    db.executescript(f"CREATE TABLE meta (key TEXT, value TEXT); CREATE TABLE spans ({columns}); CREATE TABLE blobs (sha256 TEXT PRIMARY KEY, mime TEXT, size INTEGER, data BLOB); INSERT INTO meta VALUES ('schema_version', '1')")
-    for r in t.table(spark, sf_dir, "customer").filter("c_nationkey < 10").toLocalIterator():
-        k, blob = r.c_custkey, r.c_custkey % 2 == 0
-        attributes = {"gen_ai.request.model": r.c_mktsegment, "note": {"$blob": str(k)} if blob else "plain"}
-        db.execute("INSERT INTO spans VALUES (?, ?, NULL, 'x', NULL, ?, NULL, 'OK', NULL, ?, '[]', '{}', '[]')", (str(k), f"t{r.c_nationkey}", f"2026-01-0{1 if k % 4 == 3 else 2}T00:00:00.000Z", json.dumps(attributes)))
-        if blob:
-            db.execute("INSERT INTO blobs VALUES (?, 'text/plain', 0, ?)", (str(k), f"long text {k}".encode()))
-    db.commit()
-    db.close()
+    rows = t.table(spark, sf_dir, "customer").filter("c_nationkey < 10").toLocalIterator()
+    at = lambda k: f"2026-01-0{1 if k % 4 == 3 else 2}T00:00:00.000Z"
+    note = lambda k: f"long text {k}" if k % 2 == 0 else "plain"
+    write_store(({"span_id": str(r.c_custkey), "trace_id": f"t{r.c_nationkey}", "name": "x", "start_time": at(r.c_custkey), "status": {"code": "OK"}, "attributes": {"gen_ai.request.model": r.c_mktsegment, "note": note(r.c_custkey)}} for r in rows), path, large=10)
     import datetime as dt
 
     spans = normalize(open_source(spark, f"store:{path}", since=dt.datetime(2026, 1, 2, tzinfo=dt.UTC)))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 #: Spellings of a status, and old attribute names with their new ones.
 STATUS = {"ok": "ok", "error": "error", "unset": "unset", "status_code_ok": "ok", "status_code_error": "error", "status_code_unset": "unset", "0": "unset", "1": "ok", "2": "error"}
 CHAT_OPERATIONS = ("chat", "text_completion", "generate_content")
-MESSAGE = "array<struct<role:string,content:string,parts:string>>"
-PIECES = "array<struct<type:string,text:string,content:string>>"
+MESSAGE = "array<struct<content:variant,parts:variant>>"
 
 
 def text_sha(text: Column) -> Column:
@@ -37,15 +36,51 @@ def hex_id(raw: Column, digits: int) -> Column:
     return F.when(F.lower(raw).rlike(f"^[0-9a-f]{{{digits}}}$"), F.lower(raw)).otherwise(F.substring(F.sha2(raw, 256), 1, digits))
 
 
-def messages_text(messages: Column) -> Column:
-    """Text of a JSON list of messages (content a string or a list of pieces, then parts), or of a plain string."""
+def json_list(raw: Column) -> Column:
+    """A JSON list as an array of texts (nested values as JSON); an empty one for anything else."""
+    return F.coalesce(F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>")), F.array().cast("array<string>"))
+
+
+def json_map(raw: Column) -> Column:
+    """A JSON object as a map of texts; an empty one for anything else."""
+    return F.coalesce(F.when(F.startswith(raw, F.lit("{")), F.from_json(raw, "map<string,string>")), F.create_map().cast("map<string,string>"))
+
+
+def canonical_time(text: Column) -> Column:
+    """An ISO time (without a zone: UTC) as ISO UTC with milliseconds, so that times compare as texts; an error for any other."""
+    found = F.try_to_timestamp(text)
+    return F.when(text.isNull() | found.isNotNull(), iso(found)).otherwise(F.raise_error(F.concat(F.lit("no ISO time: "), text)))
 
-    def pieces(raw: Column) -> Column:
-        return F.array_join(F.filter(F.transform(F.from_json(raw, PIECES), lambda p: F.coalesce(p["text"], p["content"])), lambda x: x.isNotNull()), "\n")
 
-    one = lambda m: F.when(F.startswith(m["content"], F.lit("[{")), pieces(m["content"])).otherwise(F.coalesce(m["content"], pieces(m["parts"])))
-    listed = F.array_join(F.filter(F.transform(F.from_json(messages, MESSAGE), one), lambda x: x.isNotNull()), "\n")
-    return F.when(F.startswith(F.ltrim(messages), F.lit("[")), listed).otherwise(messages)
+def _pieces(listed: Column) -> Column:
+    """Texts of a list (a variant) of pieces: strings, or objects whose type is text."""
+
+    def one(p: Column) -> Column:
+        part = lambda name: F.try_variant_get(p, f"$.{name}", "string")
+        text = F.when(F.coalesce(part("type"), F.lit("text")) == "text", F.coalesce(part("content"), part("text"), F.lit("")))
+        kind = F.schema_of_variant(p)
+        return F.when(kind == "STRING", F.try_variant_get(p, "$", "string")).when(F.startswith(kind, F.lit("OBJECT")), text)
+
+    return F.array_compact(F.transform(F.try_variant_get(listed, "$", "array<variant>"), one))
+
+
+def messages_text(messages: Column) -> Column:
+    """Text of a JSON list of messages (content a string or a list of pieces, then parts), or of a plain string.
+
+    Pieces that aren't text are left out, and so are messages of another shape. What only looks like JSON is a plain string.
+    """
+    none = F.array().cast("array<string>")
+
+    def one(m: Column) -> Column:
+        kind = F.schema_of_variant(m["content"])
+        said = F.when(kind == "STRING", F.array(F.try_variant_get(m["content"], "$", "string"))).when(F.startswith(kind, F.lit("ARRAY")), _pieces(m["content"]))
+        more = F.when(F.startswith(F.schema_of_variant(m["parts"]), F.lit("ARRAY")), _pieces(m["parts"]))
+        return F.concat(F.coalesce(said, none), F.coalesce(more, none))
+
+    listed = F.filter(F.from_json(messages, MESSAGE), lambda m: m.isNotNull())
+    whole = F.try_parse_json(messages).isNotNull()
+    text = F.array_join(F.flatten(F.transform(listed, one)), "\n")
+    return F.when(F.startswith(messages, F.lit("[")) & whole, F.coalesce(text, F.lit(""))).when(F.startswith(messages, F.lit("{")) & whole, "").otherwise(messages)
 
 
 def ngram_hashes(text: Column, n: int) -> Column:

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.models.asking import Question, ask_each
 from spanloom.models.budget import Budget
 from spanloom.models.ports import TextClient
+from spanloom.operators.rates import evidence
 
 TEXTS, CHARS = 20, 600
 TEXT = {"type": "string"}
 DESCRIBE = Question("cluster_description", "These texts were put together because they resemble each other. Name the kind of text (description) and the feature that all of them have (in_common), each in a sentence.", {"description": TEXT, "in_common": TEXT})
 
 
-def spread(df: DataFrame, keys: list[str], *order: str, n: int = TEXTS) -> DataFrame:
-    """At most ``n`` rows of each group, evenly spread over its order: rows i * size div n."""
-    w = Window.partitionBy(*keys)
-    numbered = df.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    place = F.floor((F.col("_k") * n + F.col("_n") - 1) / F.col("_n"))
-    return numbered.filter((F.col("_n") <= n) | ((place < n) & (F.floor(place * F.col("_n") / n) == F.col("_k")))).drop("_k", "_n")
-
-
 def cluster_samples(rows: DataFrame) -> DataFrame:
     """cluster_id, size, data (JSON of up to 20 texts, shortened) of each cluster of ``rows`` (cluster_id, span_id, start_time, text)."""
     mine = rows.filter("cluster_id IS NOT NULL")
     sizes = mine.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    some = spread(mine, ["cluster_id"], "start_time", "span_id").groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("start_time", "span_id", F.substring("text", 1, CHARS).alias("text")))).alias("s"))
+    some = evidence(mine, ["cluster_id"], TEXTS).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("start_time", "span_id", F.substring("text", 1, CHARS).alias("text")))).alias("s"))
     return some.join(sizes, "cluster_id").select("cluster_id", "size", F.to_json(F.struct(F.transform("s", lambda x: x["text"]).alias("items"))).alias("data"))
 
 

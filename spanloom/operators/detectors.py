@@ -262,7 +262,7 @@ def zero_scores(t: Tables) -> Found:
     zero = F.col("value") == 0
     spikes = next_level(t).filter("spike")
     rows = scores(t).alias("s")
-    rows = rows.join(F.broadcast(spikes.alias("k")), _on("s", "k", keys), "left_semi")
+    rows = rows.join(spikes.alias("k"), _on("s", "k", keys), "left_semi")
     metrics = [
         Rate("zero_score_rate", zero & ~answered(), 0.05, 0.1, 0.05, "quality"),
         Rate("floor_score_rate", zero & answered(), 0.05, 0.3, 0.1, "quality"),
@@ -527,7 +527,7 @@ def _regressions(changes: DataFrame, rows: DataFrame, keys: list[str], version:
     mine = F.when(hit & F.col(version).isNotNull(), F.col("start_time"))
     of_version = rows.groupBy(*keys, version).agg(F.count(mine).alias("hits"), F.min(mine).alias("first_seen"), F.max(mine).alias("last_seen"))
     of_group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    bad = F.broadcast(changes.filter("regressed").withColumn(version, F.col("after")).alias("c"))
+    bad = changes.filter("regressed").withColumn(version, F.col("after")).alias("c")
     joined = of_version.alias("v").join(bad, _on("v", "c", [*keys, version])).join(of_group.alias("g"), _on("v", "g", keys))
     found = joined.select(
         *[f"v.{k}" for k in (*keys, version)], F.lit(metric).alias("metric"), "v.hits", "g.total", "c.value", "c.severity", F.lit("regression").alias("category"),

@@ -53,7 +53,7 @@ def embed(texts: DataFrame, embedder, cache: DataFrame | None = None) -> DataFra
 def large_groups(outputs: DataFrame, least: int = LEAST_OUTPUTS) -> DataFrame:
     """The outputs of the groups of ``least`` and more."""
     groups = outputs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
-    return outputs.alias("l").join(F.broadcast(groups.alias("r")), _on("l", "r", KEYS), "left_semi")
+    return outputs.alias("l").join(groups.alias("r"), _on("l", "r", KEYS), "left_semi")
 
 
 def clustered(outputs: DataFrame, embeddings: DataFrame, **options) -> DataFrame:
@@ -150,7 +150,7 @@ def outliers(rows: DataFrame) -> Found:
     """Outputs whose nearest neighbour lies below the lower fence median - 6 * max(median - q25, 0.02) of their step."""
     q = stats.quantiles(rows, KEYS, "nearest", {"q25": 0.25, "q50": 0.5})
     low = F.col("r.q50") - 6 * F.greatest(F.col("r.q50") - F.col("r.q25"), F.lit(0.02))
-    far = rows.alias("l").join(F.broadcast(q.alias("r")), _on("l", "r", KEYS)).filter(F.col("l.nearest") < low).select("l.*")
+    far = rows.alias("l").join(q.alias("r"), _on("l", "r", KEYS)).filter(F.col("l.nearest") < low).select("l.*")
     total = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("total"))
     by = far.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("hits"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen")).filter("hits >= 3")
     found = by.alias("l").join(total.alias("r"), _on("l", "r", KEYS)).filter(F.col("r.total") >= LEAST_OUTPUTS).select(

@@ -209,6 +209,7 @@ def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hone.models.gpu.unloaded": F.when(shape == 0, '["a","b"]').when(shape == 1, "true").when(shape == 2, "3"),
         "hone.models.prompt.template_version": turn % 2 + 1,
         "hone.scorer": F.when(turn % 5 == 4, "judge"),
+        "hone.models.prompt.sections": F.concat(F.lit('[{"id": "head", "version": "'), (turn % 2).cast("string"), F.lit('", "start": 2, "end": 9}, {"id": "odd", "version": "1"}]')),
     }
     step = {"hone.flow.status": F.when(turn % 4 == 0, "failed").when(turn % 4 == 1, "skipped"), "hone.flow.step_version": F.lit("2"), "hone.flow.reused_from": F.when(turn % 4 == 2, "old"), "hone.flow.params": F.when(turn % 2 == 0, '{"size": "3"}')}
     score = {"hone.select.scorer": F.lit("s"), "hone.select.score.value": (turn % 5) / 4, "hone.select.score.reason": F.when(turn % 3 == 0, '{"a": 1}').when(turn % 3 == 1, "fine").otherwise(""), "hone.select.candidate": F.when(turn % 2 == 0, '{"id": "c0"}'), "hone.candidate_id": F.when(turn % 2 == 1, "c1")}

@@ -121,7 +121,7 @@ def jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
         lines = lines.join(tails, mine & (F.trim("value") == F.col("_tail")), "left").filter(whole | F.col("_tail").isNull())
     shown = F.concat(F.lit("no JSON in a line of "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80))
     span = F.when(whole, F.from_json("value", SPAN)).otherwise(F.raise_error(shown).cast(f"struct<{SPAN}>"))
-    version = F.get_json_object("value", "$.schema_version")
+    version = F.coalesce(F.get_json_object("value", "$.attributes['hone.schema_version']"), F.get_json_object("value", "$.schema_version"))
     checked = F.when(version.isNull() | (version == "1"), span).otherwise(F.raise_error(F.concat(F.lit("schema version "), version, F.lit(" is not 1"))).cast(f"struct<{SPAN}>"))
     return lines.select(checked.alias("s")).select("s.*")
 

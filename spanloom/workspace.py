@@ -190,16 +190,17 @@ class Workspace:
             manifest["next"] = number + 1
         if raw is None:
             return 0
-        one = Window.partitionBy("span_id").orderBy("start_time", "trace_id", "name")
-        first = normalize(raw).withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
-        first.select(*self.spark.createDataFrame([], SPAN).columns).write.parquet(path := where("spans"))
+        normalize(raw).select(*self.spark.createDataFrame([], SPAN).columns).write.parquet(path := where("spans"))
         generations = manifest["generations"]
-        if generations:  # one id column of what is stored
-            stored = self._parquet([g["spans"] for g in generations], SPAN).select("span_id")
-            known = stored.join(self.spark.read.schema(SPAN).parquet(path).select("span_id"), "span_id", "left_semi")
-            if not known.isEmpty():
-                fresh = self.spark.read.schema(SPAN).parquet(path).join(known, "span_id", "left_anti")
-                fresh.write.parquet(path := where("spans"))
+        # only ids are shuffled to find copies; whole spans move only where there are some
+        rows = self.spark.read.schema(SPAN).parquet(path)
+        twice = rows.groupBy("span_id").count().filter("count > 1").select("span_id")
+        known = self._parquet([g["spans"] for g in generations], SPAN).select("span_id").join(rows.select("span_id"), "span_id", "left_semi")
+        if not twice.isEmpty() or (generations and not known.isEmpty()):
+            fresh = rows.join(known, "span_id", "left_anti")
+            one = Window.partitionBy("span_id").orderBy("start_time", "trace_id", "name")
+            first = fresh.join(twice, "span_id", "left_semi").withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
+            fresh.join(twice, "span_id", "left_anti").unionByName(first).write.parquet(path := where("spans"))
         new = self.spark.read.schema(SPAN).parquet(path)
         length = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000.0
         seen = new.agg(F.count(F.lit(1)).alias("n"), F.max("start_time").alias("latest"), F.max(length).alias("longest")).first()
@@ -459,7 +460,7 @@ class Workspace:
         ids = [f.details["cluster_id"] for f in findings if f.details.get("cluster_id")]
         if not ids:
             return {}
-        rows = describe.spread(self.table("members").filter(F.col("cluster_id").isin(ids)), ["cluster_id"], "start_time", "span_id", n=n)
+        rows = evidence(self.table("members").filter(F.col("cluster_id").isin(ids)), ["cluster_id"], n)
         out: dict[str, list[str]] = {}
         for r in rows.orderBy("cluster_id", "start_time", "span_id").select("cluster_id", "text").collect():
             out.setdefault(r.cluster_id, []).append(r.text)

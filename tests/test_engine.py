@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom import findings as fs
 from spanloom.errors import SourceError, SpanloomError
-from spanloom.functions import stats
+from spanloom.functions import scalars, stats
 from spanloom.operators import detectors, vectors
 from spanloom.plans.derive import depths, derive, step_ancestors
 from spanloom.plans.normalize import normalize
@@ -21,6 +21,7 @@ from spanloom.sources.registry import open_source
 from spanloom.streaming.ingest import ingest_stream, rates_by_window
 from spanloom.testing.contracts import check_embedder, check_replayer, check_rerunner, check_source, check_text_client
 from spanloom.testing.fakes import FakeEmbedder, FakeHistory, FakeReplayer, FakeSource, FakeStepRerunner, FakeTextClient
+from spanloom.testing.writers import write_otlp, write_runs, write_store
 from spanloom.workspace import Workspace
 
 
@@ -130,7 +131,7 @@ def test_bad_lines(spark, tmp_path):
         (tmp_path / "torn.jsonl").write_text(bad)
         with pytest.raises(Exception, match="no JSON in a line"):
             normalize(open_source(spark, f"jsonl:{tmp_path}")).collect()
-    (tmp_path / "torn.jsonl").write_text(json.dumps(planted()[0] | {"schema_version": "2"}) + "\n")
+    (tmp_path / "torn.jsonl").write_text(json.dumps(planted()[0] | {"attributes": {"hone.schema_version": "2"}}) + "\n")
     with pytest.raises(Exception, match="schema version"):
         normalize(open_source(spark, f"jsonl:{tmp_path}")).collect()
     with pytest.raises(SourceError, match="nothing at"):
@@ -152,6 +153,14 @@ def test_only_changed_files_are_read(spark, folder):
     assert sorted(map(repr, ws.table("calls").collect())) == before and len(ws._manifest()["generations"]) == 1
 
 
+def test_the_first_copy_wins(spark, tmp_path):
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    rows = [span(1, status="ok"), span(1, status="error") | {"start_time": "2026-01-01T00:00:05.000Z"}, span(2), span(2, run=9)]
+    assert ws.ingest(rows) == 2
+    assert ws.ingest([span(1, status="error") | {"start_time": "2025-01-01T00:00:00.000Z"}, span(3), span(3)]) == 1
+    assert {(r.span_id, r.status.code, r.trace_id) for r in ws.spans().collect()} == {("s1", "ok", "t0"), ("s2", "ok", "t0"), ("s3", "ok", "t0")}
+
+
 def test_a_failed_write_leaves_the_workspace_as_it_was(spark, folder):
     ws = Workspace(spark, str(folder / "ws4"))
     ws.ingest(f"jsonl:{folder}/in")
@@ -217,6 +226,24 @@ def test_floor_scores(spark):
     assert not found(scored([0.0] * 10 + [0.25] * 90, reason="plain", confidence=1.0))
 
 
+def test_every_format_reads_alike(spark, tmp_path):
+    """The same spans from a store, run folders, documents of the protocol and an object: the same tables."""
+    rows = [r | {"trace_id": f"{int(r['trace_id'][1:]):032x}", "span_id": f"{int(r['span_id'][1:]):016x}"} for r in planted()]
+    write_store(rows, tmp_path / "store" / "a" / "spans.db", large=60)
+    write_runs(rows, tmp_path / "runs")
+    write_store(rows[:10], tmp_path / "mixed" / "x" / "spans.db")
+    write_runs(rows[10:], tmp_path / "mixed")
+    write_otlp(rows, tmp_path / "one" / "spans.json")
+    write_otlp(rows, tmp_path / "lines" / "spans.json", by_line=True)
+    want = None
+    for source in (f"store:{tmp_path}/store", f"runs:{tmp_path}/runs", f"runs:{tmp_path}/mixed", f"otlp:{tmp_path}/one", f"otlp:{tmp_path}/lines/*.json", FakeSource(rows)):
+        got = {n: sorted(map(repr, df.collect())) for n, df in derive(normalize(open_source(spark, source))).items()}
+        want = want or got
+        assert got == want and len(got["calls"]) == 85, source
+    since = dt.datetime(2026, 1, 1, 0, 1, tzinfo=dt.UTC)
+    assert open_source(spark, f"store:{tmp_path}/store", since=since).count() == open_source(spark, f"otlp:{tmp_path}/one", since=since).count() > 0
+
+
 def test_flow_source(spark, tmp_path):
     history = FakeHistory()
     step = lambda n, statuses, **more: {"step": n, "item": "0", "kind": "step", "status": "done", "attempt": len(statuses), "attempts": [{"status": s} for s in statuses], "reviews": [], "started_at": "2026-01-01T00:00:00+00:00", "duration_ms": 5} | more
@@ -241,6 +268,42 @@ def test_flow_source(spark, tmp_path):
         ws.ingest("flow:memory/w")
 
 
+def test_ranks_of_hot_groups(spark):
+    r = np.random.default_rng(3)
+    data = [("a", float(x)) for x in r.normal(size=500).round(1)] + [("b", float(x)) for x in r.lognormal(3, 2, 301)] + [("c", 0.0), ("c", None), ("d", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    want = {g: [v for k, v in data if k == g and v is not None] for g in "abc"}
+    got = {x.g: x for x in stats.quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert got.keys() == want.keys()
+    for g, values in want.items():
+        assert [got[g].low, got[g].mid, got[g].top] == pytest.approx(np.percentile(values, [10, 50, 100]).tolist())
+    near = {x.g: x.mid for x in stats.quantiles(df, ["g"], "v", {"mid": 0.5}, accuracy=1000).collect()}
+    assert near["b"] == pytest.approx(got["b"].mid, rel=0.1)
+    ranks = {(x.g, x.v): x._rank for x in stats.ranked(df, ["g"], "v").collect()}
+    for g, values in want.items():
+        assert all(ranks[g, v] == sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in values)
+
+
+def test_text_of_messages(spark):
+    cases = {
+        "plain": "plain",
+        '["not messages"]': "",
+        "[broken": "[broken",
+        '{"a": 1}': "",
+        '[{"role": "user", "content": "a"}, {"content": "{\\"b\\": 1}"}, {"content": "[1, 2]"}]': 'a\n{"b": 1}\n[1, 2]',
+        '[{"content": ["s", {"type": "text", "text": "t"}, {"type": "image", "text": "no"}, {"content": "u"}, 5]}]': "s\nt\nu",
+        '[{"parts": [{"type": "text", "content": "p"}]}, {"content": "c", "parts": ["q"]}, {"content": {"x": 1}}, {"content": null}]': "p\nc\nq",
+        "[]": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "m string")
+    assert {r.m: r.t for r in df.select("m", scalars.messages_text(F.col("m")).alias("t")).collect()} == cases
+    got = spark.sql("SELECT '[1, {\"a\": 2}]' AS a, '{\"k\": [1]}' AS b, 'x' AS c, CAST(NULL AS STRING) AS d, '2026-01-01T02:00:00.1209+02:00' AS t")
+    r = got.select(*[scalars.json_list(F.col(c)).alias(f"l{c}") for c in "abcd"], *[scalars.json_map(F.col(c)).alias(f"m{c}") for c in "abcd"], scalars.canonical_time(F.col("t")).alias("t")).first()
+    assert (r.la, r.lb, r.lc, r.ld) == (["1", '{"a":2}'], [], [], []) and (r.ma, r.mb, r.mc, r.md) == ({}, {"k": "[1]"}, {}, {}) and r.t == "2026-01-01T00:00:00.120Z"
+    with pytest.raises(Exception, match="no ISO time"):
+        got.select(scalars.canonical_time(F.col("c"))).collect()
+
+
 def test_statistics(spark):
     r = random.Random(2)
     data = [(r.randint(0, 9), r.randint(10, 30), r.randint(0, 9), r.randint(10, 30)) for _ in range(20)] + [(0, 0, 1, 5)]

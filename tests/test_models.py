@@ -8,11 +8,12 @@ import pytest
 from spanloom.errors import BudgetExceeded, SpanloomError
 from spanloom.models.asking import Question, ask_each
 from spanloom.models.budget import NO_LIMIT, Amount, Budget, budget_of
-from spanloom.models.describe import cluster_samples, describe_clusters, spread
+from spanloom.models.describe import cluster_samples, describe_clusters
 from spanloom.models.openai import ChatClient, Embeddings
 from spanloom.models.ports import TextClient
 from spanloom.models.replay import calls_with, replay_test, section_text
 from spanloom.models.review import Taxonomy
+from spanloom.operators.rates import evidence
 from spanloom.testing.contracts import check_embedder, check_text_client
 from spanloom.testing.fakes import FakeTextClient
 
@@ -61,7 +62,7 @@ def test_descriptions(spark):
     for n in (1, 3, 7, 20, 100):
         rows = df.filter("cluster_id = 'C-1'").orderBy("start_time", "span_id").collect()
         want = {r.span_id for r in rows} if len(rows) <= n else {rows[i * len(rows) // n].span_id for i in range(n)}
-        assert {r.span_id for r in spread(df, ["cluster_id"], "start_time", "span_id", n=n).filter("cluster_id = 'C-1'").collect()} == want
+        assert {r.span_id for r in evidence(df, ["cluster_id"], n, slices=7).filter("cluster_id = 'C-1'").collect()} == want
     assert {r.cluster_id: r.size for r in cluster_samples(df).collect()} == {"C-0": 20, "C-1": 21}
     model, notes, none = FakeTextClient(cluster_description={"description": "d", "in_common": "c"}), [], spark.createDataFrame([], "cluster_id string")
     assert describe_clusters(df, none, model, Budget(), notes) == [("C-1", "d", "c"), ("C-0", "d", "c")] and not notes
