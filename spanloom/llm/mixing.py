@@ -29,6 +29,11 @@ from spanloom.llm.scratch import materialize
 WEIGHTS, EPOCHS, MAX_REPEAT, BLOCK, SHARD_ROWS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 10_000, "mix-1"
 
 
+def seeded(*parts: Column | str) -> Column:
+    """A number of 48 bits from texts; any engine that has MD5 gives the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long")
+
+
 def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, order: list[Column]) -> DataFrame:
     """``parties`` with ``quota`` long: each group's ``seats`` (same in all its rows) by highest quotients.
 
@@ -91,7 +96,7 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...] = WEIGHTS,
 def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, max_repeat: float = MAX_REPEAT, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:
     """mix()'s columns and, for each row, ``rounds`` (whole copies) and up to two parts of words, ``first`` and ``second`` (lo, hi)."""
     sized = materialize(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("_hash"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_ord")),
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("_hash"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_ord")),
         "mix-sizes",
     )
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights=weights, epochs=epochs, max_repeat=max_repeat)
@@ -101,7 +106,7 @@ def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: flo
     sources = materialize(sources.select("source", "source_size", "target", F.col("quota").alias("_quota"), F.ceil(F.col("_docs") / shard_rows).cast("long").alias("_n")), "mix-sources")
 
     dealt = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
-        "d.doc_id", "d._hash", "d.source", "d.size", "d._ord", "s.source_size", "s.target", "s._quota", F.pmod(F.xxhash64("d._ord"), F.col("s._n")).alias("_shard")
+        "d.doc_id", "d._hash", "d.source", "d.size", "d._ord", "s.source_size", "s.target", "s._quota", (seeded("d._ord") % F.col("s._n")).alias("_shard")
     )
     shards = dealt.groupBy("source", "_shard", "_quota").agg(F.sum("size").alias("_line"))
     shards = sainte_lague(shards, ["source"], "_line", "_quota", [F.col("_shard")]).select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_line", "quota")
@@ -110,7 +115,7 @@ def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: flo
     total = F.least(F.col("quota") * block, F.floor(F.lit(max_repeat) * F.col("_line")).cast("long"))
     rounds, rest = F.floor(F.col("_total") / F.greatest("_line", F.lit(1))).cast("long"), F.col("_total") % F.greatest("_line", F.lit(1))
     blocks = F.greatest(F.floor(F.col("_line") / block).cast("long"), F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), blocks) * block
+    start = seeded(F.lit(seed), F.coalesce("source", F.lit("null")), F.col("_shard").cast("string")) % blocks * block
     part = lambda lo, hi: F.struct(F.greatest(F.lit(0).cast("long"), lo - F.col("_at")).alias("lo"), F.least(F.col("size"), hi - F.col("_at")).alias("hi"))
     length = lambda p: F.greatest(F.lit(0).cast("long"), F.col(f"{p}.hi") - F.col(f"{p}.lo"))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import licenses, quality, secrets
+from spanloom.llm import licenses, mixing, quality, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -108,7 +108,32 @@ SELECT doc_id, count(*) FILTER (WHERE kn = 0) AS n_assign, count(*) FILTER (WHER
 FROM t LEFT JOIN j USING (r) GROUP BY r, doc_id"""
 
 
+def mixing_sql() -> str:
+    """Targets by water level, quotas by sorted quotients, and each document's part of the circle of its shard."""
+    seed, block, cap = mixing.SEED, mixing.BLOCK, mixing.MAX_REPEAT
+    number = lambda text: f"CAST('0x' || md5({text})[1:12] AS BIGINT)"
+    place = "cap / w, source NULLS LAST"
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM d GROUP BY source),
+w AS (SELECT *, {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w, {cap}::DOUBLE * source_size AS cap FROM a),
+l AS (SELECT *, ({mixing.EPOCHS}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY {place} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY {place} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY {place}) AS k FROM w),
+t AS (SELECT source, source_size, docs, coalesce(least(cap, w * (SELECT arg_min(level, k) FILTER (WHERE cap / w > level) FROM l)), cap) AS target FROM l),
+n AS (SELECT CAST(round(sum(target) / {block}) AS BIGINT) AS n FROM t),
+q AS (SELECT source, n, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS rk FROM (SELECT source, target, n, unnest(range(0, n)) AS k FROM t, n WHERE target > 0)),
+g AS (SELECT source, count(*) FILTER (WHERE rk <= n) AS quota FROM q GROUP BY source),
+s AS (SELECT d.*, source_size, target, coalesce(quota, 0) AS quota, {number('ord')} % CAST(ceil(docs / {mixing.SHARD_ROWS}::DOUBLE) AS BIGINT) AS shard FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+h AS (SELECT source, shard, any_value(quota) AS quota, CAST(sum(size) AS BIGINT) AS line FROM s GROUP BY source, shard),
+hq AS (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY line / (2 * k + 1)::DOUBLE DESC, shard) AS rk FROM (SELECT *, unnest(range(0, quota)) AS k FROM h WHERE line > 0)),
+hg AS (SELECT source, shard, count(*) FILTER (WHERE rk <= quota) AS blocks FROM hq GROUP BY source, shard),
+c AS (SELECT h.source, h.shard, line, greatest(line, 1) AS len, least(coalesce(blocks, 0) * {block}, CAST(floor({cap} * line) AS BIGINT)) AS total, {number(f"'{seed}:' || coalesce(h.source, 'null') || ':' || h.shard")} % greatest(line // {block}, 1) * {block} AS lo
+ FROM h LEFT JOIN hg ON hg.source IS NOT DISTINCT FROM h.source AND hg.shard = h.shard),
+p AS (SELECT s.*, c.line, c.total // c.len AS rounds, c.lo, c.lo + c.total % c.len AS hi, coalesce(sum(size) OVER (PARTITION BY s.source, s.shard ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM s JOIN c ON c.source IS NOT DISTINCT FROM s.source AND c.shard = s.shard)
+SELECT doc_id, size, source_size, target, source, CAST(rounds * size + greatest(0, least(size, hi - at0) - greatest(0, lo - at0)) + greatest(0, least(size, hi - line - at0) - greatest(0, lo - line - at0)) AS BIGINT) AS taken FROM p"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix": mixing_sql(),
     "op8_licenses": licenses_sql(),
     "op10_secrets": secrets_sql(),
     "op6_near": NEAR,
