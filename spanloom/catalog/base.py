@@ -64,8 +64,8 @@ def rate_sql(source: str, keys: str, metrics: list[tuple], *, least: int = 3, mo
     names = "".join(f", {m.rsplit(' AS ', 1)[1]}" for m in more.split(" ;; ")) if more else ""
     extra = extra.replace(" ;; ", ", ")
     parts = [
-        f"SELECT {keys}, '{n}' AS metric, count(*) FILTER (WHERE {hit}) AS hits, count(*) AS total, {low} AS low, {high} AS high, {mid} AS medium, min(epoch_us(start_time)) FILTER (WHERE {hit}) AS first_us, max(epoch_us(start_time)) FILTER (WHERE {hit}) AS last_us{extra} FROM {source} GROUP BY {keys}"
-        for n, hit, low, high, mid in metrics
+        f"SELECT {keys}, '{n}' AS metric, count(*) FILTER (WHERE {hit}) AS hits, count(*) AS total, {low} AS low, {high} AS high, {mid} AS medium, min(epoch_us(start_time)) FILTER (WHERE {hit}) AS first_us, max(epoch_us(start_time)) FILTER (WHERE {hit}) AS last_us{extra} FROM {source} GROUP BY {keys}" for n,
+        hit, low, high, mid in metrics
     ]
     share = "hits / CAST(total AS DOUBLE)"
     return f"SELECT {keys}, metric, hits, total, round({share}, 6) AS value, CASE WHEN {share} >= high THEN 'high' WHEN {share} >= medium THEN 'medium' ELSE 'low' END AS severity, '{category}' AS category, first_us, last_us{names} FROM ({' UNION ALL '.join(parts)}) WHERE hits >= {least} AND {share} >= low AND {where}"

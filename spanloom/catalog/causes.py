@@ -56,7 +56,10 @@ def _strata(spark, sf_dir):
     n = F.col("span_id").cast("long")
     clusters = outputs.select("span_id", F.when(n % 3 == 0, F.concat(F.lit("C"), (n % 4).cast("string"))).alias("cluster_id"))
     seen = outputs.filter(n % 50 == 0).select("span_id", F.lit("F-1").alias("finding_id"))
-    scores = spark.createDataFrame([("de", "score", 0.1), ("de", "score", 0.9), ("en", "score", 0.5), ("fr", "score", 0.7), ("es", "score", None)], "run_id string, kind string, value double")
+    scores = spark.createDataFrame(
+        [("de", "score", 0.1), ("de", "score", 0.9), ("en", "score", 0.5), ("fr", "score", 0.7), ("es", "score", None)],
+        "run_id string, kind string, value double"
+    )
     return outputs, strata(outputs, clusters, seen, scores)
 
 
@@ -71,7 +74,9 @@ def stratified_sample(spark, sf_dir):
     return stratified(outputs, members, 60).select("span_id", F.col("turn").cast("long").alias("turn"), "stratum")
 
 
-@query(f"WITH {CALLS} SELECT run_id, count(*) AS calls, count(DISTINCT step) AS steps FROM calls WHERE workflow = 'flow-2' AND step = '3' AND scorer IS NULL GROUP BY run_id")
+@query(
+    f"WITH {CALLS} SELECT run_id, count(*) AS calls, count(DISTINCT step) AS steps FROM calls WHERE workflow = 'flow-2' AND step = '3' AND scorer IS NULL GROUP BY run_id"
+)
 def scoped_calls(spark, sf_dir):
     mine = causes.scoped_calls(t.calls(spark, sf_dir), {"workflow": "flow-2", "step": "3"})
     return mine.groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("step").alias("steps"))

@@ -40,7 +40,10 @@ SLOWER = "n_a >= 20 AND n_b >= 20 AND value / baseline >= 1.2 AND abs(z) > 2.575
 SELECT step, before, after, n_a, n_b, round(u, 6) AS u, round(z, 6) AS z, round(baseline, 6) AS baseline, round(value, 6) AS value, {SLOWER} AS regressed FROM z""")
 def latency_regression(spark, sf_dir):
     out = d.latency_changes(d.own_calls(t.tables(spark, sf_dir)), keys=["step"], version="template_version")
-    return out.select("step", "before", "after", "n_a", "n_b", r6(F.col("u"), "u"), r6(F.col("z"), "z"), r6(F.col("baseline"), "baseline"), r6(F.col("value"), "value"), "regressed")
+    return out.select(
+        "step", "before", "after", "n_a", "n_b", r6(F.col("u"), "u"), r6(F.col("z"), "z"), r6(F.col("baseline"), "baseline"),
+        r6(F.col("value"), "value"), "regressed"
+    )
 
 
 ERRORS = """g AS (SELECT {g}, CAST(count(*) FILTER (WHERE side = 'a') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE side = 'b') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE side = 'a' AND status IN ('failed', 'error')) AS DOUBLE) AS ha, CAST(count(*) FILTER (WHERE side = 'b' AND status IN ('failed', 'error')) AS DOUBLE) AS hb FROM x GROUP BY ALL),
@@ -61,7 +64,10 @@ def score_regression(spark, sf_dir):
     tables = t.tables(spark, sf_dir)
     scored = d.scores(tables).filter("value IS NOT NULL").join(d.prompt_of_run(tables), "run_id", "left")
     out = d.score_changes(scored, keys=["workflow", "scorer"], version="prompt_version")
-    return out.select("workflow", "scorer", "before", "after", "n_a", "n_b", r6(F.col("z"), "z"), r6(F.col("baseline"), "baseline"), r6(F.col("value"), "value"), "regressed")
+    return out.select(
+        "workflow", "scorer", "before", "after", "n_a", "n_b", r6(F.col("z"), "z"), r6(F.col("baseline"), "baseline"),
+        r6(F.col("value"), "value"), "regressed"
+    )
 
 
 @query(f"""WITH {STEPS}, ex AS (SELECT * FROM steps WHERE executed = 1), {edges('ex', 'workflow, step', 'code_version')}, {ERRORS.format(g='workflow, step, before, after')},
@@ -80,14 +86,18 @@ def regressions(spark, sf_dir):
 WILSON = """((p + 1.96 * 1.96 / (2 * n)) {sign} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)"""
 
 
-@query(f"""WITH {CALLS}, g AS (SELECT step, count(*) FILTER (WHERE status = 'error') AS hits, CAST(count(*) AS DOUBLE) AS n FROM calls GROUP BY step), s AS (SELECT *, hits / n AS p FROM g) SELECT step, hits, round(greatest(0, {WILSON.format(sign='-')}), 6) AS low, round(least(1, {WILSON.format(sign='+')}), 6) AS high FROM s""")
+@query(
+    f"""WITH {CALLS}, g AS (SELECT step, count(*) FILTER (WHERE status = 'error') AS hits, CAST(count(*) AS DOUBLE) AS n FROM calls GROUP BY step), s AS (SELECT *, hits / n AS p FROM g) SELECT step, hits, round(greatest(0, {WILSON.format(sign='-')}), 6) AS low, round(least(1, {WILSON.format(sign='+')}), 6) AS high FROM s"""
+)
 def wilson_ci(spark, sf_dir):
     by = d.own_calls(t.tables(spark, sf_dir)).groupBy("step").agg(F.count_if(F.col("status") == "error").alias("hits"), F.count(F.lit(1)).alias("n"))
     low, high = stats.wilson(F.col("hits"), F.col("n"))
     return by.select("step", "hits", r6(low, "low"), r6(high, "high"))
 
 
-@query(f"""WITH {CALLS} SELECT step, round(quantile_cont(latency_ms, 0.25), 6) AS q25, round(quantile_cont(latency_ms, 0.5), 6) AS q50, round(quantile_cont(latency_ms, 0.95), 6) AS q95 FROM calls GROUP BY step""")
+@query(
+    f"""WITH {CALLS} SELECT step, round(quantile_cont(latency_ms, 0.25), 6) AS q25, round(quantile_cont(latency_ms, 0.5), 6) AS q50, round(quantile_cont(latency_ms, 0.95), 6) AS q95 FROM calls GROUP BY step"""
+)
 def latency_percentiles(spark, sf_dir):
     found = stats.quantiles(d.own_calls(t.tables(spark, sf_dir)), ["step"], "latency_ms", {"q25": 0.25, "q50": 0.5, "q95": 0.95})
     return found.select("step", *[r6(F.col(n), n) for n in ("q25", "q50", "q95")])
@@ -99,7 +109,9 @@ def median_of_hot_groups(spark, sf_dir):
     return stats.medians(t.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", r6(F.col("median"), "median"), "n")
 
 
-@query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS mid_rank FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS mid_rank FROM lineitem"
+)
 def mid_ranks(spark, sf_dir):
     out = stats.ranked(t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity")
     return out.select("l_orderkey", "l_linenumber", F.col("_rank").cast("double").alias("mid_rank"))

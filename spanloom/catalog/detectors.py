@@ -13,7 +13,15 @@ from spanloom.plans import testbed as t
 CALL_KEYS = "workflow, step, model, scorer, prompt_version"
 
 
-@query(f"WITH {CALLS} " + rate_sql("calls", CALL_KEYS, [("error_rate", "status = 'error'", 0.01, 0.2, 0.05), ("retry_rate", "retries > 0", 0.01, 0.2, 0.05), ("repair_rate", "structured_path IN ('retried', 'repaired', 'failed')", 0.01, 0.2, 0.05)]))
+@query(
+    f"WITH {CALLS} " + rate_sql(
+        "calls", CALL_KEYS,
+        [
+            ("error_rate", "status = 'error'", 0.01, 0.2, 0.05), ("retry_rate", "retries > 0", 0.01, 0.2, 0.05),
+            ("repair_rate", "structured_path IN ('retried', 'repaired', 'failed')", 0.01, 0.2, 0.05)
+        ]
+    )
+)
 def error_rate(spark, sf_dir):
     return shown(d.call_failures(t.tables(spark, sf_dir)).rows, *CALL_KEYS.split(", "))
 
@@ -27,7 +35,12 @@ NEAR = "count(*) FILTER (WHERE finish_reason = 'length' AND context_limit > 0 AN
 CUT = "count(*) FILTER (WHERE finish_reason = 'length' AND structured_path IN ('retried', 'repaired', 'failed')) AS repaired"
 
 
-@query(f"WITH {CALLS} " + rate_sql("calls", "workflow, step, model", [("truncation_rate", "finish_reason = 'length'", 0.01, 0.05, 0.01)], more=f"{NEAR} ;; {CUT}"))
+@query(
+    f"WITH {CALLS} " + rate_sql(
+        "calls", "workflow, step, model", [("truncation_rate", "finish_reason = 'length'", 0.01, 0.05, 0.01)],
+        more=f"{NEAR} ;; {CUT}"
+    )
+)
 def truncation_rate(spark, sf_dir):
     (found,) = d.truncation(t.tables(spark, sf_dir))
     return shown(found.rows, "workflow", "step", "model", more=("near_context_limit", "repaired"))
@@ -57,7 +70,10 @@ l AS (SELECT *, lag(prompt_version) OVER w AS before, lag(median) OVER w AS base
 SELECT workflow, step, scorer, prompt_version, 'median_input_tokens' AS metric, hits, CAST(total AS BIGINT) AS total, round(CAST(median AS DOUBLE), 6) AS value, CASE WHEN median / baseline - 1 >= 1 THEN 'medium' ELSE 'low' END AS severity, 'cost' AS category, first_us, last_us, round(CAST(baseline AS DOUBLE), 6) AS baseline, before
 FROM l WHERE baseline > 0 AND median / baseline - 1 >= 0.5""")
 def token_growth(spark, sf_dir):
-    return shown(d.token_growth(t.tables(spark, sf_dir)).rows, "workflow", "step", "scorer", "prompt_version", more=(r6(F.col("baseline"), "baseline"), "before"))
+    return shown(
+        d.token_growth(t.tables(spark, sf_dir)).rows, "workflow", "step", "scorer", "prompt_version",
+        more=(r6(F.col("baseline"), "baseline"), "before")
+    )
 
 
 @query(f"""WITH {CALLS}, c AS (SELECT *, coalesce(lower(error) LIKE '%out of memory%', false) AS oom FROM calls), g AS (SELECT workflow, count(*) FILTER (WHERE swap) AS swaps, count(DISTINCT run_id) AS runs, count(*) FILTER (WHERE oom) AS oom_errors, max(vram) AS vram_peak_mb,
@@ -99,13 +115,22 @@ def zero_spike(spark, sf_dir):
     return d.next_level(t.tables(spark, sf_dir)).select("workflow", "scorer", "total", "zeros", "next_level", "spike")
 
 
-@query(f"WITH {SELECTIONS} " + rate_sql("(SELECT * FROM selections WHERE kind = 'score')", "workflow, scorer", [("none_score_rate", "value IS NULL", 0.05, 0.5, 0.05)]))
+@query(
+    f"WITH {SELECTIONS} " + rate_sql(
+        "(SELECT * FROM selections WHERE kind = 'score')", "workflow, scorer",
+        [("none_score_rate", "value IS NULL", 0.05, 0.5, 0.05)]
+    )
+)
 def none_score_rate(spark, sf_dir):
     return shown(d.missing_scores(t.tables(spark, sf_dir)).rows, "workflow", "scorer")
 
 
 ANSWERED = r"(coalesce(reason, '') <> '' AND confidence IS NOT NULL AND coalesce(error, '') = '' AND NOT regexp_matches(coalesce(reason, ''), '(?i)^\W*(error|exception|failed)\b'))"
-ZEROS = rate_sql("zs", "workflow, scorer", [("zero_score_rate", f"value = 0 AND NOT {ANSWERED}", 0.05, 0.1, 0.05), ("floor_score_rate", f"value = 0 AND {ANSWERED}", 0.05, 0.3, 0.1)], category="quality")
+ZEROS = rate_sql(
+    "zs", "workflow, scorer",
+    [("zero_score_rate", f"value = 0 AND NOT {ANSWERED}", 0.05, 0.1, 0.05), ("floor_score_rate", f"value = 0 AND {ANSWERED}", 0.05, 0.3, 0.1)],
+    category="quality"
+)
 
 
 @query(f"""WITH {CALLS}, {LEVELS}, zs AS (SELECT sc.* FROM sc JOIN sp ON sc.workflow = sp.workflow AND sc.scorer = sp.scorer), z AS ({ZEROS}),
@@ -114,20 +139,41 @@ SELECT z.*, CASE WHEN metric = 'floor_score_rate' THEN array_to_string(reasons,
 def zero_scores(spark, sf_dir):
     tables = t.tables(spark, sf_dir)
     rows = d.zero_scores(tables | {"calls": d.own_calls(tables)}).rows
-    return shown(rows, "workflow", "scorer", more=(F.array_join("sample_reasons", "|").alias("reasons"), F.coalesce("failed_judge_calls", F.lit(-1)).cast("long").alias("failed_judge_calls")))
-
-
-@query(f"WITH {SELECTIONS} " + rate_sql("(SELECT * FROM selections WHERE kind = 'gate')", "workflow, gate", [("gate_rejection_rate", "passed = 0", 0.5, 0.5, 0.5)], category="quality"))
+    return shown(
+        rows, "workflow", "scorer",
+        more=(
+            F.array_join("sample_reasons", "|").alias("reasons"),
+            F.coalesce("failed_judge_calls", F.lit(-1)).cast("long").alias("failed_judge_calls")
+        )
+    )
+
+
+@query(
+    f"WITH {SELECTIONS} " + rate_sql(
+        "(SELECT * FROM selections WHERE kind = 'gate')", "workflow, gate",
+        [("gate_rejection_rate", "passed = 0", 0.5, 0.5, 0.5)], category="quality"
+    )
+)
 def gate_rejection_rate(spark, sf_dir):
     return shown(d.gate_rejections(t.tables(spark, sf_dir)).rows, "workflow", "gate")
 
 
-@query(f"WITH {SELECTIONS} " + rate_sql("(SELECT * FROM selections WHERE kind = 'decision')", "workflow", [("fallback_rate", "fallback_used = 1", 0.1, 0.5, 0.1), ("low_margin_rate", "margin <> 0 AND margin < 0.02", 0.3, 0.5, 0.3)], category="quality"))
+@query(
+    f"WITH {SELECTIONS} " + rate_sql(
+        "(SELECT * FROM selections WHERE kind = 'decision')", "workflow",
+        [("fallback_rate", "fallback_used = 1", 0.1, 0.5, 0.1), ("low_margin_rate", "margin <> 0 AND margin < 0.02", 0.3, 0.5, 0.3)],
+        category="quality"
+    )
+)
 def decision_rates(spark, sf_dir):
     return shown(d.decisions(t.tables(spark, sf_dir)).rows, "workflow")
 
 
-@query(f"""WITH {SELECTIONS}, c AS (SELECT workflow, candidate_id, count(DISTINCT scorer) AS n, max(value) - min(value) AS spread, min((start_time, span_id)) AS f FROM selections WHERE kind = 'score' AND value IS NOT NULL GROUP BY ALL), m AS (SELECT workflow, spread, f[1] AS start_time FROM c WHERE n > 1) """ + rate_sql("m", "workflow", [("judge_disagreement_rate", "spread > 0.5", 0.2, 0.5, 0.2)], category="quality"))
+@query(
+    f"""WITH {SELECTIONS}, c AS (SELECT workflow, candidate_id, count(DISTINCT scorer) AS n, max(value) - min(value) AS spread, min((start_time, span_id)) AS f FROM selections WHERE kind = 'score' AND value IS NOT NULL GROUP BY ALL), m AS (SELECT workflow, spread, f[1] AS start_time FROM c WHERE n > 1) """ + rate_sql(
+        "m", "workflow", [("judge_disagreement_rate", "spread > 0.5", 0.2, 0.5, 0.2)], category="quality"
+    )
+)
 def disagreement(spark, sf_dir):
     return shown(d.judge_disagreement(t.tables(spark, sf_dir)).rows, "workflow")
 
@@ -136,7 +182,12 @@ REVIEWS = f"{SELECTIONS}, rv AS (SELECT *, lower(decision) AS said FROM selectio
 OVERRIDE = "said IN ('reject', 'rejected', 'edit', 'edited', 'overrule', 'overruled')"
 
 
-@query(f"WITH {REVIEWS} " + rate_sql("(SELECT * FROM rv WHERE actor_kind IS DISTINCT FROM 'automated')", "workflow, step, gate", [("override_rate", OVERRIDE, 0.2, 0.4, 0.2)], category="quality", where="total >= 5"))
+@query(
+    f"WITH {REVIEWS} " + rate_sql(
+        "(SELECT * FROM rv WHERE actor_kind IS DISTINCT FROM 'automated')", "workflow, step, gate",
+        [("override_rate", OVERRIDE, 0.2, 0.4, 0.2)], category="quality", where="total >= 5"
+    )
+)
 def override_rate(spark, sf_dir):
     return shown(d.overrides(t.tables(spark, sf_dir)).rows, "workflow", "step", "gate")
 
@@ -171,7 +222,12 @@ def revision_evidence(spark, sf_dir):
     return d.revision_rows(t.tables(spark, sf_dir)).select("workflow", "step", "run_id", us("start_time", "at_us"), "span_id", "rejected")
 
 
-@query(f"WITH {FLOW} " + rate_sql("rr", "workflow, step", [("revision_rate", "rejected > 0", 0.2, 0.4, 0.2)], category="quality", more="CAST(sum(rejected) AS BIGINT) AS revisions ;; CAST(max(rejected) AS INTEGER) AS max_revisions"))
+@query(
+    f"WITH {FLOW} " + rate_sql(
+        "rr", "workflow, step", [("revision_rate", "rejected > 0", 0.2, 0.4, 0.2)], category="quality",
+        more="CAST(sum(rejected) AS BIGINT) AS revisions ;; CAST(max(rejected) AS INTEGER) AS max_revisions"
+    )
+)
 def revision_rate(spark, sf_dir):
     return shown(d.revisions(t.tables(spark, sf_dir)).rows, "workflow", "step", more=("revisions", "max_revisions"))
 
@@ -185,7 +241,12 @@ def same_family_judge(spark, sf_dir):
 CAPABILITY = r"status = 'error' AND regexp_matches(error, '(?i)\b400\b|not support|unsupported|capabilit')"
 
 
-@query(f"WITH {CALLS} " + rate_sql("calls", "workflow, scorer, model", [("capability_error_rate", CAPABILITY, 0.0, 0.0, 0.0)], category="setup", more=f"arg_min(error, (start_time, span_id)) FILTER (WHERE {CAPABILITY}) AS first_error"))
+@query(
+    f"WITH {CALLS} " + rate_sql(
+        "calls", "workflow, scorer, model", [("capability_error_rate", CAPABILITY, 0.0, 0.0, 0.0)], category="setup",
+        more=f"arg_min(error, (start_time, span_id)) FILTER (WHERE {CAPABILITY}) AS first_error"
+    )
+)
 def capability_error_rate(spark, sf_dir):
     return shown(d.capability_errors(t.tables(spark, sf_dir)).rows, "workflow", "scorer", "model", more=("first_error",))
 

@@ -13,12 +13,16 @@ from spanloom.plans.derive import derive
 from spanloom.plans.normalize import normalize
 
 
-@query("SELECT lang AS workflow, source AS step, count(*) AS outputs, round(count(DISTINCT sha256(text)) / count(*), 6) AS distinct_rate FROM documents GROUP BY ALL")
+@query(
+    "SELECT lang AS workflow, source AS step, count(*) AS outputs, round(count(DISTINCT sha256(text)) / count(*), 6) AS distinct_rate FROM documents GROUP BY ALL"
+)
 def distinct_rate(spark, sf_dir):
     return o.distinct_rate(t.outputs(spark, sf_dir), o.KEYS).select(*o.KEYS, "outputs", r6(F.col("distinct_rate"), "distinct_rate"))
 
 
-@query("""WITH d AS (SELECT lang AS workflow, source AS step, sha256(text) AS sha, CAST(min(doc_id) AS VARCHAR) AS first FROM documents GROUP BY ALL HAVING count(*) > 1) SELECT workflow, step, first AS span_id FROM d""")
+@query(
+    """WITH d AS (SELECT lang AS workflow, source AS step, sha256(text) AS sha, CAST(min(doc_id) AS VARCHAR) AS first FROM documents GROUP BY ALL HAVING count(*) > 1) SELECT workflow, step, first AS span_id FROM d"""
+)
 def duplicate_outputs(spark, sf_dir):
     return o.repeated_first(t.outputs(spark, sf_dir)).select(*o.KEYS, "span_id")
 
@@ -36,13 +40,17 @@ def mean_pairwise(spark, sf_dir):
     return vectors.mean_pairwise(t.table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", r6(F.col("mean_pairwise"), "mean_pairwise"))
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id, c.vec_id AS other, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS x FROM q JOIN embeddings c ON q.vec_id <> c.vec_id) SELECT vec_id, round(max(x), 5) AS nearest FROM s GROUP BY vec_id""")
+@query(
+    """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id, c.vec_id AS other, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS x FROM q JOIN embeddings c ON q.vec_id <> c.vec_id) SELECT vec_id, round(max(x), 5) AS nearest FROM s GROUP BY vec_id"""
+)
 def nearest_neighbour(spark, sf_dir):
     e = t.table(spark, sf_dir, "embeddings")
     return vectors.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding").select("vec_id", F.round("nearest", 5).alias("nearest"))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v) SELECT vec_id, round(e[1] / n, 6) AS x1, round(e[64] / n, 6) AS x64 FROM n""")
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v) SELECT vec_id, round(e[1] / n, 6) AS x1, round(e[64] / n, 6) AS x64 FROM n"""
+)
 def unit_vectors(spark, sf_dir):
     e = t.table(spark, sf_dir, "embeddings").select("vec_id", vectors.unit(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("u"))
     return e.select("vec_id", F.round(F.col("u")[0], 6).alias("x1"), F.round(F.col("u")[63], 6).alias("x64"))
@@ -51,7 +59,12 @@ def unit_vectors(spark, sf_dir):
 def _clustered(spark, sf_dir):
     """Documents as outputs in known clusters, by the remainders of their ids."""
     n = F.col("span_id").cast("long")
-    rows = t.outputs(spark, sf_dir).withColumns({"cluster": F.when(n % 3 == 1, F.when(n % 10 < 8, 0).otherwise(1)).when(n % 7 == 0, 0).otherwise(-1), "nearest": F.when(n % 97 == 5, 0.01).otherwise(0.5 + (n % 10) / 100)})
+    rows = t.outputs(spark, sf_dir).withColumns(
+        {
+            "cluster": F.when(n % 3 == 1, F.when(n % 10 < 8, 0).otherwise(1)).when(n % 7 == 0, 0).otherwise(-1),
+            "nearest": F.when(n % 97 == 5, 0.01).otherwise(0.5 + (n % 10) / 100)
+        }
+    )
     return rows.withColumn("cluster_id", F.when(F.col("cluster") >= 0, F.concat(F.lit("C-"), F.col("cluster").cast("string"))))
 
 
@@ -72,10 +85,16 @@ SELECT m.workflow, m.step, 'largest_cluster_share' AS metric, hits, total, round
 FROM m JOIN ro ON ro.workflow = m.workflow AND ro.step = m.step WHERE hits > 0 AND (share >= 0.2 OR rose)""")
 def largest_cluster_share(spark, sf_dir):
     rows = _clustered(spark, sf_dir)
-    shares = rows.groupBy(*o.KEYS).agg((F.count_if(F.col("cluster") == 0) / F.count(F.lit(1))).alias("largest_cluster_share"), (F.max("cluster") + 1).alias("clusters"))
+    shares = rows.groupBy(*o.KEYS).agg(
+        (F.count_if(F.col("cluster") == 0) / F.count(F.lit(1))).alias("largest_cluster_share"),
+        (F.max("cluster") + 1).alias("clusters")
+    )
     measured = o.distinct_rate(rows, o.KEYS).join(shares, o.KEYS).withColumns({"mean_pairwise_cosine": F.lit(0.0), "repeated_ngram_rate": F.lit(0.0)})
     found = o.homogeneity(rows, measured).rows.filter("metric = 'largest_cluster_share'")
-    return found.select(*o.KEYS, "metric", "hits", "total", r6(F.col("value"), "value"), "severity", r6(F.col("baseline"), "baseline"), us("first_seen", "first_us"), us("last_seen", "last_us"))
+    return found.select(
+        *o.KEYS, "metric", "hits", "total", r6(F.col("value"), "value"), "severity", r6(F.col("baseline"), "baseline"),
+        us("first_seen", "first_us"), us("last_seen", "last_us")
+    )
 
 
 @query(f"""WITH {ROWS}, d AS (SELECT lang AS workflow, 'all' AS step, doc_id % 5 AS five FROM documents), c AS (SELECT workflow, count(*) AS total, count(DISTINCT five) / count(*) AS uniq, count(DISTINCT five) AS hits FROM d GROUP BY workflow)
@@ -83,7 +102,9 @@ SELECT workflow, 'distinct_rate' AS metric, hits, total, round(uniq, 6) AS value
 def low_distinct(spark, sf_dir):
     """Outputs that are one of five texts."""
     rows = _clustered(spark, sf_dir).withColumns({"step": F.lit("all"), "text_sha": (F.col("span_id").cast("long") % 5).cast("string"), "cluster": F.lit(-1)})
-    measured = o.distinct_rate(rows, o.KEYS).withColumns({"largest_cluster_share": F.lit(0.0), "clusters": F.lit(0), "mean_pairwise_cosine": F.lit(0.0), "repeated_ngram_rate": F.lit(0.0)})
+    measured = o.distinct_rate(rows, o.KEYS).withColumns(
+        {"largest_cluster_share": F.lit(0.0), "clusters": F.lit(0), "mean_pairwise_cosine": F.lit(0.0), "repeated_ngram_rate": F.lit(0.0)}
+    )
     found = o.homogeneity(rows, measured).rows.filter("metric = 'distinct_rate'")
     return found.select("workflow", "metric", "hits", "total", r6(F.col("value"), "value"), "severity")
 
@@ -95,7 +116,9 @@ def outlier_rate(spark, sf_dir):
     return o.outliers(rows).rows.select("workflow", "metric", "hits", "total", r6(F.col("value"), "value"))
 
 
-@query(f"""WITH {ROWS}, t AS (SELECT workflow, step, count(*) AS total FROM o GROUP BY ALL) SELECT 'C-' || cluster AS id, o.workflow, o.step, cluster AS rank, count(*) AS size, any_value(total) AS total FROM o JOIN t ON t.workflow = o.workflow AND t.step = o.step WHERE cluster >= 0 GROUP BY ALL""")
+@query(
+    f"""WITH {ROWS}, t AS (SELECT workflow, step, count(*) AS total FROM o GROUP BY ALL) SELECT 'C-' || cluster AS id, o.workflow, o.step, cluster AS rank, count(*) AS size, any_value(total) AS total FROM o JOIN t ON t.workflow = o.workflow AND t.step = o.step WHERE cluster >= 0 GROUP BY ALL"""
+)
 def cluster_sizes(spark, sf_dir):
     rows = _clustered(spark, sf_dir).withColumn("center", F.lit("x"))
     return o.cluster_table(rows).drop("center")
@@ -105,7 +128,10 @@ def cluster_sizes(spark, sf_dir):
 SELECT label, section, round(a, 6) AS cluster, round(b, 6) AS others, round(a - b, 6) AS difference FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
 def section_closeness(spark, sf_dir):
     e = t.table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (F.col("vec_id") % 2).alias("cluster"))
-    sections = e.filter("vec_id < 40").select("label", F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("section"), F.lit("1").alias("version"), F.col("embedding").alias("section_embedding"))
+    sections = e.filter("vec_id < 40").select(
+        "label", F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("section"), F.lit("1").alias("version"),
+        F.col("embedding").alias("section_embedding")
+    )
     out = vectors.closeness(e, sections, ["label"])
     return out.select("label", "section", *[r6(F.col(c), c) for c in ("cluster", "others", "difference")])
 
@@ -119,7 +145,9 @@ def section_texts(spark, sf_dir):
     return o.section_texts(spans, tables["outputs"], tables["calls"]).drop("text_sha")
 
 
-@query("SELECT lang AS workflow, count(*) AS outputs FROM documents d WHERE (SELECT count(*) FROM documents x WHERE x.lang = d.lang AND x.source = d.source) >= 20 GROUP BY lang")
+@query(
+    "SELECT lang AS workflow, count(*) AS outputs FROM documents d WHERE (SELECT count(*) FROM documents x WHERE x.lang = d.lang AND x.source = d.source) >= 20 GROUP BY lang"
+)
 def large_groups(spark, sf_dir):
     return o.large_groups(t.outputs(spark, sf_dir)).groupBy("workflow").agg(F.count(F.lit(1)).alias("outputs"))
 

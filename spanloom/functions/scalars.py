@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Spellings of a status, and old attribute names with their new ones.
-STATUS = {"ok": "ok", "error": "error", "unset": "unset", "status_code_ok": "ok", "status_code_error": "error", "status_code_unset": "unset", "0": "unset", "1": "ok", "2": "error"}
+STATUS = {
+    "ok": "ok", "error": "error", "unset": "unset", "status_code_ok": "ok", "status_code_error": "error",
+    "status_code_unset": "unset", "0": "unset", "1": "ok", "2": "error"
+}
 CHAT_OPERATIONS = ("chat", "text_completion", "generate_content")
 MESSAGE = "array<struct<content:variant,parts:variant>>"
 
@@ -80,13 +83,18 @@ def messages_text(messages: Column) -> Column:
     listed = F.filter(F.from_json(messages, MESSAGE), lambda m: m.isNotNull())
     whole = F.try_parse_json(messages).isNotNull()
     text = F.array_join(F.flatten(F.transform(listed, one)), "\n")
-    return F.when(F.startswith(messages, F.lit("[")) & whole, F.coalesce(text, F.lit(""))).when(F.startswith(messages, F.lit("{")) & whole, "").otherwise(messages)
+    return F.when(
+        F.startswith(messages, F.lit("[")) & whole, F.coalesce(text, F.lit(""))
+    ).when(F.startswith(messages, F.lit("{")) & whole, "").otherwise(messages)
 
 
 def ngram_hashes(text: Column, n: int) -> Column:
     """The distinct runs of ``n`` lower-case words as 64-bit hashes."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    hashes = lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(w, i, n)))
+    hashes = lambda w: F.transform(
+        F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.xxhash64(F.slice(w, i, n))
+    )
     return F.array_distinct(F.transform(F.array(words), hashes)[0])
 
 

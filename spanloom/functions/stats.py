@@ -38,7 +38,9 @@ def wilson(hits: Column, n: Column, z: float = Z_95) -> tuple[Column, Column]:
     centre, scale = p + z * z / (2 * n), 1 + z * z / n
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     some = n > 0
-    return F.when(some, F.greatest(F.lit(0.0), (centre - half) / scale)).otherwise(0.0), F.when(some, F.least(F.lit(1.0), (centre + half) / scale)).otherwise(1.0)
+    return F.when(
+        some, F.greatest(F.lit(0.0), (centre - half) / scale)
+    ).otherwise(0.0), F.when(some, F.least(F.lit(1.0), (centre + half) / scale)).otherwise(1.0)
 
 
 def difference_ci(hits_a: Column, n_a: Column, hits_b: Column, n_b: Column) -> tuple[Column, Column]:

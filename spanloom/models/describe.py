@@ -12,14 +12,20 @@ from spanloom.operators.rates import evidence
 
 TEXTS, CHARS = 20, 600
 TEXT = {"type": "string"}
-DESCRIBE = Question("cluster_description", "These texts were put together because they resemble each other. Name the kind of text (description) and the feature that all of them have (in_common), each in a sentence.", {"description": TEXT, "in_common": TEXT})
+DESCRIBE = Question(
+    "cluster_description",
+    "These texts were put together because they resemble each other. Name the kind of text (description) and the feature that all of them have (in_common), each in a sentence.",
+    {"description": TEXT, "in_common": TEXT}
+)
 
 
 def cluster_samples(rows: DataFrame) -> DataFrame:
     """cluster_id, size, data (JSON of up to 20 texts, shortened) of each cluster of ``rows`` (cluster_id, span_id, start_time, text)."""
     mine = rows.filter("cluster_id IS NOT NULL")
     sizes = mine.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    some = evidence(mine, ["cluster_id"], TEXTS).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("start_time", "span_id", F.substring("text", 1, CHARS).alias("text")))).alias("s"))
+    some = evidence(mine, ["cluster_id"], TEXTS).groupBy("cluster_id").agg(
+        F.sort_array(F.collect_list(F.struct("start_time", "span_id", F.substring("text", 1, CHARS).alias("text")))).alias("s")
+    )
     return some.join(sizes, "cluster_id").select("cluster_id", "size", F.to_json(F.struct(F.transform("s", lambda x: x["text"]).alias("items"))).alias("data"))
 
 

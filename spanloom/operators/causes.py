@@ -31,12 +31,23 @@ def features_by_run(calls: DataFrame, steps: DataFrame, scope: Mapping[str, str]
         steps = steps.filter(F.col("workflow").eqNullSafe(scope.get("workflow")))
         steps = steps.filter(F.col("step") == scope["step"]) if scope.get("step") else steps
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    row = lambda kind, target, version=None: F.struct(F.lit(kind).alias("kind"), target.alias("target"), (F.lit("") if version is None else version).alias("version"))
-    own = [row("model", text("model")), row("param", F.concat(F.lit("temperature="), text("temperature"))), F.when(F.col("template_version").isNotNull(), row("prompt_version", F.col("template_version").cast("string")))]
-    listed = F.transform(F.coalesce("sections", F.array().cast("array<struct<id:string,version:string,start:int,end:int>>")), lambda s: row("prompt_section", F.coalesce(s["id"], F.lit("None")), F.coalesce(s["version"], F.lit("None"))))
+    row = lambda kind, target, version=None: F.struct(
+        F.lit(kind).alias("kind"), target.alias("target"), (F.lit("") if version is None else version).alias("version")
+    )
+    own = [
+        row("model", text("model")), row("param", F.concat(F.lit("temperature="), text("temperature"))),
+        F.when(F.col("template_version").isNotNull(), row("prompt_version", F.col("template_version").cast("string")))
+    ]
+    listed = F.transform(
+        F.coalesce("sections", F.array().cast("array<struct<id:string,version:string,start:int,end:int>>")),
+        lambda s: row("prompt_section", F.coalesce(s["id"], F.lit("None")), F.coalesce(s["version"], F.lit("None")))
+    )
     of_calls = calls.select("run_id", F.explode(F.array_compact(F.concat(F.array(*own), listed))).alias("f")).select("run_id", "f.*")
     code = steps.join(calls.select("run_id").distinct(), "run_id", "left_semi")
-    params = F.transform(F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>"))), lambda e: row("param", F.concat(e["key"], F.lit("="), e["value"])))
+    params = F.transform(
+        F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>"))),
+        lambda e: row("param", F.concat(e["key"], F.lit("="), e["value"]))
+    )
     of_steps = code.select("run_id", F.explode(F.concat(F.array(row("code_version", text("step_version"))), params)).alias("f")).select("run_id", "f.*")
     return of_calls.unionByName(of_steps).distinct()
 
@@ -46,7 +57,9 @@ def rank_causes(features: DataFrame, affected: DataFrame, keys: list[str] = FEAT
     features that at least five runs have and five lack, best first. Runs are those that have features."""
     runs = features.select("run_id").distinct().join(affected.select("run_id", F.lit(1).alias("_hit")).distinct(), "run_id", "left")
     totals = runs.agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_m"))
-    by = features.select("run_id", *keys).distinct().join(runs, "run_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("runs_with"), F.count("_hit").alias("affected_with"))
+    by = features.select("run_id", *keys).distinct().join(runs, "run_id").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs_with"), F.count("_hit").alias("affected_with")
+    )
     by = by.join(F.broadcast(totals)).withColumns({"runs_without": F.col("_n") - F.col("runs_with"), "_without": F.col("_m") - F.col("affected_with")})
     by = by.filter((F.col("runs_with") >= LEAST_RUNS) & (F.col("runs_without") >= LEAST_RUNS))
     low, high = difference_ci(F.col("affected_with"), F.col("runs_with"), F.col("_without"), F.col("runs_without"))

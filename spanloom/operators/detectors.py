@@ -133,7 +133,9 @@ def top_share(rows: DataFrame, column: str, metric: str) -> Found:
     w = Window.partitionBy("workflow")
     steps = F.count("amount").over(w)
     share = F.col("amount") / F.sum("amount").over(w)
-    ranked = by_step.withColumns({"steps": steps, "value": share, "total": F.sum("n").over(w), "k": F.row_number().over(w.orderBy(F.col("amount").desc_nulls_last(), "seen"))})
+    ranked = by_step.withColumns(
+        {"steps": steps, "value": share, "total": F.sum("n").over(w), "k": F.row_number().over(w.orderBy(F.col("amount").desc_nulls_last(), "seen"))}
+    )
     top = ranked.filter((F.col("k") == 1) & (F.col("steps") >= 2) & (F.col("value") >= F.greatest(F.lit(0.5), F.lit(1.5) / F.col("steps"))))
     found = top.select(
         "workflow", "step", F.lit(metric).alias("metric"), "hits", "total", "value", F.lit("low").alias("severity"), F.lit("cost").alias("category"),
@@ -148,14 +150,17 @@ def token_growth(t: Tables, *, least: float = 0.5) -> Found:
     keys, label = ["workflow", "step", "scorer"], "prompt_version"
     versioned = own_calls(t).filter("template_version IS NOT NULL AND input_tokens IS NOT NULL").withColumn(label, F.col("template_version"))
     seen = versioned.groupBy(*keys, label).agg(F.min(F.struct("start_time", "span_id")).alias("seen"), F.count(F.lit(1)).alias("hits"), *first_last())
-    by = seen.alias("l").join(stats.medians(versioned, [*keys, label], "input_tokens", "value").alias("r"), _on("l", "r", [*keys, label])).select("l.*", "r.value")
+    by = seen.alias("l").join(
+        stats.medians(versioned, [*keys, label], "input_tokens", "value").alias("r"), _on("l", "r", [*keys, label])
+    ).select("l.*", "r.value")
     w = Window.partitionBy(*keys)
     by = by.withColumns({"before": F.lag(label).over(w.orderBy("seen")), "baseline": F.lag("value").over(w.orderBy("seen")), "total": F.sum("hits").over(w)})
     growth = F.col("value") / F.col("baseline") - 1
     found = by.filter((F.col("baseline") > 0) & (growth >= least)).select(
-        *keys, label, F.lit("median_input_tokens").alias("metric"), "hits", "total", "value", F.when(growth >= 1.0, "medium").otherwise("low").alias("severity"),
-        F.lit("cost").alias("category"), "first_seen", "last_seen", "baseline", growth.alias("growth"), F.lit(label).alias("field"), "before", F.col(label).alias("after"),
-    )
+        *keys, label, F.lit("median_input_tokens").alias("metric"), "hits", "total", "value",
+        F.when(growth >= 1.0, "medium").otherwise("low").alias("severity"), F.lit("cost").alias("category"), "first_seen",
+        "last_seen", "baseline", growth.alias("growth"), F.lit(label).alias("field"), "before", F.col(label).alias("after"),
+    )
     hits = versioned.select(*keys, label, F.lit("median_input_tokens").alias("metric"), "span_id", "run_id", "start_time")
     return Found(found, hits, (*keys, label))
 
@@ -177,14 +182,17 @@ def gpu_thrash(t: Tables, *, slow_ms: float = 1000.0) -> list[Found]:
         F.max(mine).alias("last_seen"),
     )
     waits = stats.medians(calls, ["workflow"], "lease_wait_ms", "wait")
-    out = out.alias("l").join(waits.alias("r"), _on("l", "r", ["workflow"]), "left").select("l.*", F.coalesce("r.wait", F.lit(0.0)).alias("median_lease_wait_ms"))
+    out = out.alias("l").join(waits.alias("r"), _on("l", "r", ["workflow"]), "left").select(
+        "l.*", F.coalesce("r.wait", F.lit(0.0)).alias("median_lease_wait_ms")
+    )
     value = F.col("swaps") / F.col("runs")
     fires = (value >= 0.5) | (F.col("median_lease_wait_ms") >= slow_ms) | (F.col("oom_errors") > 0)
     high = (F.col("oom_errors") > 0) | (value >= 1)
     found = out.filter(fires).select(
-        "workflow", F.lit("model_swaps_per_run").alias("metric"), "hits", "total", value.alias("value"), F.when(high, "high").otherwise("medium").alias("severity"),
-        F.lit("cost").alias("category"), "first_seen", "last_seen", F.lit(0.0).alias("baseline"), "swaps", "runs", "oom_errors", "median_lease_wait_ms", "vram_peak_mb",
-    )
+        "workflow", F.lit("model_swaps_per_run").alias("metric"), "hits", "total", value.alias("value"),
+        F.when(high, "high").otherwise("medium").alias("severity"), F.lit("cost").alias("category"), "first_seen", "last_seen",
+        F.lit(0.0).alias("baseline"), "swaps", "runs", "oom_errors", "median_lease_wait_ms", "vram_peak_mb",
+    )
     hits = calls.filter(hit).select("workflow", F.lit("model_swaps_per_run").alias("metric"), "span_id", "run_id", "start_time")
     return [Found(found, hits, ("workflow",))]
 
@@ -270,11 +278,16 @@ def zero_scores(t: Tables) -> Found:
     found = rates(rows, keys, metrics)
     order = Window.partitionBy(*keys).orderBy("start_time", "span_id")
     said = rows.filter(zero & answered()).withColumn("_k", F.row_number().over(order)).filter("_k <= 3")
-    reasons = said.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.substring("reason", 1, 200).alias("r")))), lambda x: x["r"]).alias("reasons"))
+    reasons = said.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_k", F.substring("reason", 1, 200).alias("r")))), lambda x: x["r"]).alias("reasons")
+    )
     failed = t["calls"].filter("structured_path = 'failed'").groupBy(*keys).agg(F.count(F.lit(1)).alias("failed"))
     out = found.rows.alias("l").join(reasons.alias("r"), _on("l", "r", keys), "left").join(failed.alias("f"), _on("l", "f", keys), "left")
     floor = F.col("l.metric") == "floor_score_rate"
-    detailed = out.select("l.*", F.when(floor, F.col("r.reasons")).alias("sample_reasons"), F.when(~floor, F.coalesce("f.failed", F.lit(0))).alias("failed_judge_calls"))
+    detailed = out.select(
+        "l.*", F.when(floor, F.col("r.reasons")).alias("sample_reasons"),
+        F.when(~floor, F.coalesce("f.failed", F.lit(0))).alias("failed_judge_calls")
+    )
     return Found(detailed, found.hits, found.keys)
 
 
@@ -335,9 +348,14 @@ def automated_rework(t: Tables) -> Found:
         F.count_if(back).alias("rounds"), F.max(F.when(passed, F.struct("start_time", "span_id"))).alias("_last")
     )
     items = items.filter("_last IS NOT NULL").select(*keys, "run_id", "rounds", "_last.*")
-    found = rates(items, keys, [Rate("automated_rework_rate", F.col("rounds") > 0, 0.2, 1.1, 0.5, "quality")], mean_rounds=F.bround(F.avg("rounds"), 2), max_rounds=F.max("rounds"))
+    found = rates(
+        items, keys, [Rate("automated_rework_rate", F.col("rounds") > 0, 0.2, 1.1, 0.5, "quality")],
+        mean_rounds=F.bround(F.avg("rounds"), 2), max_rounds=F.max("rounds")
+    )
     counts = items.groupBy(*keys, "rounds").agg(F.count(F.lit(1)).alias("n"))
-    histogram = counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("rounds").cast("string"), "n")))).alias("rounds_until_approved"))
+    histogram = counts.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("rounds").cast("string"), "n")))).alias("rounds_until_approved")
+    )
     rows = found.rows.alias("l").join(histogram.alias("r"), _on("l", "r", keys), "left").select("l.*", "r.rounds_until_approved")
     return Found(rows, found.hits, found.keys)
 
@@ -357,8 +375,13 @@ def revision_rows(t: Tables) -> DataFrame:
     scripts = sent_back_by_scripts(t["flow_steps"]).withColumn("_script", F.lit(True))
     rejected = F.size(F.filter(F.coalesce("f.attempt_statuses", F.array().cast("array<string>")), lambda s: s == "rejected"))
     named = F.concat_ws("/", "f.run_id", "f.step", F.coalesce("f.item", F.lit("")))
-    joined = ran.alias("f").join(latest.alias("s"), _on("f", "s", ["run_id", "step", "item"]), "left").join(scripts.alias("a"), _on("f", "a", ["run_id", "item"]), "left")
-    return joined.select("f.workflow", "f.step", "f.run_id", "f.start_time", F.coalesce("s.latest", named).alias("span_id"), F.when(F.col("a._script"), 0).otherwise(rejected).alias("rejected"))
+    joined = ran.alias("f").join(
+        latest.alias("s"), _on("f", "s", ["run_id", "step", "item"]), "left"
+    ).join(scripts.alias("a"), _on("f", "a", ["run_id", "item"]), "left")
+    return joined.select(
+        "f.workflow", "f.step", "f.run_id", "f.start_time", F.coalesce("s.latest", named).alias("span_id"),
+        F.when(F.col("a._script"), 0).otherwise(rejected).alias("rejected")
+    )
 
 
 def revisions(t: Tables) -> Found:
@@ -386,9 +409,10 @@ def same_family_judge(t: Tables) -> Found:
     judges = mine.filter(judged).groupBy(*keys, "family").agg(F.count(F.lit(1)).alias("total"), *first_last())
     hit = judges.alias("l").join(makers.alias("r"), _on("l", "r", ["workflow", "family"]), "left_semi")
     found = hit.select(
-        *keys, F.lit("same_family_judge_share").alias("metric"), F.col("total").alias("hits"), "total", F.lit(1.0).alias("value"), F.lit("medium").alias("severity"),
-        F.lit("setup").alias("category"), "first_seen", "last_seen", F.lit(0.0).alias("baseline"),
-    )
+        *keys, F.lit("same_family_judge_share").alias("metric"), F.col("total").alias("hits"), "total", F.lit(1.0).alias("value"),
+        F.lit("medium").alias("severity"), F.lit("setup").alias("category"), "first_seen", "last_seen",
+        F.lit(0.0).alias("baseline"),
+    )
     hits = mine.filter(judged).select(*keys, F.lit("same_family_judge_share").alias("metric"), "span_id", "run_id", "start_time")
     return Found(found, hits, tuple(keys))
 
@@ -401,7 +425,10 @@ def capability_errors(t: Tables) -> Found:
 
 def seeded_runs(t: Tables) -> DataFrame:
     """run_id of the runs that record a seed, on a run's span, a step's span or in the run's records."""
-    parts = [t[n].filter(F.col(c).isNotNull()).select("run_id") for n, c in (("run_calls", "seed"), ("steps", "seed"), ("flow_steps", "run_seed")) if n in t and c in t[n].columns]
+    parts = [
+        t[n].filter(F.col(c).isNotNull()).select("run_id") for n,
+        c in (("run_calls", "seed"), ("steps", "seed"), ("flow_steps", "run_seed")) if n in t and c in t[n].columns
+    ]
     out = parts[0] if parts else t["calls"].select("run_id").limit(0)
     for p in parts[1:]:
         out = out.union(p)
@@ -488,7 +515,10 @@ def score_changes(rows: DataFrame, *, keys: list[str], version: str, least: int
     """Mean scores that fall by ``drop`` between versions, with a Mann-Whitney |z| beyond the 1 % level."""
     group = [*keys, "before", "after"]
     dealt = sides(rows.filter("value IS NOT NULL"), keys, version)
-    means = dealt.groupBy(*group).agg(F.avg(F.when(F.col("side") == "a", F.col("value"))).alias("baseline"), F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("value"))
+    means = dealt.groupBy(*group).agg(
+        F.avg(F.when(F.col("side") == "a", F.col("value"))).alias("baseline"),
+        F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("value")
+    )
     out = stats.mann_whitney(dealt, group, "side", "value").alias("t").join(means.alias("m"), _on("t", "m", group)).select("t.*", "m.baseline", "m.value")
     fall = F.col("baseline") - F.col("value")
     regressed = (F.col("n_a") >= least) & (F.col("n_b") >= least) & (fall >= drop) & (F.abs("z") > stats.Z_01)
@@ -517,7 +547,12 @@ def regression(t: Tables) -> list[Found]:
         out.append(_regressions(latency_changes(rows, keys=keys, version=version), rows, keys, version, "latency_ms_median"))
         failed = F.col("status").isin(*FAILED)
         out.append(_regressions(error_changes(rows, keys=keys, version=version), rows, keys, version, "error_rate", failed))
-    out.append(_regressions(score_changes(scored, keys=["workflow", "scorer"], version="prompt_version"), scored, ["workflow", "scorer"], "prompt_version", "mean_score"))
+    out.append(
+        _regressions(
+            score_changes(scored, keys=["workflow", "scorer"], version="prompt_version"), scored, ["workflow", "scorer"],
+            "prompt_version", "mean_score"
+        )
+    )
     return out
 
 
@@ -530,8 +565,9 @@ def _regressions(changes: DataFrame, rows: DataFrame, keys: list[str], version:
     bad = changes.filter("regressed").withColumn(version, F.col("after")).alias("c")
     joined = of_version.alias("v").join(bad, _on("v", "c", [*keys, version])).join(of_group.alias("g"), _on("v", "g", keys))
     found = joined.select(
-        *[f"v.{k}" for k in (*keys, version)], F.lit(metric).alias("metric"), "v.hits", "g.total", "c.value", "c.severity", F.lit("regression").alias("category"),
-        "v.first_seen", "v.last_seen", "c.baseline", "c.z", F.lit(version).alias("field"), "c.before", "c.after",
-    )
+        *[f"v.{k}" for k in (*keys, version)], F.lit(metric).alias("metric"), "v.hits", "g.total", "c.value", "c.severity",
+        F.lit("regression").alias("category"), "v.first_seen", "v.last_seen", "c.baseline", "c.z", F.lit(version).alias("field"),
+        "c.before", "c.after",
+    )
     hits = rows.filter(hit).select(*keys, version, F.lit(metric).alias("metric"), "span_id", "run_id", "start_time")
     return Found(found, hits, (*keys, version))

@@ -62,14 +62,19 @@ def clustered(outputs: DataFrame, embeddings: DataFrame, **options) -> DataFrame
     found = vectors.clusters(with_vectors.select(*KEYS, "span_id", "embedding"), KEYS, "span_id", "embedding", **options)
     named = F.concat_ws("/", F.coalesce("workflow", F.lit("None")), F.coalesce("step", F.lit("None")), "center")
     found = found.withColumn("cluster_id", F.when(F.col("cluster") >= 0, F.concat(F.lit("C-"), F.substring(F.sha2(named, 256), 1, 8))))
-    return with_vectors.alias("l").join(found.alias("r"), F.col("l.span_id") == F.col("r.span_id")).select("l.*", "r.cluster", "r.center", "r.nearest", "r.sampled", "r.cluster_id")
+    return with_vectors.alias("l").join(found.alias("r"), F.col("l.span_id") == F.col("r.span_id")).select(
+        "l.*", "r.cluster", "r.center", "r.nearest", "r.sampled", "r.cluster_id"
+    )
 
 
 def cluster_table(rows: DataFrame) -> DataFrame:
     """id, workflow, step, rank, size, total, center of each cluster."""
     total = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("total"))
     sizes = rows.filter("cluster >= 0").groupBy(*KEYS, "cluster_id", "cluster", "center").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.alias("l").join(total.alias("r"), _on("l", "r", KEYS)).select(F.col("l.cluster_id").alias("id"), "l.workflow", "l.step", F.col("l.cluster").alias("rank"), "l.size", "r.total", "l.center")
+    return sizes.alias("l").join(total.alias("r"), _on("l", "r", KEYS)).select(
+        F.col("l.cluster_id").alias("id"), "l.workflow", "l.step", F.col("l.cluster").alias("rank"), "l.size", "r.total",
+        "l.center"
+    )
 
 
 def distinct_rate(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +95,10 @@ def repeated_ngrams(rows: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
 
 def measures(rows: DataFrame) -> DataFrame:
     """workflow, step, outputs, mean_pairwise_cosine, largest_cluster_share, distinct_rate, repeated_ngram_rate, clusters."""
-    shares = rows.groupBy(*KEYS).agg((F.count_if(F.col("cluster") == 0) / F.count(F.lit(1))).alias("largest_cluster_share"), (F.max("cluster") + 1).alias("clusters"))
+    shares = rows.groupBy(*KEYS).agg(
+        (F.count_if(F.col("cluster") == 0) / F.count(F.lit(1))).alias("largest_cluster_share"),
+        (F.max("cluster") + 1).alias("clusters")
+    )
     cosine = vectors.mean_pairwise(rows.filter("sampled"), KEYS, "embedding").withColumnRenamed("mean_pairwise", "mean_pairwise_cosine")
     out = distinct_rate(rows, KEYS)
     for more, name in ((shares, None), (cosine, "mean_pairwise_cosine"), (repeated_ngrams(rows, KEYS), "repeated_ngram_rate")):
@@ -120,21 +128,30 @@ def homogeneity(rows: DataFrame, measured: DataFrame) -> Found:
     """Steps whose largest cluster holds a fifth of the outputs, or grew with a prompt version, and steps with few distinct
     outputs. ``rows``: clustered()."""
     joined = measured.alias("l").join(shares_by_version(rows).alias("r"), _on("l", "r", KEYS), "left")
-    share, all_of = F.col("l.largest_cluster_share"), F.struct("l.outputs", "l.mean_pairwise_cosine", "l.largest_cluster_share", "l.distinct_rate", "l.repeated_ngram_rate", "l.clusters")
-    mine = rows.filter("cluster = 0").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("hits"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"), F.first("cluster_id").alias("cluster_id"))
+    share, all_of = F.col("l.largest_cluster_share"), F.struct(
+        "l.outputs", "l.mean_pairwise_cosine", "l.largest_cluster_share", "l.distinct_rate", "l.repeated_ngram_rate", "l.clusters"
+    )
+    mine = rows.filter("cluster = 0").groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("hits"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"),
+        F.first("cluster_id").alias("cluster_id")
+    )
     pattern = joined.join(mine.alias("m"), _on("l", "m", KEYS)).filter((share >= PATTERN_SHARE) | F.coalesce("r.rose", F.lit(False)))
     pattern = pattern.select(
-        "l.workflow", "l.step", F.lit("largest_cluster_share").alias("metric"), "m.hits", F.col("l.outputs").alias("total"), share.alias("value"),
-        F.when(share >= 0.3, "high").when(share >= PATTERN_SHARE, "medium").otherwise("low").alias("severity"), F.lit("diversity").alias("category"),
-        "m.first_seen", "m.last_seen", F.col("r.baseline").alias("baseline"), F.lit("homogeneity").alias("detector"), "m.cluster_id", "r.by_prompt_version", all_of.alias("measures"),
-    )
+        "l.workflow", "l.step", F.lit("largest_cluster_share").alias("metric"), "m.hits", F.col("l.outputs").alias("total"),
+        share.alias("value"),
+        F.when(share >= 0.3, "high").when(share >= PATTERN_SHARE, "medium").otherwise("low").alias("severity"),
+        F.lit("diversity").alias("category"), "m.first_seen", "m.last_seen", F.col("r.baseline").alias("baseline"),
+        F.lit("homogeneity").alias("detector"), "m.cluster_id", "r.by_prompt_version", all_of.alias("measures"),
+    )
     twice = repeated_first(rows)
     copies = twice.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("hits"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"))
     few = measured.alias("l").join(copies.alias("m"), _on("l", "m", KEYS)).filter(F.col("l.distinct_rate") < LEAST_DISTINCT)
     few = few.select(
-        "l.workflow", "l.step", F.lit("distinct_rate").alias("metric"), "m.hits", F.col("l.outputs").alias("total"), F.col("l.distinct_rate").alias("value"),
-        F.lit("high").alias("severity"), F.lit("diversity").alias("category"), "m.first_seen", "m.last_seen", F.lit(1.0).alias("baseline"), F.lit("homogeneity").alias("detector"), all_of.alias("measures"),
-    )
+        "l.workflow", "l.step", F.lit("distinct_rate").alias("metric"), "m.hits", F.col("l.outputs").alias("total"),
+        F.col("l.distinct_rate").alias("value"), F.lit("high").alias("severity"), F.lit("diversity").alias("category"),
+        "m.first_seen", "m.last_seen", F.lit(1.0).alias("baseline"), F.lit("homogeneity").alias("detector"),
+        all_of.alias("measures"),
+    )
     members = rows.filter("cluster = 0").select(*KEYS, F.lit("largest_cluster_share").alias("metric"), "span_id", "run_id", "start_time")
     firsts = twice.select(*KEYS, F.lit("distinct_rate").alias("metric"), "span_id", "run_id", "start_time")
     return Found(pattern.unionByName(few, allowMissingColumns=True), members.unionByName(firsts), tuple(KEYS))
@@ -152,11 +169,14 @@ def outliers(rows: DataFrame) -> Found:
     low = F.col("r.q50") - 6 * F.greatest(F.col("r.q50") - F.col("r.q25"), F.lit(0.02))
     far = rows.alias("l").join(q.alias("r"), _on("l", "r", KEYS)).filter(F.col("l.nearest") < low).select("l.*")
     total = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("total"))
-    by = far.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("hits"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen")).filter("hits >= 3")
+    by = far.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("hits"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen")
+    ).filter("hits >= 3")
     found = by.alias("l").join(total.alias("r"), _on("l", "r", KEYS)).filter(F.col("r.total") >= LEAST_OUTPUTS).select(
-        "l.workflow", "l.step", F.lit("outlier_rate").alias("metric"), "l.hits", "r.total", (F.col("l.hits") / F.col("r.total")).alias("value"), F.lit("low").alias("severity"),
-        F.lit("quality").alias("category"), "l.first_seen", "l.last_seen", F.lit(0.0).alias("baseline"), F.lit("outliers").alias("detector"),
-    )
+        "l.workflow", "l.step", F.lit("outlier_rate").alias("metric"), "l.hits", "r.total",
+        (F.col("l.hits") / F.col("r.total")).alias("value"), F.lit("low").alias("severity"), F.lit("quality").alias("category"),
+        "l.first_seen", "l.last_seen", F.lit(0.0).alias("baseline"), F.lit("outliers").alias("detector"),
+    )
     return Found(found, far.select(*KEYS, F.lit("outlier_rate").alias("metric"), "span_id", "run_id", "start_time"), tuple(KEYS))
 
 
@@ -164,14 +184,18 @@ def section_texts(spans: DataFrame, outputs: DataFrame, calls: DataFrame) -> Dat
     """workflow, step, section, version, text, text_sha: each section as the first call of the outputs that has it shows it."""
     mine = calls.filter(F.size("sections") > 0).join(outputs.select("span_id"), "span_id", "left_semi")
     each = mine.select(*KEYS, "span_id", "start_time", F.explode("sections").alias("s")).filter("s.start IS NOT NULL AND s.end IS NOT NULL")
-    first = each.groupBy(*KEYS, F.col("s.id").alias("section"), F.col("s.version").alias("version")).agg(F.min(F.struct("start_time", "span_id", "s.start", "s.end")).alias("f"))
+    first = each.groupBy(
+        *KEYS, F.col("s.id").alias("section"), F.col("s.version").alias("version")
+    ).agg(F.min(F.struct("start_time", "span_id", "s.start", "s.end")).alias("f"))
     prompt = messages_text(attribute("gen_ai.input.messages"))
     found = first.select(*KEYS, "section", "version", "f.*").join(spans.select("span_id", prompt.alias("prompt")), "span_id")
     text = F.substring(F.col("prompt"), F.col("start") + 1, F.col("end") - F.col("start"))
     return found.select(*KEYS, "section", "version", text.alias("text")).filter(F.trim("text") != "").withColumn("text_sha", F.sha2("text", 256))
 
 
-def analyze_outputs(spans: DataFrame, outputs: DataFrame, calls: DataFrame, embedder, cache: DataFrame | None = None) -> tuple[list[Found], DataFrame, DataFrame, DataFrame]:
+def analyze_outputs(
+    spans: DataFrame, outputs: DataFrame, calls: DataFrame, embedder, cache: DataFrame | None = None
+) -> tuple[list[Found], DataFrame, DataFrame, DataFrame]:
     """Findings, the clustered outputs, what each section shares with the largest cluster, and all embeddings used."""
     large = large_groups(outputs)
     sections = materialize(section_texts(spans, large, calls), "sections")

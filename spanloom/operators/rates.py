@@ -87,7 +87,10 @@ def evidence(df: DataFrame, keys: list[str], limit: int = EVIDENCE, *, slices: i
     """
     at = F.unix_micros(F.col("start_time").cast("timestamp"))
     ends = df.groupBy(*keys).agg(F.min(at).alias("_from"), (F.max(at) - F.min(at) + 1).alias("_long"))
-    rows = df.alias("r").join(ends.alias("e"), _same("r", "e", keys)).select("r.*", F.floor((F.unix_micros(F.col("r.start_time").cast("timestamp")) - F.col("e._from")) * slices / F.col("e._long")).alias("_slice"))
+    rows = df.alias("r").join(ends.alias("e"), _same("r", "e", keys)).select(
+        "r.*",
+        F.floor((F.unix_micros(F.col("r.start_time").cast("timestamp")) - F.col("e._from")) * slices / F.col("e._long")).alias("_slice")
+    )
     sizes = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     group = Window.partitionBy(*keys)
     sizes = sizes.withColumns({"_n": F.sum("_size").over(group), "_before": F.sum("_size").over(group.orderBy("_slice")) - F.col("_size")})

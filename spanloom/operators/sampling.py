@@ -21,7 +21,9 @@ def strata(outputs: DataFrame, clusters: DataFrame, evidence: DataFrame, selecti
     """span_id, stratum: the strata of each output (span_id, run_id): its cluster, or that it has none; the findings it is
     evidence of; the level of its run's lowest score. ``clusters``: span_id, cluster_id; ``evidence``: span_id, finding_id."""
     ids = outputs.select("span_id", "run_id")
-    named = ids.join(clusters.select("span_id", "cluster_id"), "span_id", "left").select("span_id", F.concat(F.lit("cluster:"), F.coalesce("cluster_id", F.lit("none"))).alias("stratum"))
+    named = ids.join(clusters.select("span_id", "cluster_id"), "span_id", "left").select(
+        "span_id", F.concat(F.lit("cluster:"), F.coalesce("cluster_id", F.lit("none"))).alias("stratum")
+    )
     of_findings = ids.join(evidence, "span_id").select("span_id", F.concat(F.lit("finding:"), "finding_id").alias("stratum"))
     lowest = selections.filter("kind = 'score' AND value IS NOT NULL").groupBy("run_id").agg(F.min("value").alias("value"))
     of_scores = ids.join(lowest, "run_id").select("span_id", F.concat(F.lit("score:"), score_bucket(F.col("value"))).alias("stratum"))
@@ -37,4 +39,6 @@ def stratified(outputs: DataFrame, members: DataFrame, n: int, *, seed: int = 0)
     offered = members.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n)
     once = offered.groupBy("span_id").agg(F.min(F.struct("_k", "stratum")).alias("_o"))
     first = once.orderBy("_o", "span_id").limit(n)
-    return outputs.join(first.select("span_id", F.col("_o.stratum").alias("stratum"), F.col("_o._k").alias("turn")), "span_id").orderBy("turn", "stratum", "span_id")
+    return outputs.join(
+        first.select("span_id", F.col("_o.stratum").alias("stratum"), F.col("_o._k").alias("turn")), "span_id"
+    ).orderBy("turn", "stratum", "span_id")

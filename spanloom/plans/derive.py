@@ -136,46 +136,102 @@ def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
     """The derived tables of enriched rows: filters and projections only, no shuffle."""
     number = lambda name, kind="double": attribute(name).try_cast(kind)
     prompt, answer = messages_text(attribute("gen_ai.input.messages")), messages_text(attribute("gen_ai.output.messages"))
-    retries = F.size(F.filter(F.coalesce("events", F.array().cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>")), lambda e: e["name"] == "retry"))
+    retries = F.size(
+        F.filter(
+            F.coalesce("events", F.array().cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>")),
+            lambda e: e["name"] == "retry"
+        )
+    )
     code = F.col("status.code")
     calls = rows.filter("is_call").select(
-        *CONTEXT, F.coalesce(attribute("hone.models.model_id"), attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"), attribute("gen_ai.provider.name").alias("provider"), attribute("hone.scorer").alias("scorer"),
-        attribute("hone.models.prompt.template_id").alias("template_id"), attribute("hone.models.prompt.template_version").alias("template_version"), F.from_json(attribute("hone.models.prompt.sections"), SECTIONS).alias("sections"), attribute("hone.models.structured.path").alias("structured_path"), retries.alias("retries"),
-        finish_reason(attribute("gen_ai.response.finish_reasons")).alias("finish_reason"), number("gen_ai.usage.input_tokens", "long").alias("input_tokens"), number("gen_ai.usage.output_tokens", "long").alias("output_tokens"), number("hone.models.context.limit", "long").alias("context_limit"),
-        number("gen_ai.request.temperature").alias("temperature"), number("gen_ai.request.seed", "long").alias("seed"), F.when(prompt != "", F.sha2(prompt, 256)).alias("input_sha"), duration_ms(F.col("start_time"), F.col("end_time")).alias("latency_ms"), number("hone.models.cost_usd").alias("cost_usd"),
-        number("hone.models.gpu.lease_wait_ms").alias("lease_wait_ms"), number("hone.models.gpu.vram_after_mb").alias("vram_after_mb"), unloaded(attribute("hone.models.gpu.unloaded")).alias("gpu_unloaded"), code.alias("status"), F.col("status.message").alias("error"), attribute("hone.models.replay_of").alias("replay_of"),
-    )
+        *CONTEXT,
+        F.coalesce(attribute("hone.models.model_id"), attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"),
+        attribute("gen_ai.provider.name").alias("provider"), attribute("hone.scorer").alias("scorer"),
+        attribute("hone.models.prompt.template_id").alias("template_id"),
+        attribute("hone.models.prompt.template_version").alias("template_version"),
+        F.from_json(attribute("hone.models.prompt.sections"), SECTIONS).alias("sections"),
+        attribute("hone.models.structured.path").alias("structured_path"), retries.alias("retries"),
+        finish_reason(attribute("gen_ai.response.finish_reasons")).alias("finish_reason"),
+        number("gen_ai.usage.input_tokens", "long").alias("input_tokens"),
+        number("gen_ai.usage.output_tokens", "long").alias("output_tokens"),
+        number("hone.models.context.limit", "long").alias("context_limit"),
+        number("gen_ai.request.temperature").alias("temperature"), number("gen_ai.request.seed", "long").alias("seed"),
+        F.when(prompt != "", F.sha2(prompt, 256)).alias("input_sha"),
+        duration_ms(F.col("start_time"), F.col("end_time")).alias("latency_ms"), number("hone.models.cost_usd").alias("cost_usd"),
+        number("hone.models.gpu.lease_wait_ms").alias("lease_wait_ms"),
+        number("hone.models.gpu.vram_after_mb").alias("vram_after_mb"),
+        unloaded(attribute("hone.models.gpu.unloaded")).alias("gpu_unloaded"), code.alias("status"),
+        F.col("status.message").alias("error"), attribute("hone.models.replay_of").alias("replay_of"),
+    )
     status = F.coalesce(attribute("hone.flow.status"), code)
     steps = rows.filter("NOT is_call AND is_step").select(
-        *CONTEXT, attribute("hone.flow.step_version").alias("step_version"), attribute("hone.flow.source_hash").alias("source_hash"), status.alias("status"), (status.isin(*FINISHED) & attribute("hone.flow.reused_from").isNull()).cast("int").alias("executed"), number("hone.flow.attempt", "int").alias("attempt"),
-        attribute("hone.flow.reused_from").alias("reused_from"), "fork_of", F.from_json(attribute("hone.flow.params"), "map<string,string>").alias("params"), number("hone.flow.seed", "long").alias("seed"), number("hone.flow.deterministic", "boolean").cast("int").alias("deterministic"), duration_ms(F.col("start_time"), F.col("end_time")).alias("duration_ms"), number("system.cpu.utilization.mean").alias("cpu_utilization"), number("system.memory.usage.peak_mb").alias("memory_peak_mb"), number("hone.flow.gpu.memory.peak_mb").alias("gpu_peak_mb"), number("hone.flow.gpu.utilization.mean").alias("gpu_utilization"), F.col("status.message").alias("error"),
-    )
+        *CONTEXT, attribute("hone.flow.step_version").alias("step_version"),
+        attribute("hone.flow.source_hash").alias("source_hash"), status.alias("status"),
+        (status.isin(*FINISHED) & attribute("hone.flow.reused_from").isNull()).cast("int").alias("executed"),
+        number("hone.flow.attempt", "int").alias("attempt"), attribute("hone.flow.reused_from").alias("reused_from"), "fork_of",
+        F.from_json(attribute("hone.flow.params"), "map<string,string>").alias("params"),
+        number("hone.flow.seed", "long").alias("seed"),
+        number("hone.flow.deterministic", "boolean").cast("int").alias("deterministic"),
+        duration_ms(F.col("start_time"), F.col("end_time")).alias("duration_ms"),
+        number("system.cpu.utilization.mean").alias("cpu_utilization"),
+        number("system.memory.usage.peak_mb").alias("memory_peak_mb"),
+        number("hone.flow.gpu.memory.peak_mb").alias("gpu_peak_mb"),
+        number("hone.flow.gpu.utilization.mean").alias("gpu_utilization"), F.col("status.message").alias("error"),
+    )
     gate = F.col("name") == GATE_SPAN
     chosen = F.col("name").startswith("hone.select.") | gate
     candidate = F.get_json_object(attribute("hone.select.candidate"), "$.id")
     selections = rows.filter(~F.col("is_call") & ~F.col("is_step") & chosen).select(
-        *CONTEXT, F.when(gate, "human_gate").otherwise(F.regexp_replace("name", "^hone\\.select\\.", "")).alias("kind"), F.coalesce(attribute("hone.candidate_id"), candidate).alias("candidate_id"), attribute("hone.select.scorer", "hone.scorer").alias("scorer"), number("hone.select.score.value").alias("value"), number("hone.select.score.confidence").alias("confidence"),
-        shown_reason(attribute("hone.select.score.reason")).alias("reason"), F.coalesce(attribute("hone.select.score.error"), F.col("status.message")).alias("error"), F.coalesce(attribute("hone.select.gate", "hone.flow.gate"), F.when(gate, attribute(STEP))).alias("gate"), number("hone.select.gate.passed", "boolean").cast("int").alias("passed"), number("hone.select.gate.probability").alias("probability"),
-        attribute("hone.flow.gate.decision").alias("decision"), attribute("hone.flow.gate.actor").alias("actor"), attribute("hone.flow.gate.actor_kind").alias("actor_kind"), attribute("hone.select.winner_id").alias("winner_id"), number("hone.select.fallback_used", "boolean").cast("int").alias("fallback_used"), number("hone.select.escalated", "boolean").cast("int").alias("escalated"),
+        *CONTEXT, F.when(gate, "human_gate").otherwise(F.regexp_replace("name", "^hone\\.select\\.", "")).alias("kind"),
+        F.coalesce(attribute("hone.candidate_id"), candidate).alias("candidate_id"),
+        attribute("hone.select.scorer", "hone.scorer").alias("scorer"), number("hone.select.score.value").alias("value"),
+        number("hone.select.score.confidence").alias("confidence"),
+        shown_reason(attribute("hone.select.score.reason")).alias("reason"),
+        F.coalesce(attribute("hone.select.score.error"), F.col("status.message")).alias("error"),
+        F.coalesce(attribute("hone.select.gate", "hone.flow.gate"), F.when(gate, attribute(STEP))).alias("gate"),
+        number("hone.select.gate.passed", "boolean").cast("int").alias("passed"),
+        number("hone.select.gate.probability").alias("probability"), attribute("hone.flow.gate.decision").alias("decision"),
+        attribute("hone.flow.gate.actor").alias("actor"), attribute("hone.flow.gate.actor_kind").alias("actor_kind"),
+        attribute("hone.select.winner_id").alias("winner_id"),
+        number("hone.select.fallback_used", "boolean").cast("int").alias("fallback_used"),
+        number("hone.select.escalated", "boolean").cast("int").alias("escalated"),
         ranked_totals(attribute("hone.select.ranked")).alias("ranked"), code.alias("status"),
-    )
-    warnings = F.transform(F.filter("events", lambda e: e["name"] == "warning"), lambda e: F.struct(F.try_element_at(e["attributes"], F.lit("kind")).alias("kind"), F.try_element_at(e["attributes"], F.lit("step")).alias("step")))
-    run_calls = rows.filter(~F.col("is_call") & ~F.col("is_step") & ~chosen & F.col("is_run")).select(*CONTEXT, status.alias("status"), attribute(FORK).alias("fork_of"), number("hone.flow.seed", "long").alias("seed"), warnings.alias("warnings"))
+    )
+    warnings = F.transform(
+        F.filter("events", lambda e: e["name"] == "warning"),
+        lambda e: F.struct(
+            F.try_element_at(e["attributes"], F.lit("kind")).alias("kind"),
+            F.try_element_at(e["attributes"], F.lit("step")).alias("step")
+        )
+    )
+    run_calls = rows.filter(~F.col("is_call") & ~F.col("is_step") & ~chosen & F.col("is_run")).select(
+        *CONTEXT, status.alias("status"), attribute(FORK).alias("fork_of"), number("hone.flow.seed", "long").alias("seed"),
+        warnings.alias("warnings")
+    )
     text = rows.filter("is_call").filter(attribute("hone.scorer").isNull() & attribute("hone.models.replay_of").isNull() & (answer != ""))
-    outputs = text.select(*CONTEXT, "step_span_id", F.coalesce(attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"), attribute("hone.models.prompt.template_version").alias("template_version"), answer.alias("text"), F.sha2(answer, 256).alias("text_sha"))
+    outputs = text.select(
+        *CONTEXT, "step_span_id", F.coalesce(attribute("gen_ai.response.model"), attribute(MODEL)).alias("model"),
+        attribute("hone.models.prompt.template_version").alias("template_version"), answer.alias("text"),
+        F.sha2(answer, 256).alias("text_sha")
+    )
     return {"calls": calls, "steps": steps, "selections": selections, "outputs": outputs, "run_calls": run_calls}
 
 
 def ranked_totals(raw: Column) -> Column:
     """[{id, total}, ...], or [[id, total], ...]; a total that is no number is null."""
-    pairs = F.transform(F.from_json(raw, "array<array<string>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("id"), F.get(p, F.lit(1)).try_cast("double").alias("total")))
+    pairs = F.transform(
+        F.from_json(raw, "array<array<string>>"),
+        lambda p: F.struct(F.get(p, F.lit(0)).alias("id"), F.get(p, F.lit(1)).try_cast("double").alias("total"))
+    )
     return F.when(raw.rlike(r"^\s*\[\s*\["), pairs).otherwise(F.from_json(raw, "array<struct<id:string,total:double>>"))
 
 
 def unloaded(raw: Column) -> Column:
     """A list's length, a number, a truth value; 1 for anything else that is there."""
     listed = F.size(F.from_json(raw, "array<string>"))
-    return F.when(raw.isNull(), None).when(F.startswith(raw, F.lit("[")), listed).otherwise(F.coalesce(raw.try_cast("int"), raw.try_cast("boolean").cast("int"), F.lit(1)))
+    return F.when(raw.isNull(), None).when(F.startswith(raw, F.lit("[")), listed).otherwise(
+        F.coalesce(raw.try_cast("int"), raw.try_cast("boolean").cast("int"), F.lit(1))
+    )
 
 
 def shown_reason(raw: Column) -> Column:

@@ -38,14 +38,19 @@ def as_html(findings: Sequence[Finding], notes: Sequence[str] = (), traces: Iter
     parts = [f"<!doctype html><meta charset=utf-8><title>Findings</title><style>{STYLE}</style><h1>Findings</h1>"]
     for f in findings:
         links = " ".join(f'<a href="#t-{escape(trace_of[s])}">{escape(s)}</a>' if s in trace_of else escape(s) for s in f.evidence)
-        rows = [("category", f.category), ("severity", f.severity), ("impact", f"{f.impact:.2f}"), ("affected", f"{f.affected} of {f.total}"), ("seen", f"{f.first_seen} to {f.last_seen}"), ("status", f.status)]
+        rows = [
+            ("category", f.category), ("severity", f.severity), ("impact", f"{f.impact:.2f}"),
+            ("affected", f"{f.affected} of {f.total}"), ("seen", f"{f.first_seen} to {f.last_seen}"), ("status", f.status)
+        ]
         rows += [("cause", f"{f.cause['kind']} {f.cause['target']}: {f.cause.get('hypothesis', '')} ({f.cause['status']})")] if f.cause else []
         rows += [("fix", f.fix["description"])] if f.fix else []
         table = "".join(f"<tr><th>{escape(k)}<td>{escape(str(v))}" for k, v in rows)
         more = "".join(f"<tr><th>{escape(k)}<td><pre>{escape(json.dumps(v, default=str) if not isinstance(v, str) else v)}</pre>" for k, v in f.details.items())
         texts = "".join(f"<li><pre>{escape(t)}</pre>" for t in samples.get(str(f.details.get("cluster_id")), []))
         diff = f"<pre>{escape(f.fix['diff'])}</pre>" if f.fix and f.fix.get("diff") else ""
-        parts.append(f"<section id={escape(f.id)}><h2>{escape(f.id)} {escape(f.title)}</h2><table>{table}{more}</table>{diff}<p>evidence: {links}</p>{'<ul>' + texts + '</ul>' if texts else ''}</section>")
+        parts.append(
+            f"<section id={escape(f.id)}><h2>{escape(f.id)} {escape(f.title)}</h2><table>{table}{more}</table>{diff}<p>evidence: {links}</p>{'<ul>' + texts + '</ul>' if texts else ''}</section>"
+        )
     trace = None
     for r in traces:
         if r["trace_id"] != trace:

@@ -50,7 +50,10 @@ def otlp_values(attributes: Column) -> Column:
     """Attributes with plain values as a map; the last of equal keys counts."""
     value = lambda v: F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"], v["doubleValue"].cast("string"), v["bytesValue"])
     pairs = F.transform(F.coalesce(attributes, F.array().cast(ATTRIBUTES)), lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("value"), value(a["value"])))
-    last = lambda p: F.aggregate(p, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
+    last = lambda p: F.aggregate(
+        p, F.create_map().cast("map<string,string>"),
+        lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))
+    )
     return last(pairs)
 
 
@@ -87,21 +90,32 @@ def nanos(raw: Column) -> Column:
 
 def otlp(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parsed = documents(spark, path).select(F.explode(F.from_json("value", OTLP)["resourceSpans"]).alias("r"))
-    scoped = parsed.select(otlp_values(F.col("r.resource.attributes")).alias("resource"), F.explode(F.coalesce("r.scopeSpans", "r.instrumentationLibrarySpans")).alias("s"))
+    scoped = parsed.select(
+        otlp_values(F.col("r.resource.attributes")).alias("resource"),
+        F.explode(F.coalesce("r.scopeSpans", "r.instrumentationLibrarySpans")).alias("s")
+    )
     spans = scoped.select("resource", F.explode("s.spans").alias("s"))
     # the few spans with lists or maps among their attributes take the way through Python
-    deep = F.exists(F.coalesce("s.attributes", F.array().cast(ATTRIBUTES)), lambda a: a["value"]["arrayValue"].isNotNull() | a["value"]["kvlistValue"].isNotNull())
+    deep = F.exists(
+        F.coalesce("s.attributes", F.array().cast(ATTRIBUTES)),
+        lambda a: a["value"]["arrayValue"].isNotNull() | a["value"]["kvlistValue"].isNotNull()
+    )
     flat = spans.filter(~deep).withColumn("attributes", otlp_values(F.col("s.attributes")))
     decode = F.pandas_udf(deep_values, MapType(StringType(), StringType()))
     nested = spans.filter(deep).withColumn("attributes", decode(F.to_json("s.attributes")))
     number = F.col("s.kind").try_cast("int")
     kind = F.when(number.isNotNull(), F.get(F.array(*map(F.lit, KINDS)), number)).otherwise(F.lower(F.regexp_replace("s.kind", "^SPAN_KIND_", "")))
-    events = F.transform("s.events", lambda e: F.struct(e["name"].alias("name"), nanos(e["timeUnixNano"]).alias("time"), otlp_values(e["attributes"]).alias("attributes")))
+    events = F.transform(
+        "s.events",
+        lambda e: F.struct(e["name"].alias("name"), nanos(e["timeUnixNano"]).alias("time"), otlp_values(e["attributes"]).alias("attributes"))
+    )
     links = F.transform("s.links", lambda x: F.struct(F.lower(x["traceId"]).alias("trace_id"), F.lower(x["spanId"]).alias("span_id")))
     return flat.unionByName(nested).select(
-        F.lower("s.traceId").alias("trace_id"), F.lower("s.spanId").alias("span_id"), F.nullif(F.lower("s.parentSpanId"), F.lit("")).alias("parent_span_id"), F.col("s.name").alias("name"), kind.alias("kind"),
-        nanos(F.col("s.startTimeUnixNano")).alias("start_time"), nanos(F.col("s.endTimeUnixNano")).alias("end_time"), F.col("s.status").alias("status"), "attributes", events.alias("events"), "resource", links.alias("links"),
-    )
+        F.lower("s.traceId").alias("trace_id"), F.lower("s.spanId").alias("span_id"),
+        F.nullif(F.lower("s.parentSpanId"), F.lit("")).alias("parent_span_id"), F.col("s.name").alias("name"), kind.alias("kind"),
+        nanos(F.col("s.startTimeUnixNano")).alias("start_time"), nanos(F.col("s.endTimeUnixNano")).alias("end_time"),
+        F.col("s.status").alias("status"), "attributes", events.alias("events"), "resource", links.alias("links"),
+    )
 
 
 def jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -122,14 +136,19 @@ def jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     shown = F.concat(F.lit("no JSON in a line of "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80))
     span = F.when(whole, F.from_json("value", SPAN)).otherwise(F.raise_error(shown).cast(f"struct<{SPAN}>"))
     version = F.coalesce(F.get_json_object("value", "$.attributes['hone.schema_version']"), F.get_json_object("value", "$.schema_version"))
-    checked = F.when(version.isNull() | (version == "1"), span).otherwise(F.raise_error(F.concat(F.lit("schema version "), version, F.lit(" is not 1"))).cast(f"struct<{SPAN}>"))
+    checked = F.when(version.isNull() | (version == "1"), span).otherwise(
+        F.raise_error(F.concat(F.lit("schema version "), version, F.lit(" is not 1"))).cast(f"struct<{SPAN}>")
+    )
     return lines.select(checked.alias("s")).select("s.*")
 
 
 def messages_of(raw: Column) -> Column:
     """[{"message.role": .., "message.content": ..}, ..] or [{"message": {..}}, ..] as a JSON list of messages."""
     listed = F.from_json(raw, "array<map<string,string>>")
-    part = lambda m, name: F.coalesce(F.try_element_at(m, F.lit(f"message.{name}")), F.get_json_object(F.try_element_at(m, F.lit("message")), f"$.{name}"), F.try_element_at(m, F.lit(name)))
+    part = lambda m, name: F.coalesce(
+        F.try_element_at(m, F.lit(f"message.{name}")), F.get_json_object(F.try_element_at(m, F.lit("message")), f"$.{name}"),
+        F.try_element_at(m, F.lit(name))
+    )
     return F.when(F.size(listed) > 0, F.to_json(F.transform(listed, lambda m: F.struct(part(m, "role").alias("role"), part(m, "content").alias("content")))))
 
 
@@ -194,17 +213,30 @@ def langfuse(spark: SparkSession, path: str | list[str], *, workflow: str) -> Da
         "hone.flow.workflow": F.lit(workflow),
     }
     status = F.struct(F.when(F.upper("level") == "ERROR", "error").otherwise("ok").alias("code"), F.col("statusMessage").alias("message"))
-    return _exported(o, values, F.col("traceId"), F.col("id"), F.col("parentObservationId"), F.coalesce("name", "type"), F.col("startTime"), F.col("endTime"), status)
+    return _exported(
+        o, values, F.col("traceId"), F.col("id"), F.col("parentObservationId"), F.coalesce("name", "type"), F.col("startTime"),
+        F.col("endTime"), status
+    )
 
 
-def _exported(raw: DataFrame, values: dict[str, Column], trace: Column, span: Column, parent: Column, name: Column, start: Column, end: Column, status: Column) -> DataFrame:
+def _exported(
+    raw: DataFrame, values: dict[str, Column], trace: Column, span: Column, parent: Column, name: Column, start: Column,
+    end: Column, status: Column
+) -> DataFrame:
     """Raw spans of an export: ids in hex, ISO times, and the attributes that have a value."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
     return raw.select(
-        hex_id(trace, 32).alias("trace_id"), hex_id(span, 16).alias("span_id"), F.when(parent.isNotNull(), hex_id(parent, 16)).alias("parent_span_id"), name.alias("name"), F.lit("internal").alias("kind"),
-        start.try_cast("timestamp").alias("start_time"), end.try_cast("timestamp").alias("end_time"), status.alias("status"), F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("attributes"), *_empty(),
-    )
+        hex_id(trace, 32).alias("trace_id"), hex_id(span, 16).alias("span_id"),
+        F.when(parent.isNotNull(), hex_id(parent, 16)).alias("parent_span_id"), name.alias("name"),
+        F.lit("internal").alias("kind"), start.try_cast("timestamp").alias("start_time"),
+        end.try_cast("timestamp").alias("end_time"), status.alias("status"),
+        F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("attributes"), *_empty(),
+    )
 
 
 def _empty() -> list[Column]:
-    return [F.lit(None).cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>").alias("events"), F.create_map().cast("map<string,string>").alias("resource"), F.lit(None).cast("array<struct<trace_id:string,span_id:string>>").alias("links")]
+    return [
+        F.lit(None).cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>").alias("events"),
+        F.create_map().cast("map<string,string>").alias("resource"),
+        F.lit(None).cast("array<struct<trace_id:string,span_id:string>>").alias("links")
+    ]

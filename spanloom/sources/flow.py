@@ -52,10 +52,12 @@ def record(header: Any, step: Any, workflow: str) -> tuple:
     started = dt.datetime.fromisoformat(started) if isinstance(started, str) else started
     error = field(step, "error")
     return (
-        field(header, "run_id"), workflow, field(step, "step"), field(step, "item"), field(step, "kind"), field(step, "status"), field(step, "attempt"), len(attempts),
-        [str(field(a, "status")) for a in attempts], field(step, "reused_from"), field(header, "fork_of"), field(header, "seed"), decisions, int(any(field(r, "note") for r in reviews)),
-        error if error is None or isinstance(error, str) else json.dumps(error, default=str), started, None if field(step, "duration_ms") is None else float(field(step, "duration_ms")),
-    )
+        field(header, "run_id"), workflow, field(step, "step"), field(step, "item"), field(step, "kind"), field(step, "status"),
+        field(step, "attempt"), len(attempts), [str(field(a, "status")) for a in attempts], field(step, "reused_from"),
+        field(header, "fork_of"), field(header, "seed"), decisions, int(any(field(r, "note") for r in reviews)),
+        error if error is None or isinstance(error, str) else json.dumps(error, default=str), started,
+        None if field(step, "duration_ms") is None else float(field(step, "duration_ms")),
+    )
 
 
 class FlowRerunner:

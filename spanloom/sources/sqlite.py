@@ -78,7 +78,12 @@ def span_store(spark: SparkSession, path: str, *, since: str | dt.datetime | Non
         since = since.astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{since.microsecond // 1000:03}Z"
     reader = spark.read.format("spanstore")
     raw = (reader.option("since", since) if since else reader).load(path)
-    text = raw.select(F.from_json("span", "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time timestamp, end_time timestamp, status_code string, status_message string, attributes string, events string, resource string, links string").alias("s")).select("s.*")
+    text = raw.select(
+        F.from_json(
+            "span",
+            "trace_id string, span_id string, parent_span_id string, name string, kind string, start_time timestamp, end_time timestamp, status_code string, status_message string, attributes string, events string, resource string, links string"
+        ).alias("s")
+    ).select("s.*")
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], SPAN).schema}
     parsed = {c: F.from_json(c, kinds[c]) for c in ("attributes", "events", "resource", "links")}
     return text.withColumns(parsed).withColumn("status", F.struct(F.col("status_code").alias("code"), F.col("status_message").alias("message"))).select(*kinds)

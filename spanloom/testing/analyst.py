@@ -23,7 +23,10 @@ def _common(texts: list[str]) -> list[str]:
 
 def _cluster(d: dict) -> dict:
     words = _common(d.get("items", []))
-    return {"description": f"{len(d.get('items', []))} texts about {' '.join(words[:3]) or 'different things'}", "in_common": f"the words {', '.join(words)}" if words else "nothing"}
+    return {
+        "description": f"{len(d.get('items', []))} texts about {' '.join(words[:3]) or 'different things'}",
+        "in_common": f"the words {', '.join(words)}" if words else "nothing"
+    }
 
 
 def _note(d: dict) -> dict:

@@ -35,7 +35,10 @@ def check_text_client(client) -> None:
     """With a schema, parsed is an object with its fields; usage counts tokens."""
     _must(isinstance(client, TextClient), "a text client has complete()")
     schema = {"title": "label", "type": "object", "properties": {"label": {"type": "string"}}, "required": ["label"]}
-    result = client.complete([{"role": "system", "content": "Choose."}, {"role": "user", "content": '{"output": "x", "labels": {"a": "", "b": ""}}'}], schema=schema)
+    result = client.complete(
+        [{"role": "system", "content": "Choose."}, {"role": "user", "content": '{"output": "x", "labels": {"a": "", "b": ""}}'}],
+        schema=schema
+    )
     parsed = field(result, "parsed")
     _must(isinstance(parsed, Mapping) and "label" in parsed, "parsed has the schema's fields")
     usage = field(result, "usage")

@@ -58,7 +58,10 @@ class FakeTextClient:
         if isinstance(said, Exception):
             raise said
         text = str(said)
-        return {"text": text, "parsed": said if schema else None, "error": None, "usage": {"input_tokens": sum(len(m["content"]) for m in messages) // 4, "output_tokens": len(text) // 4}}
+        return {
+            "text": text, "parsed": said if schema else None, "error": None,
+            "usage": {"input_tokens": sum(len(m["content"]) for m in messages) // 4, "output_tokens": len(text) // 4}
+        }
 
 
 class FakeReplayer:
@@ -70,7 +73,10 @@ class FakeReplayer:
     def replay_call(self, call_span: Mapping, overrides: Mapping, *, trace: Mapping | None = None) -> dict:
         self.calls.append((call_span["span_id"], dict(overrides)))
         text = self.write(call_span, overrides.get("prompt.sections", {}))
-        found = {"gen_ai.output.messages": [{"role": "assistant", "content": text}], "gen_ai.usage.input_tokens": 10, "gen_ai.usage.output_tokens": len(text) // 4}
+        found = {
+            "gen_ai.output.messages": [{"role": "assistant", "content": text}], "gen_ai.usage.input_tokens": 10,
+            "gen_ai.usage.output_tokens": len(text) // 4
+        }
         return {"status": {"code": "ok"}, "attributes": found | self.attributes}
 
 
@@ -127,7 +133,10 @@ class FakeHistory:
         self.headers: dict[str, dict] = {}
         self.opened: dict[str, FakeRun] = {}
 
-    def add(self, run_id: str, steps: list[dict], spans: list[dict] = (), *, workflow: str = "w", updated_at: str = "2026-01-01T00:00:00+00:00", seed: int | None = None, fork_of: str | None = None) -> str:
+    def add(
+        self, run_id: str, steps: list[dict], spans: list[dict] = (), *, workflow: str = "w",
+        updated_at: str = "2026-01-01T00:00:00+00:00", seed: int | None = None, fork_of: str | None = None
+    ) -> str:
         self.headers[run_id] = {"run_id": run_id, "workflow": workflow, "updated_at": updated_at, "seed": seed, "fork_of": fork_of}
         self.opened[run_id] = FakeRun(list(spans), list(steps))
         return run_id

@@ -36,9 +36,10 @@ def planted_spans(spark: SparkSession, runs: int, plants: tuple[str, ...] = tupl
     chance = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt), F.lit(seed)), F.lit(1_000_003)) / 1_000_003
     version = F.when(F.col("id") < runs // 2, 2).when((F.col("id") < runs * 3 // 4) | ~on("slower"), 3).otherwise(4)
     base = spark.range(runs).select(
-        "id", version.alias("version"), (F.lit(1_767_225_600_000_000) + F.col("id") * 60_000_000).alias("at"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("run"),
-        F.md5(F.concat_ws("/", F.lit(seed), "id")).alias("trace"), *[chance(c).alias(f"u_{c}") for c in ("length", "zero", "repeat", "stale", "time", "score", "again", "seed", "copy")],
-    )
+        "id", version.alias("version"), (F.lit(1_767_225_600_000_000) + F.col("id") * 60_000_000).alias("at"),
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("run"), F.md5(F.concat_ws("/", F.lit(seed), "id")).alias("trace"),
+        *[chance(c).alias(f"u_{c}") for c in ("length", "zero", "repeat", "stale", "time", "score", "again", "seed", "copy")],
+    )
     slow = F.when(F.col("version") == 4, 1.8).otherwise(1.0)
     took = (F.lit(900_000) * slow * (0.75 + 0.5 * F.col("u_time"))).cast("long")
     resumed = F.col("id") % 5 == 0
@@ -46,7 +47,9 @@ def planted_spans(spark: SparkSession, runs: int, plants: tuple[str, ...] = tupl
     length = on("truncation") & (F.col("u_length") < TRUTH["truncation"][1])
     zero = on("zero_spike") & (F.col("u_zero") < TRUTH["zero_spike"][1])
     repeat = on("repeats") & (F.col("u_repeat") < TRUTH["repeats"][1])
-    task = F.when(repeat, F.concat(F.lit("idea about topic "), F.floor(F.col("u_again") * 4).cast("string"))).otherwise(F.concat(F.lit("idea about run "), "run"))
+    task = F.when(
+        repeat, F.concat(F.lit("idea about topic "), F.floor(F.col("u_again") * 4).cast("string"))
+    ).otherwise(F.concat(F.lit("idea about run "), "run"))
     with_example = on("homogeneity") & (F.col("version") >= 3)
     copies = with_example & (F.col("u_copy") < 0.8)
     # two dozen of three hundred words: any two texts share a few
@@ -60,30 +63,69 @@ def planted_spans(spark: SparkSession, runs: int, plants: tuple[str, ...] = tupl
     prompt = F.concat(F.lit(ROLE), F.when(with_example, EXAMPLE).otherwise(""), task)
     message = lambda role, text: F.to_json(F.array(F.struct(F.lit(role).alias("role"), text.alias("content"))))
 
-    def span(number: int, name: str, lasts: Column | int, attributes: dict[str, Column], *, error: Column | None = None, events: Column | None = None, when: Column | None = None) -> Column:
+    def span(
+        number: int, name: str, lasts: Column | int, attributes: dict[str, Column], *, error: Column | None = None,
+        events: Column | None = None, when: Column | None = None
+    ) -> Column:
         own = {WORKFLOW: F.lit(FLOW), RUN: F.col("run"), STEP: F.lit("ideas"), ITEM: F.lit("0")} | attributes
         pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in own.items()]), lambda p: p["value"].isNotNull())
         start = F.col("at") + number * 5_000_000
         lasts = lasts if isinstance(lasts, Column) else F.lit(lasts)
         failed = F.lit(None).cast("string") if error is None else error
         row = F.struct(
-            F.col("trace").alias("trace_id"), F.substring(F.md5(F.concat_ws("/", "trace", F.lit(number))), 1, 16).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.lit(name).alias("name"), F.lit("internal").alias("kind"),
-            F.timestamp_micros(start).alias("start_time"), F.timestamp_micros(start + lasts).alias("end_time"), F.struct(F.when(failed.isNull(), "ok").otherwise("error").alias("code"), failed.alias("message")).alias("status"), F.map_from_entries(pairs).alias("attributes"),
-            (F.array() if events is None else events).cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>").alias("events"), F.create_map().cast("map<string,string>").alias("resource"), F.array().cast("array<struct<trace_id:string,span_id:string>>").alias("links"),
-        )
+            F.col("trace").alias("trace_id"),
+            F.substring(F.md5(F.concat_ws("/", "trace", F.lit(number))), 1, 16).alias("span_id"),
+            F.lit(None).cast("string").alias("parent_span_id"), F.lit(name).alias("name"), F.lit("internal").alias("kind"),
+            F.timestamp_micros(start).alias("start_time"), F.timestamp_micros(start + lasts).alias("end_time"),
+            F.struct(F.when(failed.isNull(), "ok").otherwise("error").alias("code"), failed.alias("message")).alias("status"),
+            F.map_from_entries(pairs).alias("attributes"),
+            (F.array() if events is None else events).cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>").alias("events"),
+            F.create_map().cast("map<string,string>").alias("resource"),
+            F.array().cast("array<struct<trace_id:string,span_id:string>>").alias("links"),
+        )
         return row if when is None else F.when(when, row)
 
-    warning = F.struct(F.lit("warning").alias("name"), F.timestamp_micros("at").alias("time"), F.create_map(F.lit("kind"), F.lit("source_changed_version_unchanged"), F.lit("step"), F.lit("ideas")).alias("attributes"))
+    warning = F.struct(
+        F.lit("warning").alias("name"), F.timestamp_micros("at").alias("time"),
+        F.create_map(F.lit("kind"), F.lit("source_changed_version_unchanged"), F.lit("step"), F.lit("ideas")).alias("attributes")
+    )
     chat = {"gen_ai.operation.name": F.lit("chat"), "hone.models.gpu.unloaded": F.when(on("swaps"), 1)}
     ranked = F.to_json(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("total")) for i, t in (("a", 0.8), ("b", 0.5))]))
     spans = [
         span(0, RUN_SPAN, 40_000_000, {"hone.flow.status": F.lit("done")}),
         span(1, STEP_SPAN, 30_000_000, {"hone.flow.status": F.lit("done"), "hone.flow.step_version": F.lit("1")}),
-        span(2, CHAT_SPAN, took, {"gen_ai.operation.name": F.lit("chat"), MODEL: F.lit(GENERATOR), "hone.models.prompt.template_version": F.col("version"), "gen_ai.response.finish_reasons": F.when(length, '["length"]').otherwise('["stop"]'), "gen_ai.usage.input_tokens": F.lit(800), "gen_ai.request.seed": F.floor(F.col("u_seed") * 1e6), "gen_ai.input.messages": message("user", prompt), "gen_ai.output.messages": message("assistant", said), "hone.models.prompt.sections": sections}),
+        span(
+            2, CHAT_SPAN, took,
+            {
+                "gen_ai.operation.name": F.lit("chat"), MODEL: F.lit(GENERATOR),
+                "hone.models.prompt.template_version": F.col("version"),
+                "gen_ai.response.finish_reasons": F.when(length, '["length"]').otherwise('["stop"]'),
+                "gen_ai.usage.input_tokens": F.lit(800), "gen_ai.request.seed": F.floor(F.col("u_seed") * 1e6),
+                "gen_ai.input.messages": message("user", prompt), "gen_ai.output.messages": message("assistant", said),
+                "hone.models.prompt.sections": sections
+            }
+        ),
         span(3, CHAT_SPAN, 300_000, chat | {MODEL: judge, "hone.scorer": F.lit("quality")}),
-        span(4, "hone.select.score", 1_000, {"hone.select.scorer": F.lit("quality"), "hone.candidate_id": F.lit("a"), "hone.select.score.value": F.when(zero, 0.0).otherwise(0.4 + 0.5 * F.col("u_score")), "hone.select.score.error": F.when(zero, "no number in the answer")}),
+        span(
+            4, "hone.select.score", 1_000,
+            {
+                "hone.select.scorer": F.lit("quality"), "hone.candidate_id": F.lit("a"),
+                "hone.select.score.value": F.when(zero, 0.0).otherwise(0.4 + 0.5 * F.col("u_score")),
+                "hone.select.score.error": F.when(zero, "no number in the answer")
+            }
+        ),
         span(5, "hone.select.decision", 1_000, {"hone.select.ranked": ranked, "hone.select.winner_id": F.lit("a")}),
-        span(6, CHAT_SPAN, 200_000, {"gen_ai.operation.name": F.lit("chat"), MODEL: F.lit(OTHER), "hone.scorer": F.lit("cover_art")}, error=F.lit("HTTP 400: images are not supported"), when=on("capability")),
-        span(7, RUN_SPAN, 1_000, {"hone.flow.status": F.lit("done")}, events=F.when(stale, F.array(warning)).otherwise(F.array().cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>")), when=resumed),
+        span(
+            6, CHAT_SPAN, 200_000,
+            {"gen_ai.operation.name": F.lit("chat"), MODEL: F.lit(OTHER), "hone.scorer": F.lit("cover_art")},
+            error=F.lit("HTTP 400: images are not supported"), when=on("capability")
+        ),
+        span(
+            7, RUN_SPAN, 1_000, {"hone.flow.status": F.lit("done")},
+            events=F.when(stale, F.array(warning)).otherwise(
+                F.array().cast("array<struct<name:string,time:timestamp,attributes:map<string,string>>>")
+            ),
+            when=resumed
+        ),
     ]
     return base.select(F.explode(F.filter(F.array(*spans), lambda s: s.isNotNull())).alias("s")).select("s.*")

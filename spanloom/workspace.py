@@ -44,7 +44,11 @@ STAGES = ("stats", "outputs", "describe")
 LAYOUT = 2  # of the derived tables; those of another are made anew from the spans
 CLUSTERS = "id string, workflow string, step string, rank int, size long, total long, center string"
 MEMBERS = "span_id string, workflow string, step string, run_id string, start_time timestamp, text string, cluster_id string"
-HYPOTHESIS = Question("hypothesis", "Given a finding about a workflow's runs, the recorded inputs that set the affected runs apart and samples of what they gave, say in a sentence or two what probably causes it, and nothing that the data doesn't carry.", {"hypothesis": {"type": "string"}})
+HYPOTHESIS = Question(
+    "hypothesis",
+    "Given a finding about a workflow's runs, the recorded inputs that set the affected runs apart and samples of what they gave, say in a sentence or two what probably causes it, and nothing that the data doesn't carry.",
+    {"hypothesis": {"type": "string"}}
+)
 NO_CAUSE = "no recorded input sets the affected runs apart"
 
 
@@ -253,7 +257,10 @@ class Workspace:
         """SQL over spans, the derived tables and clusters; arguments are named (:name)."""
         return self.scope().sql(sql, **args)
 
-    def analyze(self, workflow: str | None = None, *, since: str | dt.datetime | None = None, stages: Sequence[str] = STAGES, budget: Budget | float | str | None = None) -> Report:
+    def analyze(
+        self, workflow: str | None = None, *, since: str | dt.datetime | None = None, stages: Sequence[str] = STAGES,
+        budget: Budget | float | str | None = None
+    ) -> Report:
         """Detectors over the scoped tables, output analysis, descriptions. What fails becomes a note, the rest goes on."""
         if unknown := set(stages) - set(STAGES):
             raise SpanloomError(f"no stage {', '.join(sorted(unknown))}; there are {', '.join(STAGES)}")
@@ -318,7 +325,12 @@ class Workspace:
             for k in part.keys:
                 on = on & F.col(f"h.{k}").eqNullSafe(F.col(f"f.{k}"))
             hits = part.hits.alias("h").join(F.broadcast(fired.alias("f")), on)
-            out.append(hits.select("f.finding_key", F.col("h.span_id").cast("string").alias("span_id"), F.col("h.run_id").cast("string").alias("run_id"), F.col("h.start_time").cast("timestamp").alias("start_time")))
+            out.append(
+                hits.select(
+                    "f.finding_key", F.col("h.span_id").cast("string").alias("span_id"),
+                    F.col("h.run_id").cast("string").alias("run_id"), F.col("h.start_time").cast("timestamp").alias("start_time")
+                )
+            )
         manifest = self._manifest()
         keys = {f.key for f, _, _ in found}
 
@@ -367,7 +379,10 @@ class Workspace:
         groups = rows.select("workflow", "step").distinct()
 
         def rest(name: str) -> DataFrame:
-            return self.table(name).alias("l").join(groups.alias("r"), F.col("l.workflow").eqNullSafe(F.col("r.workflow")) & F.col("l.step").eqNullSafe(F.col("r.step")), "left_anti")
+            return self.table(name).alias("l").join(
+                groups.alias("r"),
+                F.col("l.workflow").eqNullSafe(F.col("r.workflow")) & F.col("l.step").eqNullSafe(F.col("r.step")), "left_anti"
+            )
 
         members = rows.select("span_id", "workflow", "step", "run_id", "start_time", "text", "cluster_id")
         fresh = {"clusters": output_stage.cluster_table(rows), "members": members}
@@ -453,7 +468,10 @@ class Workspace:
         ids = spans.join(F.broadcast(wanted), "span_id", "left_semi").select("trace_id").distinct()
         mine = spans.join(F.broadcast(ids), "trace_id", "left_semi")
         took = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000.0
-        shown = mine.join(depths(mine), ["trace_id", "span_id"]).select("trace_id", "span_id", "depth", "name", F.col("start_time").cast("string").alias("start_time"), F.col("status.code").alias("status"), took.alias("duration_ms"))
+        shown = mine.join(depths(mine), ["trace_id", "span_id"]).select(
+            "trace_id", "span_id", "depth", "name", F.col("start_time").cast("string").alias("start_time"),
+            F.col("status.code").alias("status"), took.alias("duration_ms")
+        )
         return [r.asDict() for r in shown.orderBy("trace_id", "start_time", "span_id").collect()]
 
     def _samples(self, findings: Sequence[fs.Finding], n: int = 10) -> dict[str, list[str]]:
@@ -477,7 +495,12 @@ class Workspace:
         f = self.finding(finding_id)
         features = causes.features_by_run(self.table("calls"), self.table("steps"), f.scope)
         top = causes.rank_causes(features, self.affected(finding_id)).limit(causes.TOP).collect()
-        listed = [{"kind": r.kind, "target": r.target, "version": r.version, "effect": r.effect, "ci": [r.low, r.high], "runs_with": r.runs_with, "affected_with": r.affected_with} for r in top]
+        listed = [
+            {
+                "kind": r.kind, "target": r.target, "version": r.version, "effect": r.effect, "ci": [r.low, r.high],
+                "runs_with": r.runs_with, "affected_with": r.affected_with
+            } for r in top
+        ]
         notes = list(f.details.get("notes") or [])
         if features.filter("kind = 'prompt_section'").isEmpty() and output_stage.NO_SECTIONS not in notes:
             notes.append(output_stage.NO_SECTIONS)
@@ -500,7 +523,10 @@ class Workspace:
         answer = HYPOTHESIS.put(self.llm, data, Budget(), self._trace(f))
         return str(answer.values["hypothesis"]) if not answer.error else plain
 
-    def test(self, finding_id: str, *, variants: int = 2, samples: int = 20, quality: Callable[[Mapping], float | None] | None = None, budget: Budget | float | str | None = None) -> fs.Finding:
+    def test(
+        self, finding_id: str, *, variants: int = 2, samples: int = 20, quality: Callable[[Mapping], float | None] | None = None,
+        budget: Budget | float | str | None = None
+    ) -> fs.Finding:
         """Make calls with the suspected prompt section again without it; the finding's cause is confirmed, refuted or stays suspected."""
         f = self.finding(finding_id)
         if self.replayer is None:
@@ -508,14 +534,21 @@ class Workspace:
         if not f.cause or f.cause["kind"] != "prompt_section":
             raise SpanloomError(f"{finding_id} has no prompt section as its suspected cause; explain it first")
         section = f.cause["target"]
-        calls = causes.scoped_calls(self.table("calls"), f.scope).join(self.spans().select("span_id", messages_text(attribute("gen_ai.input.messages")).alias("prompt")), "span_id")
+        calls = causes.scoped_calls(self.table("calls"), f.scope).join(
+            self.spans().select("span_id", messages_text(attribute("gen_ai.input.messages")).alias("prompt")), "span_id"
+        )
         chosen = replay.calls_with(calls, section, samples).select("span_id")
         spans = [r.asDict(recursive=True) for r in self.spans().join(F.broadcast(chosen), "span_id", "left_semi").orderBy("start_time", "span_id").collect()]
         hit = None
         if f.metric == "largest_cluster_share" and self.embedder is not None:
-            centre = self.table("clusters").filter(F.col("id") == f.details.get("cluster_id")).join(self.table("members"), F.col("center") == F.col("span_id")).select("text").first()
+            centre = self.table("clusters").filter(F.col("id") == f.details.get("cluster_id")).join(
+                self.table("members"), F.col("center") == F.col("span_id")
+            ).select("text").first()
             hit = replay.near_centre(self.embedder, centre.text) if centre else None
-        result = replay.replay_test(spans, section, replay.section_text(calls, section), f.metric, self.replayer, client=self.llm, hit=hit, quality=quality, variants=variants, budget=budget_of(budget), trace=self._trace(f), problem=f.title)
+        result = replay.replay_test(
+            spans, section, replay.section_text(calls, section), f.metric, self.replayer, client=self.llm, hit=hit,
+            quality=quality, variants=variants, budget=budget_of(budget), trace=self._trace(f), problem=f.title
+        )
         cause = f.cause | {"status": result.status}
         fix = (f.fix or {}) | ({"diff": result.diff, "description": f"{result.best}: {section}", "kind": "prompt_diff"} if result.status == "confirmed" else {})
         return self._replace(dataclasses.replace(f, test=dataclasses.asdict(result), cause=cause, fix=fix))
@@ -542,7 +575,10 @@ class Workspace:
         self.docs.write("taxonomies", self.docs.read("taxonomies", {}) | {str(workflow): dataclasses.asdict(out)})
         return out
 
-    def label_all(self, workflow: str | None, *, budget: Budget | float | str | None = None, confirm: Callable[[int, int], bool] | None = None, force: bool = False) -> reviews.Labelled:
+    def label_all(
+        self, workflow: str | None, *, budget: Budget | float | str | None = None,
+        confirm: Callable[[int, int], bool] | None = None, force: bool = False
+    ) -> reviews.Labelled:
         if self.llm is None:
             raise SpanloomError("labels need a text model")
         taxonomy = self.taxonomy(workflow) or reviews.Taxonomy(str(workflow))
@@ -555,9 +591,11 @@ class Workspace:
 def proposed_fix(cause: Mapping) -> dict[str, str]:
     kind, target = cause["kind"], cause["target"]
     told = {
-        "prompt_section": ("prompt_diff", f"Take the section {target!r} (version {cause.get('version')}) out of the prompt, or rewrite it; a replay test compares variants"),
-        "model": ("model_swap", f"Use another model than {target}"),
-        "param": ("param", f"Change {target}"),
+        "prompt_section": (
+            "prompt_diff",
+            f"Take the section {target!r} (version {cause.get('version')}) out of the prompt, or rewrite it; a replay test compares variants"
+        ),
+        "model": ("model_swap", f"Use another model than {target}"), "param": ("param", f"Change {target}"),
     }
     what, text = told.get(kind, ("prompt_diff", f"Compare {kind.replace('_', ' ')} {target} with the one before"))
     return {"kind": what, "description": text, "diff": ""}

@@ -27,13 +27,25 @@ from spanloom.workspace import Workspace
 
 def span(i, name="hone.models.chat", run=0, status="ok", parent=None, message=None, trace=None, **attributes):
     base = {"hone.flow.workflow": "w", "hone.run_id": f"r{run}", "hone.step": "ideas"} | {k.replace("__", "."): v for k, v in attributes.items()}
-    return {"trace_id": trace or f"t{run}", "span_id": f"s{i}", "parent_span_id": parent, "name": name, "start_time": f"2026-01-01T00:{i // 60 % 60:02}:{i % 60:02}.000Z", "end_time": f"2026-01-01T00:{i // 60 % 60:02}:{i % 60:02}.500Z", "status": {"code": status, "message": message}, "attributes": base, "events": [{"name": "retry"}] if i % 4 == 0 else []}
+    return {
+        "trace_id": trace or f"t{run}", "span_id": f"s{i}", "parent_span_id": parent, "name": name,
+        "start_time": f"2026-01-01T00:{i // 60 % 60:02}:{i % 60:02}.000Z",
+        "end_time": f"2026-01-01T00:{i // 60 % 60:02}:{i % 60:02}.500Z", "status": {"code": status, "message": message},
+        "attributes": base, "events": [{"name": "retry"}] if i % 4 == 0 else []
+    }
 
 
 def planted():
     out = []
     for i in range(80):
-        out.append(span(i, run=i // 2, status="error" if i % 10 == 0 else "ok", message="HTTP 400: not supported" if i % 10 == 0 else None, gen_ai__request__model="lab/alpha-7b", gen_ai__response__finish_reasons='["length"]' if i % 8 == 1 else '["stop"]', gen_ai__output__messages=json.dumps([{"role": "assistant", "content": f"text {i % 5}"}])))
+        out.append(
+            span(
+                i, run=i // 2, status="error" if i % 10 == 0 else "ok",
+                message="HTTP 400: not supported" if i % 10 == 0 else None, gen_ai__request__model="lab/alpha-7b",
+                gen_ai__response__finish_reasons='["length"]' if i % 8 == 1 else '["stop"]',
+                gen_ai__output__messages=json.dumps([{"role": "assistant", "content": f"text {i % 5}"}])
+            )
+        )
     out += [span(100 + i, run=i, gen_ai__request__model="lab/alpha:judge", hone__scorer="judge") for i in range(5)]
     out += [span(200 + i, name="hone.flow.step", run=i, hone__flow__status="done") for i in range(4)] + [span(300, name="hone.flow.run")]
     return out
@@ -85,39 +97,85 @@ def test_windowed_rates_of_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
     calls = spark.readStream.schema("start_time timestamp, step string, status string").json(str(tmp_path / "in"))
-    done = rates_by_window(calls).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    done = rates_by_window(calls).writeStream.format("memory").queryName("rates").outputMode("complete").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
     done.awaitTermination()
     assert sorted((r.total, r.hits) for r in spark.table("rates").collect()) == [(1, 0), (1, 1), (1, 1)]
 
 
 def test_sources(spark, tmp_path):
     value = lambda k, v: {"key": k, "value": v}
-    doc = {"resourceSpans": [{"resource": {"attributes": [value("service.name", {"stringValue": "svc"})]}, "scopeSpans": [{"spans": [{"traceId": "AB", "spanId": "CD", "name": "x", "kind": 3, "startTimeUnixNano": "1700000000123999999", "attributes": [value("gen_ai.request.model", {"stringValue": "m"}), value("n", {"intValue": "5"})], "status": {"code": 2}}]}]}]}
+    doc = {
+        "resourceSpans": [
+            {
+                "resource": {"attributes": [value("service.name", {"stringValue": "svc"})]},
+                "scopeSpans": [
+                    {
+                        "spans": [
+                            {
+                                "traceId": "AB", "spanId": "CD", "name": "x", "kind": 3,
+                                "startTimeUnixNano": "1700000000123999999",
+                                "attributes": [value("gen_ai.request.model", {"stringValue": "m"}), value("n", {"intValue": "5"})],
+                                "status": {"code": 2}
+                            }
+                        ]
+                    }
+                ]
+            }
+        ]
+    }
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     (tmp_path / "b.json").write_text(json.dumps(doc).replace("CD", "EF") + "\n" + json.dumps(doc).replace("CD", "12"))
     rows = {r.span_id: r for r in normalize(open_source(spark, f"otlp:{tmp_path}")).collect()}
-    assert set(rows) == {"cd", "ef", "12"} and rows["cd"].kind == "client" and rows["cd"].status.code == "error" and rows["cd"].attributes == {"gen_ai.request.model": "m", "n": "5"} and rows["cd"].start_time.microsecond == 123999
+    assert set(rows) == {"cd", "ef", "12"} and rows["cd"].kind == "client" and rows["cd"].status.code == "error" and rows["cd"].attributes == {
+        "gen_ai.request.model": "m", "n": "5"
+    } and rows["cd"].start_time.microsecond == 123999
     (tmp_path / "runs").mkdir()
-    (tmp_path / "runs" / "flow.json").write_text(json.dumps({"data": [{"id": "o1", "traceId": "t", "type": "GENERATION", "startTime": "2026-01-01T00:00:00Z", "model": "m", "promptVersion": 3, "level": "ERROR", "usageDetails": {"input": 7}}]}))
+    (tmp_path / "runs" / "flow.json").write_text(
+        json.dumps(
+            {
+                "data": [
+                    {
+                        "id": "o1", "traceId": "t", "type": "GENERATION", "startTime": "2026-01-01T00:00:00Z", "model": "m",
+                        "promptVersion": 3, "level": "ERROR", "usageDetails": {"input": 7}
+                    }
+                ]
+            }
+        )
+    )
     call = derive(normalize(open_source(spark, f"langfuse:{tmp_path}/runs/flow.json")))["calls"].first()
     assert (call.model, call.template_version, call.status, call.input_tokens, call.workflow) == ("m", "3", "error", 7, "flow")
     with pytest.raises(SourceError):
         open_source(spark, "nothing:here")
-    bad = spark.createDataFrame([("t", None)], "trace_id string, span_id string").selectExpr("trace_id", "span_id", "cast(null as string) parent_span_id", "'n' name", "cast(null as string) kind", "current_timestamp() start_time", "current_timestamp() end_time", "named_struct('code', '2', 'message', '') status", "cast(null as map<string,string>) attributes", "null events", "null resource", "null links")
+    bad = spark.createDataFrame([("t", None)], "trace_id string, span_id string").selectExpr(
+        "trace_id", "span_id", "cast(null as string) parent_span_id", "'n' name", "cast(null as string) kind",
+        "current_timestamp() start_time", "current_timestamp() end_time", "named_struct('code', '2', 'message', '') status",
+        "cast(null as map<string,string>) attributes", "null events", "null resource", "null links"
+    )
     with pytest.raises(Exception, match="malformed span"):
         normalize(bad).collect()
 
 
 def test_depth_of_chains_and_cycles(spark):
-    rows = [("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(600)] + [("c", "a", "b"), ("c", "b", "a"), ("c", "d", "a"), ("c", "self", "self"), ("o", "x", "gone")]
+    rows = [("t", f"s{i}", f"s{i - 1}" if i else None) for i in range(600)] + [
+        ("c", "a", "b"), ("c", "b", "a"), ("c", "d", "a"), ("c", "self", "self"), ("o", "x", "gone")
+    ]
     got = {(r.trace_id, r.span_id): r.depth for r in depths(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string")).collect()}
     assert all(got["t", f"s{i}"] == i for i in range(600)) and got["o", "x"] == 0
     assert (got["c", "a"], got["c", "b"], got["c", "d"], got["c", "self"]) == (1, 1, 2, 0)
 
 
 def test_step_above_an_output(spark):
-    rows = [("t", "step", None, True)] + [("t", f"s{i}", f"s{i - 1}" if i else "step", False) for i in range(300)] + [("t", "inner", "s9", True), ("t", "x", "inner", False), ("t", "y", "gone", False), ("c", "a", "b", False), ("c", "b", "a", False)]
-    got = {r.span_id: r.step_span_id for r in step_ancestors(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, is_step boolean")).collect()}
+    rows = [("t", "step", None, True)] + [("t", f"s{i}", f"s{i - 1}" if i else "step", False) for i in range(300)] + [
+        ("t", "inner", "s9", True), ("t", "x", "inner", False), ("t", "y", "gone", False), ("c", "a", "b", False),
+        ("c", "b", "a", False)
+    ]
+    got = {
+        r.span_id: r.step_span_id for r in step_ancestors(
+            spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, is_step boolean")
+        ).collect()
+    }
     assert all(got[f"s{i}"] == "step" for i in range(300)) and got["x"] == "inner" and got["inner"] == "step" and not got.keys() & {"y", "a", "b", "step"}
 
 
@@ -181,7 +239,12 @@ def test_custom_detectors_run(spark, folder):
     @detectors.detector("quality")
     def texts_too_short(scope):
         n = scope.sql("SELECT span_id FROM outputs WHERE length(text) < 400 ORDER BY start_time").collect()
-        return [fs.Finding("", "", {"workflow": "w"}, "short", len(n) / 80, affected=len(n), total=80, evidence=[n[0].span_id], words=f"{len(n)} texts are too short")]
+        return [
+            fs.Finding(
+                "", "", {"workflow": "w"}, "short", len(n) / 80, affected=len(n), total=80, evidence=[n[0].span_id],
+                words=f"{len(n)} texts are too short"
+            )
+        ]
 
     @detectors.detector("cost", name="rows")
     def of_rows(scope):
@@ -206,7 +269,10 @@ def test_custom_detectors_run(spark, folder):
 def scored(values, *, scorer="s", **more):
     at = dt.datetime(2026, 1, 1)
     base = {"reason": None, "confidence": None, "error": None} | more
-    return [(f"x{i}", f"r{i}", "w", "score", f"c{i}", scorer, v, base["reason"], base["confidence"], base["error"], at + dt.timedelta(seconds=i)) for i, v in enumerate(values)]
+    return [
+        (f"x{i}", f"r{i}", "w", "score", f"c{i}", scorer, v, base["reason"], base["confidence"], base["error"], at + dt.timedelta(seconds=i)) for i,
+        v in enumerate(values)
+    ]
 
 
 def test_floor_scores(spark):
@@ -236,7 +302,10 @@ def test_every_format_reads_alike(spark, tmp_path):
     write_otlp(rows, tmp_path / "one" / "spans.json")
     write_otlp(rows, tmp_path / "lines" / "spans.json", by_line=True)
     want = None
-    for source in (f"store:{tmp_path}/store", f"runs:{tmp_path}/runs", f"runs:{tmp_path}/mixed", f"otlp:{tmp_path}/one", f"otlp:{tmp_path}/lines/*.json", FakeSource(rows)):
+    for source in (
+        f"store:{tmp_path}/store", f"runs:{tmp_path}/runs", f"runs:{tmp_path}/mixed", f"otlp:{tmp_path}/one",
+        f"otlp:{tmp_path}/lines/*.json", FakeSource(rows)
+    ):
         got = {n: sorted(map(repr, df.collect())) for n, df in derive(normalize(open_source(spark, source))).items()}
         want = want or got
         assert got == want and len(got["calls"]) == 85, source
@@ -246,10 +315,16 @@ def test_every_format_reads_alike(spark, tmp_path):
 
 def test_flow_source(spark, tmp_path):
     history = FakeHistory()
-    step = lambda n, statuses, **more: {"step": n, "item": "0", "kind": "step", "status": "done", "attempt": len(statuses), "attempts": [{"status": s} for s in statuses], "reviews": [], "started_at": "2026-01-01T00:00:00+00:00", "duration_ms": 5} | more
+    step = lambda n, statuses, **more: {
+        "step": n, "item": "0", "kind": "step", "status": "done", "attempt": len(statuses),
+        "attempts": [{"status": s} for s in statuses], "reviews": [], "started_at": "2026-01-01T00:00:00+00:00", "duration_ms": 5
+    } | more
     for i in range(10):
         statuses = ["rejected", "done"] if i < 6 else ["done"]
-        gate = {"step": "gate", "item": "0", "kind": "gate", "status": "done", "attempt": 1, "attempts": [], "reviews": [{"decision": "rejected", "actor_kind": "automated" if i == 0 else None}]}
+        gate = {
+            "step": "gate", "item": "0", "kind": "gate", "status": "done", "attempt": 1, "attempts": [],
+            "reviews": [{"decision": "rejected", "actor_kind": "automated" if i == 0 else None}]
+        }
         history.add(f"r{i}", [step("ideas", statuses), gate], [span(1000 + i, name="hone.flow.step", run=i, hone__item="0")], seed=i)
     registry.FLOW_HISTORY.append(lambda storage: history)
     try:
@@ -298,8 +373,13 @@ def test_text_of_messages(spark):
     df = spark.createDataFrame([(k,) for k in cases], "m string")
     assert {r.m: r.t for r in df.select("m", scalars.messages_text(F.col("m")).alias("t")).collect()} == cases
     got = spark.sql("SELECT '[1, {\"a\": 2}]' AS a, '{\"k\": [1]}' AS b, 'x' AS c, CAST(NULL AS STRING) AS d, '2026-01-01T02:00:00.1209+02:00' AS t")
-    r = got.select(*[scalars.json_list(F.col(c)).alias(f"l{c}") for c in "abcd"], *[scalars.json_map(F.col(c)).alias(f"m{c}") for c in "abcd"], scalars.canonical_time(F.col("t")).alias("t")).first()
-    assert (r.la, r.lb, r.lc, r.ld) == (["1", '{"a":2}'], [], [], []) and (r.ma, r.mb, r.mc, r.md) == ({}, {"k": "[1]"}, {}, {}) and r.t == "2026-01-01T00:00:00.120Z"
+    r = got.select(
+        *[scalars.json_list(F.col(c)).alias(f"l{c}") for c in "abcd"],
+        *[scalars.json_map(F.col(c)).alias(f"m{c}") for c in "abcd"], scalars.canonical_time(F.col("t")).alias("t")
+    ).first()
+    assert (r.la, r.lb, r.lc, r.ld) == (
+        ["1", '{"a":2}'], [], [], []
+    ) and (r.ma, r.mb, r.mc, r.md) == ({}, {"k": "[1]"}, {}, {}) and r.t == "2026-01-01T00:00:00.120Z"
     with pytest.raises(Exception, match="no ISO time"):
         got.select(scalars.canonical_time(F.col("c"))).collect()
 
@@ -330,8 +410,14 @@ def test_leader_clusters(spark):
         v[axis] = 1.0
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v]
-    data = [("g", f"a{i}", near(0)) for i in range(30)] + [("g", f"b{i}", near(1)) for i in range(12)] + [("g", f"x{i}", near(2 + i)) for i in range(3)] + [("h", "one", near(0))]
-    got = {x.span: x.cluster for x in vectors.leader_clusters(spark.createDataFrame(data, "step string, span string, v array<double>"), ["step"], "span", "v").collect()}
+    data = [("g", f"a{i}", near(0)) for i in range(30)] + [("g", f"b{i}", near(1)) for i in range(12)] + [
+        ("g", f"x{i}", near(2 + i)) for i in range(3)
+    ] + [("h", "one", near(0))]
+    got = {
+        x.span: x.cluster for x in vectors.leader_clusters(
+            spark.createDataFrame(data, "step string, span string, v array<double>"), ["step"], "span", "v"
+        ).collect()
+    }
     assert {got[f"a{i}"] for i in range(30)} == {0} and {got[f"b{i}"] for i in range(12)} == {1} and {got["x0"], got["x1"], got["one"]} == {-1}
 
 
@@ -343,7 +429,9 @@ def test_carry_over():
     assert again[first[0].metric].status == "regressed" and again[first[0].metric].id == first[0].id and again["c"].id == "F-0003" and len(again) == 3
     assert again[first[1].metric].cause == {"kind": "model"}
     assert [fs.pct(x) for x in (0.4, 0.004, 0, 1)] == ["40%", "0.4%", "0%", "100%"]
-    assert make("a").impact == 0.5 * 3 and fs.Finding("d", "cost", {}, "m", 1.0, "low", 1, 2).impact == 0.5 * 0.8 and fs.Finding("d", "cost", {}, "m", 1.0).impact == 0
+    assert make("a").impact == 0.5 * 3 and fs.Finding(
+        "d", "cost", {}, "m", 1.0, "low", 1, 2
+    ).impact == 0.5 * 0.8 and fs.Finding("d", "cost", {}, "m", 1.0).impact == 0
 
 
 def test_contracts():
@@ -389,13 +477,24 @@ def test_span_store(spark, tmp_path):
     (tmp_path / "a").mkdir()
     db = sqlite3.connect(tmp_path / "a" / "spans.db")
     db.execute("CREATE TABLE meta (key TEXT, value TEXT)")
-    db.execute("CREATE TABLE spans (span_id TEXT PRIMARY KEY, trace_id TEXT, parent_span_id TEXT, name TEXT, kind TEXT, start_time TEXT, end_time TEXT, status_code TEXT, status_message TEXT, attributes TEXT, events TEXT, resource TEXT, links TEXT)")
+    db.execute(
+        "CREATE TABLE spans (span_id TEXT PRIMARY KEY, trace_id TEXT, parent_span_id TEXT, name TEXT, kind TEXT, start_time TEXT, end_time TEXT, status_code TEXT, status_message TEXT, attributes TEXT, events TEXT, resource TEXT, links TEXT)"
+    )
     db.execute("INSERT INTO meta VALUES ('schema_version', '1')")
     for i in range(3):
-        db.execute("INSERT INTO spans VALUES (?, 't', NULL, 'chat', 'client', ?, NULL, 'OK', NULL, ?, '[]', '{}', '[]')", (f"s{i}", f"2026-01-0{i + 1}T00:00:00.000Z", json.dumps({"gen_ai.request.model": f"m{i}"})))
+        db.execute(
+            "INSERT INTO spans VALUES (?, 't', NULL, 'chat', 'client', ?, NULL, 'OK', NULL, ?, '[]', '{}', '[]')",
+            (f"s{i}", f"2026-01-0{i + 1}T00:00:00.000Z", json.dumps({"gen_ai.request.model": f"m{i}"}))
+        )
     db.execute("CREATE TABLE blobs (sha256 TEXT PRIMARY KEY, mime TEXT, size INTEGER, data BLOB NOT NULL)")
-    db.execute("INSERT INTO blobs VALUES ('aa', 'application/json', 0, ?), ('bb', 'text/plain', 0, ?)", (b'[{"role": "user", "content": "hi"}]', "h\u00e9".encode()))
-    db.execute("UPDATE spans SET attributes = ? WHERE span_id = 's2'", (json.dumps({"gen_ai.input.messages": {"$blob": "aa"}, "note": {"$blob": "bb"}, "lost": {"$blob": "cc"}}),))
+    db.execute(
+        "INSERT INTO blobs VALUES ('aa', 'application/json', 0, ?), ('bb', 'text/plain', 0, ?)",
+        (b'[{"role": "user", "content": "hi"}]', "h\u00e9".encode())
+    )
+    db.execute(
+        "UPDATE spans SET attributes = ? WHERE span_id = 's2'",
+        (json.dumps({"gen_ai.input.messages": {"$blob": "aa"}, "note": {"$blob": "bb"}, "lost": {"$blob": "cc"}}),)
+    )
     db.commit()
     rows = {r.span_id: r for r in normalize(open_source(spark, f"store:{tmp_path}")).collect()}
     assert set(rows) == {"s0", "s1", "s2"} and rows["s1"].attributes == {"gen_ai.request.model": "m1"} and rows["s1"].status.code == "ok"
@@ -411,10 +510,16 @@ def test_span_store(spark, tmp_path):
 
 def test_selections_are_derived(spark):
     rows = [
-        span(1, name="hone.select.score", hone__select__scorer="s", hone__select__score__value="0.0", hone__select__score__reason='{"a": 1}', hone__select__candidate='{"id": "c1"}'),
+        span(
+            1, name="hone.select.score", hone__select__scorer="s", hone__select__score__value="0.0",
+            hone__select__score__reason='{"a": 1}', hone__select__candidate='{"id": "c1"}'
+        ),
         span(2, name="hone.flow.gate", hone__flow__gate__decision="rejected", hone__flow__gate__actor_kind="automated"),
         span(3, name="hone.flow.gate"),
-        span(4, name="hone.select.decision", hone__select__ranked='[{"id": "a", "total": 0.5}, {"id": "b", "total": 0.49}]', hone__select__fallback_used="true"),
+        span(
+            4, name="hone.select.decision", hone__select__ranked='[{"id": "a", "total": 0.5}, {"id": "b", "total": 0.49}]',
+            hone__select__fallback_used="true"
+        ),
         span(5, name="other", gen_ai__system="p"),
     ]
     tables = derive(normalize(open_source(spark, spark.read.schema(SPAN).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows])))))
@@ -430,11 +535,22 @@ def test_messages_of_older_traces(spark):
         return [{"name": n, "time": None, "attributes": a} for n, a in named]
 
     rows = [
-        span(1) | {"events": events(("gen_ai.system.message", {"content": "be brief"}), ("gen_ai.user.message", {"content": "hi"}), ("retry", {}), ("gen_ai.choice", {"message": '{"content": "yes"}'}))},
-        span(2) | {"events": events(("gen_ai.content.prompt", {"gen_ai.prompt": '[{"role": "user", "content": "p"}]'}), ("gen_ai.content.completion", {"gen_ai.completion": "c"}), ("gen_ai.choice", {"content": "d"}))},
-        span(3, gen_ai__prompt__0__role="user", gen_ai__prompt__0__content="indexed") | {"events": events(("gen_ai.user.message", {"content": "event"}))},
-        span(4, gen_ai__input__messages="kept") | {"events": events(("gen_ai.user.message", {"content": "event"}))},
-        span(5),
+        span(1) | {
+            "events": events(
+                ("gen_ai.system.message", {"content": "be brief"}), ("gen_ai.user.message", {"content": "hi"}), ("retry", {}),
+                ("gen_ai.choice", {"message": '{"content": "yes"}'})
+            )
+        },
+        span(2) | {
+            "events": events(
+                ("gen_ai.content.prompt", {"gen_ai.prompt": '[{"role": "user", "content": "p"}]'}),
+                ("gen_ai.content.completion", {"gen_ai.completion": "c"}), ("gen_ai.choice", {"content": "d"})
+            )
+        },
+        span(
+            3, gen_ai__prompt__0__role="user", gen_ai__prompt__0__content="indexed"
+        ) | {"events": events(("gen_ai.user.message", {"content": "event"}))},
+        span(4, gen_ai__input__messages="kept") | {"events": events(("gen_ai.user.message", {"content": "event"}))}, span(5),
     ]
     raw = spark.read.schema(SPAN).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
     got = {r.span_id: r.attributes for r in normalize(raw).collect()}

@@ -53,7 +53,9 @@ def test_questions():
 
 def outputs(spark, n=61):
     at = dt.datetime(2026, 1, 1)
-    rows = [(None if i % 3 == 0 else f"C-{i % 3 - 1}", f"s{i:03}", at + dt.timedelta(seconds=i), f"text {i} " + "x" * 700) for i in range(n)] + [("C-1", "t", at, "more")]
+    rows = [
+        (None if i % 3 == 0 else f"C-{i % 3 - 1}", f"s{i:03}", at + dt.timedelta(seconds=i), f"text {i} " + "x" * 700) for i in range(n)
+    ] + [("C-1", "t", at, "more")]
     return spark.createDataFrame(rows, "cluster_id string, span_id string, start_time timestamp, text string")
 
 
@@ -99,7 +101,12 @@ class Shorter:
 
 
 def spans(n, share):
-    return [{"span_id": f"s{i}", "attributes": {"gen_ai.response.finish_reasons": '["length"]' if i < n * share else '["stop"]'}, "status": {"code": "ok"}} for i in range(n)]
+    return [
+        {
+            "span_id": f"s{i}", "attributes": {"gen_ai.response.finish_reasons": '["length"]' if i < n * share else '["stop"]'},
+            "status": {"code": "ok"}
+        } for i in range(n)
+    ]
 
 
 def test_replay():
@@ -136,10 +143,15 @@ def test_model_server():
         text = '{"label": "a"}' if options["model"] == "m" else "no json"
         return ns(choices=[ns(message=ns(content=text))], usage=ns(prompt_tokens=3, completion_tokens=2))
 
-    server = ns(chat=ns(completions=ns(create=create)), embeddings=ns(create=lambda model, input: ns(data=[ns(index=i, embedding=[float(len(t)), 1.0]) for i, t in reversed(list(enumerate(input)))])))
+    server = ns(
+        chat=ns(completions=ns(create=create)),
+        embeddings=ns(create=lambda model, input: ns(data=[ns(index=i, embedding=[float(len(t)), 1.0]) for i, t in reversed(list(enumerate(input)))]))
+    )
     check_text_client(ChatClient("m", client=server))
     assert asked[0]["response_format"]["json_schema"]["name"] == "label"
-    assert "no JSON" in ChatClient("x", client=server).complete([{"role": "user", "content": "?"}], schema={"title": "t"}, trace={"traceparent": "00-1"})["error"] and asked[-1]["extra_headers"] == {"traceparent": "00-1"}
+    assert "no JSON" in ChatClient("x", client=server).complete(
+        [{"role": "user", "content": "?"}], schema={"title": "t"}, trace={"traceparent": "00-1"}
+    )["error"] and asked[-1]["extra_headers"] == {"traceparent": "00-1"}
     check_embedder(Embeddings("e", 2, client=server))
     with pytest.raises(SpanloomError, match="openai"):
         ChatClient("m")

@@ -45,10 +45,14 @@ def test_again(ws):
 def test_cause_and_tests(ws):
     f = next(f for f in ws.findings() if f.metric == "largest_cluster_share")
     done = ws.explain(f.id)
-    assert (done.cause["kind"], done.cause["target"], done.cause["status"]) == ("prompt_section", "example", "suspected") and done.cause["effect"] > 0.7 and "example" in done.cause["hypothesis"]
+    assert (
+        done.cause["kind"], done.cause["target"], done.cause["status"]
+    ) == ("prompt_section", "example", "suspected") and done.cause["effect"] > 0.7 and "example" in done.cause["hypothesis"]
     with pytest.raises(SpanloomError, match="replayer"):
         ws.test(f.id)
-    ws.replayer = FakeReplayer(lambda span, sections: f"something new about {span['span_id']}" if sections.get("example", "x") is None else "an old lighthouse keeper counts passing ships through winter fog")
+    ws.replayer = FakeReplayer(
+        lambda span, sections: f"something new about {span['span_id']}" if sections.get("example", "x") is None else "an old lighthouse keeper counts passing ships through winter fog"
+    )
     good = ws.test(f.id, samples=30)
     assert good.cause["status"] == "confirmed" and good.test["after"] == 0 and "-" in good.fix["diff"] and good.test["samples"] == 30
     ws.replayer = FakeReplayer(lambda span, sections: "an old lighthouse keeper counts passing ships through winter fog")
@@ -61,14 +65,25 @@ def test_cause_and_tests(ws):
 
 
 def test_review_and_labels(ws):
-    ws.llm = FakeTextClient(label=lambda said: {"label": "ships" if "lighthouse" in said else "other"}, taxonomy={"labels": [{"label": "ships", "definition": "about ships"}, {"label": "boats", "definition": "too"}]})
-    io = ScriptedIO(lambda question, choices: {"ships: about ships": "keep", "boats: too": "merge ships", "another label (NAME: definition), or nothing": ""}.get(question, ""))
+    ws.llm = FakeTextClient(
+        label=lambda said: {"label": "ships" if "lighthouse" in said else "other"},
+        taxonomy={"labels": [{"label": "ships", "definition": "about ships"}, {"label": "boats", "definition": "too"}]}
+    )
+    io = ScriptedIO(
+        lambda question, choices: {
+            "ships: about ships": "keep", "boats: too": "merge ships", "another label (NAME: definition), or nothing": ""
+        }.get(question, "")
+    )
     with pytest.raises(SpanloomError, match="no taxonomy"):
         ws.label_all("song_ideas")
     taxonomy = ws.review("song_ideas", io, n=12)
     assert set(taxonomy.labels) == {"ships"} and len(io.shown) == 12
     more = iter(["other: the rest", ""])
-    io = ScriptedIO(lambda question, choices: next(more) if question.startswith("another") else ("keep" if ": " in question else ("ships" if "lighthouse" in io.shown[-1] else "other")))
+    io = ScriptedIO(
+        lambda question, choices: next(more) if question.startswith("another") else (
+            "keep" if ": " in question else ("ships" if "lighthouse" in io.shown[-1] else "other")
+        )
+    )
     ws.llm.answers["taxonomy"] = {"labels": [{"label": "ships", "definition": "about ships"}]}
     taxonomy = ws.review("song_ideas", io, n=12)
     assert len(taxonomy.human) == 12 and {*taxonomy.human.values()} == {"ships", "other"}
@@ -84,7 +99,9 @@ def test_command_line(ws, capsys):
     f = next(f for f in ws.findings() if f.metric == "largest_cluster_share")
     assert cli.main([*base, "explain", f.id]) == 0 and "prompt_section example" in capsys.readouterr().out
     assert cli.main([*base, "--replayer", "spanloom.testing.fakes:FakeReplayer", "test", f.id, "--samples", "5"]) == 0 and "refuted" in capsys.readouterr().out
-    assert cli.main([ws.path, "set-status", f.id, "dismissed", "--note", "known"]) == 0 and cli.main([ws.path, "findings", "--status", "dismissed"]) == 0 and f.id in capsys.readouterr().out
+    assert cli.main(
+        [ws.path, "set-status", f.id, "dismissed", "--note", "known"]
+    ) == 0 and cli.main([ws.path, "findings", "--status", "dismissed"]) == 0 and f.id in capsys.readouterr().out
     assert cli.main([ws.path, "report", "--kind", "json"]) == 0 and f.id not in [x["id"] for x in json.loads(capsys.readouterr().out)["findings"]]
     assert cli.main([ws.path, "query", "SELECT count(*) AS n FROM calls"]) == 0 and "n\n" in capsys.readouterr().out
     assert cli.main([ws.path, "set-status", "F-9999", "fixed"]) == 1 and "no finding" in capsys.readouterr().err
