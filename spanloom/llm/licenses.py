@@ -84,14 +84,30 @@ def templates(spark: SparkSession, texts=TEMPLATES, *, contain: float = CONTAIN,
         if lengths := [r.n for r in rows.select("n").collect()]:
             constants = constants_of(bands_for(lengths, shingle, contain, miss))
             text = F.array_distinct(windows(F.col("t"), shingle, lambda x: F.array_join(x, " ")))
-            out.append((shingle, rows.select("name", "n", text.alias("shingles"), signature(hashes(F.col("triples"), shingle), constants).alias("signature")).collect(), constants))
+            out.append(
+                (
+                    shingle,
+                    rows.select(
+                        "name", "n", text.alias("shingles"),
+                        signature(hashes(F.col("triples"), shingle), constants).alias("signature")
+                    ).collect(),
+                    constants
+                )
+            )
     return out
 
 
 def retrieved(t: Column, triples: Column, shingle: int, known: list, constants: list[int], contain: float) -> Column:
     """Matches of one class of templates in a text."""
     keys = sorted({s ^ c for r in known for s, c in zip(r.signature, constants, strict=True)})
-    table = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.n).alias("n"), F.lit(r.shingles).alias("shingles"), F.lit(r.signature).alias("signature")) for r in known])
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(r.name).alias("name"), F.lit(r.n).alias("n"), F.lit(r.shingles).alias("shingles"),
+                F.lit(r.signature).alias("signature")
+            ) for r in known
+        ]
+    )
     lengths = F.lit(sorted({r.n for r in known}))
     none = F.array().cast("array<struct<name:string,at:int,containment:double>>")
 
@@ -103,13 +119,20 @@ def retrieved(t: Column, triples: Column, shingle: int, known: list, constants:
         def verified(found: Column) -> Column:
             share = lambda x, w: F.size(F.array_intersect(x["shingles"], w)) / F.size(x["shingles"])
             exact = lambda w: F.transform(found, lambda x: F.struct(x["name"].alias("name"), (j * n).alias("at"), share(x, w).alias("containment")))
-            return F.when(F.size(found) == 0, none).otherwise(F.filter(let(windows(piece, shingle, lambda x: F.array_join(x, " ")), exact), lambda m: m["containment"] >= contain))
+            return F.when(F.size(found) == 0, none).otherwise(
+                F.filter(let(windows(piece, shingle, lambda x: F.array_join(x, " ")), exact), lambda m: m["containment"] >= contain)
+            )
 
         return let(near, verified)
 
     def found(h: Column, hits: Column) -> Column:
-        starts = lambda n: F.filter(F.array_distinct(F.flatten(F.transform(hits, lambda p: F.array(F.floor(p / n).cast("int"), (F.floor(p / n) - 1).cast("int"))))), lambda j: j >= 0)
-        return F.when(F.size(hits) == 0, none).otherwise(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(starts(n), lambda j: in_window(h, n, j))))))
+        starts = lambda n: F.filter(
+            F.array_distinct(F.flatten(F.transform(hits, lambda p: F.array(F.floor(p / n).cast("int"), (F.floor(p / n) - 1).cast("int"))))),
+            lambda j: j >= 0
+        )
+        return F.when(F.size(hits) == 0, none).otherwise(
+            F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(starts(n), lambda j: in_window(h, n, j)))))
+        )
 
     def per_text(h: Column) -> Column:
         hits = F.filter(F.transform(h, lambda x, i: F.when(x.isin(keys), i)), lambda i: i.isNotNull())

@@ -249,8 +249,14 @@ def score(docs: DataFrame, *, order: int = ORDER, add: float = ADD, strengths: t
     counted = materialize(sent.groupBy("shard").applyInArrow(add_up(order), SCHEMA), "lm-counts")
     totals = counted.filter(F.col("kind") == TOTALS).agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
     total, distinct = int(totals.n or 0), int(totals.v or 0)
-    scored = counted.filter(F.col("kind") != TOTALS).groupBy("batch").applyInArrow(traverse(order, bits, add, strengths, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, failures long")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "failures", F.lit(distinct).cast("long").alias("vocabulary"))
+    scored = counted.filter(F.col("kind") != TOTALS).groupBy("batch").applyInArrow(
+        traverse(order, bits, add, strengths, total, distinct),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, failures long"
+    )
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        "failures", F.lit(distinct).cast("long").alias("vocabulary")
+    )
 
 
 def op9_lm(spark, sf_dir: str) -> DataFrame:

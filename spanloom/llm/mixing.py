@@ -79,8 +79,15 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...] = WEIGHTS,
     """``sources`` (source, source_size: a row for each source) with ``target`` double. One row a source is sorted in one task."""
     one = Window.partitionBy(F.lit(0))
     by_ratio = one.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
-    level = (F.lit(epochs) * F.sum("source_size").over(one) - F.coalesce(F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("_w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
+    weight = F.element_at(
+        F.array(*map(F.lit, weights)),
+        (F.pmod(F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int")
+    )
+    level = (
+        F.lit(epochs) * F.sum("source_size").over(one) - F.coalesce(
+            F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+        )
+    ) / F.sum("_w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     return (
         sources.withColumn("_w", weight)
         .withColumn("_cap", F.lit(max_repeat) * F.col("source_size"))
@@ -93,30 +100,51 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...] = WEIGHTS,
     )
 
 
-def assign(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, max_repeat: float = MAX_REPEAT, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:
+def assign(
+    docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, max_repeat: float = MAX_REPEAT,
+    block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED
+) -> DataFrame:
     """mix()'s columns and, for each row, ``rounds`` (whole copies) and up to two parts of words, ``first`` and ``second`` (lo, hi)."""
     sized = materialize(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("_hash"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_ord")),
+        docs.select(
+            "doc_id", F.col("source").cast("string").alias("source"),
+            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64("text").alias("_hash"),
+            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_ord")
+        ),
         "mix-sizes",
     )
-    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights=weights, epochs=epochs, max_repeat=max_repeat)
+    sources = source_targets(
+        sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights=weights,
+        epochs=epochs, max_repeat=max_repeat
+    )
     one = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("_seats", F.round(F.sum("target").over(one) / block).cast("long")).withColumn("_all", F.pmod(F.xxhash64("source"), F.lit(1)))
     sources = sainte_lague(sources, ["_all"], "target", "_seats", [F.col("source").asc_nulls_last()])
-    sources = materialize(sources.select("source", "source_size", "target", F.col("quota").alias("_quota"), F.ceil(F.col("_docs") / shard_rows).cast("long").alias("_n")), "mix-sources")
+    sources = materialize(
+        sources.select(
+            "source", "source_size", "target", F.col("quota").alias("_quota"),
+            F.ceil(F.col("_docs") / shard_rows).cast("long").alias("_n")
+        ),
+        "mix-sources"
+    )
 
     dealt = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.doc_id", "d._hash", "d.source", "d.size", "d._ord", "s.source_size", "s.target", "s._quota", (seeded("d._ord") % F.col("s._n")).alias("_shard")
     )
     shards = dealt.groupBy("source", "_shard", "_quota").agg(F.sum("size").alias("_line"))
-    shards = sainte_lague(shards, ["source"], "_line", "_quota", [F.col("_shard")]).select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_line", "quota")
+    shards = sainte_lague(shards, ["source"], "_line", "_quota", [F.col("_shard")]).select(
+        F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_line", "quota"
+    )
 
     before = Window.partitionBy("source", "_shard").orderBy("_ord", "size", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     total = F.least(F.col("quota") * block, F.floor(F.lit(max_repeat) * F.col("_line")).cast("long"))
     rounds, rest = F.floor(F.col("_total") / F.greatest("_line", F.lit(1))).cast("long"), F.col("_total") % F.greatest("_line", F.lit(1))
     blocks = F.greatest(F.floor(F.col("_line") / block).cast("long"), F.lit(1))
     start = seeded(F.lit(seed), F.coalesce("source", F.lit("null")), F.col("_shard").cast("string")) % blocks * block
-    part = lambda lo, hi: F.struct(F.greatest(F.lit(0).cast("long"), lo - F.col("_at")).alias("lo"), F.least(F.col("size"), hi - F.col("_at")).alias("hi"))
+    part = lambda lo, hi: F.struct(
+        F.greatest(F.lit(0).cast("long"), lo - F.col("_at")).alias("lo"), F.least(F.col("size"), hi - F.col("_at")).alias("hi")
+    )
     length = lambda p: F.greatest(F.lit(0).cast("long"), F.col(f"{p}.hi") - F.col(f"{p}.lo"))
     return (
         dealt.withColumn("_at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
@@ -144,7 +172,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = assign(docs, **options).select("doc_id", "_hash", "rounds", "first", "second", "taken").withColumn("_n", nth("doc_id", "_hash")).filter("taken > 0")
     taken = taken.select(F.struct("doc_id", "_hash", "_n", "rounds", "first", "second").alias("_loom"))
     rows = docs.withColumn("_loom_hash", F.xxhash64("text")).withColumn("_loom_n", nth("doc_id", "_loom_hash"))
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_loom.doc_id")) & (F.col("_loom_hash") == F.col("_loom._hash")) & (F.col("_loom_n") == F.col("_loom._n")))
+    joined = rows.join(
+        taken,
+        F.col("doc_id").eqNullSafe(F.col("_loom.doc_id")) & (F.col("_loom_hash") == F.col("_loom._hash")) & (F.col("_loom_n") == F.col("_loom._n"))
+    )
     lo, hi = (lambda p, e=e: F.col(f"_loom.{p}.{e}") for e in ("lo", "hi"))
     cut = lambda w, p: F.array_join(F.slice(w, (lo(p) + 1).cast("int"), (hi(p) - lo(p)).cast("int")), " ")
     parts = let(words(F.col("text")), lambda w: F.array(*[F.when(hi(p) > lo(p), cut(w, p)) for p in ("first", "second")]))

@@ -245,7 +245,9 @@ def dealt(members: DataFrame, size: str, block: int) -> DataFrame:
     """``members`` with low, high, side: a row for each pair of blocks that a member's own block is part of."""
     n, side = F.ceil(F.col(size) / block).cast("int"), F.col("side")
     out = members.withColumn("_n", n).withColumn("side", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    return out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumns({"low": F.least(side, F.col("_o")), "high": F.greatest(side, F.col("_o"))}).drop("_n", "_o")
+    return out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumns(
+        {"low": F.least(side, F.col("_o")), "high": F.greatest(side, F.col("_o"))}
+    ).drop("_n", "_o")
 
 
 def classify(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +256,10 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float
     ``first`` is the least (doc_id, text_hash) of the class, so two texts that share a doc_id have classes of their own.
     """
     n = partitions(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+        F.col("text").cast("string").alias("text")
+    )
     signed = materialize(texts.mapInArrow(sign, "doc_id long, text_hash long, node long, signature binary"), "near-signed")
     usable = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first_row")
@@ -268,10 +273,16 @@ def classify(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float
     rough = components(keyed.mapInArrow(candidates(threshold, tolerance), "a long, b long"))
 
     sizes = rough.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    chosen = rough.join(nodes.select("node", "first_row", "copies"), "node").select("node", "comp", "copies", F.col("first_row.doc_id").alias("doc_id"), F.col("first_row.text_hash").alias("text_hash"))
-    sets = texts.join(chosen, ["doc_id", "text_hash"]).select("text", "node", "comp", "copies").mapInArrow(read_sets, "node long, comp long, copies long, shingles binary")
+    chosen = rough.join(nodes.select("node", "first_row", "copies"), "node").select(
+        "node", "comp", "copies", F.col("first_row.doc_id").alias("doc_id"), F.col("first_row.text_hash").alias("text_hash")
+    )
+    sets = texts.join(chosen, ["doc_id", "text_hash"]).select("text", "node", "comp", "copies").mapInArrow(
+        read_sets, "node long, comp long, copies long, shingles binary"
+    )
     sets = materialize(sets, "near-sets").dropDuplicates(["node"])
-    keyed = dealt(sets.join(sizes, "comp"), "size", block).select("comp", "low", "high", "side", "node", "copies", "shingles").repartition(n, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
+    keyed = dealt(sets.join(sizes, "comp"), "size", block).select(
+        "comp", "low", "high", "side", "node", "copies", "shingles"
+    ).repartition(n, "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     links = materialize(keyed.mapInArrow(verify(threshold), "node long, links long, least long"), "near-links")
 
     classes = components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))

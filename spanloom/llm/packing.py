@@ -141,7 +141,9 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         steps = json.loads(self.whole.to_str())
         parts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
-        known = [x["type"] for x in parts] == ["Split", "ByteLevel"] and [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        known = [x["type"] for x in parts] == ["Split", "ByteLevel"] and [
+            x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])
+        ] == ["NFC", "Replace", "Lowercase"]
         self.cut = regex.compile(parts[0]["pattern"]["Regex"]).findall if known else None
         self.plain = regex.compile(r"[\x21-\x7E\xC0-\u024F]+").fullmatch
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -196,7 +198,10 @@ def piece_batches(path: str | None, size: int, end: int, name: str = TOKENIZER):
                     piece = ids[start : start + size]
                     out.append((doc, start, len(piece), binascii.crc32(piece.tobytes()), len(ids)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, *[pa.int64()] * 4), strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, *[pa.int64()] * 4), strict=True)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            )
 
     return run
 
@@ -228,8 +233,11 @@ def pack(docs: DataFrame, *, size: int = SIZE, end: int = END, path: str | None
     )
     step = F.col("rank") - F.col("from_rank")
     return (
-        ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & F.col("rank").between(F.col("from_rank"), F.col("to_rank") - 1))
-        .select("doc_id", "start", ranked["length"], "ids_crc32", "doc_tokens", (F.col("first_window") + F.floor(step / F.col("per_window"))).cast("long").alias("sequence_id"), (F.col("at") + step % F.col("per_window") * ranked["length"]).cast("long").alias("offset"))
+        ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & F.col("rank").between(F.col("from_rank"), F.col("to_rank") - 1)).select(
+            "doc_id", "start", ranked["length"], "ids_crc32", "doc_tokens",
+            (F.col("first_window") + F.floor(step / F.col("per_window"))).cast("long").alias("sequence_id"),
+            (F.col("at") + step % F.col("per_window") * ranked["length"]).cast("long").alias("offset")
+        )
     )
 
 

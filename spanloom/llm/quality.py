@@ -54,7 +54,13 @@ def repeated_words(w: Column, n: int = WINDOW) -> Column:
 
     def starts(s: Column) -> Column:
         same = lambda k, j: F.get(s, k)["x"] == F.get(s, j)["x"]
-        found = F.filter(F.transform(s, lambda x, k: F.when((k > 0) & F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)), x["i"])), lambda x: x.isNotNull())
+        found = F.filter(
+            F.transform(
+                s,
+                lambda x, k: F.when((k > 0) & F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)), x["i"])
+            ),
+            lambda x: x.isNotNull()
+        )
         return F.array_sort(found)
 
     def exact(items: Column) -> Column:
@@ -82,8 +88,11 @@ def measure(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), counted.alias("_c"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("n"))).alias("_l"),
-    ).select("doc_id", "lang", "source", "_c.n_words", "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), F.col("_l.n").alias("n_lines"), "_c.n_repeat_words", "_c.n_stutters")
+        let(
+            lines,
+            lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("n"))
+        ).alias("_l"),
+    ).select("doc_id", "lang", "source", "_c.n_words", "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), F.col("_l.n").alias("n_lines"), "_c.n_repeat_words", "_c.n_stutters")
 
 
 def _measures() -> dict[str, Column]:
@@ -101,7 +110,9 @@ def sketch(counted: DataFrame, *, bits: int = SKETCH_BITS) -> DataFrame:
     """lang, source, measure, value (in units, rounded down to its leading bits), n: the sketches, an entry a row."""
     rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(c * UNIT).cast("long").alias("x")) for m, c in _measures().items()])
     low = F.pow(F.lit(2.0), F.greatest(F.length(F.bin("m.x")) - bits, F.lit(0))).cast("long")
-    values = counted.select("lang", "source", F.explode(rows).alias("m")).select("lang", "source", "m.measure", (F.col("m.x") - F.col("m.x") % low).alias("value"))
+    values = counted.select("lang", "source", F.explode(rows).alias("m")).select(
+        "lang", "source", "m.measure", (F.col("m.x") - F.col("m.x") % low).alias("value")
+    )
     return values.groupBy("lang", "source", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -147,4 +158,6 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

@@ -39,7 +39,11 @@ KINDS = (
 )
 #: What the method adds; which card numbers count is in luhn().
 ADDED = (
-    ("mixed", r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,}|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{24,}+(?![a-z+/_-]))", 0, 16),
+    (
+        "mixed",
+        r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,}|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{24,}+(?![a-z+/_-]))",
+        0, 16
+    ),
     ("card", r"(?<![A-Za-z0-9])[0-9]{13,19}(?![A-Za-z0-9])", 0, 13),
 )
 MAX_OWNERS, MAX_REPOSITORIES, MAX_TEXTS = 2, 3, 25
@@ -71,7 +75,13 @@ def spans_of(text: Column, number: int, pattern: str, group: int, least: int) ->
 
         return F.aggregate(pairs, start, add, lambda acc: acc["s"])
 
-    parts = let(F.split(text, pattern, -1), lambda g: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: placed(g, m, v))))
+    parts = let(
+        F.split(text, pattern, -1),
+        lambda g: let(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda m: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: placed(g, m, v))
+        )
+    )
     return F.when(text.rlike(pattern), parts).otherwise(F.array().cast(SPAN))
 
 
@@ -86,19 +96,37 @@ def find(docs: DataFrame) -> DataFrame:
 
 def owners(found: DataFrame, *, by_text: bool = False) -> DataFrame:
     """value_hash, n_texts, n_repositories, n_owners of every candidate value."""
-    values = found.select(F.explode(F.concat("base", "more")).alias("s"), "source", "lang", "text_hash").select(F.xxhash64("s.value").alias("value_hash"), "text_hash", F.struct("source", "lang").alias("repository"))
+    values = found.select(F.explode(F.concat("base", "more")).alias("s"), "source", "lang", "text_hash").select(
+        F.xxhash64("s.value").alias("value_hash"), "text_hash", F.struct("source", "lang").alias("repository")
+    )
     if by_text:
         values = values.groupBy("value_hash", "text_hash").agg(F.min("repository").alias("repository"))
     by = values.distinct().groupBy("value_hash", "repository").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy("value_hash").agg(F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_repositories"), F.countDistinct(F.struct("repository.source")).alias("n_owners"))
+    return by.groupBy("value_hash").agg(
+        F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_repositories"),
+        F.countDistinct(F.struct("repository.source")).alias("n_owners")
+    )
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, max_texts: int = MAX_TEXTS, by_text: bool = False) -> DataFrame:
+def scan(
+    docs: DataFrame, *, key: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
+    max_texts: int = MAX_TEXTS, by_text: bool = False
+) -> DataFrame:
     """A row for each row of ``docs``: key, base, more (live-looking only) and live (all live-looking) spans."""
-    found = materialize(find(docs.select(key, "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))).drop("text"), "secret-spans")
+    found = materialize(
+        find(
+            docs.select(
+                key, "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+                F.xxhash64("text").alias("text_hash")
+            )
+        ).drop("text"),
+        "secret-spans"
+    )
     some = found.filter((F.size("base") > 0) | (F.size("more") > 0)).withColumn("_row", F.monotonically_increasing_id())
     some = materialize(some, "secret-rows")
-    counted = owners(some, by_text=by_text).filter((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories) | (F.col("n_texts") > max_texts))
+    counted = owners(some, by_text=by_text).filter(
+        (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories) | (F.col("n_texts") > max_texts)
+    )
     copied = counted.select("value_hash", F.lit(True).alias("_copied"))
     judged = (
         some.select("_row", F.explode(F.concat("base", "more")).alias("s"))
@@ -147,4 +175,8 @@ def redact(docs: DataFrame, *, mark: str = "[secret]", **options) -> DataFrame:
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), by_text=True)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), F.size("live").cast("long").alias("n_live"))
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"),
+        F.size("live").cast("long").alias("n_live")
+    )

@@ -85,7 +85,10 @@ def send(shards: int, length: int, anchor: int):
                     if len(at):
                         own, which = np.unique(doc[at], return_inverse=True)
                         head = np.array([len(at), len(own)], "<u4").tobytes()
-                        body = [(key[at] >> np.uint64(32)).astype("<u4"), ids[own].astype("<i8"), which.astype("<u4"), start[at].astype("<u4"), count[at].astype("u1")]
+                        body = [
+                            (key[at] >> np.uint64(32)).astype("<u4"), ids[own].astype("<i8"), which.astype("<u4"),
+                            start[at].astype("<u4"), count[at].astype("u1")
+                        ]
                         text = b"\n".join([pieces[i] for i in at.tolist()])
                         data = packer.compress(head + b"".join(x.tobytes() for x in body) + text)
                         yield record_batch(["shard", "data"], [pa.int32(), pa.binary()], [(s, data)])
@@ -299,8 +302,16 @@ def cut(length: int, texts: bool):
                     kept = [w[i] for i in np.flatnonzero(~gone).tolist()]
                 left = b" ".join(kept)
                 flat = [i for s in spans for i in s]
-                out.append((doc_id, len(w), len(w) - len(kept), hashlib.sha256(left).hexdigest(), flat, left.decode("utf-8", "surrogatepass") if texts else None))
-            yield record_batch(["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()], out)
+                out.append(
+                    (
+                        doc_id, len(w), len(w) - len(kept), hashlib.sha256(left).hexdigest(), flat,
+                        left.decode("utf-8", "surrogatepass") if texts else None
+                    )
+                )
+            yield record_batch(
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
+                [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()], out
+            )
 
     return run
 
@@ -311,9 +322,13 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     blocks = rows_.mapInArrow(send(shards, length, min(anchor, length)), "shard int, data binary")
     found = blocks.groupBy("shard").applyInArrow(match(length, shards), "bucket int, data binary")
-    by_doc = found.groupBy("bucket").applyInArrow(merge, "doc_id long, text_hash long, places binary").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "places")
+    by_doc = found.groupBy("bucket").applyInArrow(merge, "doc_id long, text_hash long, places binary").select(
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "places"
+    )
     joined = rows_.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
-    out = joined.select("doc_id", "text", "places").mapInArrow(cut(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>, kept string")
+    out = joined.select("doc_id", "text", "places").mapInArrow(
+        cut(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>, kept string"
+    )
     return out if texts else out.drop("kept")
 
 

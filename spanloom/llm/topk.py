@@ -170,7 +170,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
-    return ranked(found).join(queries.select("uid", F.col("vec_id").alias("query_id")), "uid").select("uid", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(found).join(queries.select("uid", F.col("vec_id").alias("query_id")), "uid").select(
+        "uid", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    )
 
 
 def whole_vectors(table: DataFrame, *, scale: int = SCALE) -> DataFrame:
@@ -178,7 +180,9 @@ def whole_vectors(table: DataFrame, *, scale: int = SCALE) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))), F.lit(False))
     scaled = lambda c: F.lit(float(scale)) * c
-    whole = lambda c: F.when(F.abs(scaled(c)) < float(LIMIT), F.floor(scaled(c))).otherwise(F.raise_error(F.lit("an embedding's component is no 64-bit integer; use a smaller scale")).cast("long"))
+    whole = lambda c: F.when(F.abs(scaled(c)) < float(LIMIT), F.floor(scaled(c))).otherwise(
+        F.raise_error(F.lit("an embedding's component is no 64-bit integer; use a smaller scale")).cast("long")
+    )
     spread = table.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
     return materialize(spread.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "v"), "topk-vectors")
 

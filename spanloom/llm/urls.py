@@ -72,14 +72,32 @@ def train(labelled: DataFrame, *, bits: int = BITS, steps: int = STEPS, rate: fl
     held = F.transform("e", lambda r, i: F.transform(r["x"], lambda b: F.struct(b.alias("b"), i.alias("i"))))
     lists = examples.select("e", F.explode(F.flatten(held)).alias("h")).groupBy("h.b").agg(F.array_sort(F.collect_list("h.i")).alias("i"))
     by_bucket = F.map_from_entries(F.collect_list(F.struct("b", "i")))
-    one = materialize(examples.withColumn("m", lists.agg(by_bucket).scalar()).select(
-        "e", F.transform(F.sequence(F.lit(0), F.lit(size)), lambda b: F.when(b == 0, F.sequence(F.lit(0), F.size("e") - 1)).otherwise(F.coalesce(F.try_element_at("m", b), F.array().cast("array<int>")))).alias("lists")
-    ), "url-examples")  # written, so that no step computes the lists again
+    # written, so that no step computes the lists again
+    one = materialize(
+        examples.withColumn("m", lists.agg(by_bucket).scalar()).select(
+            "e",
+            F.transform(
+                F.sequence(F.lit(0), F.lit(size)),
+                lambda b: F.when(b == 0, F.sequence(F.lit(0), F.size("e") - 1)).otherwise(
+                    F.coalesce(F.try_element_at("m", b), F.array().cast("array<int>"))
+                )
+            ).alias("lists")
+        ),
+        "url-examples"
+    )
 
     def step(w: Column) -> Column:
         miss = lambda r: (r["y"] - 1 / (1 + F.exp(-_logit(w, r["x"])))) / F.size("e")
         errors = F.transform("e", lambda r: let(miss(r), lambda d: F.struct(d.alias("bias"), (d / F.sqrt(F.size(r["x"]).cast("double"))).alias("part"))))
-        down = lambda e: F.transform(w, lambda v, j: v + F.lit(rate) * (F.aggregate(F.get("lists", j), F.lit(0.0), lambda a, i: a + F.when(j == 0, F.get(e, i)["bias"]).otherwise(F.get(e, i)["part"])) - F.lit(l2) * v))
+        down = lambda e: F.transform(
+            w,
+            lambda v, j: v + F.lit(rate) * (
+                F.aggregate(
+                    F.get("lists", j), F.lit(0.0),
+                    lambda a, i: a + F.when(j == 0, F.get(e, i)["bias"]).otherwise(F.get(e, i)["part"])
+                ) - F.lit(l2) * v
+            )
+        )
         return let(errors, down)
 
     start = F.array_repeat(F.lit(0.0), size + 1)
@@ -88,7 +106,10 @@ def train(labelled: DataFrame, *, bits: int = BITS, steps: int = STEPS, rate: fl
     return list(found["w"]) if found and found["w"] else [0.0] * (size + 1)
 
 
-def judge(pages: DataFrame, *, rules=RULES, ngrams=NGRAMS, bits: int = BITS, train_rows: int = TRAIN_ROWS, steps: int = STEPS, rate: float = RATE, l2: float = L2, labelled: DataFrame | None = None) -> DataFrame:
+def judge(
+    pages: DataFrame, *, rules=RULES, ngrams=NGRAMS, bits: int = BITS, train_rows: int = TRAIN_ROWS, steps: int = STEPS,
+    rate: float = RATE, l2: float = L2, labelled: DataFrame | None = None
+) -> DataFrame:
     """page_id, host, path, rule, verdict, logit. ``labelled`` (host, path, verdict): another small labelled table."""
     host, path = host_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))

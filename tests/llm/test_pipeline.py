@@ -40,9 +40,20 @@ def nasty(spark):
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(500)]
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
     base = [text(60) for _ in range(12)]
-    texts = [None, "", " \t", "one", *base, base[0], base[1], base[1] + " more", f"{text(40)} password = hunter2222", text(9000), text(40) + "\n" + "same line\n" * 30, "### " * 200]
-    rows = [(None if i == 7 else i % 19, t, None if i % 6 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None if t is None else len(t), f"n{i}", i) for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id long, text string, lang string, source string, n_chars long, node string, rank int").repartition(3)
+    texts = [
+        None, "", " \t", "one", *base, base[0], base[1], base[1] + " more", f"{text(40)} password = hunter2222", text(9000),
+        text(40) + "\n" + "same line\n" * 30, "### " * 200
+    ]
+    rows = [
+        (
+            None if i == 7 else i % 19, t, None if i % 6 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}",
+            None if t is None else len(t), f"n{i}", i
+        ) for i,
+        t in enumerate(texts)
+    ]
+    return spark.createDataFrame(
+        [*rows, rows[5], rows[5]], "doc_id long, text string, lang string, source string, n_chars long, node string, rank int"
+    ).repartition(3)
 
 
 def test_stages_on_what_goes_wrong(spark, tmp_path):
