@@ -6,37 +6,44 @@ are dealt out so that all that can match meets in one shard:
 
 1. Each window of ``length`` words has an anchor: the least hash among its ``ANCHOR``-word runs. Consecutive windows with
    the same anchor form a segment of some 17 words; equal windows have equal anchors, so their segments go to the same
-   shard, whatever stands around them. A batch of documents sends each shard one compressed block, sorted by anchor, in
-   which copies shrink to almost nothing.
+   shard, whatever stands around them. A batch of documents sends each shard one compressed block of its distinct segments
+   with the least doc_id of each, however many of its documents have them.
 2. In a shard, the distinct segments of an anchor that more than one document has are its reference. A suffix automaton
    over them (inserted by rising doc_id, so that each state knows the first document with its substrings) is read by the
    segments: the matching statistic at a word is the length of the longest suffix found, and where it reaches ``length``
-   the state's first document is looked up. A segment text that many documents share is streamed once. Shards are as many
-   as the shuffle's partitions, or one for each 16 MB of the table's files if these are more; each is read by itself.
-3. The windows found go back to their documents, which drop the maximal spans that they cover.
+   the state's first document is looked up. A block is answered with the first documents of its segments' windows.
+3. Answers go back to their batch, where every document drops the maximal spans of windows that a smaller doc_id owns.
 
-A hot passage is one distinct segment in its shard; only its places, a few bytes each, grow with the copies. Work and
-blocks grow with the corpus, not with pairs of documents or of shards.
+A passage that many documents share is one segment a batch, not one a document. Work and blocks grow with the corpus, not
+with pairs of documents or of shards. Shards are as many as the shuffle's partitions, or one for each 16 MB of the table's
+files if these are more; each is read by itself.
 
 Null text: no words. A null doc_id is neither smaller nor larger than another: such rows keep all words and remove none.
-Rows of one doc_id don't remove each other's words. Texts shorter than ``length`` words and empty tables work as expected;
-very long texts are read whole (a batch holds at least one). Other columns are ignored.
+Rows of one doc_id don't remove each other's words; repeated rows are ties and keep alike. Texts shorter than ``length``
+words and empty tables work as expected; very long texts are read whole (a batch holds at least one). Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.pywords import mixed, record_batch, rows, window_hashes, word_hashes, words
+from spanloom.llm.pywords import mixed, record_batch, rows, window_hashes, word_hashes
 from spanloom.llm.scratch import shards_for
 
-LENGTH, ANCHOR, RUN, BATCH_CHARS = 13, 4, 32, 12_000_000
+LENGTH, ANCHOR, RUN, BATCH_CHARS = 13, 4, 32, 10_000_000
+SCHEMA = "shard int, batch string, kind int, data binary, ids array<long>"
+NAMES, TYPES = ["shard", "batch", "kind", "data", "ids"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+#: Kinds of blocks: a batch's words; its segments for a shard; the shard's answer.
+WORDS, SEGMENTS, OWNERS = range(3)
 
 
 def segments(h: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,57 +66,74 @@ def segments(h: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.nd
     return least[starts], starts, counts
 
 
-def send(shards: int, length: int, anchor: int):
-    """(doc_id, text, text_hash) to a block for each shard."""
-    import zstandard
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        pieces: list[bytes] = []
-        docs: list[tuple[int, int]] = []
-        chars = 0
+class Cut:
+    """The segments of a batch: the distinct ones, dealt to shards, and each place where one stands."""
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal kept, pieces, docs, chars
-            if kept:
-                key, start, count = (np.concatenate([k[i] for k in kept]) for i in range(3))
-                doc = np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept])
-                shard = (mixed(key) % np.uint64(shards)).astype(np.int64)
-                # In a block an anchor is 32 bits long: two that fall together only put more texts into one automaton.
-                order = np.lexsort((doc, key, shard))
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                ids = np.array(docs, np.int64)
-                packer = zstandard.ZstdCompressor(6)
-                for s in range(shards):
-                    at = order[ends[s] : ends[s + 1]]
-                    if len(at):
-                        own, which = np.unique(doc[at], return_inverse=True)
-                        head = np.array([len(at), len(own)], "<u4").tobytes()
-                        body = [
-                            (key[at] >> np.uint64(32)).astype("<u4"), ids[own].astype("<i8"), which.astype("<u4"),
-                            start[at].astype("<u4"), count[at].astype("u1")
-                        ]
-                        text = b"\n".join([pieces[i] for i in at.tolist()])
-                        data = packer.compress(head + b"".join(x.tobytes() for x in body) + text)
-                        yield record_batch(["shard", "data"], [pa.int32(), pa.binary()], [(s, data)])
-            kept, pieces, docs, chars = [], [], [], 0
-
-        for doc_id, text, text_hash in rows(batches):
-            w = words(text)
-            if doc_id is None or len(w) < length:
+    def __init__(self, lines: list[bytes], ids: list[int | None], length: int, anchor: int, shards: int):
+        keys, starts, counts, docs, pieces = [], [], [], [], []
+        for i, line in enumerate(lines):
+            w = line.split()
+            if ids[i] is None or len(w) < length:
                 continue
             key, start, count = segments(word_hashes(w), length, anchor)
             sizes = np.fromiter(map(len, w), np.int64, len(w))
             ends = np.cumsum(sizes + 1) - 1
-            flat = b" ".join(w)
             begin, end = (ends - sizes)[start].tolist(), ends[start + count + length - 2].tolist()
-            pieces += [flat[a:b] for a, b in zip(begin, end, strict=True)]
-            kept.append((key, start, count))
-            docs.append((doc_id, text_hash))
-            chars += len(flat)
-            if chars >= BATCH_CHARS:
+            pieces += [line[a:b] for a, b in zip(begin, end, strict=True)]
+            keys.append(key)
+            starts.append(start)
+            counts.append(count)
+            docs.append(np.full(len(key), i))
+        none = [np.empty(0, np.int64)]
+        key = np.concatenate(keys or [np.empty(0, np.uint64)])
+        self.start, self.count, self.doc = (np.concatenate(x or none) for x in (starts, counts, docs))
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+        first = np.zeros(len(number), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        owner = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(owner, which, np.array([0 if d is None else d for d in ids], np.int64)[self.doc])
+        anchors = key[first]
+        # in a block an anchor is 32 bits long: two that fall together only put more texts into one automaton
+        self.key = (anchors >> np.uint64(32)).astype("<u4")
+        shard = (mixed(anchors) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((first, self.key, shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which, self.owner, self.key = place[which], owner[order], self.key[order]
+        self.ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        texts = list(number)
+        self.texts = [texts[i] for i in order.tolist()]
+
+
+def send(shards: int, length: int, anchor: int, batch_chars: int):
+    """(doc_id, text) to a batch's block of words and its blocks of distinct segments."""
+    import zstandard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, lines, ids, chars = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            batch = f"{task}-{number}"
+            own = zlib.crc32(batch.encode()) % shards
+            yield record_batch(NAMES, TYPES, [(own, batch, WORDS, zstandard.ZstdCompressor(9).compress(b"\n".join(lines)), ids)])
+            cut, packer = Cut(lines, ids, length, anchor, shards), zstandard.ZstdCompressor(6)
+            for s in range(shards):
+                a, b = cut.ends[s : s + 2].tolist()
+                if a < b:
+                    head = np.array([b - a], "<u4").tobytes() + cut.key[a:b].tobytes() + cut.owner[a:b].astype("<i8").tobytes()
+                    yield record_batch(NAMES, TYPES, [(s, batch, SEGMENTS, packer.compress(head + b"\n".join(cut.texts[a:b])), None)])
+
+        for doc_id, text in rows(batches):
+            line = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+            lines.append(line)
+            ids.append(doc_id)
+            chars += len(line)
+            if chars >= batch_chars:
                 yield from flush()
-        yield from flush()
+                number, lines, ids, chars = number + 1, [], [], 0
+        if lines:
+            yield from flush()
 
     return run
 
@@ -171,164 +195,148 @@ class SuffixAutomaton:
         return out
 
 
-def match(length: int, shards: int):
-    """A shard's blocks to the places (document, start, bits of windows) found in a smaller doc_id, a block for each bucket of documents."""
+def match(length: int):
+    """A shard's blocks to the first documents of their segments' windows. Words pass.
+
+    An answer lists the segments that have another first document than the block's own least one: their numbers in the
+    block, the number of documents given for each (one for all windows, or one for each), and the documents.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
-        keys, docs, hashes, starts, counts, texts = [], [], [], [], [], []
-        for block in table.column("data"):
-            data = zstandard.ZstdDecompressor().decompress(block.as_py())
-            n, m = np.frombuffer(data, "<u4", 2).tolist()
-            at = 8
-            keys.append(np.frombuffer(data, "<u4", n, at))
-            ids = np.frombuffer(data, "<i8", 2 * m, at + 4 * n).reshape(m, 2)
-            at += 4 * n + 16 * m
-            which = np.frombuffer(data, "<u4", n, at)
-            docs.append(ids[which, 0])
-            hashes.append(ids[which, 1])
-            starts.append(np.frombuffer(data, "<u4", n, at + 4 * n))
-            counts.append(np.frombuffer(data, "u1", n, at + 8 * n))
-            texts.append((data, at + 9 * n))
+        out: list[tuple] = []
+        batches, keys, owners, texts = [], [], [], []
+        shard = 0
+        for shard, batch, kind, data, ids in rows(iter(table.to_batches())):
+            if kind == WORDS:
+                out.append((shard, batch, kind, data, ids))
+                continue
+            data = zstandard.ZstdDecompressor().decompress(data)
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            batches.append(batch)
+            keys.append(np.frombuffer(data, "<u4", n, 4))
+            owners.append(np.frombuffer(data, "<i8", n, 4 + 4 * n))
+            texts.append((data, 4 + 12 * n))
+        if not batches:
+            return pa.Table.from_batches([record_batch(NAMES, TYPES, out)])
         sizes = np.array([len(k) for k in keys])
-        key, doc, text_hash, start, count = map(np.concatenate, (keys, docs, hashes, starts, counts))
+        base = np.concatenate([[0], np.cumsum(sizes)])
+        key, owner = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(key, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
-        low, high = np.minimum.reduceat(doc[order], edges[:-1]), np.maximum.reduceat(doc[order], edges[:-1])
-        groups = np.flatnonzero(low != high)
+        groups = np.flatnonzero(np.minimum.reduceat(owner[order], edges[:-1]) != np.maximum.reduceat(owner[order], edges[:-1]))
 
-        wanted = np.zeros(len(key), bool)
         within = np.zeros(len(key) + 1, np.int64)
         np.add.at(within, edges[groups], 1)
         np.add.at(within, edges[groups + 1], -1)
+        wanted = np.zeros(len(key), bool)
         wanted[order[np.cumsum(within[:-1]) > 0]] = True
         text: dict[int, bytes] = {}
-        base = 0
-        for (data, at), size in zip(texts, sizes.tolist(), strict=True):
-            some = np.flatnonzero(wanted[base : base + size])
+        for (data, at), a, b in zip(texts, base[:-1].tolist(), base[1:].tolist(), strict=True):
+            some = np.flatnonzero(wanted[a:b])
             if len(some):
                 breaks = np.flatnonzero(np.frombuffer(data, np.uint8, offset=at) == 10) + at
                 begin, end = np.concatenate([[at], breaks + 1]), np.concatenate([breaks, [len(data)]])
-                for i, a, b in zip((some + base).tolist(), begin[some].tolist(), end[some].tolist(), strict=True):
-                    text[i] = data[a:b]
-            base += size
+                for i, x, y in zip((some + a).tolist(), begin[some].tolist(), end[some].tolist(), strict=True):
+                    text[i] = data[x:y]
         texts.clear()
 
-        found_at, found_bits = [], []
+        found: dict[int, list[int]] = {}
         for a, b in zip(edges[groups].tolist(), edges[groups + 1].tolist(), strict=True):
             by_text: dict[bytes, list[int]] = {}
             for i in order[a:b].tolist():
                 by_text.setdefault(text[i], []).append(i)
-            owned = sorted(((int(doc[at].min()), t) for t, at in by_text.items()))
-            if len(owned) == 1:  # one sequence is its own automaton: every window's first owner is the sequence's
-                lowest, at = owned[0][0], by_text[owned[0][1]]
-                at = [i for i in at if doc[i] > lowest]
-                found_at += at
-                found_bits += [(1 << int(count[i])) - 1 for i in at]
-                continue
-            automaton = SuffixAutomaton()
-            for owner, t in owned:
-                automaton.insert(t.split(), owner)
-            for _, t in owned:
-                firsts = automaton.first_owners(t.split(), length)
+            owned = sorted((int(owner[at].min()), t) for t, at in by_text.items())
+            automaton = None
+            if len(owned) > 1:  # one sequence is its own automaton: every window's first owner is the sequence's
+                automaton = SuffixAutomaton()
+                for first, t in owned:
+                    automaton.insert(t.split(), first)
+            for first, t in owned:
+                firsts = {first} if automaton is None else automaton.first_owners(t.split(), length)
+                same = len(set(firsts)) == 1
                 for i in by_text[t]:
-                    bits = sum(1 << j for j, f in enumerate(firsts) if f is not None and f < doc[i])
-                    if bits:
-                        found_at.append(i)
-                        found_bits.append(bits)
-
-        out: list[tuple] = []
-        if found_at:
-            at, bits = np.array(found_at), np.array(found_bits, "<u8")
-            bucket = (mixed(doc[at].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, bits, bucket = at[order], bits[order], bucket[order]
-            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            packer = zstandard.ZstdCompressor(1)
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                i = at[a:b]
-                data = b"".join(x.tobytes() for x in (doc[i].astype("<i8"), text_hash[i].astype("<i8"), start[i].astype("<u4"), bits[a:b].astype("<u4")))
-                out.append((int(bucket[a]), packer.compress(data)))
-        return pa.Table.from_batches([record_batch(["bucket", "data"], [pa.int32(), pa.binary()], out)])
+                    if not same or owner[i] not in firsts:
+                        found[i] = list(firsts)[:1] if same else firsts
+
+        at = np.array(sorted(found), np.int64)
+        cuts = np.searchsorted(at, base)
+        packer = zstandard.ZstdCompressor(3)
+        for batch, start, a, b in zip(batches, base[:-1].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = [found[i] for i in at[a:b].tolist()]
+            if mine:
+                parts = (np.array([len(mine)], "<u4"), (at[a:b] - start).astype("<u4"), np.array([len(m) for m in mine], "u1"), np.array([f for m in mine for f in m], "<i8"))
+                out.append((shard, batch, OWNERS, packer.compress(b"".join(p.tobytes() for p in parts)), None))
+        return pa.Table.from_batches([record_batch(NAMES, TYPES, out)])
 
     return run
 
 
-def merge(table: pa.Table) -> pa.Table:
-    """The places of a bucket of documents, from all shards: a row for each document."""
-    import zstandard
+def finish(length: int, anchor: int, shards: int, texts: bool):
+    """A batch's words and answers to what is left of each text."""
 
-    doc, text_hash, start, bits = [], [], [], []
-    for block in table.column("data"):
-        data = zstandard.ZstdDecompressor().decompress(block.as_py())
-        n = len(data) // 24
-        doc.append(np.frombuffer(data, "<i8", n))
-        text_hash.append(np.frombuffer(data, "<i8", n, 8 * n))
-        start.append(np.frombuffer(data, "<u4", n, 16 * n))
-        bits.append(np.frombuffer(data, "<u4", n, 20 * n))
-    doc, text_hash, start, bits = map(np.concatenate, (doc, text_hash, start, bits))
-    order = np.lexsort((start, text_hash, doc))
-    doc, text_hash = doc[order], text_hash[order]
-    places = np.stack([start[order], bits[order]], axis=1)
-    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])) + 1
-    edges = [0, *cuts.tolist(), len(doc)]
-    out = [(int(doc[a]), int(text_hash[a]), places[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.Table.from_batches([record_batch(["doc_id", "text_hash", "places"], [pa.int64(), pa.int64(), pa.binary()], out)])
-
-
-def covered_words(n: int, places: bytes, length: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window found."""
-    pairs = np.frombuffer(places, "<u4").reshape(-1, 2)
-    at, j = np.nonzero(np.unpackbits(np.ascontiguousarray(pairs[:, 1]).view(np.uint8), bitorder="little").reshape(-1, RUN))
-    hit = pairs[at, 0].astype(np.int64) + j
-    return np.cumsum(np.bincount(hit, minlength=n + 1)[:n] - np.bincount(hit + length, minlength=n + 1)[:n]) > 0
-
-
-def cut(length: int, texts: bool):
-    """(doc_id, text, places) to what is left of each text."""
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text, places in rows(iter([batch])):
-                w = words(text)
-                spans: list[tuple[int, int]] = []
-                kept = w
-                if places:
-                    gone = covered_words(len(w), places, length)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                    kept = [w[i] for i in np.flatnonzero(~gone).tolist()]
-                left = b" ".join(kept)
-                flat = [i for s in spans for i in s]
-                out.append(
-                    (
-                        doc_id, len(w), len(w) - len(kept), hashlib.sha256(left).hexdigest(), flat,
-                        left.decode("utf-8", "surrogatepass") if texts else None
-                    )
-                )
-            yield record_batch(
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
-                [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()], out
-            )
+        all_rows = list(rows(iter(table.to_batches())))
+        ids, packed = next((r[4], r[3]) for r in all_rows if r[2] == WORDS)
+        lines = zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
+        cut = Cut(lines, ids, length, anchor, shards)
+        cut.texts.clear()
+        owner, several = cut.owner.copy(), {}
+        for shard, _, kind, data, _ in all_rows:
+            if kind != OWNERS:
+                continue
+            data = zstandard.ZstdDecompressor().decompress(data)
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            at = np.frombuffer(data, "<u4", n, 4).astype(np.int64) + cut.ends[shard]
+            given = np.frombuffer(data, "u1", n, 4 + 4 * n).astype(np.int64)
+            firsts = np.frombuffer(data, "<i8", int(given.sum()), 4 + 5 * n)
+            begin = np.cumsum(given) - given
+            one = given == 1
+            owner[at[one]] = firsts[begin[one]]
+            several |= {int(e): firsts[x : x + g] for e, x, g in zip(at[~one].tolist(), begin[~one].tolist(), given[~one].tolist(), strict=True)}
+        of_several = np.zeros(len(owner), bool)
+        of_several[list(several)] = True
+        edges = np.searchsorted(cut.doc, np.arange(len(lines) + 1))
+
+        out: list[tuple] = []
+        for i, line in enumerate(lines):
+            w = line.split()
+            a, b = edges[i : i + 2].tolist()
+            spans: list[tuple[int, int]] = []
+            kept = w
+            if a < b:
+                e, start, count = cut.which[a:b], cut.start[a:b], cut.count[a:b]
+                hit = (owner[e] < ids[i]) & ~of_several[e]
+                change = np.zeros(len(w) + 1, np.int64)
+                np.add.at(change, start[hit], 1)
+                np.add.at(change, (start + count + length - 1)[hit], -1)
+                for k in np.flatnonzero(of_several[e]).tolist():
+                    windows = start[k] + np.flatnonzero(several[int(e[k])] < ids[i])
+                    np.add.at(change, windows, 1)
+                    np.add.at(change, windows + length, -1)
+                gone = np.cumsum(change[:-1]) > 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+                kept = [w[j] for j in np.flatnonzero(~gone).tolist()] if spans else w
+            left = b" ".join(kept)
+            flat = [x for s in spans for x in s]
+            out.append((ids[i], len(w), len(w) - len(kept), hashlib.sha256(left).hexdigest(), flat, left.decode("utf-8", "surrogatepass") if texts else None))
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"]
+        return pa.Table.from_batches([record_batch(names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()], out)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, texts: bool = True, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (start, end, start, end ... of the removed words), kept (with ``texts``)."""
-    shards = shards_for(docs)
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    blocks = rows_.mapInArrow(send(shards, length, min(anchor, length)), "shard int, data binary")
-    found = blocks.groupBy("shard").applyInArrow(match(length, shards), "bucket int, data binary")
-    by_doc = found.groupBy("bucket").applyInArrow(merge, "doc_id long, text_hash long, places binary").select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "places"
-    )
-    joined = rows_.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
-    out = joined.select("doc_id", "text", "places").mapInArrow(
-        cut(length, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>, kept string"
-    )
+    shards, anchor = shards_for(docs), min(anchor, length)
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = rows_.mapInArrow(send(shards, length, anchor, batch_chars), SCHEMA)
+    answered = blocks.groupBy("shard").applyInArrow(match(length), SCHEMA)
+    out = answered.groupBy("batch").applyInArrow(finish(length, anchor, shards, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>, kept string")
     return out if texts else out.drop("kept")
 
 
