@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -466,25 +467,32 @@ def unseeded_repeats(t: Tables) -> Found:
     return Found(found, hits.select(*keys, F.lit("unseeded_repeat_rate").alias("metric"), "span_id", "run_id", "start_time"), tuple(keys))
 
 
-def boundaries(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """keys, before, after: versions that follow each other by first appearance. A version that returns is one version."""
-    seen = rows.filter(F.col(version).isNotNull()).groupBy(*keys, version).agg(F.min(F.struct("start_time", "span_id")).alias("seen"))
+def boundaries(rows: DataFrame, keys: list[str], version: str, *, least: int = 0) -> DataFrame:
+    """keys, before, after: versions that follow each other by first appearance, both with ``least`` rows or more. A version
+    that returns is one version."""
+    seen = rows.filter(F.col(version).isNotNull()).groupBy(*keys, version).agg(
+        F.min(F.struct("start_time", "span_id")).alias("seen"), F.count(F.lit(1)).alias("n")
+    )
     w = Window.partitionBy(*keys).orderBy("seen")
-    return seen.withColumn("before", F.lag(version).over(w)).filter("before IS NOT NULL").select(*keys, "before", F.col(version).alias("after"))
+    out = seen.withColumns({"before": F.lag(version).over(w), "n_before": F.lag("n").over(w)}).filter("before IS NOT NULL")
+    return out.filter((F.col("n") >= least) & (F.col("n_before") >= least)).select(*keys, "before", F.col(version).alias("after"))
 
 
-def sides(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Each row once for each boundary that its version is part of: side 'a' before, 'b' after."""
+def sides(rows: DataFrame, keys: list[str], version: str, edges: DataFrame | None = None) -> DataFrame:
+    """Each row once for each boundary (all, or those of ``edges``) that its version is part of: side 'a' before, 'b' after."""
     a, b = (F.struct(F.lit(s).alias("side"), F.col(c).alias("_v")) for s, c in (("a", "before"), ("b", "after")))
-    both = boundaries(rows, keys, version).select(*keys, "before", "after", F.explode(F.array(a, b)).alias("_s")).select(*keys, "before", "after", "_s.*")
+    edges = boundaries(rows, keys, version) if edges is None else edges
+    both = edges.select(*keys, "before", "after", F.explode(F.array(a, b)).alias("_s")).select(*keys, "before", "after", "_s.*")
     return rows.alias("l").join(both.alias("r"), _on("l", "r", keys) & (F.col(f"l.{version}") == F.col("r._v"))).select("l.*", "r.before", "r.after", "r.side")
 
 
-
-def latency_changes(rows: DataFrame, *, keys: list[str], version: str, value: str = "latency_ms", least: int = 20, ratio: float = 1.2) -> DataFrame:
+def latency_changes(
+    rows: DataFrame, *, keys: list[str], version: str, value: str = "latency_ms", least: int = 20, ratio: float = 1.2,
+    edges: DataFrame | None = None
+) -> DataFrame:
     """Every boundary with medians before and after, the Mann-Whitney z, and whether the median regressed."""
     group = [*keys, "before", "after"]
-    dealt = sides(rows, keys, version)
+    dealt = sides(rows, keys, version, edges)
     counts = dealt.groupBy(*group).agg(F.count_if(F.col("side") == "a").alias("rows_a"), F.count_if(F.col("side") == "b").alias("rows_b"))
     test = stats.mann_whitney(dealt, group, "side", value)
     by_side = stats.medians(dealt, [*group, "side"], value).groupBy(*group).agg(
@@ -498,10 +506,10 @@ def latency_changes(rows: DataFrame, *, keys: list[str], version: str, value: st
     return out.withColumns({"regressed": F.coalesce(regressed, F.lit(False)), "severity": F.when(high, "high").otherwise("medium")})
 
 
-def error_changes(rows: DataFrame, *, keys: list[str], version: str, least: int = 20, rise: float = 0.02) -> DataFrame:
+def error_changes(rows: DataFrame, *, keys: list[str], version: str, least: int = 20, rise: float = 0.02, edges: DataFrame | None = None) -> DataFrame:
     group = [*keys, "before", "after"]
     a, b, bad = F.col("side") == "a", F.col("side") == "b", F.col("status").isin(*FAILED)
-    out = sides(rows, keys, version).groupBy(*group).agg(
+    out = sides(rows, keys, version, edges).groupBy(*group).agg(
         F.count_if(a).alias("n_a"), F.count_if(b).alias("n_b"), F.count_if(a & bad).alias("hits_a"), F.count_if(b & bad).alias("hits_b")
     )
     z = stats.two_proportion_z(F.col("hits_b"), F.col("n_b"), F.col("hits_a"), F.col("n_a"))
@@ -511,10 +519,10 @@ def error_changes(rows: DataFrame, *, keys: list[str], version: str, least: int
     return out.withColumns({"change": change, "regressed": regressed, "severity": F.when(change >= 0.1, "high").otherwise("medium")})
 
 
-def score_changes(rows: DataFrame, *, keys: list[str], version: str, least: int = 20, drop: float = 0.05) -> DataFrame:
+def score_changes(rows: DataFrame, *, keys: list[str], version: str, least: int = 20, drop: float = 0.05, edges: DataFrame | None = None) -> DataFrame:
     """Mean scores that fall by ``drop`` between versions, with a Mann-Whitney |z| beyond the 1 % level."""
     group = [*keys, "before", "after"]
-    dealt = sides(rows.filter("value IS NOT NULL"), keys, version)
+    dealt = sides(rows.filter("value IS NOT NULL"), keys, version, edges)
     means = dealt.groupBy(*group).agg(
         F.avg(F.when(F.col("side") == "a", F.col("value"))).alias("baseline"),
         F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("value")
@@ -532,27 +540,31 @@ def prompt_of_run(t: Tables) -> DataFrame:
 
 
 @_built_in("regression")
-def regression(t: Tables) -> list[Found]:
-    """Version changes that made latency, errors or scores worse."""
+def regression(t: Tables, *, least: int = 20) -> list[Found]:
+    """Version changes that made latency, errors or scores worse.
+
+    Rows are compared only where a series has versions with enough rows that follow each other, which a count by version
+    tells first.
+    """
     calls = own_calls(t).withColumn("prompt_version", F.col("template_version"))
     steps = t["steps"].filter("executed = 1").withColumns({"latency_ms": F.col("duration_ms"), "code_version": F.col("step_version")})
     scored = scores(t).filter("value IS NOT NULL").join(prompt_of_run(t), "run_id", "left")
-    timed = [
-        (calls, ["workflow", "step", "scorer", "model"], "prompt_version"),
-        (calls, ["workflow", "step", "scorer"], "model"),
-        (steps, ["workflow", "step"], "code_version"),
+    failed = F.col("status").isin(*FAILED)
+    of_time = (("latency_ms_median", latency_changes, None), ("error_rate", error_changes, failed))
+    series = [
+        (calls, ["workflow", "step", "scorer", "model"], "prompt_version", of_time),
+        (calls, ["workflow", "step", "scorer"], "model", of_time),
+        (steps, ["workflow", "step"], "code_version", of_time),
+        (scored, ["workflow", "scorer"], "prompt_version", (("mean_score", score_changes, None),)),
     ]
+    edges = [boundaries(rows, keys, version, least=least) for rows, keys, version, _ in series]
+    with ThreadPoolExecutor(len(edges)) as pool:
+        none = list(pool.map(lambda e: e.isEmpty(), edges))
     out = []
-    for rows, keys, version in timed:
-        out.append(_regressions(latency_changes(rows, keys=keys, version=version), rows, keys, version, "latency_ms_median"))
-        failed = F.col("status").isin(*FAILED)
-        out.append(_regressions(error_changes(rows, keys=keys, version=version), rows, keys, version, "error_rate", failed))
-    out.append(
-        _regressions(
-            score_changes(scored, keys=["workflow", "scorer"], version="prompt_version"), scored, ["workflow", "scorer"],
-            "prompt_version", "mean_score"
-        )
-    )
+    for (rows, keys, version, checks), found, empty in zip(series, edges, none, strict=True):
+        for metric, changes, hit in () if empty else checks:
+            compared = changes(rows, keys=keys, version=version, edges=found)
+            out.append(_regressions(compared, rows, keys, version, metric, hit))
     return out
 
 

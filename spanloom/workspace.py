@@ -271,12 +271,10 @@ class Workspace:
         scope, self.notes = Scope(self.spark, kept, scoped._more), []
         found: list[tuple[fs.Finding, Found | None, dict]] = []
         try:
-            if "stats" in stages:
-                for part, note in at_once(lambda name, d: self._detect(name, d, scope), detectors.REGISTRY.items()):
-                    found += part
-                    self.notes += [note] if note else []
-            if "outputs" in stages:
-                found += self._outputs(scope, workflow)
+            # the stages read the same tables and need nothing from each other; alone each leaves most cores idle
+            jobs = [(self._stats, scope)] if "stats" in stages else []
+            jobs += [(self._outputs, scope)] if "outputs" in stages else []
+            found = [x for part in at_once(lambda stage, tables: stage(tables), jobs) for x in part]
             self._save_affected(found)
         finally:
             for df in kept.values():
@@ -291,6 +289,13 @@ class Workspace:
         mine = {f.key for f in new}
         return Report([f for f in fs.shown(merged, workflow) if f.key in mine], self.notes, wallet)
 
+    def _stats(self, scope: Scope) -> list:
+        found = []
+        for part, note in at_once(lambda name, d: self._detect(name, d, scope), detectors.REGISTRY.items()):
+            found += part
+            self.notes += [note] if note else []
+        return found
+
     def _detect(self, name: str, d: detectors.Registered, scope: Scope) -> tuple[list, str | None]:
         try:
             answer = d.run(scope)
@@ -352,7 +357,7 @@ class Workspace:
         manifest["affected"] = paths
         self.docs.write("manifest", manifest)
 
-    def _outputs(self, scope: Scope, workflow: str | None) -> list:
+    def _outputs(self, scope: Scope) -> list:
         """Output analysis; its clusters, members and embeddings are kept."""
         if self.embedder is None:
             self.notes.append("no embedder: outputs were not analyzed")
