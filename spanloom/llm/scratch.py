@@ -10,9 +10,13 @@ __all__ = ["hash_bits", "materialize", "partitions", "shards_for", "table_bytes"
 
 
 def table_bytes(df: DataFrame) -> int:
-    """About how large ``df`` is, from its plan's statistics, so without a job. 0 for a plan without usable ones."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 55 else 0
+    """How large the tables are that ``df`` reads, from its plan's statistics, so without a job; 0 where one isn't known.
+
+    Only leaves are asked: what a plan says of its joins is a product.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes) if all(size < 1 << 55 for size in sizes) else 0
 
 
 def shards_for(df: DataFrame, shard_bytes: int = 16 << 20) -> int:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import licenses, lm, mixing, nearcopies, packing, quality, secrets, substrings, topk, urls
+from spanloom.llm.scratch import hash_bits, shards_for, table_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, base string, live int, first int, second int, rounds int, taken int, key string, rank int, length int, node int, shard int, bucket int, target double, words string"
@@ -93,6 +94,15 @@ def test_substrings(docs, none, spark):
     assert [r.n_removed for r in substrings.remove_repeats(no_id).collect()] == [0, 0]
 
 
+def test_sizes_of_plans(spark, tmp_path):
+    spark.range(200_000).withColumn("t", F.md5(F.col("id").cast("string"))).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    size = table_bytes(one)
+    assert size > 1_000_000 and table_bytes(one.join(one.withColumnRenamed("t", "u"), "id")) <= 2 * size
+    assert shards_for(one, 100_000) == -(-size // 100_000) and shards_for(one) == 4 and hash_bits(one) == 40
+    assert shards_for(spark.createDataFrame([(1,)], "a int").join(one, F.lit(True))) >= 4
+
+
 def test_suffix_automaton_finds_first_owners():
     r = random.Random(3)
     for _ in range(200):
