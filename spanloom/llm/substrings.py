@@ -15,7 +15,7 @@ are dealt out so that all that can match meets in one shard:
 3. Answers go back to their batch, where every document drops the maximal spans of windows that a smaller doc_id owns.
 
 A passage that many documents share is one segment a batch, not one a document. Work and blocks grow with the corpus, not
-with pairs of documents or of shards. Shards are as many as the shuffle's partitions, or one for each 16 MB of the table's
+with pairs of documents or of shards. Shards are as many as the shuffle's partitions, or one for each 4 MB of the table's
 files if these are more; each is read by itself.
 
 Null text: no words. A null doc_id is neither smaller nor larger than another: such rows keep all words and remove none.
@@ -332,7 +332,7 @@ def finish(length: int, anchor: int, shards: int, texts: bool):
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, texts: bool = True, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (start, end, start, end ... of the removed words), kept (with ``texts``)."""
-    shards, anchor = shards_for(docs), min(anchor, length)
+    shards, anchor = shards_for(docs, 4 << 20), min(anchor, length)
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = rows_.mapInArrow(send(shards, length, anchor, batch_chars), SCHEMA)
     answered = blocks.groupBy("shard").applyInArrow(match(length), SCHEMA)
