@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,26 +48,31 @@ ORDER, ADD, STRENGTHS, BATCH_CHARS = 3, 0.1, (300.0, 20.0), 8_000_000
 END = b"\n"  # not a word
 SCHEMA = "shard int, batch string, kind int, data binary, ids array<long>"
 NAMES, TYPES = ["shard", "batch", "kind", "data", "ids"], [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+BLOCKS_SENT = 32  # of a batch, by one record batch
 #: Kinds of blocks: a batch's tokens; its n-grams for a shard, and the answer; a shard's totals.
 TOKENS, GRAMS, ANSWER, TOTALS = range(4)
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """The array's bytes, all first ones, then all second ones ...: equal high bytes shrink to nothing."""
-    return np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes()
+    """The array's bytes, all first ones, then all second ones ...: equal high bytes shrink to nothing. It may be empty."""
+    return np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).tobytes()
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+@cache
+def _zstd():
+    """A worker's compressor and decompressor, for blocks so small that making them anew would count."""
     import zstandard
 
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], "<u4").tobytes()
-    return zstandard.ZstdCompressor(1).compress(head + b"".join(_planes(a) for a in arrays))
+    return _zstd()[0].compress(head + b"".join(_planes(a) for a in arrays))
 
 
 def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(data)
+    data = _zstd()[1].decompress(data)
     out, at = [], 4 * len(kinds)
     for n, kind in zip(np.frombuffer(data, "<u4", len(kinds)).tolist(), kinds, strict=True):
         width = np.dtype(kind).itemsize
@@ -137,15 +143,19 @@ def send(order: int, shards: int, bits: int, batch_chars: int):
             for k in range(1, order + 1):
                 width = 64 if k == 1 else bits
                 keys, at, which = grams(every, text, k, width)
-                found.append((keys, np.bincount(which, ~held[text[at]], len(keys)).astype("<u4"), shard_ends(keys, shards, width)))
-                del at, which
+                ends, steps = shard_ends(keys, shards, width), np.diff(keys, prepend=np.uint64(0))
+                first = ends[:-1][ends[:-1] < ends[1:]]
+                steps[first] = keys[first]  # a block's first key stands whole, the others as steps from the one before
+                found.append((steps, np.bincount(which, ~held[text[at]], len(keys)).astype("<u4"), ends.tolist()))
+                del keys, at, which
+            blocks: list[tuple] = []
             for s in range(shards):
-                out: list[np.ndarray] = []
-                for keys, counts, ends in found:
-                    a, b = ends[s : s + 2]
-                    out += [np.diff(keys[a:b], prepend=np.uint64(0)), counts[a:b]]
-                if sum(map(len, out)):
-                    yield record_batch(NAMES, TYPES, [(s, batch, GRAMS, _pack(*out), None)])
+                out = [x[ends[s] : ends[s + 1]] for steps, counts, ends in found for x in (steps, counts)]
+                if any(map(len, out)):  # the more shards, the fewer n-grams of a batch are in one: some lengths may have none
+                    blocks.append((s, batch, GRAMS, _pack(*out), None))
+                if len(blocks) == BLOCKS_SENT or blocks and s == shards - 1:
+                    yield record_batch(NAMES, TYPES, blocks)
+                    blocks = []
 
         for doc_id, held, text in rows(batches):
             kept.append((doc_id, held))

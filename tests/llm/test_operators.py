@@ -569,6 +569,25 @@ def test_lm(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_blocks_without_some_lengths(spark):
+    """Many shards for a batch's n-grams, as in a large table: most blocks have n-grams of one or two of the three lengths."""
+    kinds = ["<u8", "<u4", "<u8"]
+    for lengths in ((0, 0, 1), (2, 0, 0), (0, 3, 0), (0, 0, 0)):
+        arrays = [np.arange(n).astype(kind) for n, kind in zip(lengths, kinds, strict=True)]
+        back = lm._unpack(lm._pack(*arrays), kinds)
+        assert [(a.dtype, a.tolist()) for a in back] == [(a.dtype, a.tolist()) for a in arrays]
+    r = random.Random(3)
+    data = [(i, [r.choice("abcdefgh") for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 12, 40, 0, 1, 5, 9])]
+    prob, _ = backoff_by_hand(data)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = lm.score(spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    same_rows([(x.doc_id, x.n_tokens, round(x.score, 6)) for x in got], [(i, len(t) + 1, round(by_hand(prob, t), 6)) for i, t in data])
+
+
 def test_lm_is_a_distribution():
     r = random.Random(9)
     data = [(i, [r.choice("abcdef") for _ in range(r.randint(0, 30))]) for i in range(50)]
